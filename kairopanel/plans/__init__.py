@@ -1 +1 @@
-"""TODO"""
+"""Role tables built from the given tables, and the registered queries with their SQL."""

@@ -1 +1 @@
-"""TODO"""
+"""Landed files to DataFrames, and writes that keep keys unique."""

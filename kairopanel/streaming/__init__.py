@@ -1 +1 @@
-"""TODO"""
+"""Incremental jobs with Structured Streaming."""
