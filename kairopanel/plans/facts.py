@@ -28,31 +28,31 @@ def basis_first():
     return F.when(F.col("basis") == "consolidated", 0).otherwise(1)
 
 
-@query(f"""WITH {DATES} SELECT as_of, symbol, period_end, line_item, basis, round(value, 2) AS value FROM dates JOIN statements ON visible_from <= as_of AND period_end > as_of - 500
+@query(f"""WITH {DATES} SELECT as_of, symbol, period_end, line_item, basis, round(value, 4) AS value FROM dates JOIN statements ON visible_from <= as_of AND period_end > as_of - 500
 QUALIFY row_number() OVER (PARTITION BY as_of, symbol, period_end, line_item ORDER BY CASE WHEN basis = 'consolidated' THEN 0 ELSE 1 END, visible_from DESC) = 1""")
 def statements_known_at(spark, sf_dir) -> DataFrame:
     facts = roles.statements(spark, sf_dir)
     found = asof.known_at(facts, year_ends(spark, sf_dir), ["symbol", "period_end", "line_item"], [basis_first()])
-    return found.where("period_end > date_sub(as_of, 500)").select("as_of", "symbol", "period_end", "line_item", "basis", R("value", 2).alias("value"))
+    return found.where("period_end > date_sub(as_of, 500)").select("as_of", "symbol", "period_end", "line_item", "basis", R("value", 4).alias("value"))
 
 
 @query(f"""WITH {roles.STATEMENTS}, f AS (SELECT * FROM statements QUALIFY row_number() OVER (PARTITION BY symbol, period_end, line_item ORDER BY basis) = 1), w AS (
     SELECT symbol, period_end, {", ".join(f"max(value) FILTER (WHERE line_item = '{i}') AS {i}" for _, i, _ in roles.ITEMS)} FROM f GROUP BY ALL), t AS (
     SELECT symbol, period_end, {", ".join(f"CASE WHEN count(*) OVER w4 = 4 AND count({i}) OVER w4 = 4 AND date_diff('day', min(period_end) OVER w4, period_end) <= 300 THEN sum({i}) OVER w4 END AS {i}_ttm" for i in ("sales", "net_profit", "operating_profit"))}
     FROM w WINDOW w4 AS (PARTITION BY symbol ORDER BY period_end ROWS 3 PRECEDING))
-SELECT symbol, period_end, round(sales_ttm, 2) AS sales_ttm, round(net_profit_ttm, 2) AS net_profit_ttm, round(operating_profit_ttm / nullif(sales_ttm, 0), 6) AS opm_ttm, round(sales_ttm / nullif(lag(sales_ttm, 4) OVER (PARTITION BY symbol ORDER BY period_end), 0) - 1, 6) AS sales_yoy FROM t""")
+SELECT symbol, period_end, round(sales_ttm, 4) AS sales_ttm, round(net_profit_ttm, 4) AS net_profit_ttm, round(operating_profit_ttm / nullif(sales_ttm, 0), 6) AS opm_ttm, round(sales_ttm / nullif(lag(sales_ttm, 4) OVER (PARTITION BY symbol ORDER BY period_end), 0) - 1, 6) AS sales_yoy FROM t""")
 def trailing_sums(spark, sf_dir) -> DataFrame:
     one = asof.keep_first(roles.statements(spark, sf_dir), ["symbol", "period_end", "line_item"], ["basis"])
     flat = statements.wide(one, ["symbol", "period_end"], [i for _, i, _ in roles.ITEMS])
     t = statements.trailing(flat, ["sales", "net_profit", "operating_profit"], ["symbol"])
     before = F.lag("sales_ttm", 4).over(Window.partitionBy("symbol").orderBy("period_end"))
-    return t.select("symbol", "period_end", R("sales_ttm", 2).alias("sales_ttm"), R("net_profit_ttm", 2).alias("net_profit_ttm"), R(F.try_divide("operating_profit_ttm", F.nullif("sales_ttm", F.lit(0.0)))).alias("opm_ttm"), R(F.try_divide(F.col("sales_ttm"), before) - 1).alias("sales_yoy"))
+    return t.select("symbol", "period_end", R("sales_ttm", 4).alias("sales_ttm"), R("net_profit_ttm", 4).alias("net_profit_ttm"), R(F.try_divide("operating_profit_ttm", F.nullif("sales_ttm", F.lit(0.0)))).alias("opm_ttm"), R(F.try_divide(F.col("sales_ttm"), before) - 1).alias("sales_yoy"))
 
 
 @query(f"""WITH {roles.STATEMENTS}, y AS (SELECT symbol, year(period_end) AS y, {", ".join(f"sum(value) FILTER (WHERE line_item = '{i}') AS {i}" for _, i, _ in roles.ITEMS)} FROM statements GROUP BY ALL), h AS (
     SELECT *, operating_profit / sales AS opm, operating_profit / interest AS cover, lag(sales, 3) OVER w AS s3, row_number() OVER (PARTITION BY symbol ORDER BY y DESC) AS k, row_number() OVER w AS n FROM y WINDOW w AS (PARTITION BY symbol ORDER BY y))
 SELECT symbol, round(max(CASE WHEN k = 1 THEN pow(sales / s3, 1.0 / 3) - 1 END), 4) AS sales_cagr_3y, round(median(opm) FILTER (WHERE k <= 8), 6) AS opm_median_8y, round(stddev_samp(opm) FILTER (WHERE k <= 8) / abs(avg(opm) FILTER (WHERE k <= 8)), 6) AS opm_cv_8y,
-    round(min(cover) FILTER (WHERE k <= 5), 6) AS int_cover_min_5y, round(sum(operating_profit) FILTER (WHERE k <= 5) / sum(net_profit) FILTER (WHERE k <= 5), 6) AS op_to_pat_5y, round(regr_slope(opm, n) FILTER (WHERE k <= 5), 6) AS opm_trend_5y FROM h GROUP BY symbol""")
+    round(min(cover) FILTER (WHERE k <= 5), 6) AS int_cover_min_5y, round(CASE WHEN count(operating_profit) FILTER (WHERE k <= 5) = 5 AND count(net_profit) FILTER (WHERE k <= 5) = 5 THEN sum(operating_profit) FILTER (WHERE k <= 5) / sum(net_profit) FILTER (WHERE k <= 5) END, 6) AS op_to_pat_5y, round(regr_slope(opm, n) FILTER (WHERE k <= 5), 6) AS opm_trend_5y FROM h GROUP BY symbol""")
 def history_metrics(spark, sf_dir) -> DataFrame:
     facts = roles.statements(spark, sf_dir).groupBy("symbol", F.make_date(F.year("period_end"), F.lit(12), F.lit(31)).alias("period_end"), "line_item").agg(F.sum("value").alias("value"))
     h = statements.histories(facts, ["symbol"], [i for _, i, _ in roles.ITEMS], "y", 10)
@@ -271,7 +271,9 @@ def quality_checks(spark, sf_dir) -> DataFrame:
     return found.select("check_name", R("value").alias("value"))
 
 
-@query("""SELECT page_id, u AS url, regexp_extract(u, '^[a-zA-Z]+://([^/:?#]+)', 1) AS host, left(sha1(u), 10) AS id FROM (SELECT page_id, regexp_replace(url, '#.*$', '') AS u FROM pages)""")
+@query("""SELECT page_id, u AS url, regexp_extract(u, '^[a-zA-Z]+://([^/:?#]+)', 1) AS host, left(sha1(u), 10) AS id FROM (
+    SELECT page_id, split_part(url, '?', 1) || CASE WHEN len(kept) > 0 THEN '?' || array_to_string(kept, '&') ELSE '' END AS u FROM (
+        SELECT page_id, url, [p FOR p IN string_split(split_part(url, '?', 2), '&') IF NOT starts_with(lower(p), 'utm_') AND p <> ''] AS kept FROM (SELECT page_id, regexp_replace(url, '#.*$', '') AS url FROM pages)))""")
 def canonical_urls(spark, sf_dir) -> DataFrame:
     u = scalars.canonical_url(F.concat("url", F.lit("#top")))
     return roles.table(spark, sf_dir, "pages").select("page_id", u.alias("url"), F.regexp_extract(u, r"^[a-zA-Z]+://([^/:?#]+)", 1).alias("host"), F.substring(F.sha1(u), 1, 10).alias("id"))

@@ -41,11 +41,11 @@ PRICE_FEATURES = f"""WITH {roles.PANEL}, a AS (
 )"""
 
 
-@query(PRICE_FEATURES + f" SELECT symbol, trade_date AS as_of, history_days, round(adv20, 2) AS adv20, round(turnover_med120, 2) AS turnover_med120, {', '.join(f'round({f}, 6) AS {f}' for f in FEATURES)} FROM f JOIN month_ends ON trade_date = as_of WHERE close IS NOT NULL")
+@query(PRICE_FEATURES + f" SELECT symbol, trade_date AS as_of, history_days, round(adv20, 4) AS adv20, round(turnover_med120, 4) AS turnover_med120, {', '.join(f'round({f}, 6) AS {f}' for f in FEATURES)} FROM f JOIN month_ends ON trade_date = as_of WHERE close IS NOT NULL")
 def price_features(spark, sf_dir) -> DataFrame:
     found = rolling.price_features(roles.panel(spark, sf_dir))
     at = found.join(F.broadcast(roles.month_ends(spark, sf_dir)), F.col("trade_date") == F.col("as_of"))
-    return at.where("close is not null").select("symbol", "as_of", "history_days", R("adv20", 2).alias("adv20"), R("turnover_med120", 2).alias("turnover_med120"), *[R(f).alias(f) for f in FEATURES])
+    return at.where("close is not null").select("symbol", "as_of", "history_days", R("adv20", 4).alias("adv20"), R("turnover_med120", 4).alias("turnover_med120"), *[R(f).alias(f) for f in FEATURES])
 
 
 @query(f"""WITH {roles.PANEL} SELECT symbol, trade_date, round((below + (same + 1) / 2.0) / n, 6) AS volume_rank, round(worst, 6) AS drawdown FROM (
@@ -99,9 +99,9 @@ def universe(spark, sf_dir) -> DataFrame:
     return found.where("sessions >= 60 and history_days >= 250 and close >= 20")
 
 
-@query(f"WITH {UNIVERSE} SELECT as_of, symbol, sessions, last_date, round(turnover_med120, 2) AS turnover_med120, round(adv20, 2) AS adv20, history_days, round(close, 6) AS close, industry FROM universe")
+@query(f"WITH {UNIVERSE} SELECT as_of, symbol, sessions, last_date, round(turnover_med120, 4) AS turnover_med120, round(adv20, 4) AS adv20, history_days, round(close, 6) AS close, industry FROM universe")
 def liquidity_universe(spark, sf_dir) -> DataFrame:
-    return universe(spark, sf_dir).select("as_of", "symbol", "sessions", "last_date", R("turnover_med120", 2).alias("turnover_med120"), R("adv20", 2).alias("adv20"), "history_days", R("close").alias("close"), "industry")
+    return universe(spark, sf_dir).select("as_of", "symbol", "sessions", "last_date", R("turnover_med120", 4).alias("turnover_med120"), R("adv20", 4).alias("adv20"), "history_days", R("close").alias("close"), "industry")
 
 
 WINSOR = f"""{roles.SUPPLIER_MONTHS}, m AS (SELECT *, median(roe) OVER (PARTITION BY as_of) AS md FROM supplier_months), s AS (
@@ -377,7 +377,7 @@ def deflated_sharpe_ratios(spark, sf_dir) -> DataFrame:
 @query(f"""WITH {FORWARD}, pub AS (SELECT f.as_of, f.symbol FROM forward f JOIN tape t ON t.symbol = f.symbol AND t.trade_date = f.as_of QUALIFY row_number() OVER (PARTITION BY f.as_of ORDER BY turnover DESC, f.symbol) <= 5), bench AS (SELECT as_of, avg(fwd) AS bench FROM forward GROUP BY as_of), led AS (
     SELECT as_of, symbol, fwd, bench, CASE WHEN NOT matured THEN 'pending' WHEN delisted THEN 'delisted' WHEN fwd > bench THEN 'hit' ELSE 'miss' END AS status FROM pub JOIN forward USING (as_of, symbol) JOIN bench USING (as_of))
 SELECT year(as_of) AS year, count(*) FILTER (WHERE status <> 'pending') AS matured, CASE WHEN count(*) FILTER (WHERE status <> 'pending') >= 20 THEN round(avg(CASE WHEN status = 'hit' THEN 1.0 ELSE 0 END) FILTER (WHERE status <> 'pending'), 6) END AS hit_rate,
-    CASE WHEN count(*) FILTER (WHERE status <> 'pending') >= 20 THEN round(avg(fwd - bench) FILTER (WHERE status <> 'pending'), 6) END AS mean_excess FROM led GROUP BY 1""")
+    CASE WHEN count(*) FILTER (WHERE status <> 'pending') >= 20 THEN round(avg(fwd - bench) FILTER (WHERE status <> 'pending'), 6) + 0 END AS mean_excess FROM led GROUP BY 1""")
 def prospective_ledger(spark, sf_dir) -> DataFrame:
     outcomes = forward(spark, sf_dir)
     bench = outcomes.groupBy("as_of").agg(F.avg("fwd").alias("bench"))
@@ -385,4 +385,4 @@ def prospective_ledger(spark, sf_dir) -> DataFrame:
     top = selection.ranked(outcomes.select("as_of", "symbol").join(now, ["as_of", "symbol"]), ["as_of"]).where("rank <= 5").select("as_of", "symbol")
     ledger = validation.publish(top, top.limit(0), ["as_of", "symbol"])
     done = validation.mature(ledger, outcomes.join(bench, "as_of"), ["as_of", "symbol"]).withColumn("year", F.year("as_of"))
-    return validation.ledger_report(done, ["year"], least=20).select("year", "matured", R("hit_rate").alias("hit_rate"), R("mean_excess").alias("mean_excess"))
+    return validation.ledger_report(done, ["year"], least=20).select("year", "matured", R("hit_rate").alias("hit_rate"), (R("mean_excess") + 0.0).alias("mean_excess"))
