@@ -1,0 +1,373 @@
+import hashlib
+import math
+import re
+import zlib
+from collections import Counter, defaultdict
+
+import numpy as np
+import pytest
+from conftest import BASE, ROWS, documents
+from pyspark.sql import functions as F
+
+from kairopanel.llm import embedding_dedup, imatch, jaccard_join, licenses, mixing, packing, pii, substring_dedup, token_store, toxicity
+from kairopanel.llm.components import connected_components
+from kairopanel.llm.queries import default_tokenizer
+from kairopanel.llm.shared import shared_folder
+
+
+def words(text):
+    return (text or "").encode().split()
+
+
+def rows(df, *columns):
+    return sorted((tuple(r[c] for c in columns) for r in df.collect()), key=repr)
+
+
+# packing
+
+
+def test_packing_places_every_token_once(spark, messy):
+    out = packing.best_fit_pack(messy, capacities=(16, 64, 256)).collect()
+    assert sum(r["piece_length"] for r in out) == sum(len(words(t)) + 1 for _, t, _ in ROWS)
+    by_bin = defaultdict(list)
+    for r in out:
+        by_bin[r["bin_id"]].append(r)
+    for held in by_bin.values():
+        held.sort(key=lambda r: r["bin_start"])
+        at = 0
+        for r in held:
+            assert r["bin_start"] == at
+            at += r["piece_length"]
+        assert at == held[0]["bin_fill"] <= held[0]["bin_capacity"]
+        assert held[0]["bin_capacity"] == min(c for c in (16, 64, 256) if c >= at)
+
+
+def test_packing_takes_the_cheapest_policy():
+    cost = packing.sequence_cost(per_sequence=1, per_token=1, per_pair=0)
+    bins, starts, capacity, filled = packing.pack(np.array([6, 5, 4, 3, 2]), [8, 20], cost)
+    assert sum(map(cost, capacity)) <= cost(20) and filled.sum() == 20
+    assert packing.pack(np.zeros(0, int), [8], cost)[0].size == 0
+
+
+def test_packing_of_nothing(empty):
+    assert packing.best_fit_pack(empty).count() == 0
+
+
+# token store
+
+
+def test_tokens_round_trip(spark, messy):
+    from tokenizers import Tokenizer
+
+    path = shared_folder(spark)
+    token_store.write_token_shards(messy, path, default_tokenizer(), end_id=0, shard_docs=5)
+    out = token_store.read_token_shards(spark, path, messy).collect()
+    tokenizer = Tokenizer.from_file(default_tokenizer())
+    expected, start = [], 0
+    for i, t, _ in sorted(ROWS, key=lambda r: (r[0] is not None, r[0] or 0, r[1] or "")):
+        ids = tokenizer.encode(t or "", add_special_tokens=False).ids + [0]
+        if i is not None:
+            expected.append((i, start, len(ids), zlib.crc32(np.array(ids, "<u4").tobytes())))
+        start += len(ids)
+    assert sorted((r["doc_id"], r["start"], r["n_tokens"], zlib.crc32(r["ids"])) for r in out) == sorted(expected)
+
+
+def test_unknown_keys_and_empty_store(spark, messy, empty):
+    path = shared_folder(spark)
+    token_store.write_token_shards(empty, path, default_tokenizer())
+    assert token_store.read_token_shards(spark, path, messy).count() == 0
+    token_store.write_token_shards(messy, path, default_tokenizer())
+    assert token_store.read_token_shards(spark, path, spark.range(500, 900).withColumnRenamed("id", "doc_id")).count() == 0
+
+
+def test_perfect_hash_is_minimal():
+    keys = np.unique(np.random.default_rng(0).integers(-(2**62), 2**62, 5000))
+    assert sorted(token_store.PerfectHash.of(keys).place(keys)) == list(range(len(keys)))
+
+
+# licences
+
+
+def test_licenses_are_found_in_any_spelling(spark, empty):
+    docs = documents(spark, [(1, "Copyright 2020 Someone\nreleased   under the M.I.T? no"), (2, "text\nRELEASED under the MIT licence!"), (3, "Released under the MIT License."), (4, None), (5, ""), (6, "licensed under the Apache License -- version 2"), (7, "Not Released under the MIT License."), (3, "Released under the MIT License.")])
+    out = licenses.scan_licenses(docs)
+    assert rows(out, "doc_id", "unit", "line", "license") == sorted([(2, "line", 2, "MIT"), (3, "line", 1, "MIT"), (3, "text", 0, "MIT"), (3, "line", 1, "MIT"), (3, "text", 0, "MIT"), (6, "line", 1, "Apache-2.0"), (6, "text", 0, "Apache-2.0")], key=repr)
+    assert licenses.scan_licenses(empty).count() == 0
+
+
+# n-gram Jaccard join
+
+
+def components_by_hand(docs, n, percent):
+    sets = []
+    for i, t in docs:
+        w = words("".join(c.lower() if "A" <= c <= "Z" else c for c in t or ""))
+        sets.append((i, {tuple(w[k : k + n]) for k in range(len(w) - n + 1)} if len(w) >= n else ({tuple(w)} if w else set())))
+    label = list(range(len(sets)))
+    for a in range(len(sets)):
+        for b in range(a):
+            x, y = sets[a][1], sets[b][1]
+            if x and 100 * len(x & y) >= percent * len(x | y) and label[a] != label[b]:
+                old, new = max(label[a], label[b]), min(label[a], label[b])
+                label = [new if v == old else v for v in label]
+    least = {}
+    for (i, _), v in zip(sets, label):
+        if i is not None:
+            least[v] = min(least.get(v, i), i)
+    return sorted(((i, len(s), least.get(v)) for (i, s), v in zip(sets, label)), key=repr)
+
+
+def test_jaccard_join_on_messy_rows(messy, empty):
+    out = jaccard_join.ngram_jaccard_join(messy, words=4, percent=85)
+    assert rows(out, "doc_id", "n_shingles", "component_id") == components_by_hand([r[:2] for r in ROWS], 4, 85)
+    assert jaccard_join.ngram_jaccard_join(empty).count() == 0
+
+
+@pytest.mark.parametrize("hot_share", [0.0005, 2.0])
+def test_jaccard_join_of_families_and_common_lines(spark, hot_share):
+    rng = np.random.default_rng(5)
+    docs = []
+    for family in range(12):
+        base = [f"f{family}w{k}" for k in rng.integers(0, 400, 150)]
+        for _ in range(rng.integers(1, 25)):
+            w = list(base)
+            for k in rng.integers(0, 150, rng.integers(0, 6)):
+                w[k] = f"e{rng.integers(0, 9999)}"
+            docs.append((len(docs), "a common line in every text of this table . " + " ".join(w)))
+    out = jaccard_join.ngram_jaccard_join(documents(spark, docs), words=4, percent=85, hot_share=hot_share, most_elements=4000)
+    assert rows(out, "doc_id", "n_shingles", "component_id") == components_by_hand(docs, 4, 85)
+
+
+def test_regions_join_like_all_pairs():
+    rng = np.random.default_rng(2)
+    sets = []
+    for _ in range(40):
+        base = np.unique(rng.integers(0, 2**60, 80).astype(np.uint64))
+        for _ in range(20):
+            keep = rng.random(len(base)) > 0.04
+            sets.append(np.unique(np.concatenate([base[keep], rng.integers(0, 2**60, 2).astype(np.uint64)])))
+    labels = jaccard_join.linked_sets(sets, 85)
+    expected = jaccard_join._block(np.arange(len(sets)), sets, np.array([len(s) for s in sets]), np.arange(len(sets)), np.arange(len(sets)), 85)
+    assert (labels == expected).all() and len(set(labels)) < 400
+    linked = np.zeros(len(sets), bool)
+    np.add.at(linked, labels[labels != np.arange(len(sets))], True)
+    linked |= labels != np.arange(len(sets))
+    may = jaccard_join.may_link(np.stack([jaccard_join.class_counts(s) for s in sets]), np.array([len(s) for s in sets]), 85)
+    assert (may >= linked).all()
+
+
+def test_components_of_a_long_path(spark):
+    edges = spark.range(1, 200).select(F.col("id").alias("a"), (F.col("id") - 1).alias("b")).union(spark.createDataFrame([(500, 500), (None, 3), (900, 800)], "a long, b long"))
+    out = {r["node"]: r["component"] for r in connected_components(edges).collect()}
+    assert all(out[k] == 0 for k in range(200)) and out[900] == out[800] == 800 and 500 not in out
+
+
+# toxicity
+
+
+def toxic_tables(spark):
+    rng = np.random.default_rng(3)
+    docs, labels = [], []
+    for i in range(600):
+        bad = i % 4 == 0
+        w = [f"plain{k}" for k in rng.integers(0, 40, 20)] + (["idiot", "moron"] if bad else [])
+        docs.append((i, " ".join(rng.permutation(w))))
+        labels.append((i, 1, int(bad)))
+    return documents(spark, docs), spark.createDataFrame(labels, "doc_id long, quality int, toxic int")
+
+
+def test_toxicity_on_held_out_rows(spark):
+    docs, labels = toxic_tables(spark)
+    model = toxicity.learn_toxicity(docs, labels)
+    out = toxicity.score_toxicity(docs, model).join(labels, "doc_id").where(toxicity.held_out("doc_id")).collect()
+    assert len(out) > 60 and all((r["score"] >= 0.5) == (r["toxic"] == 1) for r in out)
+    again = toxicity.learn_toxicity(docs.repartition(7), labels)
+    assert np.allclose(again.weights, model.weights)
+
+
+def test_pairs_mean_more_than_their_terms():
+    rng = np.random.default_rng(0)
+    x = rng.integers(0, 2, (2000, 2))
+    y = x[:, 0] & x[:, 1]
+    data = [np.concatenate([[9], np.flatnonzero(r)]) for r in x]
+    model = toxicity.fit(data, y, telling=0, epochs=60)
+    assert (((1 / (1 + np.exp(-model.margins(data)))) >= 0.5) == (y == 1)).mean() > 0.99
+
+
+def test_toxicity_of_messy_rows(spark, messy, empty):
+    docs, labels = toxic_tables(spark)
+    model = toxicity.learn_toxicity(docs, labels)
+    out = toxicity.score_toxicity(messy, model).collect()
+    assert len(out) == len(ROWS) and all(0 <= r["score"] <= 1 for r in out)
+    none = toxicity.learn_toxicity(empty, labels.limit(0))
+    assert all(r["score"] < 0.5 for r in toxicity.score_toxicity(messy, none).collect())
+    assert toxicity.score_toxicity(empty, model).count() == 0
+
+
+# fingerprints
+
+
+def test_fingerprint_report(messy, empty):
+    out = imatch.fingerprint_report(messy, block_docs=4)
+    order = sorted(ROWS, key=lambda r: (r[0] is None, -(r[0] or 0), r[1] or ""))
+    expected = []
+    for k, (i, t, _) in enumerate(order):
+        t, n = t or "", (order[(k + 1) % len(order)][1] or "")
+        cut = len(t) // 3
+        expected.append((i, len(t), hashlib.sha256((t[: len(t) - cut] + n[:cut]).encode()).hexdigest()))
+    assert rows(out, "doc_id", "n_chars", "edited_sha256") == sorted(expected, key=repr)
+    held = out.collect()
+    assert all(0 <= r["near_edited"] <= 1 and 0 <= r["near_next"] <= 1 for r in held)
+    of = defaultdict(set)
+    for r in held:
+        if r["doc_id"] in (0, 1):
+            of["base"].add(r["fingerprint"])
+        if r["doc_id"] in (4, 5):
+            of["empty"].add(r["fingerprint"])
+    assert len(of["base"]) == len(of["empty"]) == 1
+    assert imatch.fingerprint_report(empty).count() == 0
+
+
+def test_likeness_follows_the_edit(spark):
+    rng = np.random.default_rng(1)
+    docs = [(i, " ".join(f"w{k}" for k in rng.integers(0, 3000, 200))) for i in range(400)]
+    out = imatch.fingerprint_report(documents(spark, docs), least=0.002, most=0.5).agg(F.avg("near_edited").alias("e"), F.avg("near_next").alias("n")).first()
+    assert out["e"] > 0.25 > 0.12 > out["n"]
+    same = imatch.document_fingerprints(documents(spark, docs[:3] + docs[:3]))
+    assert same.select("fingerprint").distinct().count() == 3
+
+
+# embeddings
+
+
+def test_embedding_links_against_all_pairs(spark):
+    rng = np.random.default_rng(4)
+    centers = rng.normal(size=(60, 16))
+    x = np.repeat(centers, 5, axis=0) + rng.normal(scale=0.02, size=(300, 16))
+    x[10] = x[11]
+    data = [(i, v.tolist()) for i, v in enumerate(x.astype(np.float32).astype(float))]
+    odd = [(300, None), (301, [0.0] * 16), (302, [float("nan")] + [1.0] * 15), (303, [None] + [1.0] * 15), (304, []), (305, [1.0, 2.0]), (306, [2.0, 4.0]), (306, [2.0, 4.0]), (None, data[0][1])]
+    df = spark.createDataFrame(data + odd, "vec_id long, embedding array<float>").withColumns({"k": F.lit(1), "n": F.lit(2)})
+    out = embedding_dedup.embedding_near_dups(df, most_members=3)
+    y = x / np.linalg.norm(x, axis=1)[:, None]
+    links = (y.astype(np.float64) @ y.T >= 0.95).sum(1) - 1
+    got = {r["vec_id"]: r for r in out.where("vec_id is not null").collect()}
+    assert len(got) == 307 and out.count() == 309
+    exact = sum(got[i]["n_links"] == links[i] + (1 if i < 5 else 0) for i in range(300))
+    assert exact >= 290 and all(got[i]["n_links"] <= links[i] + (1 if i < 5 else 0) for i in range(300))
+    assert all(got[i]["n_links"] == 0 and got[i]["component_id"] == i and got[i]["kept"] for i in range(300, 305))
+    assert got[305]["n_links"] == 2 and got[305]["component_id"] == got[306]["component_id"] == 305 and not got[306]["kept"]
+    assert embedding_dedup.embedding_near_dups(df.limit(0)).count() == 0
+
+
+# mixing
+
+
+def targets_by_hand(sizes, share=1.5, most=2.0):
+    names = sorted((s for s in sizes if s is not None), key=lambda s: s.encode()) + ([None] if None in sizes else [])
+    weight = {s: (5, 2, 1)[k % 3] for k, s in enumerate(names)}
+    left, open_, out = share * sum(sizes.values()), set(names), {}
+    while True:
+        total = sum(weight[s] for s in open_)
+        over = {s for s in open_ if left * weight[s] / total > most * sizes[s]} if open_ else set()
+        if not over:
+            break
+        for s in over:
+            out[s] = most * sizes[s]
+            left -= out[s]
+        open_ -= over
+    return out | {s: left * weight[s] / sum(weight[t] for t in open_) for s in open_}
+
+
+def test_mixing_meets_targets(spark, messy, empty):
+    rng = np.random.default_rng(8)
+    docs = documents(spark, [(i, "w " * int(rng.integers(0, 300)), [None, "b", "a", "ä", "z"][min(4, int(rng.integers(0, 9)))]) for i in range(3000)])
+    for table in (docs, messy):
+        out = mixing.mix_sources(table).collect()
+        sizes = Counter()
+        taken = Counter()
+        for r in out:
+            sizes[r["source"]] += r["size"]
+            taken[r["source"]] += r["size"] * r["copies"]
+            assert 0 <= r["copies"] <= 2 and r["size"] == len(words(r["text"]))
+        for r in out:
+            assert math.isclose(r["target"], targets_by_hand(sizes)[r["source"]], rel_tol=1e-9, abs_tol=1e-9) and r["source_size"] == sizes[r["source"]]
+        if table is docs:
+            assert all(abs(taken[s] - t) <= 0.01 * t for s, t in targets_by_hand(sizes).items())
+            assert rows(mixing.mix_sources(docs.repartition(5)), "doc_id", "copies") == rows(docs.sparkSession.createDataFrame([(r["doc_id"], r["copies"]) for r in out], "doc_id long, copies long"), "doc_id", "copies")
+            assert mixing.mixed(docs).count() == sum(r["copies"] for r in out)
+    assert mixing.mix_sources(empty).count() == 0
+
+
+# PII
+
+PLAIN = {"email": r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+", "ip": r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)", "card": r"[0-9]([\x20-]?[0-9])+", "phone": r"\+[0-9][\x20().0-9-]+[0-9]"}
+
+
+def spans_by_hand(text):
+    def luhn(d):
+        return sum((x * 2 - 9 if x > 4 else x * 2) if k % 2 else x for k, x in enumerate(map(int, reversed(d)))) % 10 == 0
+
+    out = []
+    for kind, p in PLAIN.items():
+        for m in re.finditer(p, text or ""):
+            d = re.sub("[^0-9]", "", m[0])
+            if {"email": lambda: True, "ip": lambda: all(int(a) <= 255 for a in m[0].split(".")), "card": lambda: 13 <= len(d) <= 19 and luhn(d), "phone": lambda: 9 <= len(d) <= 15}[kind]():
+                out.append((kind, m.start(), m.end()))
+    return out
+
+
+def test_rules_find_what_the_plain_forms_find(spark, messy, empty):
+    odd = [(100, "a@b.c_x@d.e.f"), (101, "1.2.3.4.5.6.7.8 0001.2.3.4 999.1.1.1 1.2.3"), (102, "4111 1111 1111 1111 5 4111111111111111 5500-0000-0000-0004"), (103, "+1 (234) 567-8901 +12 ++123456789 +1234567890123456"), (104, "é" * 5 + "x@y.zz😀 a@b.c@d.e"), (105, "1" * 3000 + " " + "1 " * 3000), (106, "a" * 9000 + "@" + "b." * 3000), (107, "1- 2 3--4 5")]
+    model = pii.SpanModel([], 2.0)
+    for table in (documents(spark, odd), messy):
+        for r in pii.find_pii(table, model).collect():
+            assert [tuple(s) for s in r["base"]] == spans_by_hand(r["text"]) and r["added"] == []
+    assert pii.find_pii(empty).count() == 0
+
+
+def test_the_model_adds_secrets_and_leaves_words_alone(spark):
+    docs = [(i, f"plain words of text number{i} and " + (f'token = "{hashlib.sha1(str(i).encode()).hexdigest()}" ok' if i % 3 == 0 else f"mail a{i}@b.example.com or revision {i} of 20{i % 90 + 10}-01-01 file_name_of_report_{i}")) for i in range(300)]
+    table = documents(spark, docs)
+    out = pii.find_pii(table).collect()
+    secrets = [r for r in out if any(s["kind"] == "secret" for s in r["added"])]
+    assert len(secrets) == 100 and all(r["doc_id"] % 3 == 0 for r in secrets)
+    clean = {r["doc_id"]: r["text"] for r in pii.redact(table, pii.fit_spans(table)).collect()}
+    assert "[secret]" in clean[0] and "@" not in clean[1] and "[email]" in clean[1] and "plain words of text number1" in clean[1]
+
+
+# substrings
+
+
+def kept_by_hand(docs, n):
+    first = {}
+    for i, t in docs:
+        w = words(t)
+        for k in range(len(w) - n + 1):
+            key = tuple(w[k : k + n])
+            i_ = math.inf if i is None else i
+            first[key] = min(first.get(key, math.inf), i_)
+    out = []
+    for i, t in docs:
+        w = words(t)
+        gone = set()
+        for k in range(len(w) - n + 1):
+            if first[tuple(w[k : k + n])] < (math.inf if i is None else i):
+                gone |= set(range(k, k + n))
+        out.append((i, len(w), len(gone), b" ".join(x for k, x in enumerate(w) if k not in gone).decode()))
+    return sorted(out, key=repr)
+
+
+@pytest.mark.parametrize("n,block,group", [(13, 8_000_000, 4_000_000), (5, 700, 40)])
+def test_substrings_against_brute_force(spark, messy, empty, n, block, group):
+    out = substring_dedup.substring_dedup(messy, n, block, group)
+    assert rows(out, "doc_id", "n_words", "n_removed", "kept") == kept_by_hand([r[:2] for r in ROWS], n)
+    assert substring_dedup.substring_dedup(empty, n).count() == 0
+
+
+def test_prefixes_fill_groups():
+    counts = np.zeros(256 * 256, np.int64)
+    counts[[3, 4, 260, 70_0, 65_535]] = [50, 60, 500, 30, 20]
+    first, split, n = substring_dedup.plan_groups(counts, 100)
+    assert split[260] == 5 and n > 5 and first[65_535] == n - 1
+    assert BASE
