@@ -134,49 +134,62 @@ def metric(value: Column, applies: Column | None = None) -> Column:
     return F.struct(value.alias("value"), status.alias("status"))
 
 
-def metric_columns(non_financial: Column = F.lit(True)) -> dict[str, Column]:
-    """Metrics of a frame of histories: y_<item> for years and q_<item> for quarters (see :func:`histories`), price, shares and beta.
+def prepared(df: DataFrame) -> DataFrame:
+    """The frame of :func:`metric_columns` with what its metrics share, step by step, so that each is computed once a row."""
+    y, q, c = (lambda n: F.col(f"y_{n}")), (lambda n: F.col(f"q_{n}")), (lambda n: F.col(f"m_{n}"))
+    span = F.datediff(at(F.col("q_period"), 1), at(F.col("q_period"), 4)) <= 300
+    sums = ("operating_profit", "depreciation", "interest", "net_profit", "other_income", "pbt", "sales")
+    zero = lambda x: F.coalesce(x, F.lit(0.0))
+    df = df.withColumns({f"t_{n}": F.coalesce(F.when(span, total(q(n), 4)), at(y(n), 1)) for n in sums})
+    df = df.withColumns({
+        "m_book": each(lambda a, b: a + b, y("equity_capital"), y("reserves")),
+        "m_nopat": each(lambda op, d: (op - d) * (1 - TAX), y("operating_profit"), y("depreciation")),
+        "m_opm": each(lambda op, s: ratio(op, s, True), y("operating_profit"), y("sales")),
+        "m_debt": each(lambda b, i: F.when(b <= 0, 0.0).otherwise(b - zero(i)), y("borrowings"), y("investments")),
+        "m_roce": F.transform(y("roce_pct"), lambda x: x / 100),
+        "m_dep_rate": each(lambda a, b: ratio(a, b, True), y("depreciation"), y("fixed_assets")),
+        "m_retained": each(lambda p, o: p * (1 - zero(o) / 100), y("net_profit"), y("payout_pct")),
+        "m_dividends": each(lambda p, o: F.greatest(p, F.lit(0.0)) * zero(o) / 100, y("net_profit"), y("payout_pct")),
+        "m_paid": known(last(y("payout_pct"), 5)), "m_fcf3": median(last(y("fcf"), 3)), "m_mcap": F.col("price") * F.col("shares"),
+        "m_ke": RISK_FREE + (0.67 * clip(F.coalesce("beta", F.lit(1.0)), 0.6, 1.6) + 0.33) * PREMIUM,
+        "m_kd": clip(ratio(F.col("t_interest"), average_of_two(y("borrowings")), True), RISK_FREE, RISK_FREE + 0.08),
+        "m_accrual": ratio(at(y("net_profit"), 1) - at(y("cfo"), 1), at(y("total_assets"), 1), True),
+        "m_beneish0": _beneish(y)(0), "m_beneish1": _beneish(y)(1), "m_nopat_ttm": (F.col("t_operating_profit") - F.col("t_depreciation")) * (1 - TAX),
+    })
+    d, e = zero(at(y("borrowings"), 1)), F.col("m_mcap")
+    df = df.withColumns({
+        "m_capital": each(lambda b, d, i: F.when(b + d - zero(i) > 0, b + d - zero(i)), c("book"), y("borrowings"), y("investments")), "m_net": at(c("debt"), 1),
+        "m_wacc": F.greatest(ratio(e, d + e) * c("ke") + ratio(d, d + e) * F.coalesce(c("kd"), F.lit(RISK_FREE + 0.02)) * (1 - TAX), F.lit(TERMINAL + 0.03)),
+        "m_reinvested": _reinvestment(y, c("nopat")), "m_roe": ratio(F.col("t_net_profit"), average_of_two(c("book")), True),
+    })
+    grown = at(c("capital"), 1) - at(c("capital"), 6)
+    return df.withColumns({
+        "m_roic": ratio(c("nopat_ttm"), average_of_two(c("capital")), True), "m_spreads": F.transform(each(lambda n, k: ratio(n, k, True), c("nopat"), c("capital")), lambda r: r - c("wacc")),
+        "m_incremental": ratio(at(c("nopat"), 1) - at(c("nopat"), 6), F.when(grown > 0, grown)),
+    })
+
+
+def metric_columns(non_financial: Column | None = None) -> dict[str, Column]:
+    """Metrics of a :func:`prepared` frame of histories: y_<item> for years and q_<item> for quarters (see :func:`histories`), price, shares and beta.
 
     Items: sales, expenses, operating_profit, other_income, interest, depreciation, pbt, net_profit, tax_pct, payout_pct, equity_capital, reserves,
     borrowings, other_liabilities, total_assets, fixed_assets, cwip, investments, other_assets, cfo, cfi, fcf, debtor_days, inventory_days, payable_days,
     roce_pct, eps, deposits.
     """
-    y, q = (lambda n: F.col(f"y_{n}")), (lambda n: F.col(f"q_{n}"))
-    years = F.col("y_period")
-    span = F.datediff(at(F.col("q_period"), 1), at(F.col("q_period"), 4)) <= 300
-    ttm = lambda n: F.coalesce(F.when(span, total(q(n), 4)), at(y(n), 1))
-    book = each(lambda a, b: a + b, y("equity_capital"), y("reserves"))
-    nopat = each(lambda op, d: (op - d) * (1 - TAX), y("operating_profit"), y("depreciation"))
-    capital = each(lambda b, d, i: F.when(b + d - i > 0, b + d - i), book, y("borrowings"), F.transform(y("investments"), lambda x: F.coalesce(x, F.lit(0.0))))
-    opm = each(lambda op, s: ratio(op, s, True), y("operating_profit"), y("sales"))
-    debt = F.transform(each(lambda b, i: F.struct((b - F.coalesce(i, F.lit(0.0))).alias("net"), b.alias("b")), y("borrowings"), y("investments")), lambda x: F.when(x["b"] <= 0, 0.0).otherwise(x["net"]))
-    mcap = F.col("price") * F.col("shares")
-    ke = RISK_FREE + (0.67 * clip(F.coalesce("beta", F.lit(1.0)), 0.6, 1.6) + 0.33) * PREMIUM
-    kd = clip(ratio(ttm("interest"), average_of_two(y("borrowings")), True), RISK_FREE, RISK_FREE + 0.08)
-    d, e = F.coalesce(at(y("borrowings"), 1), F.lit(0.0)), mcap
-    wacc = F.greatest(ratio(e, d + e) * ke + ratio(d, d + e) * F.coalesce(kd, F.lit(RISK_FREE + 0.02)) * (1 - TAX), F.lit(TERMINAL + 0.03))
-    nopat_ttm = (ttm("operating_profit") - ttm("depreciation")) * (1 - TAX)
-    roic = ratio(nopat_ttm, average_of_two(capital), True)
-    spreads = F.transform(each(lambda n, c: ratio(n, c, True), nopat, capital), lambda r: r - wacc)
-    roce = F.transform(y("roce_pct"), lambda x: x / 100)
-    fcf = y("fcf")
-    net, op_ttm = at(debt, 1), ttm("operating_profit")
-    fcf3 = median(last(fcf, 3))
+    non_financial = F.lit(True) if non_financial is None else non_financial
+    y, c = (lambda n: F.col(f"y_{n}")), (lambda n: F.col(f"m_{n}"))
+    years, shares, mcap = F.col("y_period"), F.col("shares"), F.col("m_mcap")
+    ttm = lambda n: F.col(f"t_{n}")
+    book, nopat, capital, opm, debt, roce, dep_rate, retained, dividends = (c(n) for n in ("book", "nopat", "capital", "opm", "debt", "roce", "dep_rate", "retained", "dividends"))
+    ke, wacc, nopat_ttm, roic, spreads, net, fcf3 = (c(n) for n in ("ke", "wacc", "nopat_ttm", "roic", "spreads", "net", "fcf3"))
+    fcf, op_ttm, accrual, beneish = y("fcf"), ttm("operating_profit"), c("accrual"), lambda k: c(f"beneish{k}")
     growth = lambda a, n: cagr(a, years, n)
-    beneish = _beneish(y)
-    accrual = ratio(at(y("net_profit"), 1) - at(y("cfo"), 1), at(y("total_assets"), 1), True)
-    reinvested = _reinvestment(y, nopat)
-    incremental = ratio(at(nopat, 1) - at(nopat, 6), F.when(at(capital, 1) - at(capital, 6) > 0, at(capital, 1) - at(capital, 6)))
+    reinvested, incremental, roe = c("reinvested"), c("incremental"), c("roe")
     fundamental = clip(reinvested * incremental, -0.10, 0.30)
-    roe = ratio(ttm("net_profit"), average_of_two(book), True)
-    dep_rate = each(lambda a, b: ratio(a, b, True), y("depreciation"), y("fixed_assets"))
-    retained = each(lambda p, o: p * (1 - F.coalesce(o, F.lit(0.0)) / 100), y("net_profit"), y("payout_pct"))
     leak = total(retained, 5) - (at(y("reserves"), 1) - at(y("reserves"), 6))
-    paid = known(last(y("payout_pct"), 5))
+    paid = c("paid")
     years_paid = F.size(F.filter(paid, lambda x: x > 0))
-    shares = F.col("shares")
-    dividends = each(lambda p, o: F.greatest(p, F.lit(0.0)) * F.coalesce(o, F.lit(0.0)) / 100, y("net_profit"), y("payout_pct"))
-    funded = each(lambda a, b, c: a + b - c >= 0, y("cfo"), y("cfi"), dividends)
+    funded = each(lambda a, b, d: a + b - d >= 0, y("cfo"), y("cfi"), dividends)
     m, bank = metric, ~non_financial
     return {
         "roic_ttm": m(roic, non_financial), "wacc": m(wacc, non_financial), "spread_ttm": m(roic - wacc, non_financial),
@@ -272,13 +285,14 @@ def _pricing_power(y: Callable[[str], Column], opm: Column) -> Column:
 
 
 def metrics_long(df: DataFrame, keys: Sequence[str], columns: dict[str, Column]) -> DataFrame:
-    """(keys, metric, value, status), a row for each metric."""
+    """(keys, metric, value, status) of a prepared frame, a row for each metric."""
     rows = F.explode(F.array(*[F.struct(F.lit(n).alias("metric"), c["value"].alias("value"), c["status"].alias("status")) for n, c in columns.items()]))
     return df.select(*keys, rows.alias("__m")).select(*keys, "__m.*")
 
 
-def f_score(y: Callable[[str], Column], bank: Column = F.lit(False)) -> Column:
+def f_score(y: Callable[[str], Column], bank: Column | None = None) -> Column:
     """struct(score, known) of seven yes-or-no signals; unknown ones don't count, and a bank has no cash-flow and leverage signals."""
+    bank = F.lit(False) if bank is None else bank
     roa = lambda k: ratio(at(y("net_profit"), k), at(y("total_assets"), k), True)
     lever = lambda k: ratio(at(y("borrowings"), k), at(y("total_assets"), k), True)
     turn = lambda k: ratio(at(y("sales"), k), at(y("total_assets"), k), True)

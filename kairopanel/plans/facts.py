@@ -85,7 +85,7 @@ def company_frame(spark, sf_dir) -> DataFrame:
 
     years = base.groupBy("symbol", F.make_date(F.year("period_end"), F.lit(12), F.lit(31)).alias("period_end")).agg(*[F.sum(i).alias(i) for _, i, _ in roles.ITEMS])
     both = frame(years, "y", 12).join(frame(base, "q", 13), "symbol")
-    return both.withColumns({"price": F.lit(100.0), "shares": statements.at(F.col("y_equity_capital"), 1) / 10, "beta": F.lit(1.1)})
+    return statements.prepared(both.withColumns({"price": F.lit(100.0), "shares": statements.at(F.col("y_equity_capital"), 1) / 10, "beta": F.lit(1.1)}))
 
 
 @query()
