@@ -25,12 +25,13 @@ _TOP = 15
 
 
 def term_hashes(text: Column) -> Column:
-    words = F.array_distinct(F.split(F.lower(text), r"[\x20\x09-\x0D]+"))
-    return F.transform(F.filter(words, lambda w: w != ""), lambda w: F.xxhash64(w))
+    """Hashes of the distinct lower-cased words."""
+    words = F.split(F.trim(F.translate(F.lower(text), "\t\n\x0b\x0c\r", "     ")), " +")
+    return F.array_remove(F.array_distinct(F.transform(words, lambda w: F.xxhash64(w))), F.xxhash64(F.lit("")))
 
 
 def lexicon(docs: DataFrame, least: float, most: float) -> DataFrame:
-    """(t, p): hashes of the terms in the band, and for each random lexicon four bits: the highest level the term is in.
+    """(t, p, q): hashes of the terms in the band, for each random lexicon four bits: the highest level the term is in, and the highest of these.
 
     A term with hash 0 and no levels stands for what every text has.
     """
@@ -42,10 +43,12 @@ def lexicon(docs: DataFrame, least: float, most: float) -> DataFrame:
         u = F.pmod(F.xxhash64("t", F.lit(i)), F.lit(1 << 30)) + 1
         return F.least(F.floor(30 - F.log2(u)), F.lit(_TOP)).cast("long")
 
+    held = held.withColumns({f"l{i}": level(i) for i in range(SUBSETS)})
     packed = F.lit(0).cast("long")
     for i in range(SUBSETS):
-        packed = packed.bitwiseOR(F.shiftleft(level(i), 4 * i))
-    return held.select("t", packed.alias("p")).unionByName(docs.sparkSession.sql("SELECT 0L AS t, 0L AS p"))
+        packed = packed.bitwiseOR(F.shiftleft(F.col(f"l{i}"), 4 * i))
+    top = F.greatest(*[F.col(f"l{i}") for i in range(SUBSETS)])
+    return held.select("t", packed.alias("p"), top.cast("int").alias("q")).unionByName(docs.sparkSession.sql("SELECT 0L AS t, 0L AS p, 0 AS q"))
 
 
 def _level(x: Column, i: Column) -> Column:
@@ -58,7 +61,7 @@ def _signatures(kept: Column, level: Column) -> Column:
 
     def one(i: Column) -> Column:
         own = F.filter(F.get(kept, i), lambda x: _level(x, i) >= level)
-        signature = F.substring(F.lpad(F.lower(F.hex(F.xxhash64(F.transform(own, lambda x: x["t"])))), 16, "0"), 9, 8)
+        signature = F.substring(F.lpad(F.lower(F.hex(F.xxhash64(F.array_sort(F.transform(own, lambda x: x["t"]))))), 16, "0"), 9, 8)
         return F.when(F.size(own) > 0, signature).otherwise(F.lit("-"))
 
     return F.transform(F.sequence(F.lit(0), F.lit(SUBSETS - 1)), one)
@@ -91,18 +94,23 @@ def fingerprints(rows: DataFrame, words: DataFrame, keys: list[str], texts: list
         own = F.transform(term_hashes(F.coalesce(c, F.lit(""))), lambda h: F.struct(F.lit(k).alias("k"), h.alias("t")))
         return F.array_append(own, F.struct(F.lit(k).alias("k"), F.lit(0).cast("long").alias("t")))
 
+    def high_enough(terms: Column, level: Column) -> Column:
+        """The terms that some lexicon has at the level."""
+        return F.filter(terms, lambda x: x["q"] >= level)
+
     def at_level(terms: Column, level: Column) -> Column:
         """For each lexicon the terms that it has at the level."""
         return F.transform(F.sequence(F.lit(0), F.lit(SUBSETS - 1)), lambda i: F.filter(terms, lambda x: _level(x, i) >= level))
 
     long = rows.select(*keys, *others, *whole, F.explode(F.concat(*[tagged(k, c) for k, c in enumerate(texts)])).alias("__x"))
     long = long.select(*keys, *others, *[f"__whole{k}" for k in range(len(texts))], "__x.k", "__x.t").join(F.broadcast(words), "t")
-    own = [F.sort_array(F.collect_list(F.when((F.col("k") == k) & (F.col("t") != 0), F.struct("t", "p")))).alias(f"__terms{k}") for k in range(len(texts))]
+    own = [F.collect_list(F.when((F.col("k") == k) & (F.col("t") != 0), F.struct("t", "p", "q"))).alias(f"__terms{k}") for k in range(len(texts))]
     met = long.groupBy(*keys).agg(*[F.first(c).alias(c) for c in others], *[F.first(f"__whole{k}").alias(f"__whole{k}") for k in range(len(texts))], *own)
     for k, c in enumerate(texts):
         terms, level, kept = F.col(f"__terms{k}"), F.col(f"__level{k}"), F.col(f"__kept{k}")
         met = met.withColumn(f"__level{k}", F.when(F.size(terms) > 0, F.least(F.floor(F.log2(F.size(terms))) + 1, F.lit(_TOP - 1)).cast("int")).otherwise(0))
-        met = met.withColumn(f"__kept{k}", at_level(terms, level)).drop(f"__terms{k}")
+        met = met.withColumn(f"__kept{k}", high_enough(terms, level)).drop(f"__terms{k}")  # a dozen terms
+        met = met.withColumn(f"__kept{k}", at_level(kept, level))
         alone = F.array(F.lower(F.hex(f"__whole{k}")))
         met = met.withColumn(c, F.struct(
             level.alias("level"),
