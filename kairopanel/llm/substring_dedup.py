@@ -23,20 +23,21 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .shared import grams, groups, materialized, partitions, word_hashes, words_of
+from .shared import grams, groups, materialized, partitions, text_batches, word_hashes, words_of
 
 _CLASSES = 256
 _LAST = np.iinfo(np.int64).max
 
 
 def _least(x: np.ndarray) -> bytes:
-    """Numbers from 0 in the narrowest type, which is named by the first byte."""
+    """Numbers from 0 in the narrowest type, which is named by the first byte, compressed: most are far below the largest."""
     most = int(x.max()) if len(x) else 0
     kind = next(k for k, top in ((1, 1 << 8), (2, 1 << 16), (4, 1 << 32), (8, 1 << 64)) if most < top)
-    return bytes([kind]) + x.astype(f"<u{kind}").tobytes()
+    return zstandard.compress(bytes([kind]) + x.astype(f"<u{kind}").tobytes(), 1)
 
 
 def _wide(x: bytes) -> np.ndarray:
+    x = zstandard.decompress(x)
     return np.frombuffer(x, f"<u{x[0]}", offset=1)
 
 
@@ -47,7 +48,7 @@ def _pack(block_bytes: int):
         from pyspark import TaskContext
 
         number = (TaskContext.get().partitionId()) << 32
-        squeeze = zstandard.ZstdCompressor(level=3)
+        squeeze = zstandard.ZstdCompressor(level=6)
 
         def block():
             nonlocal number
@@ -83,8 +84,8 @@ class _Block:
         labels, at, docs, self.words = [], [], [], []
         first = 0
         self.word_count = np.zeros(len(self.ids), np.int64)
-        while first < len(self.ids):  # a few MB at a time
-            end = max(first + 1, int(np.searchsorted(self.offsets, self.offsets[first] + 2_000_000, "right")) - 1)
+        while first < len(self.ids):  # half a MB at a time
+            end = max(first + 1, int(np.searchsorted(self.offsets, self.offsets[first] + 500_000, "right")) - 1)
             base = int(self.offsets[first])
             starts, ends, word = words_of(data[base : self.offsets[end]], self.offsets[first : end + 1] - base)
             with np.errstate(over="ignore"):
@@ -142,7 +143,7 @@ def plan_groups(counts: np.ndarray, most: int) -> tuple[np.ndarray, np.ndarray,
     return first, split, group + 1
 
 
-def substring_dedup(docs: DataFrame, words: int = 50, block_bytes: int = 8_000_000, group_suffixes: int = 4_000_000) -> DataFrame:
+def substring_dedup(docs: DataFrame, words: int = 50, block_bytes: int = 6_000_000, group_suffixes: int = 4_000_000) -> DataFrame:
     """(doc_id, n_words, n_removed, kept) of docs (doc_id long, text string; other columns are ignored).
 
     Words are runs of anything but ASCII white space. A window is ``words`` (at least 4) consecutive words of one
@@ -153,6 +154,7 @@ def substring_dedup(docs: DataFrame, words: int = 50, block_bytes: int = 8_000_0
     if words < 4:
         raise ValueError("a window needs at least 4 words")
     n_parts = partitions(docs)
+    text_batches(docs.sparkSession)
     blocks = materialized(docs.select("doc_id", "text").mapInArrow(_pack(block_bytes), "block long, texts binary, lengths binary, ids binary"))
 
     def opened(batches) -> Iterator[tuple[int, _Block, dict]]:
@@ -169,7 +171,7 @@ def substring_dedup(docs: DataFrame, words: int = 50, block_bytes: int = 8_000_0
     counts = np.zeros(_CLASSES * _CLASSES, np.int64)
     for prefix, n in blocks.mapInArrow(count, "prefix int, n long").groupBy("prefix").sum("n").collect():  # 65,536 rows at most
         counts[prefix] = n
-    first, split, n_groups = plan_groups(counts, max(1, min(group_suffixes, int(counts.sum()) // n_parts)))
+    first, split, n_groups = plan_groups(counts, max(1, min(group_suffixes, int(counts.sum()) // (2 * n_parts))))
 
     def suffixes(batches):
         for block, b, _ in opened(batches):
