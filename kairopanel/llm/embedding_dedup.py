@@ -27,7 +27,7 @@ def embedding_near_dups(vectors: DataFrame, threshold: float = 0.95, nearest: in
     them all; so vectors meet when they share that many pivots or more. Every vector is indexed, and every pair that
     meets is verified. Lists with the same smallest member are merged, and equal vectors travel once. A list with more than
     ``most_members`` members is verified in pairs of blocks, each in a task of its own. What the index misses, links whose
-    vectors share fewer pivots, was under 1 in 100 links on all the test tables.
+    vectors share fewer pivots, was under 1 in 100 links on the tables it was measured on.
     """
     held = vectors.select("vec_id", F.transform("embedding", lambda x: x.cast("double")).alias("e"))
     fine = F.coalesce((F.size("e") > 0) & ~F.exists("e", lambda x: x.isNull() | F.isnan(x) | (F.abs(x) == float("inf"))) & F.exists("e", lambda x: x != 0), F.lit(False))

@@ -12,6 +12,9 @@ from pyspark.sql import DataFrame, SparkSession
 #: Words are runs of anything but ASCII white space.
 WORD = r"[^\x20\x09-\x0D]+"
 
+# freed memory goes back to the system, not to a pool of the worker's
+pa.set_memory_pool(pa.system_memory_pool())
+
 _SPACE = np.zeros(256, bool)
 _SPACE[[9, 10, 11, 12, 13, 32]] = True
 _BASE = np.uint64(0x9E3779B97F4A7C15)
@@ -44,6 +47,13 @@ def partitions(df: DataFrame) -> int:
     return int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
 
 
+def text_batches(spark: SparkSession, rows: int = 1000) -> None:
+    """Hand texts to Python in batches of at most this many rows: a worker's memory follows the length of its batch."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(spark.conf.get(key)) <= rows:
+        spark.conf.set(key, rows)
+
+
 def mix(x: np.ndarray) -> np.ndarray:
     """A 64-bit finaliser; every output bit depends on every input bit."""
     x = x.astype(np.uint64)
@@ -57,13 +67,13 @@ def mix(x: np.ndarray) -> np.ndarray:
 
 def _powers(name: str, base: np.uint64, n: int) -> np.ndarray:
     if len(_POWERS.get(name, ())) < n:
-        row = np.full(max(n, 1 << 20), base, np.uint64)
+        row = np.full(max(n, 1 << 19), base, np.uint64)
         row[0] = 1
         _POWERS[name] = np.cumprod(row, dtype=np.uint64)
     return _POWERS[name][:n]
 
 
-def chunks(texts: pa.Array, most: int = 2_000_000) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
+def chunks(texts: pa.Array, most: int = 500_000) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
     """(first row, end row, UTF-8 bytes, offsets) of runs of rows with about ``most`` bytes; null counts as empty."""
     if isinstance(texts, pa.ChunkedArray):
         texts = texts.combine_chunks()

@@ -29,7 +29,7 @@ from pyarrow import fs
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .shared import chunks, mix, partitions, word_hashes
+from .shared import chunks, mix, partitions, text_batches, word_hashes
 
 _MAGIC, _HEADER = b"TOKIDX01", struct.Struct("<8sIIQQI")
 _SPREAD = 2
@@ -296,6 +296,7 @@ def write_token_shards(docs: DataFrame, path: str, tokenizer: str, end_id: int |
     have no key. Returns the manifest (shard, least, most, n_docs, n_ids), of a row a shard.
     """
     spark = docs.sparkSession
+    text_batches(spark)
     folder = _folder(spark, path)
     docs = docs.select("doc_id", "text")
     known = docs.select("doc_id").agg(F.count("*").alias("n"), F.min("doc_id").alias("a"), F.max("doc_id").alias("z")).first()
