@@ -10,6 +10,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .shared import text_batches
+
 #: Terms are hashed into this many buckets.
 BUCKETS = 1 << 22
 
@@ -40,18 +42,25 @@ class FactorizationMachine:
     """
 
     bias: float
-    slot: np.ndarray  #: of each bucket its row in the tables, or -1
+    buckets: np.ndarray  #: those with weights, ascending; their places are the rows of the tables
     weights: np.ndarray
     factors: np.ndarray
 
     def margins(self, rows: list[np.ndarray]) -> np.ndarray:
-        lengths = np.array([len(r) for r in rows], np.int64)
-        at = self.slot[np.concatenate(rows)] if lengths.sum() else np.zeros(0, np.int32)
-        row = np.repeat(np.arange(len(rows)), lengths)[at >= 0]
-        at = at[at >= 0]
+        kept = [_places(self.buckets, r) for r in rows]
+        at = np.concatenate(kept) if kept else np.zeros(0, np.int64)
+        row = np.repeat(np.arange(len(rows)), [len(k) for k in kept])
         return self.bias + _forward(self.weights, self.factors, at, row, len(rows))[0]
 
 
+def _places(buckets: np.ndarray, terms_: np.ndarray) -> np.ndarray:
+    """Where the terms stand among the sorted buckets; those that don't are left out."""
+    if not len(buckets):
+        return np.zeros(0, np.int64)
+    at = np.minimum(np.searchsorted(buckets, terms_), len(buckets) - 1)
+    return at[buckets[at] == terms_]
+
+
 def _forward(weights, factors, at, row, n):
     linear = np.bincount(row, weights[at], n)
     v = factors[at]
@@ -69,16 +78,19 @@ def fit(rows: list[np.ndarray], labels: np.ndarray, factors: int = 4, epochs: in
     labels = np.asarray(labels, np.float64)
     prior = (labels.sum() + 0.1) / (len(labels) + 1)
     bias = float(np.log(prior / (1 - prior)))
-    flat = np.concatenate(rows) if len(rows) else np.zeros(0, np.int64)
-    seen, inverse, times = np.unique(flat, return_inverse=True, return_counts=True)
-    toxic = np.bincount(inverse, np.repeat(labels, [len(r) for r in rows]), len(seen)) if len(flat) else np.zeros(0)
-    seen = seen[(times >= least) & (np.abs(toxic - times * prior) >= telling * np.sqrt(times * prior * (1 - prior)))]
-    slot = np.full(BUCKETS, -1, np.int32)
-    slot[seen] = np.arange(len(seen))
+    times, toxic = np.zeros(BUCKETS, np.int32), np.zeros(BUCKETS, np.int32)
+    for terms_, label in zip(rows, labels):  # a row's terms are distinct
+        times[terms_] += 1
+        if label:
+            toxic[terms_] += 1
+    seen = np.flatnonzero(times >= least)
+    n, k = times[seen].astype(np.float64), toxic[seen].astype(np.float64)
+    seen = seen[np.abs(k - n * prior) >= telling * np.sqrt(n * prior * (1 - prior))]
+    seen = seen.astype(np.int32)
     rng = np.random.default_rng(seed)
     w, v = np.zeros(len(seen)), rng.normal(0, 0.01, (len(seen), factors))
     gw, gv, gb = np.full(len(seen), 1e-2), np.full((len(seen), factors), 1e-2), 1e-2
-    kept = [slot[r][slot[r] >= 0] for r in rows]
+    kept = [_places(seen, r) for r in rows]
     for _ in range(epochs if len(seen) and 0 < labels.sum() < len(labels) else 0):
         order = rng.permutation(len(kept))
         for a in range(0, len(order), batch):
@@ -98,26 +110,33 @@ def fit(rows: list[np.ndarray], labels: np.ndarray, factors: int = 4, epochs: in
             v[used] -= 0.3 * rate * dv / np.sqrt(gv[used])
             gb += (d := float(error.sum())) ** 2
             bias -= rate * d / np.sqrt(gb)
-    return FactorizationMachine(bias, slot, w, v)
+    return FactorizationMachine(bias, seen, w, v)
 
 
-def learn_toxicity(docs: DataFrame, labels: DataFrame, folds: int = 5, most_rows: int = 20_000, **options) -> FactorizationMachine:
+def learn_toxicity(docs: DataFrame, labels: DataFrame, folds: int = 5, most_rows: int = 12_000, **options) -> FactorizationMachine:
     """Fit on labelled documents outside the held-out fold: at most ``most_rows`` of them, those with the least hash of the id."""
     given = labels.where("doc_id is not null and toxic is not null").where(~held_out("doc_id", folds))
     given = given.groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
     given = given.orderBy(F.xxhash64("doc_id"), "doc_id").limit(most_rows)
     sample = docs.select("doc_id", "text").join(F.broadcast(given), "doc_id").select("doc_id", terms("text").alias("terms"), "toxic")
-    sample = sample.orderBy(F.xxhash64("doc_id"), "doc_id").limit(most_rows).toPandas().sort_values("doc_id", kind="stable")
-    return fit([np.asarray(t, np.int64) for t in sample["terms"]], sample["toxic"].to_numpy() > 0, **options)
+    held = sample.limit(most_rows).toArrow().combine_chunks()
+    lists = held["terms"].combine_chunks() if held.num_rows else None
+    flat, ends = (lists.values.to_numpy(), lists.offsets.to_numpy()) if held.num_rows else (np.zeros(0, np.int32), np.zeros(1, np.int32))
+    # the order of the rows is that of the training: by id, then by text's first terms, so that a new run learns the same
+    rows = [np.unique(flat[a:b]) for a, b in zip(ends[:-1], ends[1:])]
+    ids, toxic = held["doc_id"].to_numpy(), held["toxic"].to_numpy() > 0
+    order = sorted(range(len(rows)), key=lambda k: (ids[k], len(rows[k]), rows[k][:8].tobytes()))
+    return fit([rows[k] for k in order], toxic[order], **options)
 
 
 def score_toxicity(docs: DataFrame, model: FactorizationMachine) -> DataFrame:
     """docs with score, 0 to 1, from the text alone; null and empty texts get the prior's. A column named score is replaced."""
+    text_batches(docs.sparkSession)
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     @F.pandas_udf("double")
     def score(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         for found in batches:
-            yield pd.Series(1 / (1 + np.exp(-np.clip(shared.value.margins([np.asarray(r, np.int64) for r in found]), -500, 500))))
+            yield pd.Series(1 / (1 + np.exp(-np.clip(shared.value.margins([np.asarray(r, np.int32) for r in found]), -500, 500))))
 
     return docs.withColumn("score", score(terms("text")))
