@@ -13,6 +13,16 @@ from .components import connected_components, merged
 from .shared import groups, materialized, mix, partitions
 
 
+def spread(units: np.ndarray, most: int, cosine: float) -> np.ndarray:
+    """The rows of unit vectors in their order, without those that have ``most`` kept rows at this cosine or above."""
+    kept, n = np.empty_like(units), 0
+    for x in units:
+        if np.count_nonzero(kept[:n] @ x >= cosine) < most:
+            kept[n] = x
+            n += 1
+    return kept[:n].copy()
+
+
 def embedding_near_dups(vectors: DataFrame, threshold: float = 0.95, nearest: int = 8, shared: int = 3, pivots: int | None = None, most_members: int = 4_000) -> DataFrame:
     """(vec_id, n_links, component_id, kept) of vectors (vec_id long, embedding array of float; other columns are ignored).
 
@@ -23,7 +33,8 @@ def embedding_near_dups(vectors: DataFrame, threshold: float = 0.95, nearest: in
 
     Index: each vector is described by its ``nearest`` reference points in the order of their cosine. The reference points are a
     sample of distinct vectors: as many as the square root of their number, twice, rounded up to a power of 2, from 64 to
-    4,096 (those with the least hash). An inverted list for each set of ``shared`` pivots holds the vectors that are near to
+    4,096 (those with the least hash), without those that have ``nearest`` others of them within one and a half times the threshold's angle:
+    the members of a dense group, however large, are all nearest to the same few. An inverted list for each set of ``shared`` pivots holds the vectors that are near to
     them all; so vectors meet when they share that many pivots or more. Every vector is indexed, and every pair that
     meets is verified. Lists with the same smallest member are merged, and equal vectors travel once. A list with more than
     ``most_members`` members is verified in pairs of blocks, each in a task of its own. What the index misses, links whose
@@ -39,11 +50,12 @@ def embedding_near_dups(vectors: DataFrame, threshold: float = 0.95, nearest: in
     known = each.select(F.size("e").alias("dim")).groupBy("dim").count().collect()
     n = sum(r["count"] for r in known)
     few = pivots or min(4096, max(64, 1 << int(np.ceil(np.log2(2 * max(n, 1) ** 0.5)))))
+    near = float(np.cos(min(np.pi, 1.5 * np.arccos(np.clip(threshold, -1, 1)))))
     found = {}
     for row in known:  # a row a dimension
         sample = each.where(F.size("e") == row["dim"]).select("k", "e").orderBy(F.xxhash64("k"), "k").limit(few).select("e").collect()
         p = np.array([r[0] for r in sample])
-        found[row["dim"]] = p / np.linalg.norm(p, axis=1)[:, None]
+        found[row["dim"]] = spread(p / np.linalg.norm(p, axis=1)[:, None], nearest, near)
     links_of = lambda dim: min(nearest, len(found[dim]))
 
     def post(batches):

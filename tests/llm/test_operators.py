@@ -260,6 +260,20 @@ def test_embedding_links_against_all_pairs(spark):
     assert embedding_dedup.embedding_near_dups(df.limit(0)).count() == 0
 
 
+def test_links_of_a_group_with_a_third_of_the_vectors(spark):
+    rng = np.random.default_rng(5)
+    unit = lambda x: x / np.linalg.norm(x, axis=-1, keepdims=True)
+    center = unit(rng.normal(size=64))
+    noise = rng.normal(size=(1000, 64))
+    group = 0.97 * center + math.sqrt(1 - 0.97**2) * unit(noise - (noise @ center)[:, None] * center)
+    x = np.concatenate([group, unit(rng.normal(size=(2000, 64)))])
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<double>")
+    out = embedding_dedup.embedding_near_dups(df, pivots=1024, most_members=400)
+    links = (x @ x.T >= 0.95).sum(1) - 1
+    got = dict(rows(out, "vec_id", "n_links"))
+    assert sum(got.values()) == sum(links) > 10_000 and all(got[i] == links[i] for i in range(3000))
+
+
 # mixing
 
 
