@@ -94,9 +94,9 @@ def scan_licenses(docs: DataFrame, known: DataFrame | None = None, most_broadcas
     spark = docs.sparkSession
     known = known_licenses(spark) if known is None else known.select("digest", "license")
     few = known.limit(most_broadcast + 1).count() <= most_broadcast
-    lines = docs.select("doc_id", F.transform(F.split("text", "\n"), lambda line, k: F.struct(F.lit("line").alias("unit"), (k + 1).alias("line"), canonical(line).alias("c"))).alias("lines"))
-    # no step looks beyond a line, so the canonical text is that of its lines
-    whole = F.array_join(F.filter(F.transform("lines", lambda x: x["c"]), lambda c: c != ""), " ")
+    lines = docs.select("doc_id", "text", F.transform(F.split("text", "\n"), lambda line, k: F.struct(F.lit("line").alias("unit"), (k + 1).alias("line"), canonical(line).alias("c"))).alias("lines"))
+    # steps after the one for punctuation look beyond a line's end: a text of more than one line has a canonical form of its own
+    whole = F.when(F.size("lines") > 1, canonical(F.col("text"))).otherwise(F.get("lines", F.lit(0))["c"])
     units = lines.select("doc_id", F.explode(F.array_append("lines", F.struct(F.lit("text").alias("unit"), F.lit(0).alias("line"), whole.alias("c")))).alias("u"))
     found = units.select("doc_id", "u.unit", "u.line", "u.c").where("c <> ''").withColumn("digest", F.sha2("c", 256)).drop("c")
     return found.join(F.broadcast(known) if few else known, "digest").select("doc_id", "unit", F.col("line").cast("long").alias("line"), "license", "digest")
