@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import re
 from functools import reduce
+from pathlib import Path
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -28,6 +30,31 @@ NOTICES = [
     ("Unlicense", "Released under the Unlicense."),
 ]
 
+#: Lines that may stand before a full text.
+TITLES = {
+    "BSD-2-Clause": ["", "BSD 2-Clause License", "The BSD 2-Clause License"],
+    "BSD-3-Clause": ["", "BSD 3-Clause License", "The BSD 3-Clause License"],
+    "MIT": ["", "MIT License", "The MIT License", "The MIT License (MIT)"],
+}
+
+
+def full_texts() -> list[tuple[str, str]]:
+    """(license, text) of the full texts and standard headers in ``license_texts``, under each of their titles.
+
+    The BSD texts are known with numbers and with bullets, with and without the line that reserves all rights.
+    """
+    out = []
+    for path in sorted((Path(__file__).parent / "license_texts").glob("*.txt")):
+        name, text = path.stem.split("--")[0], path.read_text(encoding="utf-8")
+        for title in TITLES.get(name, [""]):
+            bodies = [text]
+            if name.startswith("BSD"):
+                bodies += [re.sub(r"(?m)^ *[0-9]\. ", "* ", text)]
+                bodies += ["All rights reserved.\n" + b for b in bodies]
+            out += [(name, f"{title}\n{b}") for b in bodies]
+    return out
+
+
 #: The canonical form, step by step: (strings of which a text has one if the step changes it, pattern, replacement), in the
 #: syntax that Java and RE2 share; the text is lower-cased first. Copyright lines go, punctuation becomes blanks, and
 #: equivalent spellings one word.
@@ -77,9 +104,10 @@ def canonical_sql(text: str) -> str:
     return f"trim({out})"
 
 
-def known_licenses(spark: SparkSession, texts: list[tuple[str, str]] = NOTICES) -> DataFrame:
-    """(license, digest) of licence texts (license, text), one licence for each digest: the first by name."""
-    rows = spark.sql("SELECT * FROM VALUES " + ", ".join(f"('{a}', '{b.replace(chr(39), chr(92) + chr(39))}')" for a, b in texts) + " AS t(license, text)")
+def known_licenses(spark: SparkSession, texts: list[tuple[str, str]] | None = None) -> DataFrame:
+    """(license, digest) of licence texts (license, text), NOTICES and the full texts unless given; one licence for each digest: the first by name."""
+    quoted = lambda x: "'" + x.replace("\\", "\\\\").replace("'", "\\'") + "'"
+    rows = spark.sql("SELECT * FROM VALUES " + ", ".join(f"({quoted(a)}, {quoted(b)})" for a, b in (NOTICES + full_texts() if texts is None else texts)) + " AS t(license, text)")
     return rows.select("license", F.sha2(canonical(F.col("text")), 256).alias("digest")).groupBy("digest").agg(F.min("license").alias("license"))
 
 

@@ -100,6 +100,14 @@ def test_wrapped_notices_are_found(spark):
     assert rows(licenses.scan_licenses(docs), "doc_id", "unit", "line", "license") == [(1, "text", 0, "Apache-2.0"), (2, "text", 0, "CC-BY-4.0"), (3, "text", 0, "MPL-2.0")]
 
 
+def test_full_licence_texts_are_found(spark):
+    texts = licenses.full_texts()
+    docs = documents(spark, [(k, "Copyright (c) 2020 Someone\n\n" + " ".join(t.split(" ")).replace("http:", "https:")) for k, (_, t) in enumerate(texts)] + [(-1, dict(texts)["MIT"] + "and more")])
+    found = licenses.scan_licenses(docs).where("unit = 'text'")
+    assert rows(found, "doc_id", "license") == sorted(((k, n) for k, (n, _) in enumerate(texts)), key=repr)
+    assert {n for n, _ in texts} >= {"MIT", "BSD-2-Clause", "BSD-3-Clause", "Apache-2.0", "GPL-2.0", "GPL-3.0", "LGPL-3.0", "MPL-2.0", "CC0-1.0", "Unlicense"}
+
+
 # n-gram Jaccard join
 
 
