@@ -199,7 +199,7 @@ def pillar_scores(spark, sf_dir) -> DataFrame:
 @query()
 def verdicts_with_hysteresis(spark, sf_dir) -> DataFrame:
     """A state passes from date to date: tested by hand."""
-    rows = roles.supplier_months(spark, sf_dir).where("month(as_of) % 3 = 0").select("as_of", "symbol", (F.col("roce") * 900).alias("S"), (F.col("pb") * 4 - 0.1).alias("mos"))
+    rows = roles.supplier_months(spark, sf_dir).select("as_of", "symbol", (F.col("roce") * 900).alias("S"), (F.col("pb") * 4 - 0.1).alias("mos"))
     decided = rows.withColumn("d", rating.decide(F.col("S"), F.col("mos"), F.lit("HIGH"), F.array().cast("array<struct<code:string,tier:string,cap:string>>"), F.lit(True), F.lit(None).cast("double")))
     final = rating.with_hysteresis(decided.select("as_of", "symbol", "S", "mos", "d.rule", "d.verdict"), ["symbol"])
     return final.select("as_of", "symbol", "rule", "verdict", "final")

@@ -177,3 +177,11 @@ def test_nothing_else_imports_the_text_operators():
             for f in files:
                 if f.endswith(".py"):
                     assert not re.search(r"^\s*(from|import)\s.*\bllm\b", open(os.path.join(folder, f)).read(), re.M), f
+
+
+def test_verdicts_pass_every_months_state(spark):
+    from kairopanel.plans import facts, roles
+
+    sf_dir = "/root/testdata/sf0.001"
+    months = {r["as_of"] for r in roles.supplier_months(spark, sf_dir).select("as_of").distinct().collect()}
+    assert {r["as_of"] for r in facts.verdicts_with_hysteresis(spark, sf_dir).select("as_of").distinct().collect()} == months
