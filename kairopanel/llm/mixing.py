@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import math
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -38,55 +40,79 @@ def targets(sizes: DataFrame, weights: tuple[float, ...] = (5.0, 2.0, 1.0), shar
     return level.select("source", "source_size", F.least(F.col("cap"), F.coalesce(F.col("level") * F.col("w"), F.col("cap"))).alias("target"))
 
 
-def mix_sources(docs: DataFrame, weights: tuple[float, ...] = (5.0, 2.0, 1.0), share: float = 1.5, most: float = 2.0, seed: int = 0, size: Column | None = None, draws: int = 16) -> DataFrame:
-    """docs (doc_id, text, source and any others) with size, source_size, target and copies.
+def whole_copies(sizes: np.ndarray, rate: float, most: int) -> np.ndarray:
+    """Copies, from 0 to ``most``, of documents in about descending order of size, each such that the words taken so far come nearest to ``rate`` times those seen."""
+    copies, owed = np.zeros(len(sizes), np.int64), 0.0
+    for k, s in enumerate(sizes.tolist()):
+        owed += rate * s
+        copies[k] = min(most, max(0, round(owed / s))) if s else 0
+        owed -= copies[k] * s
+    return copies
 
-    Each document's expected copies are its source's target over its size, at most ``most``. Within a source the
-    documents are put in ascending order of size; the prefix sums of the expected copies, moved by one random offset
-    of the source, cross integer boundaries, and a document is emitted once for each boundary that it crosses. So the number of
-    copies is the expected one rounded up or down, and as neighbours in the order have like sizes, the words taken come
-    near the target. The offset is, of ``draws`` random ones, the one whose words come nearest to it, which matters where a
-    source has few documents. The offsets come from the seed and the source's name: reruns agree.
 
-    size: what a document counts, the number of its words unless given. Null and empty texts have size 0 and come first; null is a source
-    of its own, after all others. Repeated rows are documents of their own. A column named size, source_size, target or
-    copies is replaced.
+def mix_sources(docs: DataFrame, weights: tuple[float, ...] = (5.0, 2.0, 1.0), share: float = 1.5, most: float = 2.0, seed: int = 0, size: Column | None = None, large: float = 0.01, most_large: int = 10_000, prefix: str = "") -> DataFrame:
+    """docs (doc_id, text, source and any others) with size, source_size, target and copies, these four named with the prefix.
+
+    Within a source the documents are put in descending order of size classes; the prefix sums of their expected copies,
+    moved by one random offset of the source, cross integer boundaries, and a document is emitted once for each boundary that it
+    crosses. The expected copies of the documents that are ``large`` times the target or more, at most ``most_large``
+    of them, are whole numbers that follow the target, as one such document more or less would miss it. All others have equal
+    ones, so that what is left of the target is theirs; no neighbour in the order is much larger, so the words
+    taken come within about one such document of it. The offset comes from the seed and the source's name: reruns agree.
+
+    size: what a document counts, the number of its words unless given. Null and empty texts have size 0 and come last; null is a source
+    of its own, after all others. Repeated rows are documents of their own. Columns with the names of the four are replaced.
 
     Prefix sums are computed in two steps, counts of small size classes and ranks within them, so the hottest source
     is spread over many tasks.
     """
-    docs = docs.drop("size", "source_size", "target", "copies")
+    names = {n: prefix + n for n in ("size", "source_size", "target", "copies")}
+    docs = docs.drop(*names.values())
     size = word_count("text") if size is None else size
     held = docs.columns
-    docs = docs.withColumn("size", size.cast("long"))
-    sizes = materialized(docs.groupBy("source").agg(F.sum("size").alias("source_size"), F.count("*").alias("__n")))
-    aim = targets(sizes.drop("__n"), weights, share, most)
-    known = sizes.agg(F.sum("__n"), F.count("*")).first()
-    n, few = known[0] or 0, known[1] <= 100_000  # a row of a few bytes a source may be broadcast; else the sources are joined
-    salts = max(4, math.ceil(n / 2_000_000))
-    rows = docs.select(
-        *held, "size", F.col("source").isNull().alias("__none"), F.coalesce("source", F.lit("")).alias("__source"),
-        F.floor(F.log2(F.col("size") + 1) * 8).cast("int").alias("__class"), F.xxhash64(F.lit(seed), "doc_id", "text").alias("__h"),
-    ).withColumn("__salt", F.pmod("__h", F.lit(salts)).cast("int"))
     group = ["__none", "__source", "__class", "__salt"]
-    per = rows.groupBy(*group).agg(F.count("*").alias("__n"))
-    per = per.withColumn("__before", F.sum("__n").over(Window.partitionBy("__none", "__source").orderBy("__class", "__salt")) - F.col("__n")).drop("__n")
-    named = aim.select(F.col("source").isNull().alias("__none"), F.coalesce("source", F.lit("")).alias("__source"), "source_size", "target")
-    per = per.join(named, ["__none", "__source"])
-    rows = rows.withColumn("__rank", F.row_number().over(Window.partitionBy(*group).orderBy("size", "__h", "doc_id")) - 1)
-    rows = rows.join(per, group)
-    rate = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(0.0)
-    at = F.col("__before") + F.col("__rank")
-    copies = lambda offset: F.floor((at + 1) * rate + offset) - F.floor(at * rate + offset)
-    offset = lambda k: F.pmod(F.xxhash64(F.lit(seed), F.lit(k), "__none", "__source"), F.lit(1 << 20)) / float(1 << 20)
-    tried = rows.groupBy("__none", "__source").agg(F.first("target").alias("t"), *[F.sum(F.col("size") * copies(offset(k))).alias(f"t{k}") for k in range(draws)])
-    best = F.array_min(F.array(*[F.struct(F.abs(F.col(f"t{k}") - F.col("t")).alias("off"), F.lit(k).alias("k"), offset(k).alias("offset")) for k in range(draws)]))
-    rows = rows.join(F.broadcast(tried.select("__none", "__source", best["offset"].alias("__offset"))) if few else tried.select("__none", "__source", best["offset"].alias("__offset")), ["__none", "__source"])
-    return rows.select(*held, "size", "source_size", "target", copies(F.col("__offset")).cast("long").alias("copies"))
+    n = docs.count()
+    rows = docs.select(
+        *held, size.cast("long").alias("__size"), F.col("source").isNull().alias("__none"), F.coalesce("source", F.lit("")).alias("__source"), F.xxhash64(F.lit(seed), "doc_id", "text").alias("__h"),
+    ).withColumns({"__class": F.floor(F.log2(F.col("__size") + 1) * 8).cast("int"), "__salt": F.pmod("__h", F.lit(max(4, math.ceil(n / 2_000_000)))).cast("int")})
+    per = materialized(rows.groupBy(*group).agg(F.count("*").alias("__n"), F.sum("__size").alias("__w"), F.min("__size").alias("__least")))
+    sizes = per.groupBy("__none", "__source").agg(F.sum("__w").alias("source_size")).select(F.when(~F.col("__none"), F.col("__source")).alias("source"), "source_size")
+    aim = targets(sizes, weights, share, most).select(F.col("source").isNull().alias("__none"), F.coalesce("source", F.lit("")).alias("__source"), F.col("source_size").alias("__source_size"), F.col("target").alias("__target"))
+    source = Window.partitionBy("__none", "__source")
+    per = per.join(aim, ["__none", "__source"])
+    per = per.withColumn("__before", F.sum("__n").over(source.orderBy(F.desc("__class"), "__salt")) - F.col("__n"))
+    with_class = F.sum("__n").over(source.orderBy(F.desc("__class")).rangeBetween(Window.unboundedPreceding, 0))
+    per = per.withColumn("__large", (with_class <= most_large) & (F.min("__least").over(Window.partitionBy("__none", "__source", "__class")) >= large * F.col("__target")) & (F.col("__least") > 0))
+    per = materialized(per.drop("__n", "__least"))
+
+    def placed(table: DataFrame) -> DataFrame:
+        rank = F.row_number().over(Window.partitionBy(*group).orderBy(F.desc("__size"), "__h", "doc_id")) - 1
+        return table.withColumn("__rank", rank).join(per, group).withColumn("__at", F.col("__before") + F.col("__rank"))
+
+    def decide(table: pd.DataFrame) -> pd.DataFrame:  # at most most_large rows
+        table = table.sort_values("__at")
+        copies = whole_copies(table["__size"].to_numpy(), float(table["__rate"].iloc[0]), int(most))
+        return pd.DataFrame({"__none": table["__none"], "__source": table["__source"], "__at": table["__at"], "__whole": copies, "__taken": copies * table["__size"]})
+
+    some = placed(rows.select(*group, "__h", "doc_id", "__size")).where("__large").select("__none", "__source", "__at", "__size", (F.col("__target") / F.col("__source_size")).alias("__rate"))
+    whole = materialized(some.groupBy("__none", "__source").applyInPandas(decide, "__none boolean, __source string, __at long, __whole long, __taken long"))
+    taken = whole.groupBy("__none", "__source").agg(F.sum("__taken").alias("__taken"))
+    rest = per.groupBy("__none", "__source").agg(F.first("__target").alias("__target"), F.sum(F.when(~F.col("__large"), F.col("__w"))).alias("__left")).join(taken, ["__none", "__source"], "left")
+    rate = F.greatest(F.lit(0.0), F.least(F.lit(float(most)), (F.col("__target") - F.coalesce("__taken", F.lit(0))) / F.col("__left")))
+    rest = rest.select("__none", "__source", F.when(F.col("__left") > 0, rate).otherwise(0.0).alias("__rate"))
+    facts = rest.agg(F.count("*")).first()[0], whole.count()
+    # a row of a few bytes a source or large document may be broadcast; else they are joined
+    rest, whole = (F.broadcast(t) if k <= 500_000 else t for t, k in zip((rest, whole.drop("__taken")), facts))
+    rows = placed(rows).join(rest, ["__none", "__source"]).join(whole, ["__none", "__source", "__at"], "left")
+    offset = F.pmod(F.xxhash64(F.lit(seed), "__none", "__source"), F.lit(1 << 20)) / float(1 << 20)
+    # whole numbers before a document move no boundary
+    crossed = F.floor((F.col("__at") + 1) * F.col("__rate") + offset) - F.floor(F.col("__at") * F.col("__rate") + offset)
+    made = {"size": F.col("__size"), "source_size": F.col("__source_size"), "target": F.col("__target"), "copies": F.coalesce("__whole", crossed).cast("long")}
+    return rows.select(*held, *[c.alias(names[k]) for k, c in made.items()])
 
 
 def mixed(docs: DataFrame, **options) -> DataFrame:
-    """The rows of docs as often as :func:`mix_sources` says."""
+    """The rows of docs as often as :func:`mix_sources` says, with their own columns, whatever these are called."""
     columns = docs.columns
-    found = mix_sources(docs, **options).where("copies > 0")
-    return found.select(*columns, F.explode(F.sequence(F.lit(1), F.col("copies"))).alias("__copy")).drop("__copy")
+    found = mix_sources(docs, prefix="__mix_", **options).where("__mix_copies > 0")
+    return found.select(*columns, F.explode(F.sequence(F.lit(1), F.col("__mix_copies"))).alias("__copy")).drop("__copy")

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import uuid
 from collections.abc import Iterator
 
@@ -23,17 +24,22 @@ _POWERS: dict[str, np.ndarray] = {}
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """A new folder under ``spark.checkpoint.dir``; where that is unset, the session gets one of its own."""
+    """A new folder under ``spark.checkpoint.dir``; where that is unset, a session on one machine gets one of its own.
+
+    All folders of an application lie in one that has its id, so that they can be removed together when it has ended.
+    """
     top = spark.conf.get("spark.checkpoint.dir", None)
     if not top:
         held = spark.sparkContext._jsc.sc().getCheckpointDir()
         if held.isEmpty():
+            if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+                raise ValueError("spark.checkpoint.dir has to name a folder that all executors share")
             import tempfile
 
             spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="kairopanel-"))
             held = spark.sparkContext._jsc.sc().getCheckpointDir()
         top = held.get()
-    return f"{top.rstrip('/')}/{uuid.uuid4().hex}"
+    return f"{top.rstrip('/')}/kairopanel-{spark.sparkContext.applicationId}/{uuid.uuid4().hex}"
 
 
 def materialized(df: DataFrame) -> DataFrame:
