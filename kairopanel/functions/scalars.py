@@ -63,47 +63,56 @@ def visible_from(period_end: Column, annual: Column, filed: Column) -> Column:
     return F.coalesce(filed, F.date_add(period_end, F.when(late, 60).otherwise(45)))
 
 
+#: Forms of the subjects of corporate actions that change the number of shares.
+BONUS = r"(?i)bonus\s*(\d+)\s*:\s*(\d+)"
+SPLIT = r"(?i)(?:split|sub-?division).*?(?:from|of)\s*(?:rs\.?|re\.?|₹)?\s*(\d+(?:\.\d+)?)\s*/?-?.*?(?:to|into)\s*(?:rs\.?|re\.?|₹)?\s*(\d+(?:\.\d+)?)"
+CONSOLIDATION = r"(?i)consolidat.*?(?:from|of)\s*(?:rs\.?|re\.?|₹)?\s*(\d+(?:\.\d+)?)\s*/?-?.*?(?:to|into)\s*(?:rs\.?|re\.?|₹)?\s*(\d+(?:\.\d+)?)"
+
+
 def action_factor(subject: Column) -> Column:
-    """struct(kind, factor) of a corporate action's subject; both null for one that doesn't change the number of shares.
+    """struct(kind, factor) of a corporate action's subject; null for one that doesn't change the number of shares.
 
-    Bonus a:b gives b / (a + b), a split from x to y gives y / x, a consolidation from x to y likewise (above 1).
+    Bonus a:b gives b / (a + b), a split from x to y gives y / x, a consolidation from x to y likewise. A split has to
+    lower the face value and a consolidation to raise it; what fails one form is tried by the next.
     """
-    s = F.lower(subject)
-    number = lambda pattern, k: F.nullif(F.regexp_extract(s, pattern, k), F.lit("")).try_cast("double")
-    bonus = r"bonus[^0-9]*([0-9]+)\s*:\s*([0-9]+)"
-    change = r"(?:re|rs)\.?\s*([0-9]+(?:\.[0-9]+)?)[^0-9]+?(?:re|rs)\.?\s*([0-9]+(?:\.[0-9]+)?)"
-    moved = F.try_divide(number(change, 2), number(change, 1))
-    kind = first_match([(F.contains(s, F.lit("bonus")), "bonus"), (F.contains(s, F.lit("consolidation")), "consolidation"), (F.contains(s, F.lit("split")) | F.contains(s, F.lit("sub-division")), "split")])
-    factor = F.when(kind == "bonus", F.try_divide(number(bonus, 2), number(bonus, 1) + number(bonus, 2))).otherwise(moved)
-    return F.when(kind.isNotNull() & factor.isNotNull(), F.struct(kind.alias("kind"), factor.alias("factor")))
+
+    def numbers(pattern: str) -> tuple[Column, Column]:
+        return tuple(F.regexp_extract(subject, pattern, k).try_cast("double") for k in (1, 2))
+
+    (a, b), (x, y), (u, v) = numbers(BONUS), numbers(SPLIT), numbers(CONSOLIDATION)
+    found = lambda kind, factor: F.struct(F.lit(kind).alias("kind"), factor.alias("factor"))
+    return first_match([((a > 0) & (b > 0), found("bonus", b / (a + b))), ((x > 0) & (y > 0) & (y < x), found("split", y / x)), ((u > 0) & (v > 0) & (v > u), found("consolidation", v / u))])
 
 
 #: Roman numerals of stages.
-ROMAN = {"i": 1, "ii": 2, "iii": 3, "iv": 4, "v": 5, "vi": 6}
+ROMAN = {"I": 1, "II": 2, "III": 3, "IV": 4, "V": 5, "VI": 6}
 
 
 def stage_number(text: Column) -> Column:
-    """The stage in a text such as ``Stage II``, ``LT-ASM Stage 1`` or ``GSM 3``; null without one."""
-    s = F.lower(text)
-    digit = F.nullif(F.regexp_extract(s, r"(?:stage|gsm|asm)[^0-9a-z]*(?:stage[^0-9a-z]*)?([0-9]+)", 1), F.lit("")).try_cast("int")
-    roman = F.regexp_extract(s, r"stage[^0-9a-z]*([ivx]+)\b", 1)
-    return F.coalesce(digit, first_match([(roman == k, v) for k, v in ROMAN.items()]))
+    """The stage in a text such as ``Stage II``, ``LT-ASM Stage 1``, ``ASM - II (...)`` or ``GSM 3``; 0 without one."""
+    s = F.upper(text)
+    named, bracketed = F.regexp_extract(s, r"STAGE\s+([IVX]+|[0-9]+)", 1), F.regexp_extract(s, r"-\s*([IVX]+)\s*\(", 1)
+    roman = lambda c: first_match([(c == k, v) for k, v in ROMAN.items()], 0)
+    grade = F.regexp_extract(s, r"GSM\s+([0-9])", 1).try_cast("int")
+    return F.coalesce(F.when(named != "", F.coalesce(named.try_cast("int"), roman(named))).when(bracketed != "", roman(bracketed)).otherwise(grade), F.lit(0))
 
 
-#: Kinds of announcements by their first matching pattern.
+#: Kinds of announcements by their first matching pattern, whatever the case.
 ANNOUNCEMENTS = [
-    ("results", r"financial result|outcome of board|unaudited|audited"),
-    ("transcript", r"transcript|earnings call|concall"),
-    ("presentation", r"presentation|investor meet"),
-    ("dividend", r"dividend"),
-    ("auditor", r"auditor"),
-    ("rating", r"credit rating"),
-    ("acquisition", r"acqui|merger|amalgamation|scheme of arrangement"),
+    (r"transcript", "transcript"),
+    (r"investor presentation|analyst.*presentation|earnings presentation", "presentation"),
+    (r"outcome of board meeting|financial result|un-?audited|audited", "results"),
+    (r"annual report", "annual_report"),
+    (r"credit rating", "rating"),
+    (r"pledge", "pledge"),
+    (r"insider trading|SAST|substantial acquisition", "insider"),
 ]
 
 
-def announcement_kind(subject: Column) -> Column:
-    return first_match([(F.rlike(F.lower(subject), F.lit(p)), kind) for kind, p in ANNOUNCEMENTS], "other")
+def announcement_kind(subject: Column, details: Column | None = None) -> Column:
+    """The kind of an announcement by its subject and details; other if no pattern matches."""
+    blob = F.concat_ws(" ", subject, details) if details is not None else subject
+    return first_match([(F.rlike(blob, F.lit("(?i)" + p)), kind) for p, kind in ANNOUNCEMENTS], "other")
 
 
 def clean_html(html: Column) -> Column:
@@ -204,17 +213,54 @@ def two_stage_value(flow: Column, growth: Column, rate: Column, terminal: Column
     return F.when((rate > terminal) & (flow > 0), first + second + end)
 
 
-def implied_growth(value: Column, flow: Column, rate: Column, terminal: Column, low: float = -0.3, high: float = 0.8, steps: int = 21) -> Column:
-    """The first-stage growth at which :func:`two_stage_value` equals the value, by bisection; null where it lies outside the bounds."""
-    at = lambda g: two_stage_value(flow, g, rate, terminal)
+def implied_growth(value: Column, flow: Column, rate: Column, terminal: Column, years: int = 10, low: float = -0.5, high: float = 0.6, steps: int = 21) -> Column:
+    """The growth over some years, and at the terminal rate from then on, at which a flow is worth the value, by bisection.
+
+    A growth at the rate or above counts as worth more. Null unless value and flow are positive, the rate exceeds the terminal
+    growth, and the value lies between those at the bounds.
+    """
+    target = value / flow
+
+    def worth(g: Column) -> Column:
+        q = (1 + g) / (1 + rate)
+        stage = reduce(lambda a, b: a + b, [F.pow(q, n) for n in range(1, years + 1)])
+        return F.when(g >= rate, F.lit(1e10)).otherwise(stage + F.pow(q, years) * (1 + terminal) / (rate - terminal))
 
     def step(s: Column, _: Column) -> Column:
         mid = (s["low"] + s["high"]) / 2
-        above = at(mid) > value
+        above = worth(mid) > target
         return F.struct(F.when(above, s["low"]).otherwise(mid).alias("low"), F.when(above, mid).otherwise(s["high"]).alias("high"))
 
     found = F.aggregate(F.sequence(F.lit(1), F.lit(steps)), F.struct(F.lit(low).alias("low"), F.lit(high).alias("high")), step, lambda s: (s["low"] + s["high"]) / 2)
-    return F.when((value > 0) & (at(F.lit(low)) <= value) & (at(F.lit(high)) >= value), found)
+    return F.when((value > 0) & (flow > 0) & (rate > terminal) & (worth(F.lit(low)) <= target) & (worth(F.lit(high)) >= target), found)
+
+
+def earnings_power(profit: Column, rate: Column) -> Column:
+    """What a profit without growth is worth."""
+    return F.when((profit > 0) & (rate > 0), profit / rate)
+
+
+def justified_pb(roe: Column, coe: Column, growth: Column) -> Column:
+    """The price to book at which a return is worth its cost; null unless positive and the cost exceeds the growth."""
+    multiple = F.when(coe > growth, (roe - growth) / (coe - growth))
+    return F.when(multiple > 0, multiple)
+
+
+def dividend_value(dividend: Column, coe: Column, growth: Column) -> Column:
+    """What a dividend that grows for ever is worth."""
+    return F.when((coe > growth) & (dividend > 0), dividend / (coe - growth))
+
+
+def month_ranges(start: Column, end: Column) -> Column:
+    """Array of (first, last) of the calendar months between two dates, the first and last one cut."""
+    firsts = F.sequence(F.trunc(start, "month"), F.trunc(end, "month"), F.expr("interval 1 month"))
+    return F.when(start <= end, F.transform(firsts, lambda d: F.struct(F.greatest(d.cast("date"), start).alias("first"), F.least(F.last_day(d.cast("date")), end).alias("last"))))
+
+
+def gates_of_tier(gates: Column, tier: str) -> Column:
+    """How many entries of a JSON array of (code, tier, ...) have the tier; 0 for anything else."""
+    found = F.from_json(gates, "array<struct<code:string,tier:string>>", {"mode": "PERMISSIVE"})
+    return F.coalesce(F.size(F.filter(found, lambda g: g["tier"] == tier)), F.lit(0))
 
 
 def canonical_digest(columns: list[str]) -> Column:

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from ..functions.scalars import nearest_ratio
 
 #: Price ratios of usual actions.
-CLEAN_RATIOS = [0.1, 0.2, 0.25, 1 / 3, 0.4, 0.5, 0.6, 2 / 3, 1.5, 2.0, 5.0, 10.0]
+CLEAN_RATIOS = [1 / 2, 1 / 3, 1 / 4, 1 / 5, 1 / 10, 1 / 20, 1 / 25, 1 / 50, 2 / 3, 1 / 1.5, 2, 3, 4, 5, 10]
 
 
 def day_factors(actions: DataFrame, key: str = "symbol", date: str = "ex_date") -> DataFrame:
@@ -32,11 +32,15 @@ def adjusted(panel: DataFrame, factors: DataFrame, key: str = "symbol", date: st
 def confirmed_actions(factors: DataFrame, panel: DataFrame, key: str = "symbol", date: str = "trade_date", days: int = 8, within: float = 0.35) -> DataFrame:
     """factors with confirmed_on and gap: the nearest session within some days whose price gap is within a share of the factor.
 
-    gap is close over the close before. Ties go to the earlier session; factors without such a session keep nulls.
+    gap is the open over the close before. Ties go to the earlier session; factors without such a session keep nulls.
+    Sessions and actions meet by runs of ``2 * days + 1`` days, a session in its own and those on either side.
     """
     w = Window.partitionBy(key).orderBy(date)
-    gaps = panel.select(key, F.col(date).alias("confirmed_on"), F.try_divide(F.col("close"), F.lag("close").over(w)).alias("gap")).where("gap is not null")
-    near = factors.join(gaps, key).where(F.abs(F.datediff("confirmed_on", "ex_date")) <= days).where(F.abs(F.col("gap") / F.col("factor") - 1) <= within)
+    run = lambda d: F.floor(F.unix_date(d) / (2 * days + 1))
+    prior = F.lag("close").over(w)
+    gaps = panel.select(key, F.col(date).alias("confirmed_on"), F.when((prior > 0) & (F.col("open") > 0), F.col("open") / prior).alias("gap")).where("gap is not null")
+    gaps = gaps.withColumn("__run", F.explode(F.array_distinct(F.array(run(F.date_sub("confirmed_on", days)), run(F.date_add("confirmed_on", days))))))
+    near = factors.withColumn("__run", run(F.col("ex_date"))).join(gaps, [key, "__run"]).where(F.abs(F.datediff("confirmed_on", "ex_date")) <= days).where(F.abs(F.col("gap") / F.col("factor") - 1) <= within)
     first = Window.partitionBy(key, "ex_date").orderBy(F.abs(F.datediff("confirmed_on", "ex_date")), "confirmed_on")
     near = near.withColumn("__rn", F.row_number().over(first)).where("__rn = 1").select(key, "ex_date", "confirmed_on", "gap")
     return factors.join(near, [key, "ex_date"], "left")
@@ -45,19 +49,21 @@ def confirmed_actions(factors: DataFrame, panel: DataFrame, key: str = "symbol",
 def gap_candidates(panel: DataFrame, actions: DataFrame, key: str = "symbol", date: str = "trade_date", low: float = 0.7, high: float = 1.4, floor: float = 5.0, off: float = 0.08, persist: float = 0.25, apart: int = 5) -> DataFrame:
     """Sessions whose price gap looks like an action that nobody announced.
 
-    The gap is at most ``low`` or at least ``high`` from a price of ``floor`` or more, near a usual ratio; the price three
-    sessions on, at most 12 days later, is still within ``persist`` of it; the median volume moves the other way; and no action is
-    known within ``apart`` days. A null volume ratio rejects.
+    The gap, the open over the close before, is at most ``low`` or at least ``high`` from a price of ``floor`` or more, near a usual
+    ratio; the close three sessions on, at most 12 days later, over the close before is still within ``persist`` of the ratio;
+    the median volume is at least 0.6 over a ratio below 1, where an unknown one rejects, and at most 1.6 over another; and no
+    action is known within ``apart`` days.
     """
     w = Window.partitionBy(key).orderBy(date)
     rows = panel.select(
-        key, date, "close", F.lag("close").over(w).alias("prior"), F.lead("close", 3).over(w).alias("later"), F.lead(date, 3).over(w).alias("later_on"),
+        key, date, "open", F.lag("close").over(w).alias("prior"), F.lead("close", 3).over(w).alias("later"), F.lead(date, 3).over(w).alias("later_on"),
         F.percentile("volume", F.lit(0.5)).over(w.rowsBetween(-25, -5)).alias("volume_before"), F.percentile("volume", F.lit(0.5)).over(w.rowsBetween(5, 25)).alias("volume_after"),
-    ).withColumn("gap", F.try_divide("close", "prior")).where((F.col("gap") <= low) | (F.col("gap") >= high)).where(F.col("prior") >= floor)
+    ).where("prior > 0 and open > 0 and later > 0").withColumn("gap", F.col("open") / F.col("prior")).where((F.col("gap") <= low) | (F.col("gap") >= high)).where(F.col("prior") >= floor)
     rows = rows.withColumn("near", nearest_ratio(F.col("gap"), CLEAN_RATIOS)).where(F.col("near.off") <= off)
-    rows = rows.where((F.datediff("later_on", date) <= 12) & (F.abs(F.col("later") / F.col("close") - 1) <= persist))
-    moved = F.try_divide("volume_after", "volume_before")
-    rows = rows.where(F.when(F.col("gap") < 1, moved > 1).otherwise(moved < 1))
+    ratio = F.col("near.ratio")
+    rows = rows.where((F.datediff("later_on", date) <= 12) & (F.abs(F.col("later") / F.col("prior") / ratio - 1) <= persist))
+    moved = F.col("volume_after") / F.nullif("volume_before", F.lit(0.0))
+    rows = rows.where(F.when(ratio < 1, moved >= 0.6 / ratio).otherwise(F.coalesce(moved <= 1.6 / ratio, F.lit(True))))
     known = actions.select(F.col(key).alias("__k"), F.col("ex_date").alias("__x"))
     free = rows.join(known, (F.col(key) == F.col("__k")) & (F.abs(F.datediff(date, "__x")) <= apart), "left_anti")
     return free.select(key, F.col(date).alias("ex_date"), "gap", F.col("near.ratio").alias("factor"))

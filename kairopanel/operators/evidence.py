@@ -11,35 +11,46 @@ from pyspark.sql import functions as F
 from ..functions.scalars import announcement_kind, canonical_url, host_allowed, normal_text, source_id
 
 
-def best_window(quote: str, text: str) -> float:
-    """The best similarity of the quote to a window of its length, a quarter of it apart."""
-    n = len(quote)
-    if not n or not text:
-        return 0.0
-    step, best = max(1, n // 4), 0.0
-    matcher = SequenceMatcher(autojunk=False)
-    matcher.set_seq2(quote)
-    for k in range(0, max(1, len(text) - n + step), step):
-        matcher.set_seq1(text[k : k + n])
-        if matcher.real_quick_ratio() > best and matcher.quick_ratio() > best:
-            best = max(best, matcher.ratio())
-    return best
-
-
-def _similarity(quote: str, text: str) -> Column:
+def similarity(quote: str, window: str) -> Column:
+    """Twice the characters of the matching blocks over those of both texts."""
+
     @F.pandas_udf("double")
-    def best(q: pd.Series, t: pd.Series) -> pd.Series:
-        return pd.Series([best_window(a or "", b or "") for a, b in zip(q, t)], dtype=float)
+    def each(q: pd.Series, w: pd.Series) -> pd.Series:
+        return pd.Series([SequenceMatcher(None, a, b).ratio() for a, b in zip(q, w)], dtype=float)
+
+    return each(quote, window)
+
+
+def most_alike(quote: Column, window: Column) -> Column:
+    """An upper bound of :func:`similarity`: by the characters that both have, however they are ordered."""
+    shared = F.aggregate(F.array_distinct(F.split(quote, "")), F.lit(0), lambda n, c: n + F.least(_times(quote, c), _times(window, c)))
+    return 2 * shared / (F.length(quote) + F.length(window))
 
-    return best(quote, text)
+
+def _times(text: Column, char: Column) -> Column:
+    return F.length(text) - F.length(F.replace(text, char, F.lit("")))
 
 
 def verify_quotes(quotes: DataFrame, sources: DataFrame, source: str = "doc_id", quote: str = "quote", text: str = "text", least: float = 0.90) -> DataFrame:
-    """quotes with exact, similarity and supported. Exact substrings are found with column functions; only the others are compared in windows."""
-    both = quotes.join(sources.select(source, normal_text(F.col(text)).alias("__t")), source, "left").withColumn("__q", normal_text(F.col(quote)))
+    """quotes with exact, similarity (to three places) and supported.
+
+    Texts are compared in lower case with single blanks. A quote that its source holds is exact. Others are compared with
+    the source's windows of their length, a quarter of it apart, the last one not beyond the end; similarity is the best of
+    them. Windows are rows: their characters bound what they can reach, the one with the highest bound is compared first,
+    and then only those that could still be better. Empty quotes and quotes without a source have similarity 0.
+    """
+    both = quotes.withColumn("__k", F.monotonically_increasing_id()).join(sources.select(source, normal_text(F.col(text)).alias("__t")), source, "left").withColumn("__q", normal_text(F.col(quote)))
     both = both.withColumn("exact", F.coalesce(F.contains("__t", "__q") & (F.col("__q") != ""), F.lit(False)))
-    found = both.where("exact").withColumn("similarity", F.lit(1.0)).unionByName(both.where("not exact").withColumn("similarity", _similarity("__q", "__t")))
-    return found.withColumn("supported", F.col("similarity") >= least).drop("__t", "__q")
+    n = F.length("__q")
+    open_ = both.where(~F.col("exact") & (n > 0) & (F.length("__t") > 0)).select("__k", "__q", "__t")
+    starts = F.sequence(F.lit(0), F.greatest(F.length("__t") - n, F.lit(0)), F.greatest(F.floor(n / 4).cast("int"), F.lit(1)))
+    windows = open_.select("__k", "__q", "__t", F.explode(starts).alias("__at")).select("__k", "__q", F.substring(F.col("__t"), F.col("__at") + 1, n).alias("__w"))
+    windows = windows.withColumn("__bound", most_alike(F.col("__q"), F.col("__w")))
+    first = windows.groupBy("__k").agg(F.max(F.struct("__bound", "__q", "__w")).alias("x")).select("__k", "x.*").withColumn("__reached", similarity("__q", "__w")).select("__k", "__reached")
+    rest = windows.join(first, "__k").where(F.col("__bound") > F.col("__reached")).withColumn("__s", similarity("__q", "__w")).groupBy("__k").agg(F.max("__s").alias("__s"))
+    best = first.join(rest, "__k", "left").select("__k", F.greatest("__reached", "__s").alias("__best"))
+    found = both.join(best, "__k", "left").withColumn("__best", F.when(F.col("exact"), 1.0).otherwise(F.coalesce("__best", F.lit(0.0))))
+    return found.withColumn("similarity", F.round("__best", 3)).withColumn("supported", F.col("__best") >= least).drop("__t", "__q", "__k", "__best")
 
 
 def strike(claims: DataFrame, document: str = "run_id", most: float = 0.25) -> DataFrame:
@@ -68,7 +79,7 @@ def check_citations(claims: DataFrame, documents: DataFrame) -> DataFrame:
 
 def document_candidates(announcements: DataFrame, known: DataFrame, caps: dict[str, int], other: int = 1, total: int = 4) -> DataFrame:
     """(symbol, ann_dt, subject, url, kind, doc_id): the latest PDF documents of each kind up to its cap, that aren't known."""
-    rows = announcements.where(F.rlike(F.lower("url"), F.lit(r"\.pdf($|\?)"))).withColumn("kind", announcement_kind(F.col("subject")))
+    rows = announcements.where(F.rlike(F.lower("url"), F.lit(r"\.pdf($|\?)"))).withColumn("kind", announcement_kind(F.col("subject"), F.col("details") if "details" in announcements.columns else None))
     rows = rows.withColumn("doc_id", F.concat("symbol", F.lit("-"), F.substring(F.sha1("url"), 1, 10)))
     cap = F.lit(other)
     for kind, n in caps.items():

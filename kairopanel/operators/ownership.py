@@ -3,12 +3,13 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 #: Words of adverse announcements.
-ADVERSE = r"fraud|default|insolvency|raid|search and seizure|show cause|penalty|forensic audit|resignation of (the )?(statutory )?auditor|downgrade|suspension"
+ADVERSE = ["sebi order", "fraud", "forensic audit", "default", "resignation of auditor", "auditor resign", "resignation of cfo", "warning letter", "oai", "import alert", "insolvency", "nclt", "winding up"]
 
 
 def holder_changes(holdings: DataFrame, dates: DataFrame, quarters: Sequence[int] = (4, 12)) -> DataFrame:
@@ -59,10 +60,17 @@ def rating_migration(actions: DataFrame, dates: DataFrame) -> DataFrame:
 
 
 def adverse_events(announcements: DataFrame, dates: DataFrame, days: int = 90) -> DataFrame:
-    """(as_of, symbol, adverse_events_90d_clean): 0 where an announcement (symbol, ann_dt, subject, details) of the last days has an adverse word, else 1."""
-    some = within_days(announcements.withColumn("__d", F.to_date("ann_dt")), dates, "__d", days)
-    bad = F.rlike(F.lower(F.concat_ws(" ", "subject", "details")), F.lit(ADVERSE))
-    return some.groupBy("as_of", "symbol").agg((1 - F.max(bad.cast("int"))).cast("double").alias("adverse_events_90d_clean"))
+    """(as_of, symbol, adverse_events_90d_clean): 0 where an announcement (symbol, ann_dt, subject, details) of the last days has an adverse word, else 1.
+
+    A name has a row on each date by which it has announced anything.
+    """
+    rows = announcements.withColumn("__d", F.to_date("ann_dt"))
+    text = F.lower(F.concat_ws(" ", "subject", "details"))
+    rows = rows.select("symbol", "__d", reduce(lambda a, b: a | b, [F.contains(text, F.lit(w)) for w in ADVERSE]).alias("__bad"))
+    begun = rows.groupBy("symbol").agg(F.min("__d").alias("__first"))
+    known = begun.join(F.broadcast(dates.select("as_of")), F.col("__first") <= F.col("as_of")).select("as_of", "symbol")
+    bad = within_days(rows.where("__bad"), dates, "__d", days + 1).select("as_of", "symbol", F.lit(0.0).alias("__v")).distinct()
+    return known.join(bad, ["as_of", "symbol"], "left").select("as_of", "symbol", F.coalesce("__v", F.lit(1.0)).alias("adverse_events_90d_clean"))
 
 
 def face_values(splits: DataFrame, today: DataFrame) -> DataFrame:

@@ -8,8 +8,9 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ..functions.scalars import first_match, piecewise
-from .cross_section import percentile_grouped, winsorise
+from ..functions.scalars import canonical_digest, first_match, piecewise
+from .cross_section import average_rank, winsorise
+from .profiles import applies, catalogue
 
 #: Pillar weights (P1..P6) of the profiles.
 PILLARS = ["P1", "P2", "P3", "P4", "P5", "P6"]
@@ -40,39 +41,41 @@ def weights_table(spark: SparkSession, variants: Sequence[str] = ("base", "quali
     return spark.createDataFrame(rows, "profile string, variant string, pillar string, weight double")
 
 
-def component_scores(df: DataFrame, by: Sequence[str], group: str, components: list[dict]) -> DataFrame:
-    """(by, key columns, pillar, component, weight, score, prior) in long form, scores from 0 to 100.
+def component_scores(df: DataFrame, by: Sequence[str], group: str, components: list[dict], least: int = 8) -> DataFrame:
+    """(by, symbol, group, pillar, component, weight, score, prior) in long form, scores from 0 to 100, of the components that apply to the row's group.
 
-    df: (by..., symbol, group, a column for each component). A component has pillar, name, kind, sign, weight and, for maps, points.
-    pct: the grouped percentile of the signed, winsorised value; map: piecewise linear; binary: 100 from 0.5 on. The prior is the group's
-    median score where 8 names have one, else that of all, else 50.
+    df: (by..., symbol, group, a column for each component; a component without one is unknown to all). A component has pillar, name,
+    kind, sign, weight, for maps points, and the groups that it applies to, if not all. pct: the percentile of the signed, winsorised value within
+    the group where ``least`` names have one, else within all; map: piecewise linear; binary: 100 from 0.5 on. The prior is the group's median score
+    where ``least`` names have one, else that of all, else 50.
     """
-    here = [c for c in components if c["name"] in df.columns]
 
     def row(c: dict) -> Column:
-        x = F.col(c["name"]).cast("double")
+        x = F.col(c["name"]).cast("double") if c["name"] in df.columns else F.lit(None).cast("double")
         direct = {"map": lambda: piecewise(x, c["points"]), "binary": lambda: F.when(x.isNotNull(), F.when(x >= 0.5, 100.0).otherwise(0.0)), "pct": lambda: F.lit(None).cast("double")}[c["kind"]]()
-        return F.struct(F.lit(c["pillar"]).alias("pillar"), F.lit(c["name"]).alias("component"), F.lit(float(c["weight"])).alias("weight"), F.lit(c["kind"]).alias("kind"), (x * c.get("sign", 1)).alias("x"), direct.alias("direct"))
+        one = F.struct(F.lit(c["pillar"]).alias("pillar"), F.lit(c["name"]).alias("component"), F.lit(float(c["weight"])).alias("weight"), F.lit(c["kind"]).alias("kind"), (x * c.get("sign", 1)).alias("x"), direct.alias("direct"))
+        return F.when(applies(c, F.col(group)), one) if c.get("profiles") else one
 
-    long = df.select(*by, "symbol", group, F.explode(F.array(*[row(c) for c in here])).alias("__c")).select(*by, "symbol", group, "__c.*")
+    long = df.select(*by, "symbol", group, F.explode(F.array_compact(F.array(*[row(c) for c in components]))).alias("__c")).select(*by, "symbol", group, "__c.*")
     long = winsorise(long, "x", [*by, "component"])
-    pct = percentile_grouped(F.col("x"), [*by, "component", group]) * 100
-    long = long.withColumn("score", F.when(F.col("kind") == "pct", pct).otherwise(F.col("direct")))
     inner, outer = Window.partitionBy(*by, "component", group), Window.partitionBy(*by, "component")
+    pct = F.when(F.count("x").over(inner) >= least, average_rank(F.col("x"), [*by, "component", group]) / F.count("x").over(inner)).otherwise(average_rank(F.col("x"), [*by, "component"]) / F.nullif(F.count("x").over(outer), F.lit(0)))
+    long = long.withColumn("score", F.when(F.col("kind") == "pct", pct * 100).otherwise(F.col("direct")))
     mid = lambda w: F.percentile("score", F.lit(0.5)).over(w)
-    prior = F.coalesce(F.when(F.count("score").over(inner) >= 8, mid(inner)), mid(outer), F.lit(50.0))
+    prior = F.coalesce(F.when(F.count("score").over(inner) >= least, mid(inner)), mid(outer), F.lit(50.0))
     return long.withColumn("prior", prior).select(*by, "symbol", group, "pillar", "component", "weight", "score", "prior")
 
 
 def pillar_scores(components: DataFrame, by: Sequence[str]) -> DataFrame:
     """(by, symbol, pillar, score, coverage, status): weighted means in which an unknown component has its prior.
 
-    The weights are never renormalised; a pillar with less than half its weight known is UNKNOWN.
+    The weights are never renormalised. A pillar with less than half its weight known is UNKNOWN and has the mean of the priors.
     """
-    score = F.sum(F.col("weight") * F.coalesce("score", "prior")) / F.sum("weight")
-    coverage = F.sum(F.when(F.col("score").isNotNull(), F.col("weight")).otherwise(0.0)) / F.sum("weight")
-    out = components.groupBy(*by, "symbol", "pillar").agg(score.alias("score"), coverage.alias("coverage"))
-    return out.withColumn("status", F.when(F.col("coverage") >= 0.5, "OK").otherwise("UNKNOWN"))
+    known, total = F.sum(F.when(F.col("score").isNotNull(), F.col("weight")).otherwise(0.0)), F.sum("weight")
+    of_all, of_priors = F.sum(F.col("weight") * F.coalesce("score", "prior")) / total, F.sum(F.col("weight") * F.col("prior")) / total
+    out = components.groupBy(*by, "symbol", "pillar").agg(of_all.alias("__s"), of_priors.alias("__p"), known.alias("known_weight"), total.alias("weight")).withColumn("coverage", F.col("known_weight") / F.col("weight"))
+    out = out.withColumn("status", F.when(F.col("coverage") >= 0.5, "OK").otherwise("UNKNOWN"))
+    return out.withColumn("score", F.when(F.col("status") == "OK", F.col("__s")).otherwise(F.col("__p"))).drop("__s", "__p")
 
 
 def composite_score(pillars: DataFrame, weights: DataFrame, profiles: DataFrame, by: Sequence[str]) -> DataFrame:
@@ -192,3 +195,80 @@ def catalyst(columns: Sequence[str]) -> Column:
     c = lambda n: F.col(n) if n in columns else F.lit(None).cast("double")
     support = [(c("fundamental_growth") >= 0.12) & (c("growth_gap") <= 0), (c("pat_yoy_ttm") >= 0.20) & (c("sales_yoy_ttm") >= 0.10), (c("eps_cagr_5y") >= 0.15) & (c("growth_consistency_5y") >= 0.8)]
     return F.coalesce(c("P4") >= 70, F.lit(False)) & reduce(lambda a, b: a | b, [F.coalesce(x, F.lit(False)) for x in support])
+
+
+def name_flags(columns: Sequence[str]) -> Column:
+    """Array of what makes a name's own figures doubtful; each lowers the confidence."""
+    c = lambda n: F.col(n) if n in columns else F.lit(None).cast("double")
+    noted = lambda n: F.array_contains("notes", n) if "notes" in columns else F.lit(False)
+    rules = [
+        ("NAME_IMPLAUSIBLE_PE", (c("pe_ttm_feat") > 200) | ((c("pe_ttm_feat") < 0) & (c("pat_ttm") > 0))), ("NAME_PAT_CAGR_DISCONTINUITY", F.abs(c("pat_cagr_5y")) > 1.5), ("NAME_HISTORY_LT_240", c("history_days") < 240),
+        ("NAME_BORROWING_CONFLICT", noted("borrowing_conflict")), ("NAME_PROFILE_UNMAPPED", noted("profile_unmapped")),
+    ]
+    return F.array_compact(F.array(*[F.when(cond, F.lit(code)) for code, cond in rules]))
+
+
+def data_errors(columns: Sequence[str], coverage: Column, index: Column, least_coverage: float = 0.60, least_sessions: int = 120, most_age: int = 400, least_index: float = 0.35) -> Column:
+    """Array of the reasons for not rating a name: too little known, no moat or valuation pillar, a short history, no or old statements, an ambiguous profile, low confidence.
+
+    Needs P1_status and P6_status among the columns; history_days and stmt_age_days where they are known.
+    """
+    c = lambda n: F.col(n) if n in columns else F.lit(None).cast("double")
+    noted = lambda n: F.array_contains("notes", n) if "notes" in columns else F.lit(False)
+    rules = [
+        ("component_coverage", coverage < least_coverage), ("P1 UNKNOWN", F.coalesce(F.col("P1_status") != "OK", F.lit(True))), ("P6 UNKNOWN", F.coalesce(F.col("P6_status") != "OK", F.lit(True))), ("history", c("history_days") < least_sessions),
+        ("no statements visible", c("stmt_age_days").isNull()), ("statements too old", c("stmt_age_days") > most_age), ("sector profile ambiguous", noted("deposits_outside_financial_industry") & noted("profile_unmapped")), ("confidence", index < least_index),
+    ]
+    return F.array_compact(F.array(*[F.when(cond, F.lit(text)) for text, cond in rules]))
+
+
+def rated(df: DataFrame, by: Sequence[str], variant: str = "base", engine: int = 1, source: str = "screener", hysteresis: bool = True) -> DataFrame:
+    """The rating row of each name of df (by..., symbol, profile, metrics, features): score, verdict, rule, confidence, flags, errors and a digest of all of it.
+
+    by ends with the date. Pillars are scored over each date's names, the profile giving groups, catalogue and weights. A name with
+    data errors has NO_RATING; else rules, caps of soft flags, the confidence's step down and, over the dates, hysteresis against the
+    verdict of the name's rated date before decide. Unknown metrics are columns that are missing or null.
+    """
+    components = component_scores(df, by, "profile", catalogue(engine, variant == "with_qual"))
+    pillars = pillar_scores(components, by)
+    weight = reduce(lambda rest, k: F.when((F.col("profile") == k[0]) & (F.col("pillar") == k[1]), F.lit(k[2])).otherwise(rest), [(p, q, w) for p in PROFILE_WEIGHTS for q, w in pillar_weights(p, variant).items()], F.lit(None).cast("double"))
+    flat = pillars.join(df.select(*by, "symbol", "profile"), [*by, "symbol"]).withColumn("w", weight)
+    at = lambda p, c: F.max(F.when(F.col("pillar") == p, F.col(c)))
+    wide = flat.groupBy(*by, "symbol").agg(
+        (F.sum(F.col("w") * F.col("score")) / F.sum("w")).alias("S"), (F.sum("known_weight") / F.sum("weight")).alias("component_coverage"), F.avg((F.col("status") == "OK").cast("double")).alias("pillar_coverage"),
+        *[at(p, "score").alias(p) for p in PILLARS], *[at(p, "status").alias(f"{p}_status") for p in PILLARS],
+    )
+    met = df.join(wide, [*by, "symbol"]).withColumn("financial", F.col("profile").isin("BANK", "NBFC_FIN"))
+    met = met.withColumn("red_flags", flags(met.columns)).withColumn("name_flags", name_flags(met.columns))
+    c = lambda n: F.col(n) if n in met.columns else F.lit(None).cast("double")
+    index = confidence(F.col("component_coverage"), F.col("pillar_coverage"), c("stmt_age_days"), F.lit(source), c("val_dispersion"), F.coalesce(c("n_models"), F.lit(0)), F.size("name_flags"))
+    met = met.withColumn("dci", F.greatest(F.lit(0.0), F.least(F.lit(1.0), index))).withColumn("band", confidence_band(F.col("dci")))
+    met = met.withColumn("errors", data_errors(met.columns, F.col("component_coverage"), F.col("dci")))
+    first = decide(F.col("S"), c("mos_base"), F.col("band"), F.col("red_flags"), catalyst(met.columns), F.col("P2"))
+    met = met.withColumn("d", F.when((F.size("errors") == 0) & F.col("S").isNotNull(), first))
+    met = met.withColumn("rule", F.coalesce("d.rule", F.lit("R0"))).withColumn("verdict", capped(F.col("d.verdict"), F.col("red_flags"), F.col("band"))).drop("d")
+    sound = met.where("verdict is not null").withColumn("mos", c("mos_base"))
+    if hysteresis:
+        final = with_hysteresis(sound.select(*by, "symbol", "S", "mos", "rule", "verdict"), [*by[:-1], "symbol"], by[-1]).select(*by, "symbol", "final")
+        met = met.join(final, [*by, "symbol"], "left").withColumn("verdict", F.col("final")).drop("final")
+    met = met.withColumn("status", F.when(F.col("verdict").isNull(), "NO_RATING").otherwise("RATED")).withColumn("verdict", F.coalesce("verdict", F.lit("NO_RATING")))
+    kept = [*by, "symbol", "profile", "status", "verdict", "rule", "S", *PILLARS, "component_coverage", "dci", "band", *[n for n in ("mos_base", "fv_base", "fv_bull", "fv_bear", "price") if n in met.columns], F.transform("red_flags", lambda f: f["code"]).alias("flags"), "name_flags", "errors"]
+    rows = met.select(*kept).withColumn("variant", F.lit(variant)).withColumn("engine", F.lit(f"r{engine}"))
+    return rows.withColumn("manifest_sha", canonical_digest([n for n in rows.columns]))
+
+
+def summary(rows: DataFrame) -> DataFrame:
+    """(of, value, names): how many names have each verdict, band and profile."""
+    each = F.explode(F.array(*[F.struct(F.lit(n).alias("of"), F.col(n).alias("value")) for n in ("verdict", "band", "profile")]))
+    return rows.select(each.alias("x")).groupBy("x.of", "x.value").agg(F.count("*").alias("names"))
+
+
+def drivers(components: DataFrame, by: Sequence[str], n: int = 3) -> DataFrame:
+    """(by, symbol, side, place, component, score): of each name the known components with the highest and the lowest scores."""
+    some = components.where("score is not null")
+    out = None
+    for side, order in (("driver", F.desc("score")), ("risk", F.asc("score"))):
+        placed = some.withColumn("place", F.row_number().over(Window.partitionBy(*by, "symbol").orderBy(order, F.desc("weight"), "component"))).where(F.col("place") <= n)
+        one = placed.select(*by, "symbol", F.lit(side).alias("side"), "place", "component", "score")
+        out = one if out is None else out.unionByName(one)
+    return out

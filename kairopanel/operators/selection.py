@@ -70,27 +70,26 @@ def select_with_hysteresis(df: DataFrame, by: Sequence[str], n: int, hold: float
 
 
 def capped_weights(vol: np.ndarray, industry: np.ndarray, name_cap: float, industry_cap: float, exposure: float, rounds: int = 50) -> np.ndarray:
-    """Weights in proportion to 1 / vol under both caps; what no name can take stays cash."""
+    """Weights in proportion to 1 / vol under both caps; what no name can take stays cash.
+
+    Volatilities are at least 0.05; an unknown one is the median of the known, 0.3 if none is. A cap on names below 1 / n is
+    raised to that. In each round industries above their cap shrink to it, and what is missing to 1 goes to the names of the
+    others in proportion to their room below the cap.
+    """
     known = vol[~np.isnan(vol)]
-    vol = np.maximum(np.where(np.isnan(vol), np.median(known) if len(known) else 0.05, vol), 0.05)
-    w = 1 / vol
-    w = w / w.sum()
+    w = 1 / np.maximum(np.where(np.isnan(vol), np.median(known) if len(known) else 0.3, vol), 0.05)
     most = max(name_cap, 1 / len(w))
-    codes = np.unique(industry, return_inverse=True)[1]
+    w = np.minimum(w / w.sum(), most)
+    of = np.unique(industry, return_inverse=True)[1]
     for _ in range(rounds):
-        w = np.minimum(w, most)
-        total = np.bincount(codes, w)
-        scale = np.where(total > industry_cap, industry_cap / np.maximum(total, 1e-12), 1.0)
-        w = w * scale[codes]
-        left = 1 - w.sum()
-        free = (w < most - 1e-9) & (np.bincount(codes, w)[codes] < industry_cap - 1e-9)
-        if left < 1e-9 or not free.any():
+        held = np.bincount(of, w)
+        w = w * np.where(held > industry_cap + 1e-12, industry_cap / np.maximum(held, 1e-300), 1.0)[of]
+        missing = 1 - w.sum()
+        room = np.where(held[of] >= industry_cap - 1e-9, 0.0, np.maximum(most - w, 0.0))
+        if missing < 1e-9 or room.sum() <= 1e-12:
             break
-        w[free] += left * w[free] / w[free].sum()
-    w = np.minimum(w, most)
-    total = np.bincount(codes, w)
-    w = w * np.where(total > industry_cap, industry_cap / np.maximum(total, 1e-12), 1.0)[codes]
-    return w * exposure
+        w = w + room * min(1.0, missing / room.sum())
+    return np.round(w * exposure, 8)
 
 
 def inverse_vol_weights(df: DataFrame, by: Sequence[str], key: str = "symbol", vol: str = "vol_60", industry: str = "industry", name_cap: float = 0.05, industry_cap: float = 0.25, exposure: str | None = None) -> DataFrame:

@@ -117,11 +117,11 @@ def session_ahead(spark, sf_dir) -> DataFrame:
     return asof.session_ahead(asof.sessions(roles.tape(spark, sf_dir)), 21)
 
 
-SNAP = """snaps AS (SELECT last_day(CAST(o_orderdate AS DATE)) AS snap, o_custkey AS symbol, max(o_totalprice) AS top FROM orders WHERE o_orderpriority = '1-URGENT' AND o_custkey % 50 = 1 GROUP BY ALL), dates AS (SELECT DISTINCT CAST(date_trunc('quarter', o_orderdate) AS DATE) AS as_of FROM orders)"""
+SNAP = """snaps AS (SELECT last_day(CAST(o_orderdate AS DATE)) AS snap, o_custkey AS symbol, max(o_totalprice) AS top FROM orders GROUP BY ALL), dates AS (SELECT DISTINCT CAST(date_trunc('quarter', o_orderdate) AS DATE) AS as_of FROM orders)"""
 
 
 def snapshots(spark, sf_dir) -> DataFrame:
-    orders = roles.table(spark, sf_dir, "orders").where("o_orderpriority = '1-URGENT' and o_custkey % 50 = 1")
+    orders = roles.table(spark, sf_dir, "orders")
     return orders.groupBy(F.last_day(F.to_date("o_orderdate")).alias("snap"), F.col("o_custkey").alias("symbol")).agg(F.max("o_totalprice").alias("top"))
 
 
@@ -147,10 +147,10 @@ def entries_and_exits(spark, sf_dir) -> DataFrame:
 
 
 @query(f"""WITH {roles.SUPPLIER_MONTHS} SELECT a.as_of, a.symbol, b.symbol AS peer, row_number() OVER (PARTITION BY a.as_of, a.symbol ORDER BY b.turnover DESC, b.symbol) AS place FROM supplier_months a JOIN supplier_months b ON a.as_of = b.as_of AND a.industry = b.industry AND a.symbol <> b.symbol
-WHERE month(a.as_of) = 12 QUALIFY place <= 8""")
+QUALIFY place <= 8""")
 def largest_peers(spark, sf_dir) -> DataFrame:
     """Of every name the eight largest of its group: nine a group are ranked once, not all pairs."""
-    rows = roles.supplier_months(spark, sf_dir).where("month(as_of) = 12").select("as_of", "symbol", "industry", "turnover")
+    rows = roles.supplier_months(spark, sf_dir).select("as_of", "symbol", "industry", "turnover")
     top = asof.keep_first(rows, ["as_of", "industry"], [F.desc("turnover"), "symbol"], 9).select("as_of", "industry", F.col("symbol").alias("peer"), "turnover")
     met = rows.drop("turnover").join(top, ["as_of", "industry"]).where("symbol <> peer")
     place = F.row_number().over(Window.partitionBy("as_of", "symbol").orderBy(F.desc("turnover"), "peer"))
@@ -189,7 +189,8 @@ _COMPONENTS = [
     UNION ALL SELECT as_of, symbol, industry, 'P1', 'roce', 1.0, roce, CASE WHEN roce <= 0 THEN 0 WHEN roce <= 0.05 THEN roce * 1200 WHEN roce <= 0.1 THEN 60 + (roce - 0.05) * 800 ELSE 100 END FROM supplier_months
     UNION ALL SELECT as_of, symbol, industry, 'P2', 'beta_250', 1.0, -beta_250, NULL FROM supplier_months UNION ALL SELECT as_of, symbol, industry, 'P2', 'vol_250', 1.0, vol_250, CASE WHEN vol_250 >= 0.5 THEN 100 ELSE 0 END FROM supplier_months
 ), m AS (SELECT *, median(x) OVER (PARTITION BY as_of, c) AS md FROM long), s AS (SELECT *, median(abs(x - md)) OVER (PARTITION BY as_of, c) * 1.4826 * 3 AS sd FROM m), v AS (SELECT *, CASE WHEN sd > 0 THEN least(greatest(x, md - sd), md + sd) ELSE x END AS y FROM s
-), p AS (SELECT *, CASE WHEN c IN ('roe', 'beta_250') THEN 100 * (rank() OVER (PARTITION BY as_of, c, industry ORDER BY y) + (count(*) OVER (PARTITION BY as_of, c, industry, y) - 1) / 2.0) / count(*) OVER (PARTITION BY as_of, c, industry) ELSE d END AS score FROM v)
+), p AS (SELECT *, CASE WHEN c NOT IN ('roe', 'beta_250') THEN d WHEN count(*) OVER (PARTITION BY as_of, c, industry) >= 8 THEN 100 * (rank() OVER (PARTITION BY as_of, c, industry ORDER BY y) + (count(*) OVER (PARTITION BY as_of, c, industry, y) - 1) / 2.0) / count(*) OVER (PARTITION BY as_of, c, industry)
+    ELSE 100 * (rank() OVER (PARTITION BY as_of, c ORDER BY y) + (count(*) OVER (PARTITION BY as_of, c, y) - 1) / 2.0) / count(*) OVER (PARTITION BY as_of, c) END AS score FROM v)
 SELECT as_of, symbol, pillar, round(sum(w * score) / sum(w), 4) AS score FROM p GROUP BY ALL""")
 def pillar_scores(spark, sf_dir) -> DataFrame:
     long = rating.component_scores(roles.supplier_months(spark, sf_dir), ["as_of"], "industry", _COMPONENTS)
@@ -290,10 +291,18 @@ def page_table_cells(spark, sf_dir) -> DataFrame:
     return pages_source.page_cells(roles.table(spark, sf_dir, "pages"))
 
 
-@query("""SELECT role, CASE WHEN regexp_matches(lower(text), 'dividend') THEN 'dividend' ELSE 'other' END AS kind, count(*) AS n FROM (SELECT role, text FROM conversations WHERE NOT regexp_matches(lower(text), 'financial result|outcome of board|unaudited|audited|transcript|earnings call|concall|presentation|investor meet')) WHERE NOT regexp_matches(lower(text), 'auditor|credit rating|acqui|merger|amalgamation|scheme of arrangement') GROUP BY ALL""")
+#: What turns of conversations announce, by the last digit of their conversation and turn.
+SUBJECTS = ["Transcript of the call", "Investor Presentation", "Analysts' meet and presentation", "Outcome of Board Meeting", "Un-audited figures", "Annual Report 2020", "Credit Rating", "Creation of PLEDGE", "Disclosure under SAST", "Board meeting"]
+
+
+@query(f"""WITH a AS (SELECT role, [{", ".join("'" + x.replace("'", "''") + "'" for x in SUBJECTS)}][1 + (conv_id + turn) % 10] || ' ' || coalesce(text, '') AS t FROM conversations)
+SELECT role, CASE WHEN t ILIKE '%transcript%' THEN 'transcript' WHEN t ILIKE '%investor presentation%' OR regexp_matches(t, '(?i)analyst.*presentation') OR t ILIKE '%earnings presentation%' THEN 'presentation' WHEN t ILIKE '%outcome of board meeting%' OR t ILIKE '%financial result%' OR t ILIKE '%audited%' THEN 'results'
+    WHEN t ILIKE '%annual report%' THEN 'annual_report' WHEN t ILIKE '%credit rating%' THEN 'rating' WHEN t ILIKE '%pledge%' THEN 'pledge' WHEN t ILIKE '%insider trading%' OR t ILIKE '%sast%' OR t ILIKE '%substantial acquisition%' THEN 'insider' ELSE 'other' END AS kind, count(*) AS n FROM a GROUP BY ALL""")
 def announcement_kinds(spark, sf_dir) -> DataFrame:
-    rows = roles.table(spark, sf_dir, "conversations").select("role", scalars.announcement_kind(F.col("text")).alias("kind"))
-    return rows.where("kind in ('dividend', 'other')").groupBy("role", "kind").agg(F.count("*").alias("n"))
+    """How often each kind is announced, by subject and text."""
+    subject = F.element_at(F.array(*[F.lit(s) for s in SUBJECTS]), (1 + (F.col("conv_id") + F.col("turn")) % 10).cast("int"))
+    rows = roles.table(spark, sf_dir, "conversations").select("role", scalars.announcement_kind(subject, F.col("text")).alias("kind"))
+    return rows.groupBy("role", "kind").agg(F.count("*").alias("n"))
 
 
 @query("""SELECT doc_id, contains(lower(text), q) AS exact FROM (SELECT d.doc_id, trim(regexp_replace(lower(d.text), '\\s+', ' ', 'g')) AS text, trim(regexp_replace(lower(substr(s.text, 20, 60)), '\\s+', ' ', 'g')) AS q FROM documents d JOIN documents s ON s.doc_id = d.doc_id - d.doc_id % 2)""".replace("\\\\", "\\"))
@@ -308,8 +317,8 @@ def exact_quotes(spark, sf_dir) -> DataFrame:
 
 @query()
 def quote_similarity(spark, sf_dir) -> DataFrame:
-    """Best similarity of benchmark quotes, a word of them left out, within a document each; tested by hand."""
-    items = roles.table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("doc_id"), F.regexp_replace(F.substring("text", 1, 80), r"(\S+) \S+", "$1").alias("quote"))
+    """Best similarity of benchmark texts, each second word of them left out, within a document each; tested by hand."""
+    items = roles.table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("doc_id"), F.regexp_replace("text", r"(\S+) \S+", "$1").alias("quote"))
     found = evidence.verify_quotes(items, roles.table(spark, sf_dir, "documents").select("doc_id", "text"))
     return found.select("doc_id", "exact", R("similarity", 4).alias("similarity"), "supported")
 
@@ -328,11 +337,12 @@ def top_degrees(spark, sf_dir) -> DataFrame:
     return edges.degrees(edge_table(spark, sf_dir), top=50)
 
 
-@query(f"WITH {EDGES} SELECT src AS node, 'out' AS direction, dst AS other, kind FROM edges WHERE src IN ('s1', 's2', 'n3') UNION ALL SELECT dst, 'in', src, kind FROM edges WHERE dst IN ('s1', 's2', 'n3')")
+@query(f"WITH {EDGES} SELECT src AS node, 'out' AS direction, dst AS other, kind FROM edges UNION ALL SELECT dst, 'in', src, kind FROM edges")
 def node_neighbours(spark, sf_dir) -> DataFrame:
-    wanted = roles.table(spark, sf_dir, "supplier").select(F.concat(F.lit("s"), "s_suppkey").alias("node")).where("node in ('s1', 's2')")
-    wanted = wanted.unionByName(roles.table(spark, sf_dir, "nation").select(F.concat(F.lit("n"), "n_nationkey").alias("node")).where("node = 'n3'"))
-    return edges.neighbours(edge_table(spark, sf_dir), wanted)
+    """Of every node all neighbours."""
+    found = edge_table(spark, sf_dir)
+    wanted = found.select(F.explode(F.array("src", "dst")).alias("node")).distinct()
+    return edges.neighbours(found, wanted)
 
 
 @query("""WITH w AS (SELECT event_type, value, unnest([time_bucket(INTERVAL '15 minutes', ts) - INTERVAL 15 MINUTE * k FOR k IN range(0, 4)]) AS start FROM events) SELECT event_type, start, count(*) AS n, round(sum(value), 4) AS total FROM w GROUP BY ALL""")

@@ -194,7 +194,7 @@ def split_adjusted_tape(spark, sf_dir) -> DataFrame:
     return rows.select("symbol", "trade_date", R(F.ln("close")).alias("log_close"), R(F.ln("volume")).alias("log_volume"))
 
 
-@query(f"""WITH {roles.TAPE}, {roles.ACTIONS}, gaps AS (SELECT symbol, trade_date AS confirmed_on, close / lag(close) OVER (PARTITION BY symbol ORDER BY trade_date) AS gap FROM tape), near AS (
+@query(f"""WITH {roles.TAPE}, {roles.ACTIONS}, gaps AS (SELECT symbol, trade_date AS confirmed_on, open / lag(close) OVER (PARTITION BY symbol ORDER BY trade_date) AS gap FROM tape), near AS (
     SELECT f.symbol, f.ex_date, confirmed_on, gap FROM factors f JOIN gaps g ON f.symbol = g.symbol AND abs(date_diff('day', f.ex_date, confirmed_on)) <= 8 AND abs(gap / factor - 1) <= 0.35
     QUALIFY row_number() OVER (PARTITION BY f.symbol, f.ex_date ORDER BY abs(date_diff('day', f.ex_date, confirmed_on)), confirmed_on) = 1
 ) SELECT symbol, ex_date, round(factor, 6) AS factor, confirmed_on, round(gap, 6) AS gap FROM factors LEFT JOIN near USING (symbol, ex_date)""")
@@ -203,13 +203,13 @@ def confirmed_factors(spark, sf_dir) -> DataFrame:
     return found.select("symbol", "ex_date", R("factor").alias("factor"), "confirmed_on", R("gap").alias("gap"))
 
 
-@query(f"""WITH {roles.TAPE}, {roles.ACTIONS}, r AS (SELECT symbol, trade_date, close, lag(close) OVER w AS prior, lead(close, 3) OVER w AS later, lead(trade_date, 3) OVER w AS later_on,
+@query(f"""WITH {roles.TAPE}, {roles.ACTIONS}, r AS (SELECT symbol, trade_date, open, lag(close) OVER w AS prior, lead(close, 3) OVER w AS later, lead(trade_date, 3) OVER w AS later_on,
     median(volume) OVER (PARTITION BY symbol ORDER BY trade_date ROWS BETWEEN 25 PRECEDING AND 5 PRECEDING) AS vb, median(volume) OVER (PARTITION BY symbol ORDER BY trade_date ROWS BETWEEN 5 FOLLOWING AND 25 FOLLOWING) AS va
-    FROM tape WINDOW w AS (PARTITION BY symbol ORDER BY trade_date)), g AS (SELECT *, close / prior AS gap FROM r), n AS (
-    SELECT g.*, k.ratio, abs(gap / k.ratio - 1) AS off FROM g, (SELECT unnest([{", ".join(str(x) for x in sorted(adjust.CLEAN_RATIOS))}]) AS ratio) k WHERE (gap <= 0.7 OR gap >= 1.4) AND prior >= 5
+    FROM tape WINDOW w AS (PARTITION BY symbol ORDER BY trade_date)), g AS (SELECT *, open / prior AS gap FROM r), n AS (
+    SELECT g.*, k.ratio, abs(gap / k.ratio - 1) AS off FROM g, (SELECT unnest([0.02, 0.04, 0.05, 0.1, 0.2, 0.25, 1 / 3, 0.5, 2 / 3, 2, 3, 4, 5, 10]) AS ratio) k WHERE (gap <= 0.7 OR gap >= 1.4) AND prior >= 5
     QUALIFY row_number() OVER (PARTITION BY symbol, trade_date ORDER BY off, k.ratio) = 1)
-SELECT symbol, trade_date AS ex_date, round(gap, 6) AS gap, round(ratio, 6) AS factor FROM n WHERE off <= 0.08 AND date_diff('day', trade_date, later_on) <= 12 AND abs(later / close - 1) <= 0.25
-    AND CASE WHEN gap < 1 THEN va / vb > 1 ELSE va / vb < 1 END AND NOT EXISTS (SELECT 1 FROM actions a WHERE a.symbol = n.symbol AND abs(date_diff('day', n.trade_date, a.ex_date)) <= 5)""")
+SELECT symbol, trade_date AS ex_date, round(gap, 6) AS gap, round(ratio, 6) AS factor FROM n WHERE off <= 0.08 AND date_diff('day', trade_date, later_on) <= 12 AND abs(later / prior / ratio - 1) <= 0.25
+    AND CASE WHEN ratio < 1 THEN va / vb >= 0.6 / ratio ELSE coalesce(va / vb <= 1.6 / ratio, true) END AND NOT EXISTS (SELECT 1 FROM actions a WHERE a.symbol = n.symbol AND abs(date_diff('day', n.trade_date, a.ex_date)) <= 5)""")
 def unannounced_gaps(spark, sf_dir) -> DataFrame:
     found = adjust.gap_candidates(roles.tape(spark, sf_dir), roles.actions(spark, sf_dir))
     return found.select("symbol", "ex_date", R("gap").alias("gap"), R("factor").alias("factor"))

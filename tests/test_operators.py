@@ -1,4 +1,5 @@
 import datetime as dt
+from difflib import SequenceMatcher
 import inspect
 import os
 import re
@@ -70,6 +71,8 @@ def test_hysteresis_holds_names(spark):
 
 
 def test_weights_respect_both_caps():
+    # two names at the cap of 0.5; of what is missing, 0.1, the third has all the room
+    assert selection.capped_weights(np.array([0.1, 0.2, 0.4]), np.array(["a", "b", "c"]), 0.5, 1.0, 1.0) == pytest.approx([0.5, 2 / 7 + (1 / 14) * (3 / 14) / (3 / 14 + 5 / 14), 1 / 7 + (1 / 14) * (5 / 14) / (3 / 14 + 5 / 14)], abs=1e-8)
     w = selection.capped_weights(np.array([0.1, 0.2, 0.4, np.nan, 0.3]), np.array(["a", "a", "b", "b", "c"]), 0.3, 0.4, 1.0)
     assert (w <= 0.3 + 1e-9).all() and w[:2].sum() <= 0.4 + 1e-9 and w[2:4].sum() <= 0.4 + 1e-9 and w.sum() <= 1 + 1e-9
     assert selection.capped_weights(np.array([0.1, 0.1]), np.array(["a", "b"]), 0.05, 1.0, 0.5).sum() == pytest.approx(0.5)
@@ -155,6 +158,11 @@ def test_quotes_and_citations(spark):
     quotes = spark.createDataFrame([("d1", "reported strong GROWTH in revenue"), ("d1", "reported strong groth in revenue this"), ("d1", "completely different words entirely")], "doc_id string, quote string")
     out = {r["quote"]: (r["exact"], r["supported"]) for r in evidence.verify_quotes(quotes, docs).collect()}
     assert list(out.values()).count((True, True)) == 1 and out["completely different words entirely"] == (False, False)
+    best = {r["quote"]: r["similarity"] for r in evidence.verify_quotes(quotes, docs).collect()}
+    flat = "the company reported strong growth in revenue this year."
+    for q, got in best.items():
+        n = " ".join(q.lower().split())
+        assert got == round(1.0 if n in flat else max(SequenceMatcher(None, n, flat[k : k + len(n)]).ratio() for k in range(0, max(1, len(flat) - len(n) + 1), max(1, len(n) // 4))), 3)
     claims = spark.createDataFrame([("c1", None, ["doc:d1#p9", "web:x", "bad", "doc:zz", "table:prices", "doc:d1#p2"])], "claim_id string, quote string, citations array<string>")
     assert sorted(r["problem"] for r in evidence.check_citations(claims, docs).collect()) == ["malformed", "no quote", "page out of range", "unknown document"]
 

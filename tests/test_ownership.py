@@ -23,8 +23,8 @@ def test_events(spark):
     assert (r["pledged_pct_of_promoter"], r["pledge_delta_4q"]) == (20.0, 15.0)
     t = spark.createDataFrame([("a", D(390), "Buy", 10.0), ("a", D(380), "SELL", 4.0), ("a", D(1), "BUY", 99.0)], "symbol string, trade_date date, side string, value double")
     assert ownership.insider_net_buy(t, on, spark.createDataFrame([(D(400), "a", 100.0)], "as_of date, symbol string, mcap double")).first()["insider_net_buy_12m"] == 0.06
-    a = spark.createDataFrame([("a", D(390), "Penalty imposed", ""), ("b", D(390), "Board meeting", None)], "symbol string, ann_dt date, subject string, details string")
-    assert {r["symbol"]: r["adverse_events_90d_clean"] for r in ownership.adverse_events(a, on).collect()} == {"a": 0.0, "b": 1.0}
+    a = spark.createDataFrame([("a", D(390), "Penalty imposed", "by SEBI Order"), ("b", D(390), "Board meeting", None), ("c", D(10), "Fraud", ""), ("d", D(401), "x", ""), ("e", D(310), "NCLT", "")], "symbol string, ann_dt date, subject string, details string")
+    assert {r["symbol"]: r["adverse_events_90d_clean"] for r in ownership.adverse_events(a, on).collect()} == {"a": 0.0, "b": 1.0, "c": 1.0, "e": 0.0}
     m = spark.createDataFrame([("a", D(200), -1, "Stable"), ("a", D(300), -1, "Negative")], "symbol string, action_date date, notches int, outlook string")
     assert tuple(ownership.rating_migration(m, on).first())[2:] == (-2, True)
 
