@@ -158,10 +158,10 @@ def verdict_of(rank: Column) -> Column:
 
 
 def capped(verdict: Column, f: Column, band: Column) -> Column:
-    """The verdict under the worst cap of the soft flags, then under the confidence: MED steps a conviction down, LOW any purchase."""
+    """The verdict under the worst cap of the soft flags, then under the confidence: MED steps a conviction down, LOW any purchase; null stays null."""
     cap = F.array_min(F.transform(F.filter(f, lambda x: (x["tier"] == "SOFT") & x["cap"].isNotNull()), lambda x: verdict_rank(x["cap"])))
     r = F.least(verdict_rank(verdict), F.coalesce(cap, F.lit(len(VERDICTS))))
-    return verdict_of(F.when((band == "MED") & (r == 4), 3).when((band == "LOW") & (r >= 3), r - 1).otherwise(r))
+    return F.when(verdict.isNotNull(), verdict_of(F.when((band == "MED") & (r == 4), 3).when((band == "LOW") & (r >= 3), r - 1).otherwise(r)))
 
 
 #: The scores above which a rule may raise a verdict, without the margin.

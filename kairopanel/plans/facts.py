@@ -66,42 +66,6 @@ def history_metrics(spark, sf_dir) -> DataFrame:
     )
 
 
-#: Statement items of the metrics as shares of the annual sums of nations.
-DERIVED = {
-    "sales": "sales", "operating_profit": "0.5 * operating_profit", "net_profit": "net_profit", "interest": "interest", "borrowings": "borrowings", "expenses": "sales - 0.5 * operating_profit", "other_income": "0.05 * net_profit", "depreciation": "0.1 * operating_profit",
-    "pbt": "1.3 * net_profit", "tax_pct": "25.0 + (sales % 7)", "payout_pct": "sales % 60", "equity_capital": "0.01 * sales", "reserves": "0.8 * sales", "other_liabilities": "0.3 * sales", "total_assets": "1.11 * sales + borrowings", "fixed_assets": "0.5 * sales", "cwip": "0.05 * sales",
-    "investments": "0.1 * borrowings", "other_assets": "0.4 * sales", "cfo": "1.1 * net_profit", "cfi": "-0.8 * net_profit", "fcf": "0.3 * net_profit", "debtor_days": "30 + (sales % 11)", "inventory_days": "40 + (sales % 13)", "payable_days": "35 + (sales % 5)", "roce_pct": "100 * operating_profit / sales", "eps": "net_profit / 1000",
-}
-
-
-def company_frame(spark, sf_dir) -> DataFrame:
-    """Histories of years and quarters of nations, for the metrics."""
-    base = statements.wide(roles.statements(spark, sf_dir).groupBy("symbol", "period_end", "line_item").agg(F.sum("value").alias("value")), ["symbol", "period_end"], [i for _, i, _ in roles.ITEMS])
-
-    def frame(rows: DataFrame, kind: str, n: int) -> DataFrame:
-        held = rows.selectExpr("symbol", "period_end", *[f"CAST({e} AS DOUBLE) AS {c}" for c, e in DERIVED.items()])
-        packed = held.groupBy("symbol").agg(F.sort_array(F.collect_list(F.struct("period_end", *DERIVED))).alias("h")).withColumn("h", F.slice("h", F.greatest(F.size("h") - n + 1, F.lit(1)), n))
-        return packed.select("symbol", F.col("h.period_end").alias(f"{kind}_period"), *[F.col(f"h.{c}").alias(f"{kind}_{c}") for c in DERIVED])
-
-    years = base.groupBy("symbol", F.make_date(F.year("period_end"), F.lit(12), F.lit(31)).alias("period_end")).agg(*[F.sum(i).alias(i) for _, i, _ in roles.ITEMS])
-    both = frame(years, "y", 12).join(frame(base, "q", 13), "symbol")
-    return statements.prepared(both.withColumns({"price": F.lit(100.0), "shares": statements.at(F.col("y_equity_capital"), 1) / 10, "beta": F.lit(1.1)}))
-
-
-@query()
-def company_metrics(spark, sf_dir) -> DataFrame:
-    """All metrics of the framework in long form; each formula is tested by hand."""
-    columns = statements.metric_columns(F.col("symbol") % 5 != 0)
-    found = statements.metrics_long(company_frame(spark, sf_dir), ["symbol"], columns)
-    return found.select("symbol", "metric", R("value", 4).alias("value"), "status")
-
-
-@query()
-def piotroski_score(spark, sf_dir) -> DataFrame:
-    """Seven signals of two years; tested by hand."""
-    return company_frame(spark, sf_dir).select("symbol", statements.f_score(lambda n: F.col(f"y_{n}")).alias("f")).select("symbol", "f.score", "f.known")
-
-
 @query(f"""WITH {roles.TAPE}, b AS (SELECT DISTINCT p_brand AS symbol FROM part), reqs AS (SELECT o_orderkey, 'Brand#' || CAST(1 + o_custkey % 5 AS VARCHAR) || CAST(1 + o_orderkey % 5 AS VARCHAR) AS symbol, CAST(o_orderdate AS DATE) AS d FROM orders)
 SELECT o_orderkey, r.symbol, d, CASE WHEN date_diff('day', trade_date, d) <= 10 THEN round(close, 6) END AS close FROM reqs r ASOF LEFT JOIN tape t ON r.symbol = t.symbol AND r.d >= t.trade_date""")
 def asof_close(spark, sf_dir) -> DataFrame:
@@ -206,14 +170,6 @@ def verdicts_with_hysteresis(spark, sf_dir) -> DataFrame:
     return final.select("as_of", "symbol", "rule", "verdict", "final")
 
 
-@query()
-def flagged_companies(spark, sf_dir) -> DataFrame:
-    """Flags of the metrics of every name; rules are tested by hand."""
-    found = statements.metric_columns(F.col("symbol") % 5 != 0)
-    wide = company_frame(spark, sf_dir).select("symbol", *[c["value"].alias(n) for n, c in found.items()], (F.col("symbol") % 5 == 0).alias("financial"))
-    return wide.select("symbol", F.explode(rating.flags(wide.columns)).alias("f")).select("symbol", "f.code", "f.tier", "f.cap")
-
-
 @query("""WITH g AS (SELECT p_partkey, p_retailprice AS flow, 0.02 * (p_size % 10) AS g, 0.10 + 0.001 * (p_size % 7) AS r FROM part)
 SELECT p_partkey, round(list_sum([flow * pow((1 + g) / (1 + r), t) FOR t IN range(1, 6)]) + list_sum([flow * pow(1 + g, 5) * pow(1 + g + (0.05 - g) * t / 5.0, t) / pow(1 + r, 5 + t) FOR t IN range(1, 6)]) + flow * pow(1 + g, 5) * pow(1.05, 5) * 1.05 / (r - 0.05) / pow(1 + r, 10), 2) AS value FROM g""")
 def two_stage_values(spark, sf_dir) -> DataFrame:
