@@ -17,10 +17,16 @@ def keep_first(df: DataFrame, keys: Sequence[str], order: Sequence[Column | str]
 def known_at(facts: DataFrame, dates: DataFrame, keys: Sequence[str], prefer: Sequence[Column | str] = (), visible: str = "visible_from", as_of: str = "as_of") -> DataFrame:
     """For each date the facts visible by then, one row for each key: the preferred one, else the last to become visible.
 
-    dates is a small table of as-of dates; it is broadcast, as its size doesn't follow the facts'.
+    Each fact is turned into the days on which it, or a better one that came before it, is what is known of its key: so a date meets
+    one row a key, however many facts there are. dates is a small table of as-of dates; it is broadcast.
     """
-    seen = facts.join(F.broadcast(dates.select(as_of)), F.col(visible) <= F.col(as_of))
-    return keep_first(seen, [as_of, *keys], [*prefer, F.col(visible).desc()])
+    by_day = Window.partitionBy(*keys).orderBy(visible)
+    order = F.struct(*[F.col(p) if isinstance(p, str) else p for p in prefer], (-F.unix_date(visible)).alias("__late"), F.struct(*[F.col(c) for c in facts.columns]).alias("__row"))
+    best = F.min(order).over(by_day.rowsBetween(Window.unboundedPreceding, 0))["__row"]
+    spans = facts.select(F.col(visible).alias("__from"), F.lead(visible).over(by_day).alias("__next"), best.alias("__best"))
+    spans = spans.where(F.col("__next").isNull() | (F.col("__next") > F.col("__from")))
+    met = spans.join(F.broadcast(dates.select(as_of)), (F.col("__from") <= F.col(as_of)) & (F.col("__next").isNull() | (F.col("__next") > F.col(as_of))))
+    return met.select("__best.*", as_of)
 
 
 def latest_snapshot(snapshots: DataFrame, dates: DataFrame, snapshot: str, as_of: str = "as_of") -> DataFrame:
@@ -47,6 +53,8 @@ def asof_join(left: DataFrame, right: DataFrame, keys: Sequence[str], left_date:
     no pairs are made. right has one row for each key and date.
     """
     held = [c for c in left.columns if c not in keys]
+    if right_date in values:
+        raise ValueError("values are columns beside the date")
     a = left.select(*keys, F.col(left_date).alias("__d"), F.lit(1).alias("__side"), F.struct(*held).alias("__left"), F.lit(None).cast(right.select(F.struct(F.col(right_date), *values)).schema[0].dataType).alias("__right"))
     b = right.select(*keys, F.col(right_date).alias("__d"), F.lit(0).alias("__side"), F.lit(None).cast(a.schema["__left"].dataType).alias("__left"), F.struct(F.col(right_date), *values).alias("__right"))
     w = Window.partitionBy(*keys).orderBy("__d", "__side").rowsBetween(Window.unboundedPreceding, 0)
@@ -76,3 +84,23 @@ def previous_state(states: DataFrame, keys: Sequence[str], value: str, as_of: st
     dates = states.select(as_of).distinct().withColumn("__before", F.lag(as_of).over(Window.orderBy(as_of)))
     before = states.select(*keys, F.col(as_of).alias("__before"), F.col(value).alias(f"previous_{value}"))
     return states.join(F.broadcast(dates), as_of).join(before, [*keys, "__before"], "left").drop("__before")
+
+
+def month_end_sessions(calendar: DataFrame, date: str = "trade_date") -> DataFrame:
+    """calendar with is_month_end: whether the next session lies in another month; null for the last one, whose next isn't known."""
+    following = F.lead(date).over(Window.orderBy(date))
+    return calendar.withColumn("is_month_end", F.when(following.isNotNull(), F.trunc(following, "month") != F.trunc(date, "month")))
+
+
+def closed_days(first: Column, last: Column, calendar: DataFrame, date: str = "trade_date") -> DataFrame:
+    """(day, kind) of the days between two dates without a session: weekend or holiday."""
+    one = calendar.sparkSession.range(1).select(F.explode(F.sequence(first, last)).alias("day"))
+    kind = F.when(F.dayofweek("day").isin(1, 7), "weekend").otherwise("holiday")
+    return one.join(calendar.select(F.col(date).alias("day")).distinct(), "day", "left_anti").withColumn("kind", kind)
+
+
+def last_sessions(panel: DataFrame, end: Column, n: int, date: str = "trade_date") -> DataFrame:
+    """The rows of the last n sessions of a panel on or before a date."""
+    days = panel.select(date).distinct().where(F.col(date) <= end)
+    some = days.withColumn("__k", F.row_number().over(Window.orderBy(F.desc(date)))).where(F.col("__k") <= n).drop("__k")
+    return panel.join(F.broadcast(some), date)

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
 
 import numpy as np
 import pandas as pd
@@ -10,6 +11,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.scalars import weighted_mean
+from .cross_section import zscore_grouped
 
 #: Bucket weights of the long-horizon variants.
 LONG_WEIGHTS = {
@@ -36,6 +38,32 @@ def variants(df: DataFrame, weights: dict[str, dict[str, float]], least: int = 2
     return df.withColumn("__v", F.explode(scored)).select("*", "__v.variant", "__v.score").drop("__v")
 
 
+def rankable() -> Column:
+    """Two known buckets and no surveillance."""
+    return F.coalesce((F.col("buckets_known") >= 2) & (F.col("in_gsm") == 0) & (F.col("in_asm") == 0), F.lit(False))
+
+
+def eligible(min_turnover: float = 1e7, min_price: float = 20.0, positive_profit: bool = True, least_days: int = 250) -> Column:
+    """Whether a sleeve may hold a name: rankable, not banned, liquid, not too cheap, with a year's history and, if wanted, a profit; unknown counts against it."""
+    at = lambda c, least: F.coalesce(F.col(c), F.lit(0)) >= least
+    fit = rankable() & (F.coalesce(F.col("in_fo_ban"), F.lit(0)) == 0) & at("turnover_med120", min_turnover) & at("close", min_price) & at("history_days", least_days)
+    return fit & (F.coalesce(F.col("pat_ttm"), F.lit(-1.0)) > 0) if positive_profit else fit
+
+
+def short_scores(df: DataFrame, by: Sequence[str], group: str = "industry", weights: dict[str, dict[str, float]] = SHORT_WEIGHTS) -> DataFrame:
+    """df with variant and score: grouped z-scores of mom_1, of the surge of volume of names within 0.05 of their high (0 for others), and of the delivery ratio.
+
+    The ratios are cut to 5. A name without a momentum has no score; an unknown industry is a group of its own.
+    """
+    surge = F.when(F.col("dist_52w_high") >= -0.05, F.least(F.greatest(F.col("vol_ratio_20_120"), F.lit(0.0)), F.lit(5.0))).otherwise(0.0)
+    df = df.withColumns({"__g": F.coalesce(F.col(group).cast("string"), F.lit("UNKNOWN")), "__breakout": surge, "__delivery": F.when(F.col("deliv_ratio").isNotNull(), F.least(F.greatest(F.col("deliv_ratio"), F.lit(0.0)), F.lit(5.0)))})
+    for column, out in (("mom_1", "z_mom_1"), ("__breakout", "z_breakout"), ("__delivery", "z_delivery")):
+        df = zscore_grouped(df, column, by, "__g", out)
+    total = lambda w: F.when(F.col("mom_1").isNotNull(), reduce(lambda a, b: a + b, [x * F.col(c) for c, x in w.items()]))
+    each = F.explode(F.array(*[F.struct(F.lit(v).alias("variant"), total(w).alias("score")) for v, w in weights.items()]))
+    return df.withColumn("__v", each).select("*", "__v.variant", "__v.score").drop("__v", "__g", "__breakout", "__delivery")
+
+
 def ranked(df: DataFrame, by: Sequence[str], key: str = "symbol", score: str = "score") -> DataFrame:
     """With rank from 1 by descending score, ties by key; rows without a score have none."""
     return df.where(F.col(score).isNotNull()).withColumn("rank", F.row_number().over(Window.partitionBy(*by).orderBy(F.desc(score), key)))

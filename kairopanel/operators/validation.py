@@ -9,6 +9,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .asof import asof_join
 from .cross_section import average_rank, deciles
 
 
@@ -24,10 +25,9 @@ def forward_returns(panel: DataFrame, dates: DataFrame, calendar: DataFrame, hor
     ends = ends.withColumn("matured", F.col("__to") <= F.col("__end")).drop("session_no")
     rows = panel.select(key, date, "close").where("close is not null").join(F.broadcast(cal), date).select(key, "session_no", "close")
     start = rows.join(F.broadcast(ends.join(cal.withColumnRenamed(date, "as_of"), "as_of")), "session_no").select(key, "as_of", "__to", "__end", "matured", F.col("close").alias("__first"))
-    # the last price up to the end: rows of a key in order, each with the sessions until its next price
-    w = Window.partitionBy(key).orderBy("session_no")
-    steps = rows.withColumn("__next", F.coalesce(F.lead("session_no").over(w), F.lit(1 << 30)))
-    met = start.join(steps.select(F.col(key), F.col("session_no").alias("__s"), "__next", F.col("close").alias("__last")), key).where("__s <= __to and __to < __next")
+    # the last price up to the end: ends and prices of a key in one sorted run
+    last_price = rows.select(key, "session_no", F.col("close").alias("__last"), F.col("session_no").alias("__s"))
+    met = asof_join(start, last_price, [key], "__to", "session_no", ["__last", "__s"])
     gone = F.col("matured") & (F.col("__to") - F.col("__s") > grace)
     ret = F.try_divide("__last", "__first") * F.when(gone, 1 - haircut).otherwise(1.0) - 1
     return met.select("as_of", key, F.when(F.col("matured"), ret).alias("fwd"), "matured", gone.alias("delisted"))

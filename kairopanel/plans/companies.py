@@ -381,3 +381,12 @@ def component_scores(spark, sf_dir) -> DataFrame:
     """The score and the prior of every component of the catalogue, of every company on every date."""
     found = rating.component_scores(measured_wide(spark, sf_dir), ["as_of"], "profile", catalogue(1))
     return found.select("as_of", "symbol", "component", (R("score", 4) + 0.0).alias("score"), (R("prior", 4) + 0.0).alias("prior"))
+
+
+@query(f"""WITH {_frames_sql()}, {_steps_sql()}, g AS (SELECT as_of, symbol, [{_over("y_net_profit[-1]", "y_total_assets[-1]")} > 0, CASE WHEN NOT lender THEN y_cfo[-1] > 0 END, {_over("y_net_profit[-1]", "y_total_assets[-1]")} > {_over("y_net_profit[-2]", "y_total_assets[-2]")}, CASE WHEN NOT lender THEN y_cfo[-1] > y_net_profit[-1] END,
+    CASE WHEN NOT lender THEN {_over("y_borrowings[-1]", "y_total_assets[-1]")} <= {_over("y_borrowings[-2]", "y_total_assets[-2]")} END, y_equity_capital[-1] <= 1.02 * y_equity_capital[-2], {_over("y_sales[-1]", "y_total_assets[-1]")} > {_over("y_sales[-2]", "y_total_assets[-2]")}] AS l FROM s WHERE len(y_net_profit) >= 2)
+SELECT as_of, symbol, CAST(len([b FOR b IN l IF b]) AS INTEGER) AS score, CAST(list_aggregate(l, 'count') AS INTEGER) AS known FROM g""")
+def piotroski_score(spark, sf_dir) -> DataFrame:
+    """Seven signals of two years, of every company that has them."""
+    found = frames(spark, sf_dir).select("as_of", "symbol", statements.f_score(lambda n: F.col(f"y_{n}"), F.col("profile").isin("BANK", "NBFC_FIN")).alias("f"))
+    return found.where("f is not null").select("as_of", "symbol", "f.score", "f.known")

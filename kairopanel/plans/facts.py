@@ -161,9 +161,13 @@ def pillar_scores(spark, sf_dir) -> DataFrame:
     return rating.pillar_scores(long, ["as_of"]).select("as_of", "symbol", "pillar", R("score", 4).alias("score"))
 
 
-@query()
+@query(f"""WITH RECURSIVE {roles.SUPPLIER_MONTHS}, r AS (SELECT as_of, symbol, roce * 900 AS s, pb * 4 - 0.1 AS mos, row_number() OVER (PARTITION BY symbol ORDER BY as_of) AS k FROM supplier_months), d AS (
+    SELECT *, CASE WHEN s < 35 THEN 'R2' WHEN mos <= -0.25 THEN 'R3' WHEN s < 50 THEN 'R4' WHEN s >= 80 AND mos >= 0.20 THEN 'R5' WHEN s >= 70 AND mos > -0.10 THEN 'R6' WHEN s >= 80 AND mos >= -0.10 AND mos < 0.20 THEN 'R7' WHEN s < 70 OR abs(mos) <= 0.10 THEN 'R8' ELSE 'R9' END AS rule FROM r
+), v AS (SELECT *, CASE rule WHEN 'R2' THEN 0 WHEN 'R3' THEN 1 WHEN 'R4' THEN 1 WHEN 'R5' THEN 4 WHEN 'R6' THEN 3 ELSE 2 END AS n, s >= CASE rule WHEN 'R5' THEN 82 WHEN 'R6' THEN 72 WHEN 'R7' THEN 82 WHEN 'R8' THEN 52 WHEN 'R4' THEN 37 ELSE 0 END AND (rule <> 'R5' OR mos >= 0.23) AS may FROM d
+), walk AS (SELECT symbol, k, n AS f FROM v WHERE k = 1 UNION ALL SELECT v.symbol, v.k, CASE WHEN v.n > walk.f AND NOT v.may THEN walk.f ELSE v.n END FROM walk JOIN v ON v.symbol = walk.symbol AND v.k = walk.k + 1), names AS (SELECT ['SELL', 'TRIM', 'HOLD', 'SPECULATIVE_BUY', 'CONVICTION_BUY'] AS l)
+SELECT as_of, v.symbol AS symbol, rule, l[n + 1] AS verdict, l[f + 1] AS final FROM v JOIN walk USING (symbol, k), names""")
 def verdicts_with_hysteresis(spark, sf_dir) -> DataFrame:
-    """A state passes from date to date: tested by hand."""
+    """A state passes from date to date."""
     rows = roles.supplier_months(spark, sf_dir).select("as_of", "symbol", (F.col("roce") * 900).alias("S"), (F.col("pb") * 4 - 0.1).alias("mos"))
     decided = rows.withColumn("d", rating.decide(F.col("S"), F.col("mos"), F.lit("HIGH"), F.array().cast("array<struct<code:string,tier:string,cap:string>>"), F.lit(True), F.lit(None).cast("double")))
     final = rating.with_hysteresis(decided.select("as_of", "symbol", "S", "mos", "d.rule", "d.verdict"), ["symbol"])

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions.scalars import action_factor
 from ..operators import adjust, asof, cross_section, portfolio, rolling, selection, validation
+from ..sources.scratch import written
 from . import roles
 from .registry import query
 
@@ -41,11 +42,12 @@ PRICE_FEATURES = f"""WITH {roles.PANEL}, a AS (
 )"""
 
 
-@query(PRICE_FEATURES + f" SELECT symbol, trade_date AS as_of, history_days, round(adv20, 4) AS adv20, round(turnover_med120, 4) AS turnover_med120, {', '.join(f'round({f}, 6) AS {f}' for f in FEATURES)} FROM f JOIN month_ends ON trade_date = as_of WHERE close IS NOT NULL")
+@query(PRICE_FEATURES + f" SELECT symbol, trade_date AS as_of, history_days, round(adv20, 6) AS adv20, round(turnover_med120, 4) AS turnover_med120, {', '.join(f'round({f}, 6) AS {f}' for f in FEATURES)} FROM f JOIN month_ends ON trade_date = as_of WHERE close IS NOT NULL")
 def price_features(spark, sf_dir) -> DataFrame:
-    found = rolling.price_features(roles.panel(spark, sf_dir))
-    at = found.join(F.broadcast(roles.month_ends(spark, sf_dir)), F.col("trade_date") == F.col("as_of"))
-    return at.where("close is not null").select("symbol", "as_of", "history_days", R("adv20", 4).alias("adv20"), R("turnover_med120", 4).alias("turnover_med120"), *[R(f).alias(f) for f in FEATURES])
+    tape = roles.market(spark, sf_dir)
+    found = rolling.price_features(roles.panel(tape))
+    at = found.join(F.broadcast(roles.month_ends(tape)), F.col("trade_date") == F.col("as_of"))
+    return at.where("close is not null").select("symbol", "as_of", "history_days", R("adv20").alias("adv20"), R("turnover_med120", 4).alias("turnover_med120"), *[R(f).alias(f) for f in FEATURES])
 
 
 @query(f"""WITH {roles.PANEL} SELECT symbol, trade_date, round((below + (same + 1) / 2.0) / n, 6) AS volume_rank, round(worst, 6) AS drawdown FROM (
@@ -55,8 +57,9 @@ def price_features(spark, sf_dir) -> DataFrame:
     JOIN month_ends ON trade_date = as_of WHERE volume IS NOT NULL)""")
 def rolling_rank_and_drawdown(spark, sf_dir) -> DataFrame:
     w = rolling.frame("symbol", "session_no", 30)
-    rows = roles.panel(spark, sf_dir).select("symbol", "trade_date", "volume", rolling.rolling_rank(F.col("volume"), w, 1).alias("r"), rolling.drawdown_in(F.collect_list("close").over(w)).alias("d"))
-    at = rows.join(F.broadcast(roles.month_ends(spark, sf_dir)), F.col("trade_date") == F.col("as_of")).where("volume is not null")
+    tape = roles.market(spark, sf_dir)
+    rows = roles.panel(tape).select("symbol", "trade_date", "volume", rolling.rolling_rank(F.col("volume"), w, 1).alias("r"), rolling.drawdown_in(F.collect_list("close").over(w)).alias("d"))
+    at = rows.join(F.broadcast(roles.month_ends(tape)), F.col("trade_date") == F.col("as_of")).where("volume is not null")
     return at.select("symbol", "trade_date", R("r").alias("volume_rank"), R("d").alias("drawdown"))
 
 
@@ -87,9 +90,9 @@ UNIVERSE = f"""{roles.TAPE}, {roles.INDUSTRIES}, ends AS (SELECT as_of, session_
 
 def universe(spark, sf_dir) -> DataFrame:
     """Names by date with enough sessions, history, price and turnover; all dates in one job."""
-    rows = roles.tape(spark, sf_dir)
+    rows = roles.market(spark, sf_dir)
     calendar = asof.sessions(rows)
-    ends = roles.month_ends(spark, sf_dir).join(calendar.withColumnRenamed("trade_date", "as_of"), "as_of").select("as_of", F.col("session_no").alias("e"))
+    ends = roles.month_ends(rows).join(calendar.withColumnRenamed("trade_date", "as_of"), "as_of").select("as_of", F.col("session_no").alias("e"))
     held = rows.join(F.broadcast(calendar), "trade_date").withColumn("history_days", F.count("*").over(Window.partitionBy("symbol").orderBy("trade_date").rowsBetween(Window.unboundedPreceding, 0)))
     met = held.join(F.broadcast(ends), F.col("session_no").between(F.col("e") - 119, F.col("e")))
     last = F.max_by(F.struct("close", "history_days"), "trade_date")
@@ -158,23 +161,53 @@ def ranked_composites(spark, sf_dir) -> DataFrame:
     return top.select("as_of", "symbol", "variant", R("score", 4).alias("score"))
 
 
-def held_names(spark, sf_dir) -> DataFrame:
-    scored = selection.ranked(roles.supplier_months(spark, sf_dir).withColumn("score", F.col("turnover")), ["as_of"])
-    return selection.select_with_hysteresis(scored.withColumn("sleeve", F.lit("long")), ["sleeve"], n=10)
+#: Sleeves of suppliers: in each region the largest by turnover, and those with the most lines.
+_SLEEVES = {"turnover": "turnover", "lines": "beta_250 * 1000 + turnover / 1e6"}
 
 
-@query()
+def held_names(spark, sf_dir) -> DataFrame:
+    rows = roles.supplier_months(spark, sf_dir)
+    each = F.explode(F.array(*[F.struct(F.lit(s).alias("sleeve"), F.expr(e).alias("score")) for s, e in _SLEEVES.items()]))
+    rows = rows.select("as_of", "symbol", "industry", each.alias("s")).select("as_of", "symbol", "industry", "s.*")
+    return selection.select_with_hysteresis(selection.ranked(rows, ["sleeve", "industry", "as_of"]), ["sleeve", "industry"], n=8)
+
+
+@query(f"""WITH RECURSIVE {roles.SUPPLIER_MONTHS}, sc AS (SELECT as_of, symbol, industry, 'turnover' AS sleeve, turnover AS score FROM supplier_months UNION ALL SELECT as_of, symbol, industry, 'lines', beta_250 * 1000 + turnover / 1e6 FROM supplier_months),
+r AS (SELECT sleeve, industry, as_of, symbol, row_number() OVER (PARTITION BY sleeve, industry, as_of ORDER BY score DESC, symbol) AS rank FROM sc), d AS (
+    SELECT sleeve, industry, as_of, list({{'s': symbol, 'r': rank}} ORDER BY rank) AS names, row_number() OVER (PARTITION BY sleeve, industry ORDER BY as_of) AS k FROM r WHERE rank <= 12 GROUP BY sleeve, industry, as_of
+), walk AS (
+    SELECT sleeve, industry, as_of, k, names[1:8] AS held, []::BIGINT[] AS old FROM d WHERE k = 1 UNION ALL
+    SELECT d.sleeve, d.industry, d.as_of, d.k, list_concat([n FOR n IN d.names IF list_contains([h.s FOR h IN walk.held], n.s)], list_slice([n FOR n IN d.names IF NOT list_contains([h.s FOR h IN walk.held], n.s)], 1, 8 - len([n FOR n IN d.names IF list_contains([h.s FOR h IN walk.held], n.s)]))), [h.s FOR h IN walk.held]
+    FROM walk JOIN d ON d.sleeve = walk.sleeve AND d.industry = walk.industry AND d.k = walk.k + 1
+) SELECT sleeve, industry, as_of, n.s AS symbol, CAST(n.r AS INTEGER) AS rank, list_contains(old, n.s) AS kept FROM (SELECT *, unnest(held) AS n FROM walk)""")
 def hysteresis_selection(spark, sf_dir) -> DataFrame:
-    """Sequential over dates: tested by hand."""
-    return held_names(spark, sf_dir)
+    """Names held through time, in sleeves of regions."""
+    return held_names(spark, sf_dir).select("sleeve", "industry", "as_of", "symbol", F.col("rank").cast("int").alias("rank"), "kept")
 
 
 @query()
 def capped_inverse_vol_weights(spark, sf_dir) -> DataFrame:
     """Iterative: tested by hand."""
-    names = held_names(spark, sf_dir).select("as_of", "symbol")
+    names = held_names(spark, sf_dir).select("sleeve", "as_of", "symbol")
     rows = names.join(roles.supplier_months(spark, sf_dir).select("as_of", "symbol", (F.col("vol_250") / 10).alias("vol_60"), F.col("industry").cast("string").alias("industry")), ["as_of", "symbol"])
-    return selection.inverse_vol_weights(rows, ["as_of"], name_cap=0.15, industry_cap=0.4).select("as_of", "symbol", R("weight").alias("weight"))
+    return selection.inverse_vol_weights(rows, ["sleeve", "as_of"], name_cap=0.05, industry_cap=0.22).select("sleeve", "as_of", "symbol", R("weight").alias("weight"))
+
+
+_SHORT = f"""{roles.SUPPLIER_MONTHS}, x AS (SELECT as_of, symbol, industry, roce AS mom_1, CASE WHEN dist_52w_high / 30 - 1 >= -0.05 THEN least(greatest(accruals * 50, 0), 5) ELSE 0 END AS surge, least(greatest(pb * 60, 0), 5) AS deliv, turnover, vol_250 FROM supplier_months),
+xl AS (UNPIVOT x ON mom_1, surge, deliv INTO NAME c VALUE v), m AS (SELECT *, median(v) OVER (PARTITION BY as_of, c) AS md FROM xl)"""
+
+
+@query(f"""WITH {_SHORT}, z AS (SELECT *, greatest(least(CASE WHEN count(v) OVER g >= 8 THEN (v - avg(v) OVER g) / nullif(stddev_pop(v) OVER g, 0) ELSE (v - avg(v) OVER a) / nullif(stddev_pop(v) OVER a, 0) END, 4), -4) AS z FROM xl WINDOW g AS (PARTITION BY as_of, industry, c), a AS (PARTITION BY as_of, c)),
+w AS (SELECT as_of, symbol, turnover, vol_250, max(z) FILTER (WHERE c = 'mom_1') AS m, max(z) FILTER (WHERE c = 'surge') AS b, max(z) FILTER (WHERE c = 'deliv') AS d FROM z GROUP BY ALL), v AS (SELECT *, unnest(['base', 'breakout_tilt', 'flow_tilt']) AS variant, unnest([0.40, 0.30, 0.30]) AS wm, unnest([0.30, 0.45, 0.25]) AS wb, unnest([0.30, 0.25, 0.45]) AS wd FROM w)
+SELECT as_of, symbol, variant, round(wm * m + wb * b + wd * d, 4) + 0 AS score FROM v WHERE turnover >= 100000 AND vol_250 < 5""")
+def short_horizon_scores(spark, sf_dir) -> DataFrame:
+    """Momentum, breakouts near the high and deliveries, by three variants, of the eligible names."""
+    x = roles.supplier_months(spark, sf_dir).select(
+        "as_of", "symbol", "industry", F.col("roce").alias("mom_1"), (F.col("dist_52w_high") / 30 - 1).alias("dist_52w_high"), (F.col("accruals") * 50).alias("vol_ratio_20_120"), (F.col("pb") * 60).alias("deliv_ratio"), F.col("turnover").alias("turnover_med120"),
+        F.lit(3).alias("buckets_known"), F.lit(0).alias("in_gsm"), (F.col("vol_250") >= 5).cast("int").alias("in_asm"), F.lit(0).alias("in_fo_ban"), F.lit(100.0).alias("close"), F.lit(300).alias("history_days"),
+    )
+    found = selection.short_scores(x, ["as_of"]).where(selection.eligible(min_turnover=100_000.0, positive_profit=False))
+    return found.select("as_of", "symbol", "variant", (R("score", 4) + 0.0).alias("score"))
 
 
 @query(f"WITH {roles.ACTIONS} SELECT symbol, ex_date, round(factor, 6) AS factor FROM factors")
@@ -224,22 +257,22 @@ FORWARD = f"""{roles.PANEL}, ends AS (SELECT as_of, session_no AS s, session_no
 )"""
 
 
-def forward(spark, sf_dir) -> DataFrame:
-    panel = roles.panel(spark, sf_dir)
-    return validation.forward_returns(panel, roles.month_ends(spark, sf_dir), asof.sessions(roles.tape(spark, sf_dir)), 60)
+def forward(tape: DataFrame) -> DataFrame:
+    return validation.forward_returns(tape, roles.month_ends(tape), asof.sessions(tape), 60)
 
 
 @query(f"WITH {FORWARD} SELECT as_of, symbol, matured, delisted, round(fwd, 6) AS fwd FROM forward")
 def forward_returns(spark, sf_dir) -> DataFrame:
-    return forward(spark, sf_dir).select("as_of", "symbol", "matured", "delisted", R("fwd").alias("fwd"))
+    return forward(roles.market(spark, sf_dir)).select("as_of", "symbol", "matured", "delisted", R("fwd").alias("fwd"))
 
 
 SCORED = f"{FORWARD}, scored AS (SELECT as_of, f.symbol, t.volume AS score, fwd FROM forward f JOIN tape t ON t.symbol = f.symbol AND t.trade_date = f.as_of WHERE fwd IS NOT NULL)"
 
 
 def scored(spark, sf_dir) -> DataFrame:
-    now = roles.tape(spark, sf_dir).select("symbol", F.col("trade_date").alias("as_of"), F.col("volume").alias("score"))
-    return forward(spark, sf_dir).where("fwd is not null").join(now, ["as_of", "symbol"]).select("as_of", "symbol", "score", "fwd")
+    tape = roles.market(spark, sf_dir)
+    now = tape.select("symbol", F.col("trade_date").alias("as_of"), F.col("volume").alias("score"))
+    return forward(tape).where("fwd is not null").join(now, ["as_of", "symbol"]).select("as_of", "symbol", "score", "fwd")
 
 
 IC = f"""{SCORED}, ranks AS (SELECT as_of, rank() OVER (PARTITION BY as_of ORDER BY score) + (count(*) OVER (PARTITION BY as_of, score) - 1) / 2.0 AS a, rank() OVER (PARTITION BY as_of ORDER BY fwd) + (count(*) OVER (PARTITION BY as_of, fwd) - 1) / 2.0 AS b FROM scored),
@@ -301,15 +334,15 @@ WEIGHTS = f"""{roles.PANEL}, rets AS (SELECT symbol, trade_date, close / lag(clo
     SELECT 'top' AS sleeve, as_of, symbol, 0.18 AS weight FROM month_ends JOIN tape ON trade_date = as_of QUALIFY row_number() OVER (PARTITION BY as_of ORDER BY turnover DESC, symbol) <= 5)"""
 
 
-def weights(spark, sf_dir) -> DataFrame:
-    now = roles.tape(spark, sf_dir).join(F.broadcast(roles.month_ends(spark, sf_dir)), F.col("trade_date") == F.col("as_of"))
+def weights(tape: DataFrame) -> DataFrame:
+    now = tape.join(F.broadcast(roles.month_ends(tape)), F.col("trade_date") == F.col("as_of"))
     top = selection.ranked(now.select("as_of", "symbol", F.col("turnover").alias("score")), ["as_of"]).where("rank <= 5")
     return top.select(F.lit("top").alias("sleeve"), "as_of", "symbol", F.lit(0.18).alias("weight"))
 
 
-def daily_returns(spark, sf_dir) -> DataFrame:
+def daily_returns(tape: DataFrame) -> DataFrame:
     w = Window.partitionBy("symbol").orderBy("trade_date")
-    return roles.tape(spark, sf_dir).select("symbol", "trade_date", (F.try_divide(F.col("close"), F.lag("close").over(w)) - 1).alias("ret"))
+    return tape.select("symbol", "trade_date", (F.try_divide(F.col("close"), F.lag("close").over(w)) - 1).alias("ret"))
 
 
 PORTFOLIO = f"""{WEIGHTS}, spans AS (SELECT as_of, lead(as_of) OVER (ORDER BY as_of) AS u FROM (SELECT DISTINCT as_of FROM weights)), held AS (
@@ -318,14 +351,14 @@ PORTFOLIO = f"""{WEIGHTS}, spans AS (SELECT as_of, lead(as_of) OVER (ORDER BY as
 ), val AS (SELECT as_of, trade_date, sum(weight * g) + 1 - sum(weight) AS v FROM held GROUP BY ALL), port AS (SELECT trade_date, round(v / coalesce(lag(v) OVER (PARTITION BY as_of ORDER BY trade_date), 1) - 1, 9) AS ret FROM val)"""
 
 
-def portfolio_of(spark, sf_dir) -> DataFrame:
-    found = portfolio.portfolio_returns(weights(spark, sf_dir), daily_returns(spark, sf_dir), ["sleeve"], asof.sessions(roles.tape(spark, sf_dir)))
+def portfolio_of(tape: DataFrame) -> DataFrame:
+    found = portfolio.portfolio_returns(weights(tape), daily_returns(tape), ["sleeve"], asof.sessions(tape))
     return found.withColumn("ret", R("ret", 9))
 
 
 @query(f"WITH {PORTFOLIO} SELECT trade_date, round(ret, 6) + 0 AS ret FROM port")
 def portfolio_returns(spark, sf_dir) -> DataFrame:
-    return portfolio_of(spark, sf_dir).select("trade_date", (R("ret") + 0.0).alias("ret"))
+    return portfolio_of(roles.market(spark, sf_dir)).select("trade_date", (R("ret") + 0.0).alias("ret"))
 
 
 @query(f"""WITH {PORTFOLIO}, bench AS (SELECT trade_date, avg(ret) AS b FROM rets GROUP BY trade_date), x AS (SELECT trade_date, ret, coalesce(b, 0) AS b, exp(sum(ln(1 + ret)) OVER (ORDER BY trade_date ROWS UNBOUNDED PRECEDING)) AS v FROM port LEFT JOIN bench USING (trade_date)), y AS (
@@ -333,8 +366,9 @@ def portfolio_returns(spark, sf_dir) -> DataFrame:
 SELECT count(*) AS n, round(stddev_samp(ret) * sqrt(252), 4) AS vol, round(avg(e) / stddev_samp(ret) * sqrt(252), 4) AS sharpe, round(avg(e) / stddev_samp(e) FILTER (WHERE e < 0) * sqrt(252), 4) AS sortino, round(min(dd), 4) AS max_drawdown, round(avg(CASE WHEN ret > 0 THEN 1.0 ELSE 0 END), 4) AS hit,
     round(stddev_samp(ret - b) * sqrt(252), 4) AS tracking_error, round(covar_samp(ret, b) / var_samp(b), 4) AS beta FROM y""")
 def performance_statistics(spark, sf_dir) -> DataFrame:
-    bench = daily_returns(spark, sf_dir).groupBy("trade_date").agg(F.avg("ret").alias("bench"))
-    rows = portfolio_of(spark, sf_dir).join(bench, "trade_date", "left").fillna(0.0, ["bench"])
+    tape = roles.market(spark, sf_dir)
+    bench = daily_returns(tape).groupBy("trade_date").agg(F.avg("ret").alias("bench"))
+    rows = portfolio_of(tape).join(bench, "trade_date", "left").fillna(0.0, ["bench"])
     found = portfolio.performance(rows, ["sleeve"], bench="bench")
     return found.select("n", *[R(c, 4).alias(c) for c in ("vol", "sharpe", "sortino", "max_drawdown", "hit", "tracking_error", "beta")])
 
@@ -344,8 +378,9 @@ def performance_statistics(spark, sf_dir) -> DataFrame:
 SELECT o.as_of, o.symbol, round(weight - before, 6) AS change, round(CASE WHEN v > 0 THEN 20 + v * 0.001 + v * 0.0000297 + v * 1e-6 + CASE WHEN buy THEN v * 0.00015 ELSE 15.34 END + (20 + v * 0.0000297 + v * 1e-6) * 0.18
     + v * least(100, 10 + 50 * sqrt(coalesce(v / CASE WHEN turnover > 0 THEN turnover END, 0.05))) / 1e4 END, 4) AS cost FROM o LEFT JOIN tape t ON t.symbol = o.symbol AND t.trade_date = o.as_of""")
 def turnover_and_cost(spark, sf_dir) -> DataFrame:
-    moved = portfolio.turnover(weights(spark, sf_dir), ["sleeve"])
-    adv = roles.tape(spark, sf_dir).select("symbol", F.col("trade_date").alias("as_of"), "turnover")
+    tape = roles.market(spark, sf_dir)
+    moved = portfolio.turnover(weights(tape), ["sleeve"])
+    adv = tape.select("symbol", F.col("trade_date").alias("as_of"), "turnover")
     cost = portfolio.order_cost(F.abs("change") * 1e7, F.col("change") > 0, F.col("turnover"))
     return moved.join(adv, ["symbol", "as_of"], "left").select("as_of", "symbol", R("change").alias("change"), R(cost["total"], 4).alias("cost"))
 
@@ -362,14 +397,14 @@ def total_return_benchmark(spark, sf_dir) -> DataFrame:
 ), best AS (SELECT * FROM tr WHERE s IS NOT NULL QUALIFY row_number() OVER (PARTITION BY year ORDER BY s DESC, symbol) = 1)
 SELECT b.year, b.symbol, round(s, 6) AS train_sharpe, count(*) AS oos_n, round(avg(r), 6) AS oos_mean FROM best b JOIN rets ON rets.symbol = b.symbol AND year(trade_date) = b.year GROUP BY ALL""")
 def walk_forward_choice(spark, sf_dir) -> DataFrame:
-    found = validation.walk_forward(daily_returns(spark, sf_dir), "symbol", "ret", "trade_date")
+    found = validation.walk_forward(daily_returns(roles.market(spark, sf_dir)), "symbol", "ret", "trade_date")
     return found.select("year", "symbol", R("train_sharpe").alias("train_sharpe"), "oos_n", R("oos_mean").alias("oos_mean"))
 
 
 @query()
 def deflated_sharpe_ratios(spark, sf_dir) -> DataFrame:
     """The normal distribution isn't in SQL: tested by hand."""
-    r = daily_returns(spark, sf_dir).where("ret is not null")
+    r = daily_returns(roles.tape(spark, sf_dir)).where("ret is not null")
     stats = r.groupBy("symbol").agg(F.count("*").alias("n"), F.avg("ret").alias("mean"), F.stddev_samp("ret").alias("sd"), F.skewness("ret").alias("skew"), (F.kurtosis("ret") + 3).alias("kurtosis"))
     return validation.deflated_sharpe(stats).select("symbol", "n", R("sr").alias("sr"), R("sr0").alias("sr0"), R("dsr").alias("dsr"))
 
@@ -379,9 +414,10 @@ def deflated_sharpe_ratios(spark, sf_dir) -> DataFrame:
 SELECT year(as_of) AS year, count(*) FILTER (WHERE status <> 'pending') AS matured, CASE WHEN count(*) FILTER (WHERE status <> 'pending') >= 20 THEN round(avg(CASE WHEN status = 'hit' THEN 1.0 ELSE 0 END) FILTER (WHERE status <> 'pending'), 6) END AS hit_rate,
     CASE WHEN count(*) FILTER (WHERE status <> 'pending') >= 20 THEN round(avg(fwd - bench) FILTER (WHERE status <> 'pending'), 6) + 0 END AS mean_excess FROM led GROUP BY 1""")
 def prospective_ledger(spark, sf_dir) -> DataFrame:
-    outcomes = forward(spark, sf_dir)
+    tape = roles.market(spark, sf_dir)
+    outcomes = written(forward(tape))
     bench = outcomes.groupBy("as_of").agg(F.avg("fwd").alias("bench"))
-    now = roles.tape(spark, sf_dir).select("symbol", F.col("trade_date").alias("as_of"), F.col("turnover").alias("score"))
+    now = tape.select("symbol", F.col("trade_date").alias("as_of"), F.col("turnover").alias("score"))
     top = selection.ranked(outcomes.select("as_of", "symbol").join(now, ["as_of", "symbol"]), ["as_of"]).where("rank <= 5").select("as_of", "symbol")
     ledger = validation.publish(top, top.limit(0), ["as_of", "symbol"])
     done = validation.mature(ledger, outcomes.join(bench, "as_of"), ["as_of", "symbol"]).withColumn("year", F.year("as_of"))

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators.asof import densify, keep_first, last_session_of, sessions
+from ..sources.scratch import written
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -33,9 +34,13 @@ TAPE = """tape AS (
 )"""
 
 
-def panel(spark: SparkSession, sf_dir: str) -> DataFrame:
+def market(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The tape, written once: a query that also needs its calendar, spans or month ends reads lines and parts once."""
+    return written(tape(spark, sf_dir))
+
+
+def panel(rows: DataFrame) -> DataFrame:
     """The tape with a row for each symbol and session between its first and last one, and session_no."""
-    rows = tape(spark, sf_dir)
     return densify(rows, sessions(rows), "symbol")
 
 
@@ -50,8 +55,8 @@ PANEL = (
 )
 
 
-def month_ends(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return last_session_of(sessions(tape(spark, sf_dir)), "month").select("as_of")
+def month_ends(rows: DataFrame) -> DataFrame:
+    return last_session_of(sessions(rows), "month").select("as_of")
 
 
 def industries(spark: SparkSession, sf_dir: str) -> DataFrame:
