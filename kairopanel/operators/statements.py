@@ -285,9 +285,10 @@ def _pricing_power(y: Callable[[str], Column], opm: Column) -> Column:
 
 
 def metrics_long(df: DataFrame, keys: Sequence[str], columns: dict[str, Column]) -> DataFrame:
-    """(keys, metric, value, status) of a prepared frame, a row for each metric."""
-    rows = F.explode(F.array(*[F.struct(F.lit(n).alias("metric"), c["value"].alias("value"), c["status"].alias("status")) for n, c in columns.items()]))
-    return df.select(*keys, rows.alias("__m")).select(*keys, "__m.*")
+    """(keys, metric, value, status) of a prepared frame, a row for each metric; each is computed once, whatever is read of it."""
+    held = df.select(*keys, *[c.alias(f"__{n}") for n, c in columns.items()])
+    rows = F.explode(F.array(*[F.struct(F.lit(n).alias("metric"), F.col(f"__{n}").alias("m")) for n in columns]))
+    return held.select(*keys, rows.alias("__m")).select(*keys, "__m.metric", "__m.m.value", "__m.m.status")
 
 
 def f_score(y: Callable[[str], Column], bank: Column | None = None) -> Column:

@@ -65,11 +65,11 @@ def frames(spark, sf_dir) -> DataFrame:
 
 
 def measured(spark, sf_dir) -> tuple[DataFrame, dict]:
-    """The frames with the steps of all metrics, and the metrics as columns."""
+    """The frames with the steps of all metrics, each written once, and the metrics as columns."""
     company = ~F.col("profile").isin("BANK", "NBFC_FIN")
     base = statements.metric_columns(company)
-    df = statements.prepared(frames(spark, sf_dir))
-    df = valuation.valued(df, base["fundamental_growth"]["value"])
+    df = written(statements.prepared(frames(spark, sf_dir)))
+    df = written(valuation.valued(df, base["fundamental_growth"]["value"]))
     df = df.withColumn("net_debt_ebitda", base["net_debt_ebitda"]["value"])
     return df, base | valuation.valuation_columns() | valuation.filing_columns()
 
