@@ -251,10 +251,10 @@ def dividend_value(dividend: Column, coe: Column, growth: Column) -> Column:
     return F.when((coe > growth) & (dividend > 0), dividend / (coe - growth))
 
 
-def month_ranges(start: Column, end: Column) -> Column:
-    """Array of (first, last) of the calendar months between two dates, the first and last one cut."""
-    firsts = F.sequence(F.trunc(start, "month"), F.trunc(end, "month"), F.expr("interval 1 month"))
-    return F.when(start <= end, F.transform(firsts, lambda d: F.struct(F.greatest(d.cast("date"), start).alias("first"), F.least(F.last_day(d.cast("date")), end).alias("last"))))
+def day_ranges(start: Column, end: Column, days: int = 31) -> Column:
+    """Array of (first, last) of the runs of so many days between two dates; the last one ends with them."""
+    firsts = F.sequence(start, end, F.expr(f"interval {days} days"))
+    return F.when(start <= end, F.transform(firsts, lambda d: F.struct(d.alias("first"), F.least(F.date_add(d, days - 1), end).alias("last"))))
 
 
 def gates_of_tier(gates: Column, tier: str) -> Column:

@@ -171,7 +171,7 @@ def filing_columns() -> dict[str, Column]:
 def share_growth(capital: Column, profit: Column) -> Column:
     """Growth a year of an array of yearly capitals, in which a rise by half or more without a fall of the profit is a bonus issue and counts as none.
 
-    Unknown and non-positive values are left out; two have to be left. A bonus is taken off its year alone, as in the series it comes from.
+    Each year is compared with the one before as it counts, not as it was. Unknown and non-positive values are left out; two have to be left.
     """
     rows = F.arrays_zip(capital.alias("c"), profit.alias("p"))
 

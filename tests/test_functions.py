@@ -60,7 +60,7 @@ def test_numbers(spark):
     assert one(spark, S.implied_growth(F.lit(1.0), F.lit(100.0), F.lit(0.12), F.lit(0.05))) is None and one(spark, S.implied_growth(F.lit(-1.0), F.lit(100.0), F.lit(0.12), F.lit(0.05))) is None
     assert one(spark, S.earnings_power(F.lit(12.0), F.lit(0.1))) == pytest.approx(120) and one(spark, S.dividend_value(F.lit(5.0), F.lit(0.12), F.lit(0.02))) == pytest.approx(50)
     assert one(spark, S.justified_pb(F.lit(0.2), F.lit(0.12), F.lit(0.05))) == pytest.approx(0.15 / 0.07) and one(spark, S.justified_pb(F.lit(0.2), F.lit(0.05), F.lit(0.05))) is None
-    months = one(spark, S.month_ranges(F.lit(dt.date(2023, 12, 15)), F.lit(dt.date(2024, 2, 10))))
-    assert [(m["first"], m["last"]) for m in months] == [(dt.date(2023, 12, 15), dt.date(2023, 12, 31)), (dt.date(2024, 1, 1), dt.date(2024, 1, 31)), (dt.date(2024, 2, 1), dt.date(2024, 2, 10))]
+    runs = one(spark, S.day_ranges(F.lit(dt.date(2023, 12, 15)), F.lit(dt.date(2024, 2, 10))))
+    assert [(r["first"], r["last"]) for r in runs] == [(dt.date(2023, 12, 15), dt.date(2024, 1, 14)), (dt.date(2024, 1, 15), dt.date(2024, 2, 10))] and one(spark, S.day_ranges(F.lit(dt.date(2024, 1, 2)), F.lit(dt.date(2024, 1, 1)))) is None
     assert one(spark, S.gates_of_tier(F.col("t"), "HARD"), t='[{"code": "a", "tier": "HARD"}, {"tier": "SOFT"}]') == 1 and one(spark, S.gates_of_tier(F.col("t"), "HARD"), t="no json") == 0
     assert one(spark, S.two_stage_value(F.lit(100.0), F.lit(0.1), F.lit(0.04), F.lit(0.05))) is None and not math.isnan(value)
