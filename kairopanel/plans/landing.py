@@ -182,3 +182,47 @@ def adverse_events(spark, sf_dir) -> DataFrame:
     subject = F.element_at(F.array(*[F.lit(w) for w in _WORDS]), (1 + F.col("o_orderkey") % 8).cast("int"))
     rows = o.select(F.col("o_custkey").alias("symbol"), F.col("d").alias("ann_dt"), subject.alias("subject"), F.lit(None).cast("string").alias("details"))
     return ownership.adverse_events(rows, _dates(spark, sf_dir))
+
+
+_QUARTERS = """q AS (SELECT o_custkey % 100 AS k, last_day(CAST(date_trunc('quarter', o_orderdate) AS DATE) + INTERVAL 2 MONTH) AS period_end, CAST(round(sum(o_totalprice), 2) AS DOUBLE) AS sales, count(*) AS orders FROM orders GROUP BY ALL)"""
+
+
+def _quarters(spark, sf_dir) -> DataFrame:
+    rows = _orders(spark, sf_dir).groupBy((F.col("o_custkey") % 100).alias("k"), F.last_day(F.add_months(F.trunc("d", "quarter"), 2)).alias("period_end")).agg(F.round(F.sum("o_totalprice"), 2).alias("sales"), F.count("*").alias("orders"))
+    return rows
+
+
+@query(f"""WITH {_QUARTERS} SELECT k AS page_id, 'quarters' AS stmt, period_end, 'net_sales_pct' AS line_item, sales AS value FROM q UNION ALL SELECT k, 'quarters', period_end, 'orders_and_more', CAST(orders AS DOUBLE) FROM q WHERE orders % 5 <> 0""")
+def landed_page_statements(spark, sf_dir) -> DataFrame:
+    """Statements of pages: tables with a column a period, labels with marks, separators and missing cells; a page a company."""
+    from ..sources import documents
+
+    rows = _quarters(spark, sf_dir)
+    cell = lambda x: F.concat(F.lit("<td> "), x, F.lit("</td>"))
+    held = rows.groupBy("k").agg(F.array_sort(F.collect_list(F.struct("period_end", "sales", "orders"))).alias("x"))
+    row = lambda label, f: F.concat(F.lit(f"<tr><td>{label}</td>"), F.array_join(F.transform("x", f), ""), F.lit("</tr>\n"))
+    heads = F.concat(F.lit("<tr><th></th>"), F.array_join(F.transform("x", lambda r: F.concat(F.lit("<th>"), F.date_format(r["period_end"], "MMM yyyy"), F.lit("</th>"))), ""), F.lit("</tr>"))
+    html = F.concat(F.lit("<html><body><p>text</p><section id='quarters'><table>"), heads, row("Net Sales %", lambda r: cell(F.format_number(r["sales"], 2))), row("Orders &amp; more", lambda r: cell(F.when(r["orders"] % 5 == 0, "-").otherwise(r["orders"].cast("string")))), F.lit("</table></section></body></html>"))
+    path = shared_folder(spark)
+    held.select(F.col("k").alias("page_id"), html.alias("html")).write.parquet(path)
+    cells = documents.page_cells(spark.read.parquet(path))
+    return documents.page_statements(cells)
+
+
+@query(f"""WITH {_QUARTERS} SELECT k, 'Revenue' AS tag, CAST(date_trunc('quarter', period_end) AS DATE) AS period_start, period_end, 'Q' AS kind, '' AS dims, -2 AS decimals, sales AS value FROM q UNION ALL SELECT k, 'Orders', NULL, period_end, 'I', 'Segment=A' || k % 3, 0, CAST(orders AS DOUBLE) FROM q""")
+def landed_filings(spark, sf_dir) -> DataFrame:
+    """Facts of XML filings with contexts of spans and instants and a dimension; a file a company."""
+    from ..sources import documents
+
+    held = _quarters(spark, sf_dir).groupBy("k").agg(F.array_sort(F.collect_list(F.struct("period_end", "sales", "orders"))).alias("x"))
+    day = lambda c: F.date_format(c, "yyyy-MM-dd")
+    n = lambda r: day(r["period_end"])
+    contexts = F.transform("x", lambda r: F.concat(
+        F.lit('<context id="D'), n(r), F.lit('"><period><startDate>'), day(F.trunc(r["period_end"], "quarter")), F.lit("</startDate><endDate>"), n(r), F.lit('</endDate></period></context><context id="I'), n(r),
+        F.lit('"><scenario><explicitMember dimension="x:Segment">x:A'), (F.col("k") % 3).cast("string"), F.lit("</explicitMember></scenario><period><instant>"), n(r), F.lit("</instant></period></context>"),
+    ))
+    facts = F.transform("x", lambda r: F.concat(F.lit('<x:Revenue contextRef="D'), n(r), F.lit('" unitRef="u" decimals="-2">'), F.format_number(r["sales"], 2), F.lit('</x:Revenue><x:Orders contextRef="I'), n(r), F.lit('" decimals="0">'), r["orders"].cast("string"), F.lit("</x:Orders>")))
+    xml = F.concat(F.lit('<xbrl xmlns:x="urn:x"><unit id="u"><measure>iso:INR</measure></unit>'), F.array_join(contexts, ""), F.array_join(facts, ""), F.lit("</xbrl>"))
+    path = shared_folder(spark)
+    held.select(F.col("k").cast("string").alias("path"), xml.cast("binary").alias("content")).write.parquet(path)
+    return documents.filings(spark.read.parquet(path)).select(F.col("path").cast("long").alias("k"), "tag", "period_start", "period_end", "kind", "dims", "decimals", "value")
