@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..operators import ownership
+from ..operators import acceptance, ownership
 from ..sources import feeds, landed
 from ..sources.scratch import shared_folder
 from . import roles
@@ -226,3 +226,43 @@ def landed_filings(spark, sf_dir) -> DataFrame:
     path = shared_folder(spark)
     held.select(F.col("k").cast("string").alias("path"), xml.cast("binary").alias("content")).write.parquet(path)
     return documents.filings(spark.read.parquet(path)).select(F.col("path").cast("long").alias("k"), "tag", "period_start", "period_end", "kind", "dims", "decimals", "value")
+
+
+@query("""SELECT year(o_orderdate) AS year, round(quantile_cont(o_totalprice / (10000 + 500 * (o_custkey % 100)), 0.5), 6) AS p50, round(quantile_cont(o_totalprice / (10000 + 500 * (o_custkey % 100)), 0.9), 6) AS p90 FROM orders WHERE o_custkey % 100 <> 7 GROUP BY 1""")
+def order_capacity(spark, sf_dir) -> DataFrame:
+    """How much of a day's turnover orders take, a year; of some names none is known."""
+    adv = F.when(F.col("o_custkey") % 100 != 7, 10000.0 + 500 * (F.col("o_custkey") % 100))
+    o = _orders(spark, sf_dir).select(F.year("d").alias("year"), F.col("o_totalprice").alias("value"), adv.alias("adv"))
+    return acceptance.capacity(o, ["year"]).select("year", R("p50").alias("p50"), R("p90").alias("p90"))
+
+
+@query("""WITH m AS (SELECT p_brand AS k, avg(p_retailprice) / 1500 AS ic, avg(p_size) / 100 AS b, corr(p_size, p_retailprice) AS c, CASE WHEN min(p_size) = 1 THEN NULL ELSE max(p_size) / 60.0 END AS h FROM part GROUP BY 1), x AS (
+    SELECT k, unnest([ic >= 0.05, b <= 0.24, abs(c) <= 0.10, h >= 0.60]) AS p FROM m UNION ALL SELECT k, NULL FROM m, range(19))
+SELECT k, CAST(count(*) FILTER (WHERE p) AS BIGINT) AS n_pass, CAST(count(*) FILTER (WHERE NOT p) AS BIGINT) AS n_fail, CAST(count(*) FILTER (WHERE p IS NULL) AS BIGINT) AS n_unknown, 'NOT VALIDATED' AS verdict FROM x GROUP BY k""")
+def acceptance_verdicts(spark, sf_dir) -> DataFrame:
+    """Checks of statistics of brands against the bars of a calibration; most of their statistics are unknown."""
+    m = roles.table(spark, sf_dir, "part").groupBy(F.col("p_brand").alias("k")).agg(
+        (F.avg("p_retailprice") / 1500).alias("ic_mean"), (F.avg("p_size") / 100).alias("brier"), F.corr("p_size", "p_retailprice").alias("score_coverage_corr"), F.when(F.min("p_size") != 1, F.max("p_size") / 60.0).alias("hit_conviction_buy"))
+    found = acceptance.verdicts(acceptance.checked(m, ["k"], acceptance.CALIBRATION), ["k"])
+    return found.select("k", "n_pass", "n_fail", "n_unknown", "verdict")
+
+
+@query("""WITH t AS (SELECT o_orderpriority AS sleeve, unnest(['N' || o_custkey % 40, 'T' || o_orderkey % 30]) AS k FROM orders) SELECT sleeve, CAST(count(DISTINCT k) AS BIGINT) AS trials FROM t WHERE k NOT IN ('N1', 'T2') GROUP BY 1""")
+def distinct_trials(spark, sf_dir) -> DataFrame:
+    """Different keys of all trials of a sleeve, but for two of them."""
+    t = _orders(spark, sf_dir).select(F.col("o_orderpriority").alias("sleeve"), F.array(F.concat(F.lit("N"), (F.col("o_custkey") % 40).cast("string")), F.concat(F.lit("T"), (F.col("o_orderkey") % 30).cast("string"))).alias("grid"))
+    return acceptance.distinct_trials(t, ["sleeve"], but=["N1", "T2"])
+
+
+@query("""WITH r AS (SELECT p_partkey, p_size, row_number() OVER (PARTITION BY p_brand ORDER BY p_retailprice DESC, p_partkey) AS rank, count(*) OVER (PARTITION BY p_brand) AS n FROM part), e AS (SELECT *, round(1 - rank / n, 3) AS pct, [f FOR f IN [CASE WHEN p_size % 10 = 1 THEN 'GSM' END, CASE WHEN p_size / 10.0 < 1.1 THEN 'ALTMAN_DISTRESS' END, CASE WHEN p_size * 6 > 200 THEN 'STALE_STATEMENTS' END, CASE WHEN p_size % 7 = 0 THEN 'NOT_RANKABLE' END] IF f IS NOT NULL] AS fl FROM r),
+p AS (SELECT *, CASE WHEN len(fl) > 0 THEN 0 ELSE round(3.0 * greatest(0, (pct - 0.5) / 0.5), 2) END AS pts FROM e) SELECT p_partkey, pct, array_to_string(fl, ',') AS flags, pts AS points, CASE WHEN pts >= 2.1 THEN 'PASS' WHEN pts > 0 THEN 'PARTIAL' ELSE 'FAIL' END AS status FROM p""")
+def evidence_lines(spark, sf_dir) -> DataFrame:
+    """Of every part its rank among its brand as evidence, what warns of it, and the points that it earns."""
+    from pyspark.sql import Window
+
+    p, z = roles.table(spark, sf_dir, "part"), F.col("p_size")
+    brand = Window.partitionBy("p_brand")
+    rank = F.row_number().over(brand.orderBy(F.desc("p_retailprice"), "p_partkey"))
+    rows = p.select("p_partkey", F.round(1 - rank / F.count("*").over(brand), 3).alias("pct"), (z % 10 == 1).cast("int").alias("in_gsm"), (z / 10).alias("altman_zpp"), (z * 6).alias("stmt_age_days"), (z % 7 != 0).cast("int").alias("rankable"))
+    rows = rows.withColumn("flags", acceptance.evidence_flags(rows.columns)).withColumn("e", acceptance.evidence_points(F.col("pct"), F.col("flags")))
+    return rows.select("p_partkey", "pct", F.array_join("flags", ",").alias("flags"), "e.points", "e.status")

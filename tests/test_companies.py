@@ -4,7 +4,7 @@ import json
 import pytest
 from pyspark.sql import functions as F
 
-from kairopanel.operators import asof, profiles, rating, selection, statements, valuation
+from kairopanel.operators import acceptance, asof, profiles, rating, selection, statements, valuation
 from kairopanel.sources import feeds
 
 D = lambda n: dt.date(2015, 1, 1) + dt.timedelta(days=n)
@@ -122,3 +122,16 @@ def test_facts_known_by_intervals(spark):
     closed = asof.closed_days(F.lit(dt.date(2024, 1, 26)), F.lit(dt.date(2024, 1, 31)), calendar)
     assert sorted((r["day"].day, r["kind"]) for r in closed.collect()) == [(26, "holiday"), (27, "weekend"), (28, "weekend")]
     assert asof.last_sessions(calendar.withColumn("x", F.lit(1)), F.lit(dt.date(2024, 1, 31)), 2).count() == 2
+
+
+def test_claims_and_acceptance(spark):
+    rows = spark.createDataFrame([("VALIDATED", False, False, 1), ("VALIDATED", False, False, 0), ("VALIDATED", False, True, 1), ("VALIDATED", True, True, 0), ("NOT VALIDATED", False, True, 0), (None, None, None, 0)], "v string, f boolean, p boolean, n int")
+    got = [r[0] for r in rows.select(acceptance.claim_state(F.col("v"), F.col("f"), F.col("p"), F.col("n"))).collect()]
+    assert got == ["PROVISIONAL", "BACKTEST_PASS", "PROSPECTIVE_VALIDATED", "DIAGNOSTIC", "DIAGNOSTIC", "DIAGNOSTIC"]
+    ledger = spark.createDataFrame([("s", D(31 * k), "hit", 0.1 + k * 0.0, 0.0) for k in range(12)] + [("t", D(31 * k), "miss", -0.1, 0.0) for k in range(12)] + [("u", D(0), "hit", 0.1, 0.0)] * 12 + [("s", D(0), "pending", None, None)], "sleeve string, as_of date, status string, fwd double, bench double")
+    assert {r["sleeve"]: r["proven"] for r in acceptance.proven(ledger, ["sleeve"], least=12).collect()} == {"s": True, "t": False, "u": False}
+    good = {b[1]: 1.0 for b in acceptance.CALIBRATION} | {"hit_sell": 0.6, "brier": 0.2, "score_coverage_corr": -0.05, "sector_max_share_conviction": 0.3, "sector_ls_positive_profiles": 4.0, "monthly_transition": 0.1, "dsr_p": 0.01, "long_short_t": 3.0, "ic_t": 3.0, "mos_ic_t": 2.0}
+    df = spark.createDataFrame([(1, *good.values()), (2, *(v if k != "ic_mean" else None for k, v in good.items()))], "k int, " + ", ".join(f"{k} double" for k in good))
+    out = {r["k"]: (r["verdict"], r["n_pass"], r["n_unknown"]) for r in acceptance.verdicts(acceptance.checked(df, ["k"], acceptance.CALIBRATION), ["k"]).collect()}
+    assert out == {1: ("VALIDATED", 23, 0), 2: ("NOT VALIDATED", 22, 1)}
+    assert spark.range(1).select(acceptance.tiers_in_order([F.lit(3), F.lit(2), F.lit(1)])).first()[0]
