@@ -19,6 +19,7 @@ from .packing import best_fit_pack
 from .pii import RULES, find_pii
 from .shared import materialized, shared_folder
 from .substring_dedup import substring_dedup
+from .suffix_arrays import repeated_bytes
 from .token_store import read_token_shards, write_token_shards
 from .toxicity import held_out, learn_toxicity, score_toxicity
 
@@ -104,6 +105,12 @@ def op10_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "n_words", "n_removed", F.sha2("kept", 256).alias("kept_sha256"))
 
 
+def op11_suffix_arrays(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents without the strings of 400 bytes that also start anywhere else."""
+    found = repeated_bytes(_table(spark, sf_dir, "documents"), length=400)
+    return found.select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The stages of corpus_pipeline.py."""
     top = os.path.dirname(os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
@@ -115,7 +122,7 @@ def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    own = (op1_best_fit_packing, op2_token_store, op3_license_scan, op4_ngram_jaccard_join, op5_toxicity, op6_imatch, op7_embedding_dedup, op8_source_mix, op9_pii, op10_substring_dedup, pipeline)
+    own = (op1_best_fit_packing, op2_token_store, op3_license_scan, op4_ngram_jaccard_join, op5_toxicity, op6_imatch, op7_embedding_dedup, op8_source_mix, op9_pii, op10_substring_dedup, op11_suffix_arrays, pipeline)
     return {f.__name__: f for f in own}
 
 
