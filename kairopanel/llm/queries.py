@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import os
 import sys
+import zlib
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -16,8 +17,10 @@ from .jaccard_join import ngram_jaccard_join
 from .licenses import scan_licenses
 from .mixing import mix_sources, word_count
 from .packing import best_fit_pack
+from .periodic_runs import collapse_runs
 from .pii import RULES, find_pii
 from .shared import materialized, shared_folder
+from .spelling import spelling_variants
 from .substring_dedup import substring_dedup
 from .suffix_arrays import repeated_bytes
 from .token_store import read_token_shards, write_token_shards
@@ -111,6 +114,52 @@ def op11_suffix_arrays(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
 
 
+def with_planted_losses(i: int | None, counts: dict) -> list[tuple[str, int]]:
+    """A document's words, of which one in 199 loses a letter; which one follows from the crc32 of id and word."""
+    if i is None:
+        return list(counts.items())
+    seed, out = zlib.crc32(f"{i}:".encode()), []
+    for word, n in counts.items():
+        h = zlib.crc32(word.encode(), seed)
+        if h % 199 == 0:
+            k = h % len(word)
+            word = word[:k] + word[k + 1 :]
+        out.append((word, n))
+    return out
+
+
+def op12_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Words of all documents, some of them misspelt, with the near word they are a form of."""
+    return spelling_variants(_table(spark, sf_dir, "documents"), before=with_planted_losses)
+
+
+def with_planted_runs(ids: list, texts: list) -> list[bytes]:
+    """Texts in which the words of one in ten repeat with a period from some word on; place and period follow from the id's crc32."""
+    out = []
+    for i, text in zip(ids, texts):
+        raw = (text or "").encode()
+        h = zlib.crc32(str(i).encode()) if i is not None else 1
+        if h % 10 == 0 and (words := raw.split()):
+            n, g = len(words), h // 10
+            a = g % n
+            p = 1 + (n - a) // (3 + g % 8)
+            raw = b" ".join(words[:a] + [words[a + k % p] for k in range(n - a)])
+        out.append(raw)
+    return out
+
+
+def op13_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Periodic runs of words of every document, some of them planted, and the texts without their repeats."""
+    found = collapse_runs(_table(spark, sf_dir, "documents"), before=with_planted_runs)
+    more = lambda r, best: best.isNull() | (r["length"] * best["period"] > best["length"] * r["period"])
+    best = F.reduce("runs", F.lit(None).cast("struct<start: long, length: long, period: long>"), lambda best, r: F.when(more(r, best), r).otherwise(best))
+    listed = F.array_join(F.transform("runs", lambda r: F.concat(F.concat_ws(",", r["start"].cast("string"), r["length"].cast("string"), r["period"].cast("string")), F.lit("\n"))), "")
+    return found.withColumn("best", best).select(
+        "doc_id", F.size("runs").cast("long").alias("n_runs"), "best.start", "best.length", "best.period", F.expr("best.length * 1000 div best.period").alias("exponent_milli"),
+        F.sha2(listed, 256).alias("runs_sha256"), F.sha2("collapsed", 256).alias("collapsed_sha256"),
+    )
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The stages of corpus_pipeline.py."""
     top = os.path.dirname(os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
@@ -122,7 +171,7 @@ def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    own = (op1_best_fit_packing, op2_token_store, op3_license_scan, op4_ngram_jaccard_join, op5_toxicity, op6_imatch, op7_embedding_dedup, op8_source_mix, op9_pii, op10_substring_dedup, op11_suffix_arrays, pipeline)
+    own = (op1_best_fit_packing, op2_token_store, op3_license_scan, op4_ngram_jaccard_join, op5_toxicity, op6_imatch, op7_embedding_dedup, op8_source_mix, op9_pii, op10_substring_dedup, op11_suffix_arrays, op12_spelling_variants, op13_periodic_runs, pipeline)
     return {f.__name__: f for f in own}
 
 
