@@ -51,7 +51,7 @@ def gap_candidates(panel: DataFrame, actions: DataFrame, key: str = "symbol", da
 
     The gap, the open over the close before, is at most ``low`` or at least ``high`` from a price of ``floor`` or more, near a usual
     ratio; the close three sessions on, at most 12 days later, over the close before is still within ``persist`` of the ratio;
-    the median volume is at least 0.6 over a ratio below 1, where an unknown one rejects, and at most 1.6 over another; and no
+    the median volume is at least 0.6 over a ratio below 1 and at most 1.6 over another, where an unknown one rejects; and no
     action is known within ``apart`` days.
     """
     w = Window.partitionBy(key).orderBy(date)
@@ -63,7 +63,7 @@ def gap_candidates(panel: DataFrame, actions: DataFrame, key: str = "symbol", da
     ratio = F.col("near.ratio")
     rows = rows.where((F.datediff("later_on", date) <= 12) & (F.abs(F.col("later") / F.col("prior") / ratio - 1) <= persist))
     moved = F.col("volume_after") / F.nullif("volume_before", F.lit(0.0))
-    rows = rows.where(F.when(ratio < 1, moved >= 0.6 / ratio).otherwise(F.coalesce(moved <= 1.6 / ratio, F.lit(True))))
+    rows = rows.where(F.when(ratio < 1, moved >= 0.6 / ratio).otherwise(moved <= 1.6 / ratio))
     known = actions.select(F.col(key).alias("__k"), F.col("ex_date").alias("__x"))
     free = rows.join(known, (F.col(key) == F.col("__k")) & (F.abs(F.datediff(date, "__x")) <= apart), "left_anti")
     return free.select(key, F.col(date).alias("ex_date"), "gap", F.col("near.ratio").alias("factor"))

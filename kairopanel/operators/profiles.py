@@ -36,18 +36,17 @@ COMPANIES = ["GENERAL", "IT_SERVICES", "PHARMA", "CYCLICAL"]
 def profile_of(industry: Column, has_deposits: Column | None = None, bank_filing: Column | None = None) -> Column:
     """struct(profile, notes) of an industry; deposits or a bank's filing make a bank of a financial or unknown industry.
 
-    An unknown industry is GENERAL, with a note; notes also mark deposits outside the financial industries, insurers and
+    An unknown industry is GENERAL, with that note alone; notes also mark deposits outside the financial industries, insurers and
     regulated industries.
     """
     marks = F.coalesce(has_deposits if has_deposits is not None else F.lit(False), F.lit(False)) | F.coalesce(bank_filing if bank_filing is not None else F.lit(False), F.lit(False))
     mapped = reduce(lambda rest, p: F.when(industry.isin(INDUSTRIES[p]), p).otherwise(rest), INDUSTRIES, F.lit(None).cast("string"))
     bank = marks & (industry.isNull() | mapped.isin("BANK", "NBFC_FIN"))
     note = lambda c, text: F.when(c, F.lit(text))
-    notes = F.array_compact(F.array(
-        note(marks, "deposits_outside_financial_industry"), note(mapped.isNull(), "profile_unmapped"), note(industry == "Insurance", "insurance_metrics_partial"), note(industry.isin(REGULATED), "regulated"),
-    ))
+    notes = F.array_compact(F.array(note(marks, "deposits_outside_financial_industry"), note(industry == "Insurance", "insurance_metrics_partial"), note(industry.isin(REGULATED), "regulated")))
     none = F.array().cast("array<string>")
-    return F.struct(F.when(bank, "BANK").otherwise(F.coalesce(mapped, F.lit("GENERAL"))).alias("profile"), F.when(bank, none).otherwise(notes).alias("notes"))
+    notes = F.when(bank, none).when(mapped.isNull(), F.array(F.lit("profile_unmapped"))).otherwise(notes)
+    return F.struct(F.when(bank, "BANK").otherwise(F.coalesce(mapped, F.lit("GENERAL"))).alias("profile"), notes.alias("notes"))
 
 
 def _map(pillar: str, name: str, points: list[tuple], profiles: Sequence[str] = (), weight: float = 1.0, engine: int = 1, qualitative: bool = False) -> dict:

@@ -222,20 +222,35 @@ def data_errors(columns: Sequence[str], coverage: Column, index: Column, least_c
     return F.array_compact(F.array(*[F.when(cond, F.lit(text)) for text, cond in rules]))
 
 
+def composite(profile: Column, variant: str) -> Column:
+    """The weighted mean of the pillar scores in columns P1 to P6, by the weights of a row's profile; a missing pillar doesn't count."""
+    picked = {p: reduce(lambda rest, k: F.when(profile == k, F.lit(pillar_weights(k, variant)[p])).otherwise(rest), PROFILE_WEIGHTS, F.lit(None).cast("double")) for p in PILLARS}
+    some = [(F.when(F.col(p).isNotNull(), w), F.col(p)) for p, w in picked.items()]
+    total = lambda xs: reduce(lambda a, b: a + b, [F.coalesce(x, F.lit(0.0)) for x in xs])
+    return F.try_divide(total([w * x for w, x in some]), total([w for w, _ in some]))
+
+
 def rated(df: DataFrame, by: Sequence[str], variant: str = "base", engine: int = 1, source: str = "screener", hysteresis: bool = True) -> DataFrame:
-    """The rating row of each name of df (by..., symbol, profile, metrics, features): score, verdict, rule, confidence, flags, errors and a digest of all of it.
+    """The rating row of each name of df under one variant: see :func:`rated_variants`."""
+    return rated_variants(df, by, [variant], engine, source, hysteresis)
+
+
+def rated_variants(df: DataFrame, by: Sequence[str], variants: Sequence[str] = ("base", "quality_tilt", "value_tilt", "no_valuation"), engine: int = 1, source: str = "screener", hysteresis: bool = False) -> DataFrame:
+    """The rating row of each name of df (by..., symbol, profile, metrics, features) and variant: score, verdict, rule, confidence, flags, errors and a digest of all of it.
 
-    by ends with the date. Pillars are scored over each date's names, the profile giving groups, catalogue and weights. A name with
-    data errors has NO_RATING; else rules, caps of soft flags, the confidence's step down and, over the dates, hysteresis against the
-    verdict of the name's rated date before decide. Unknown metrics are columns that are missing or null.
+    by ends with the date. Pillars are scored once, over each date's names, the profile giving groups and catalogue; the variants
+    differ by the weights of the pillars only, so a name's row is repeated for each after that. A name with
+    data errors has NO_RATING; else rules, caps of soft flags, the confidence's step down and, with hysteresis, over the dates, the
+    verdict of the name's rated date before decide. Unknown metrics are columns that are missing or null. with_qual, which has components of
+    its own, is rated alone.
     """
-    components = component_scores(df, by, "profile", catalogue(engine, variant == "with_qual"))
+    if "with_qual" in variants and len(variants) > 1:
+        raise ValueError("with_qual has components of its own")
+    components = component_scores(df, by, "profile", catalogue(engine, "with_qual" in variants))
     pillars = pillar_scores(components, by)
-    weight = reduce(lambda rest, k: F.when((F.col("profile") == k[0]) & (F.col("pillar") == k[1]), F.lit(k[2])).otherwise(rest), [(p, q, w) for p in PROFILE_WEIGHTS for q, w in pillar_weights(p, variant).items()], F.lit(None).cast("double"))
-    flat = pillars.join(df.select(*by, "symbol", "profile"), [*by, "symbol"]).withColumn("w", weight)
     at = lambda p, c: F.max(F.when(F.col("pillar") == p, F.col(c)))
-    wide = flat.groupBy(*by, "symbol").agg(
-        (F.sum(F.col("w") * F.col("score")) / F.sum("w")).alias("S"), (F.sum("known_weight") / F.sum("weight")).alias("component_coverage"), F.avg((F.col("status") == "OK").cast("double")).alias("pillar_coverage"),
+    wide = pillars.groupBy(*by, "symbol").agg(
+        (F.sum("known_weight") / F.sum("weight")).alias("component_coverage"), F.avg((F.col("status") == "OK").cast("double")).alias("pillar_coverage"),
         *[at(p, "score").alias(p) for p in PILLARS], *[at(p, "status").alias(f"{p}_status") for p in PILLARS],
     )
     met = df.join(wide, [*by, "symbol"]).withColumn("financial", F.col("profile").isin("BANK", "NBFC_FIN"))
@@ -244,16 +259,22 @@ def rated(df: DataFrame, by: Sequence[str], variant: str = "base", engine: int =
     index = confidence(F.col("component_coverage"), F.col("pillar_coverage"), c("stmt_age_days"), F.lit(source), c("val_dispersion"), F.coalesce(c("n_models"), F.lit(0)), F.size("name_flags"))
     met = met.withColumn("dci", F.greatest(F.lit(0.0), F.least(F.lit(1.0), index))).withColumn("band", confidence_band(F.col("dci")))
     met = met.withColumn("errors", data_errors(met.columns, F.col("component_coverage"), F.col("dci")))
-    first = decide(F.col("S"), c("mos_base"), F.col("band"), F.col("red_flags"), catalyst(met.columns), F.col("P2"))
+    met = met.withColumn("catalyst", catalyst(met.columns))
+    used = [n for n in ("mos_base", "fv_base", "fv_bull", "fv_bear", "price") if n in met.columns]
+    scores = F.explode(F.array(*[F.struct(F.lit(v).alias("variant"), composite(F.col("profile"), v).alias("S")) for v in variants]))
+    met = met.select(*by, "symbol", "profile", *PILLARS, "component_coverage", "dci", "band", *used, "red_flags", "name_flags", "errors", "catalyst", scores.alias("v")).select("*", "v.*").drop("v")
+    mos = F.col("mos_base") if "mos_base" in used else F.lit(None).cast("double")
+    first = decide(F.col("S"), mos, F.col("band"), F.col("red_flags"), F.col("catalyst"), F.col("P2"))
     met = met.withColumn("d", F.when((F.size("errors") == 0) & F.col("S").isNotNull(), first))
     met = met.withColumn("rule", F.coalesce("d.rule", F.lit("R0"))).withColumn("verdict", capped(F.col("d.verdict"), F.col("red_flags"), F.col("band"))).drop("d")
-    sound = met.where("verdict is not null").withColumn("mos", c("mos_base"))
     if hysteresis:
-        final = with_hysteresis(sound.select(*by, "symbol", "S", "mos", "rule", "verdict"), [*by[:-1], "symbol"], by[-1]).select(*by, "symbol", "final")
-        met = met.join(final, [*by, "symbol"], "left").withColumn("verdict", F.col("final")).drop("final")
+        sound = met.where("verdict is not null").select(*by, "symbol", "variant", "S", mos.alias("mos"), "rule", "verdict")
+        final = with_hysteresis(sound, [*by[:-1], "symbol", "variant"], by[-1]).select(*by, "symbol", "variant", "final")
+        met = met.join(final, [*by, "symbol", "variant"], "left").withColumn("verdict", F.col("final")).drop("final")
     met = met.withColumn("status", F.when(F.col("verdict").isNull(), "NO_RATING").otherwise("RATED")).withColumn("verdict", F.coalesce("verdict", F.lit("NO_RATING")))
-    kept = [*by, "symbol", "profile", "status", "verdict", "rule", "S", *PILLARS, "component_coverage", "dci", "band", *[n for n in ("mos_base", "fv_base", "fv_bull", "fv_bear", "price") if n in met.columns], F.transform("red_flags", lambda f: f["code"]).alias("flags"), "name_flags", "errors"]
-    rows = met.select(*kept).withColumn("variant", F.lit(variant)).withColumn("engine", F.lit(f"r{engine}"))
+    codes = lambda tier: F.transform(F.filter("red_flags", lambda f: f["tier"] == tier), lambda f: f["code"])
+    kept = [*by, "symbol", "profile", "status", "verdict", "rule", "S", *PILLARS, "component_coverage", "dci", "band", *used, F.transform("red_flags", lambda f: f["code"]).alias("flags"), "name_flags", "errors", "variant"]
+    rows = met.select(*kept, codes("HARD").alias("hard"), codes("SOFT").alias("soft")).withColumn("engine", F.lit(f"r{engine}"))
     return rows.withColumn("manifest_sha", canonical_digest([n for n in rows.columns]))
 
 

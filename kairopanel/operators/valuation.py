@@ -135,6 +135,8 @@ def valuation_columns() -> dict[str, Column]:
 def filing_columns() -> dict[str, Column]:
     """Metrics that read the latest filing: columns x_<item> (null where unknown), beside the histories, face_value, profile and promoter_chg_1y, ofs_deals, net_debt_ebitda.
 
+    Shares of bad loans and the core capital ratio are in percent, as filings give them and as flags and scales read them.
+
     Items: current_assets, current_liabilities, cash, borrowings_current, cet1, capital_adequacy_ratio, gross_npa, net_npa, return_on_assets,
     advances, deposits, provisions, auditor_opinion (text). Quarters also have gross_npa_pct and net_npa_pct, years working_capital_days, deposits
     and financing_profit.
@@ -153,9 +155,10 @@ def filing_columns() -> dict[str, Column]:
     return {
         "wc_days_delta_3y": m(F.when(F.size(days) > 0, at(days, 1) - F.get(days, F.greatest(F.size(days) - 4, F.lit(0)))), company),
         "current_ratio": m(ratio(x("current_assets"), x("current_liabilities"), True), company), "cash_to_debt": m(ratio(x("cash"), borrowings, True), company), "st_debt_share": m(ratio(x("borrowings_current"), borrowings, True), company),
-        "contingent_to_networth": m(unknown, company), "accrual_ratio_bs_abs": m(unknown, company), "moat_grade_llm": m(unknown), "mgmt_grade_llm": m(unknown),
-        "gnpa_pct": m(at(q("gross_npa_pct"), 1) / 100, lender), "nnpa_pct": m(at(q("net_npa_pct"), 1) / 100, lender), "gnpa_trend_4q": m((at(q("gross_npa_pct"), 1) - at(q("gross_npa_pct"), 5)) / 100, lender), "gnpa_delta_4q_neg": m(at(q("gross_npa_pct"), 1) - at(q("gross_npa_pct"), 4), lender),
-        "cet1_pct": m(x("cet1") / 100, bank), "provision_coverage": m(ratio(x("provisions"), x("gross_npa"), True), lender), "deposit_vs_advance_growth": m(ratio(at(y("deposits"), 1), at(y("deposits"), 2), True) - 1, bank), "credit_cost": m(ratio(x("provisions"), x("advances"), True), lender),
+        "contingent_to_networth": m(unknown, F.lit(False)), "accrual_ratio_bs_abs": m(unknown, company), "moat_grade_llm": m(unknown), "mgmt_grade_llm": m(unknown),
+        "gnpa_pct": m(at(q("gross_npa_pct"), 1), lender), "nnpa_pct": m(at(q("net_npa_pct"), 1), lender),
+        **{n: m(at(q("gross_npa_pct"), 1) - at(q("gross_npa_pct"), 5), lender) for n in ("gnpa_trend_4q", "gnpa_delta_4q_neg")},
+        "cet1_pct": m(x("cet1"), bank), "provision_coverage": m(ratio(x("provisions"), x("gross_npa"), True), lender), "deposit_vs_advance_growth": m(ratio(at(y("deposits"), 1), at(y("deposits"), 2), True) - 1, bank), "credit_cost": m(ratio(x("provisions"), x("advances"), True), lender),
         "accrual_ratio_sloan_prev": m(ratio(at(y("net_profit"), 2) - at(y("cfo"), 2), at(y("total_assets"), 2), True), company),
         "audit_opinion_clean": m(F.when(opinion.isNotNull(), (F.contains(opinion, F.lit("unmodified")) | F.contains(opinion, F.lit("clean"))).cast("double"))),
         "ppop_growth_3y": m(cagr(F.transform(earned, lambda r: r["v"]), F.transform(earned, lambda r: r["at"]), 3), lender),

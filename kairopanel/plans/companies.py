@@ -255,8 +255,8 @@ def _metrics_sql() -> dict[str, tuple[str, str]]:
         "model_justified_pb": ("model_justified_pb", le), "model_ddm": ("model_ddm", le), "justified_pb": ("v_justified_pb", le), "pb_vs_justified": (_over(_over("m_mcap", "m_book[-1]"), "v_justified_pb"), le), "fv_base": ("v_base", all_), "fv_bull": ("v_bull", all_), "fv_bear": ("v_bear", all_), "val_dispersion": ("v_dispersion", all_), "n_models": ("v_n", all_),
         "mos_base": (f"{_over('v_base', 'price')} - 1", all_), "er_lo": (f"{mid} - {width}", all_), "er_mid": (mid, all_), "er_hi": (f"{mid} + {width}", all_), "growth_gap": ("v_implied - v_fg", co), "growth_gap_val": ("v_implied - v_fg", co), "pe_ttm_feat": (pe, all_), "pat_ttm": ("t_net_profit", all_),
         "wc_days_delta_3y": (f"{y('working_capital_days')} - y_working_capital_days[greatest(len(y_period) - 3, 1)]", co), "current_ratio": (_over("x_current_assets", "x_current_liabilities"), co), "cash_to_debt": (_over("x_cash", y("borrowings")), co), "st_debt_share": (_over("x_borrowings_current", y("borrowings")), co),
-        "contingent_to_networth": ("NULL", co), "accrual_ratio_bs_abs": ("NULL", co), "moat_grade_llm": ("NULL", all_), "mgmt_grade_llm": ("NULL", all_), "gnpa_pct": ("q_gross_npa_pct[-1] / 100", le), "nnpa_pct": ("q_net_npa_pct[-1] / 100", le), "gnpa_trend_4q": ("(q_gross_npa_pct[-1] - q_gross_npa_pct[-5]) / 100", le), "gnpa_delta_4q_neg": ("q_gross_npa_pct[-1] - q_gross_npa_pct[-4]", le),
-        "cet1_pct": ("x_cet1 / 100", ba), "provision_coverage": (_over("x_provisions", "x_gross_npa"), le), "deposit_vs_advance_growth": (f"{_over(y('deposits'), y('deposits', 2))} - 1", ba), "credit_cost": (_over("x_provisions", "x_advances"), le), "accrual_ratio_sloan_prev": (_over(f"{y('net_profit', 2)} - {y('cfo', 2)}", y("total_assets", 2)), co),
+        "contingent_to_networth": ("NULL", "false"), "accrual_ratio_bs_abs": ("NULL", co), "moat_grade_llm": ("NULL", all_), "mgmt_grade_llm": ("NULL", all_), "gnpa_pct": ("q_gross_npa_pct[-1]", le), "nnpa_pct": ("q_net_npa_pct[-1]", le), "gnpa_trend_4q": ("q_gross_npa_pct[-1] - q_gross_npa_pct[-5]", le), "gnpa_delta_4q_neg": ("q_gross_npa_pct[-1] - q_gross_npa_pct[-5]", le),
+        "cet1_pct": ("x_cet1", ba), "provision_coverage": (_over("x_provisions", "x_gross_npa"), le), "deposit_vs_advance_growth": (f"{_over(y('deposits'), y('deposits', 2))} - 1", ba), "credit_cost": (_over("x_provisions", "x_advances"), le), "accrual_ratio_sloan_prev": (_over(f"{y('net_profit', 2)} - {y('cfo', 2)}", y("total_assets", 2)), co),
         "audit_opinion_clean": ("CAST(lower(x_auditor_opinion) LIKE '%unmodified%' OR lower(x_auditor_opinion) LIKE '%clean%' AS DOUBLE)", all_), "ppop_growth_3y": (f"(SELECT CASE WHEN e[-4].v > 0 AND e[-1].v > 0 THEN pow(e[-1].v / e[-4].v, 365.25 / date_diff('day', e[-4].p, e[-1].p)) - 1 END FROM (SELECT {earned} AS e))", le),
         "dilution_5y": (growth_of, all_), "ofs_matched": ("CAST(promoter_chg_1y < -2 AND ofs_deals > 0 AS DOUBLE)", all_), "leveraged_buyback": (f"CAST(coalesce({y('equity_capital')} < 0.98 * {y('equity_capital', 2)} AND NOT lender AND {nde} > 3, false) AS DOUBLE)", all_),
         "su_cfo_5y": (f"list_sum({_last('y_cfo', 5)})", all_), "kpi_cet1": ("x_cet1 / 100", ba), "kpi_car": ("x_capital_adequacy_ratio / 100", ba), "kpi_gnpa": ("x_gross_npa", le), "kpi_nnpa": ("x_net_npa", le), "kpi_roa": ("x_return_on_assets / 100", le), "kpi_advances": ("x_advances", ba), "kpi_deposits": ("x_deposits", ba), "kpi_provisions": ("x_provisions", ba),
@@ -352,10 +352,19 @@ c4 AS (SELECT *, CASE WHEN kind <> 'pct' THEN d WHEN x IS NULL THEN NULL WHEN co
 c AS (SELECT *, coalesce(CASE WHEN count(score) OVER (PARTITION BY as_of, c, profile) >= 8 THEN median(score) OVER (PARTITION BY as_of, c, profile) END, median(score) OVER (PARTITION BY as_of, c), 50) AS prior FROM c4)"""
 
 
-_RATED_SQL = f"""{_wide_sql()}, {_scored_sql()}, p0 AS (SELECT as_of, symbol, profile, pillar, sum(wt * coalesce(score, prior)) / sum(wt) AS s, sum(wt * prior) / sum(wt) AS pr, sum(CASE WHEN score IS NOT NULL THEN wt ELSE 0 END) AS k, sum(wt) AS t FROM c GROUP BY ALL),
-p AS (SELECT *, CASE WHEN k / t >= 0.5 THEN s ELSE pr END AS score, k / t >= 0.5 AS ok, map_extract(map {{'GENERAL': [0.20, 0.15, 0.15, 0.15, 0.10, 0.25], 'BANK': [0.25, 0.25, 0.15, 0.10, 0.10, 0.15], 'NBFC_FIN': [0.20, 0.30, 0.15, 0.10, 0.10, 0.15], 'IT_SERVICES': [0.25, 0.05, 0.15, 0.20, 0.15, 0.20],
-    'PHARMA': [0.20, 0.10, 0.20, 0.15, 0.15, 0.20], 'CYCLICAL': [0.15, 0.25, 0.15, 0.10, 0.10, 0.25]}}, profile)[1][CAST(pillar[2:2] AS INTEGER)] AS pw FROM p0),
-r0 AS (SELECT as_of, symbol, sum(pw * score) / sum(pw) AS S, sum(k) / sum(t) AS cov, avg(CASE WHEN ok THEN 1.0 ELSE 0 END) AS pcov, max(score) FILTER (WHERE pillar = 'P2') AS p2, max(score) FILTER (WHERE pillar = 'P4') AS p4, bool_and(ok) FILTER (WHERE pillar IN ('P1', 'P6')) AS sound FROM p GROUP BY ALL),
+#: Weights of the pillars by profile, and what the variants add to them; no_valuation leaves P6 out.
+_PILLAR_WEIGHTS = """{'GENERAL': [0.20, 0.15, 0.15, 0.15, 0.10, 0.25], 'BANK': [0.25, 0.25, 0.15, 0.10, 0.10, 0.15], 'NBFC_FIN': [0.20, 0.30, 0.15, 0.10, 0.10, 0.15],
+    'IT_SERVICES': [0.25, 0.05, 0.15, 0.20, 0.15, 0.20], 'PHARMA': [0.20, 0.10, 0.20, 0.15, 0.15, 0.20], 'CYCLICAL': [0.15, 0.25, 0.15, 0.10, 0.10, 0.25]}"""
+_VARIANT_WEIGHT = """CASE variant WHEN 'quality_tilt' THEN pw + CASE pillar WHEN 'P1' THEN 0.05 WHEN 'P3' THEN 0.05 WHEN 'P6' THEN -0.10 ELSE 0 END
+    WHEN 'value_tilt' THEN pw + CASE pillar WHEN 'P6' THEN 0.10 WHEN 'P1' THEN -0.05 WHEN 'P4' THEN -0.05 ELSE 0 END WHEN 'no_valuation' THEN CASE pillar WHEN 'P6' THEN 0 ELSE pw END ELSE pw END"""
+
+
+def decided_sql(variants: str = "'base'") -> str:
+    """Scores, flags, confidence and verdicts before hysteresis (r6) of all companies, dates and the variants listed."""
+    return f"""{_wide_sql()}, {_scored_sql()}, p0 AS (SELECT as_of, symbol, profile, pillar, sum(wt * coalesce(score, prior)) / sum(wt) AS s, sum(wt * prior) / sum(wt) AS pr, sum(CASE WHEN score IS NOT NULL THEN wt ELSE 0 END) AS k, sum(wt) AS t FROM c GROUP BY ALL),
+p AS (SELECT *, CASE WHEN k / t >= 0.5 THEN s ELSE pr END AS score, k / t >= 0.5 AS ok, map_extract(map {_PILLAR_WEIGHTS}, profile)[1][CAST(pillar[2:2] AS INTEGER)] AS pw FROM p0),
+pv AS (SELECT *, {_VARIANT_WEIGHT} AS vw FROM p, (SELECT unnest([{variants}]) AS variant)),
+r0 AS (SELECT as_of, symbol, variant, sum(vw * score) / sum(vw) AS S, sum(k) / sum(t) AS cov, avg(CASE WHEN ok THEN 1.0 ELSE 0 END) AS pcov, max(score) FILTER (WHERE pillar = 'P2') AS p2, max(score) FILTER (WHERE pillar = 'P4') AS p4, bool_and(ok) FILTER (WHERE pillar IN ('P1', 'P6')) AS sound FROM pv GROUP BY ALL),
 r1 AS (SELECT *, [f FOR f IN {_FLAGS_SQL} IF f.on] AS fl, len([n FOR n IN [pe_ttm_feat > 200 OR (pe_ttm_feat < 0 AND pat_ttm > 0), abs(pat_cagr_5y) > 1.5, history_days < 240, industry = 'something else'] IF n]) AS nf FROM w JOIN r0 USING (as_of, symbol)),
 r2 AS (SELECT *, greatest(0, least(1, (0.45 * cov + 0.15 * pcov + 0.40) * CASE WHEN stmt_age_days <= 120 THEN 1 WHEN stmt_age_days <= 200 THEN 0.85 ELSE 0.70 END * 0.90 * CASE WHEN coalesce(n_models, 0) < 2 OR val_dispersion IS NULL THEN 0.70 WHEN val_dispersion <= 0.25 THEN 1 WHEN val_dispersion <= 0.50 THEN 0.85 ELSE 0.70 END * pow(0.90, nf))) AS dci FROM r1),
 r3 AS (SELECT *, CASE WHEN dci >= 0.75 THEN 'HIGH' WHEN dci >= 0.50 THEN 'MED' WHEN dci >= 0.35 THEN 'LOW' ELSE 'NONE' END AS band, NOT (cov < 0.60 OR NOT sound OR coalesce(history_days < 120, false) OR stmt_age_days IS NULL OR stmt_age_days > 400 OR dci < 0.35) AS fit, len([f FOR f IN fl IF f.tier = 'HARD']) AS hard, len([f FOR f IN fl IF f.tier = 'SOFT']) AS soft, len([f FOR f IN fl IF f.tier = 'WATCH']) AS watch,
@@ -364,11 +373,14 @@ r4 AS (SELECT *, CASE WHEN hard > 0 THEN 'R1' WHEN S < 35 THEN 'R2' WHEN mos_bas
     WHEN S >= 70 AND cat AND p2 >= 40 AND soft = 0 AND watch <= 1 AND band IN ('HIGH', 'MED') AND coalesce(mos_base > -0.10, true) THEN 'R6' WHEN S >= 80 AND coalesce(mos_base >= -0.10 AND mos_base < 0.20, true) THEN 'R7' WHEN S < 70 OR coalesce(abs(mos_base) <= 0.10, false) THEN 'R8' ELSE 'R9' END AS rule0 FROM r3),
 r5 AS (SELECT *, least(CASE rule0 WHEN 'R1' THEN 0 WHEN 'R2' THEN 0 WHEN 'R3' THEN 1 WHEN 'R4' THEN 1 WHEN 'R5' THEN 4 WHEN 'R5B' THEN 3 WHEN 'R6' THEN 3 ELSE 2 END, coalesce(list_min([CASE f.cap WHEN 'SELL' THEN 0 WHEN 'TRIM' THEN 1 ELSE 2 END FOR f IN fl IF f.tier = 'SOFT']), 5)) AS v0 FROM r4),
 r6 AS (SELECT *, CASE WHEN band = 'MED' AND v0 = 4 THEN 3 WHEN band = 'LOW' AND v0 >= 3 THEN v0 - 1 ELSE v0 END AS v,
-    coalesce(S >= CASE rule0 WHEN 'R5' THEN 82 WHEN 'R5B' THEN 82 WHEN 'R6' THEN 72 WHEN 'R7' THEN 82 WHEN 'R8' THEN 52 WHEN 'R4' THEN 37 ELSE 0 END AND (rule0 <> 'R5' OR mos_base >= 0.23), false) AS may, row_number() OVER (PARTITION BY symbol, fit ORDER BY as_of) AS turn FROM r5),
-walk AS (SELECT symbol, turn, v FROM r6 WHERE fit AND turn = 1 UNION ALL SELECT r6.symbol, r6.turn, CASE WHEN r6.v > walk.v AND NOT r6.may THEN walk.v ELSE r6.v END FROM walk JOIN r6 ON r6.symbol = walk.symbol AND r6.turn = walk.turn + 1 AND r6.fit)"""
+    coalesce(S >= CASE rule0 WHEN 'R5' THEN 82 WHEN 'R5B' THEN 82 WHEN 'R6' THEN 72 WHEN 'R7' THEN 82 WHEN 'R8' THEN 52 WHEN 'R4' THEN 37 ELSE 0 END AND (rule0 <> 'R5' OR mos_base >= 0.23), false) AS may, row_number() OVER (PARTITION BY symbol, variant, fit ORDER BY as_of) AS turn FROM r5)"""
+
+
+_WALK = """walk AS (SELECT symbol, turn, v FROM r6 WHERE fit AND turn = 1 UNION ALL SELECT r6.symbol, r6.turn, CASE WHEN r6.v > walk.v AND NOT r6.may THEN walk.v ELSE r6.v END FROM walk JOIN r6 ON r6.symbol = walk.symbol AND r6.turn = walk.turn + 1 AND r6.fit)"""
 
 
-@query(f"""WITH RECURSIVE {_RATED_SQL} SELECT as_of, r6.symbol AS symbol, profile, CASE WHEN fit THEN ['SELL', 'TRIM', 'HOLD', 'SPECULATIVE_BUY', 'CONVICTION_BUY'][walk.v + 1] ELSE 'NO_RATING' END AS verdict, CASE WHEN fit THEN rule0 ELSE 'R0' END AS rule, round(S, 4) AS score, round(cov, 6) AS coverage, round(dci, 6) AS dci, band, len(fl) AS n_flags
+@query(f"""WITH RECURSIVE {decided_sql()},
+{_WALK} SELECT as_of, r6.symbol AS symbol, profile, CASE WHEN fit THEN ['SELL', 'TRIM', 'HOLD', 'SPECULATIVE_BUY', 'CONVICTION_BUY'][walk.v + 1] ELSE 'NO_RATING' END AS verdict, CASE WHEN fit THEN rule0 ELSE 'R0' END AS rule, round(S, 4) AS score, round(cov, 6) AS coverage, round(dci, 6) AS dci, band, len(fl) AS n_flags
 FROM r6 LEFT JOIN walk ON walk.symbol = r6.symbol AND walk.turn = r6.turn AND fit""")
 def rated_companies(spark, sf_dir) -> DataFrame:
     """The rating of every company on every date, in one job."""

@@ -242,7 +242,7 @@ def confirmed_factors(spark, sf_dir) -> DataFrame:
     SELECT g.*, k.ratio, abs(gap / k.ratio - 1) AS off FROM g, (SELECT unnest([0.02, 0.04, 0.05, 0.1, 0.2, 0.25, 1 / 3, 0.5, 2 / 3, 2, 3, 4, 5, 10]) AS ratio) k WHERE (gap <= 0.7 OR gap >= 1.4) AND prior >= 5
     QUALIFY row_number() OVER (PARTITION BY symbol, trade_date ORDER BY off, k.ratio) = 1)
 SELECT symbol, trade_date AS ex_date, round(gap, 6) AS gap, round(ratio, 6) AS factor FROM n WHERE off <= 0.08 AND date_diff('day', trade_date, later_on) <= 12 AND abs(later / prior / ratio - 1) <= 0.25
-    AND CASE WHEN ratio < 1 THEN va / vb >= 0.6 / ratio ELSE coalesce(va / vb <= 1.6 / ratio, true) END AND NOT EXISTS (SELECT 1 FROM actions a WHERE a.symbol = n.symbol AND abs(date_diff('day', n.trade_date, a.ex_date)) <= 5)""")
+    AND CASE WHEN ratio < 1 THEN va / vb >= 0.6 / ratio ELSE va / vb <= 1.6 / ratio END AND NOT EXISTS (SELECT 1 FROM actions a WHERE a.symbol = n.symbol AND abs(date_diff('day', n.trade_date, a.ex_date)) <= 5)""")
 def unannounced_gaps(spark, sf_dir) -> DataFrame:
     found = adjust.gap_candidates(roles.tape(spark, sf_dir), roles.actions(spark, sf_dir))
     return found.select("symbol", "ex_date", R("gap").alias("gap"), R("factor").alias("factor"))

@@ -60,7 +60,7 @@ def test_metrics_of_filings(spark):
     df = frame(spark, profile="BANK", face_value=10.0, promoter_chg_1y=-3.0, ofs_deals=1, y_equity_capital=[50.0, 50.0, 50.0, 100.0, 103.0, 103.0, 90.0], q_gross_npa_pct=[2.0, 3.0, 3.5, 4.0, 4.5, 5.0, 6.0], net_debt_ebitda=4.0, **{f"x_{i}": 12.0 for i in ("current_assets", "current_liabilities", "cash", "borrowings_current", "cet1", "capital_adequacy_ratio", "gross_npa", "net_npa", "return_on_assets", "advances", "deposits", "provisions")}, x_auditor_opinion="Qualified")
     r = statements.prepared(df).select(*[c.alias(n) for n, c in valuation.filing_columns().items()]).first().asDict(recursive=True)
     v = lambda n: r[n]["value"]
-    assert v("gnpa_pct") == 0.06 and v("gnpa_trend_4q") == pytest.approx(0.025) and v("gnpa_delta_4q_neg") == 2.0 and v("cet1_pct") == 0.12 and v("provision_coverage") == 1 and v("kpi_advances") == 12
+    assert v("gnpa_pct") == 6.0 and v("gnpa_trend_4q") == 2.5 and v("gnpa_delta_4q_neg") == 2.5 and v("cet1_pct") == 12.0 and v("provision_coverage") == 1 and v("kpi_advances") == 12
     assert v("audit_opinion_clean") == 0 and v("ofs_matched") == 1 and v("leveraged_buyback") == 1 and v("su_cfo_5y") == 600 and v("ppop_growth_3y") == pytest.approx(0)
     # the doubled capital, without a fall of the profit, is a bonus issue, and so is what follows, as it is compared with the capital before
     assert v("dilution_5y") == 0.0 and r["current_ratio"]["status"] == "NA" and r["contingent_to_networth"]["status"] == "NA"
