@@ -497,3 +497,26 @@ def test_prefixes_fill_groups():
     first, split, n = substring_dedup.plan_groups(counts, 100)
     assert split[260] == 5 and n > 5 and first[65_535] == n - 1
     assert BASE
+
+
+def test_labels_of_one_class_add_nothing(spark):
+    docs = documents(spark, [(i, f'words token = "{hashlib.sha1(str(i).encode()).hexdigest()}" and a{i}@b.example.com') for i in range(40)])
+    model = pii.fit_spans(docs)
+    assert model.trees == [] and model.thresholds == {}
+    assert {(len(r["base"]), len(r["added"])) for r in pii.find_pii(docs).collect()} == {(1, 0)}
+
+
+def test_wrong_check_digits_and_bytes_teach_what_is_not_personal(spark):
+    rng = np.random.default_rng(8)
+    docs = []
+    for i in range(240):
+        wrong = str(4000000000000000 + int(rng.integers(10**14)))
+        wrong = wrong if not spans_by_hand(wrong) else wrong[:-1] + str((int(wrong[-1]) + 1) % 10)
+        odd = [f'token = "{hashlib.sha1(str(i).encode()).hexdigest()}"', f"+1 (415) 555-{i:04d}", f"number {wrong} and", f"host {300 + i}.1.2.{i % 250} or"][i % 4]
+        docs.append((i, f"plain words {odd} more words"))
+    table = documents(spark, docs)
+    model = pii.fit_spans(table)
+    assert model.trees and "secret" in model.thresholds
+    for r in pii.find_pii(table, model).collect():
+        assert [tuple(s) for s in r["added"]] == added_by_hand(r["text"], model)
+        assert [s["kind"] for s in r["added"]] == ["secret"] * (r["doc_id"] % 4 == 0)
