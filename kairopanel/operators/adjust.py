@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -67,3 +69,15 @@ def gap_candidates(panel: DataFrame, actions: DataFrame, key: str = "symbol", da
     known = actions.select(F.col(key).alias("__k"), F.col("ex_date").alias("__x"))
     free = rows.join(known, (F.col(key) == F.col("__k")) & (F.abs(F.datediff(date, "__x")) <= apart), "left_anti")
     return free.select(key, F.col(date).alias("ex_date"), "gap", F.col("near.ratio").alias("factor"))
+
+
+def adjusted_series(prices: DataFrame, factors: DataFrame, order: Sequence[str] = ("EQ", "BE"), key: str = "symbol", date: str = "trade_date") -> DataFrame:
+    """One adjusted row for each key and date of prices in several series: that of the first series of the order, then by name.
+
+    The series is chosen before a row meets the factors, so each factor counts once, however many series trade on a day.
+    """
+    place = F.array_position(F.array(*[F.lit(s) for s in order]), F.col("series"))
+    place = F.when(place > 0, place).otherwise(len(order) + 1)
+    rest = [c for c in prices.columns if c not in (key, date)]
+    one = prices.groupBy(key, date).agg(F.min_by(F.struct(*rest), F.struct(place, "series")).alias("__x"))
+    return adjusted(one.select(key, date, "__x.*"), factors, key, date)

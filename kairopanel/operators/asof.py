@@ -14,17 +14,23 @@ def keep_first(df: DataFrame, keys: Sequence[str], order: Sequence[Column | str]
     return df.withColumn("__rn", F.row_number().over(w)).where(F.col("__rn") <= n).drop("__rn")
 
 
+def known_spans(facts: DataFrame, keys: Sequence[str], order: Sequence[Column], visible: str = "visible_from") -> DataFrame:
+    """(__best, __from, __next): of each key the fact that is least by the order among those visible, from the day that makes it so to the next day with a fact."""
+    by_day = Window.partitionBy(*keys).orderBy(visible)
+    least = F.struct(*[c.alias(f"__o{k}") for k, c in enumerate(order)], F.struct(*[F.col(c) for c in facts.columns]).alias("__row"))
+    best = F.min(least).over(by_day.rowsBetween(Window.unboundedPreceding, 0))["__row"]
+    spans = facts.select(F.col(visible).alias("__from"), F.lead(visible).over(by_day).alias("__next"), best.alias("__best"))
+    return spans.where(F.col("__next").isNull() | (F.col("__next") > F.col("__from")))
+
+
 def known_at(facts: DataFrame, dates: DataFrame, keys: Sequence[str], prefer: Sequence[Column | str] = (), visible: str = "visible_from", as_of: str = "as_of") -> DataFrame:
     """For each date the facts visible by then, one row for each key: the preferred one, else the last to become visible.
 
     Each fact is turned into the days on which it, or a better one that came before it, is what is known of its key: so a date meets
     one row a key, however many facts there are. dates is a small table of as-of dates; it is broadcast.
     """
-    by_day = Window.partitionBy(*keys).orderBy(visible)
-    order = F.struct(*[F.col(p) if isinstance(p, str) else p for p in prefer], (-F.unix_date(visible)).alias("__late"), F.struct(*[F.col(c) for c in facts.columns]).alias("__row"))
-    best = F.min(order).over(by_day.rowsBetween(Window.unboundedPreceding, 0))["__row"]
-    spans = facts.select(F.col(visible).alias("__from"), F.lead(visible).over(by_day).alias("__next"), best.alias("__best"))
-    spans = spans.where(F.col("__next").isNull() | (F.col("__next") > F.col("__from")))
+    order = [F.col(p) if isinstance(p, str) else p for p in prefer] + [-F.unix_date(visible)]
+    spans = known_spans(facts, keys, order, visible)
     met = spans.join(F.broadcast(dates.select(as_of)), (F.col("__from") <= F.col(as_of)) & (F.col("__next").isNull() | (F.col("__next") > F.col(as_of))))
     return met.select("__best.*", as_of)
 

@@ -23,13 +23,15 @@ HISTORICAL = ["FORENSIC_BENEISH_2Y", "FORENSIC_CASH_DIVERGENCE", "SOLVENCY_BREAC
 
 
 def returns_ahead(
-    panel: DataFrame, dates: DataFrame, calendar: DataFrame, horizons: dict[str, int], key: str = "symbol", date: str = "trade_date", grace: int = 5, haircut: float = 0.01
+    panel: DataFrame, dates: DataFrame, calendar: DataFrame, horizons: dict[str, int], key: str = "symbol", date: str = "trade_date", grace: int = 5, haircut: float = 0.01,
+    delisted: bool = False,
 ) -> DataFrame:
     """(as_of, key, matured_on, <name>...): adjusted returns from each date over several horizons, from one sorted run a key.
 
     panel: (key, date, close), adjusted; calendar: (date, session_no). horizons: a column's name and its sessions, the first one's end being
     ``matured_on``. A key whose last price lies more than ``grace`` sessions before an end counts as delisted: the return to its last price,
-    less the haircut. Returns beyond the calendar's end are null.
+    less the haircut. Returns beyond the calendar's end are null. With ``delisted`` there are also <name>_on, the horizon's end, and
+    <name>_delisted.
     """
     cal = calendar.select(F.col(date), "session_no")
     spans = F.explode(F.array(*[F.struct(F.lit(n).alias("name"), F.lit(h).alias("sessions")) for n, h in horizons.items()]))
@@ -40,10 +42,11 @@ def returns_ahead(
     starts = rows.join(F.broadcast(ends), "session_no").select(key, "as_of", "name", "__to", "__on", F.col("close").alias("__first"))
     prices = rows.select(key, "session_no", F.col("close").alias("__last"), F.col("session_no").alias("__s"))
     met = asof_join(starts, prices, [key], "__to", "session_no", ["__last", "__s"])
-    kept = F.when(F.col("__to") - F.col("__s") > grace, 1 - haircut).otherwise(1.0)
+    gone = F.col("__to") - F.col("__s") > grace
+    kept = F.when(gone, 1 - haircut).otherwise(1.0)
     ret = F.when(F.col("__first") > 0, F.col("__last") * kept / F.col("__first") - 1)
     at = lambda c, n: F.max(F.when(F.col("name") == n, c))
-    return met.groupBy("as_of", key).agg(at(F.col("__on"), next(iter(horizons))).alias("matured_on"), *[at(ret, n).alias(n) for n in horizons])
+    return met.groupBy("as_of", key).agg(at(F.col("__on"), next(iter(horizons))).alias("matured_on"), *[at(ret, n).alias(n) for n in horizons], *[x for n in horizons if delisted for x in (at(F.col("__on"), n).alias(f"{n}_on"), at(gone, n).alias(f"{n}_delisted"))])
 
 
 def benchmark_ahead(index: DataFrame, dates: DataFrame, calendar: DataFrame, horizons: dict[str, int], date: str = "trade_date", annual: float = 0.0) -> DataFrame:

@@ -7,23 +7,36 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..sources.scratch import written
+from .quantiles import medians
+
 
 def winsorise(df: DataFrame, column: str, by: Sequence[str], out: str | None = None, k: float = 3.0) -> DataFrame:
-    """The column within median +/- k * 1.4826 * MAD of its group; unchanged where the MAD is 0."""
-    w = Window.partitionBy(*by)
-    df = df.withColumn("__m", F.percentile(column, F.lit(0.5)).over(w))
-    df = df.withColumn("__s", F.percentile(F.abs(F.col(column) - F.col("__m")), F.lit(0.5)).over(w) * 1.4826 * k)
-    bounded = F.least(F.greatest(F.col(column), F.col("__m") - F.col("__s")), F.col("__m") + F.col("__s"))
-    return df.withColumn(out or column, F.when(F.col(column).isNotNull() & (F.col("__s") > 0), bounded).otherwise(F.col(column))).drop("__m", "__s")
+    """The column within median +/- k * 1.4826 * MAD of its group; unchanged where the MAD is 0.
+
+    df is written once, as both medians and the result read it; the medians are a row a group and are joined back.
+    """
+    df = written(df)
+    held = df.join(written(medians(df, by, column, "__m")).drop("__m_n"), list(by), "left")
+    far = written(medians(held.select(*by, F.abs(F.col(column) - F.col("__m")).alias("__d")), by, "__d", "__s")).drop("__s_n")
+    held, bound = held.join(far, list(by), "left"), F.col("__s") * 1.4826 * k
+    bounded = F.least(F.greatest(F.col(column), F.col("__m") - bound), F.col("__m") + bound)
+    return held.withColumn(out or column, F.when(F.col(column).isNotNull() & (bound > 0), bounded).otherwise(F.col(column))).drop("__m", "__s")
 
 
 def zscore_grouped(df: DataFrame, column: str, by: Sequence[str], group: str, out: str, least: int = 8, bound: float = 4.0) -> DataFrame:
-    """z-score within by + group where it has ``least`` known values, else within by; population deviation, clipped."""
-    inner, outer = Window.partitionBy(*by, group), Window.partitionBy(*by)
+    """z-score within by + group where it has ``least`` known values, else within by; population deviation, clipped. A null group is one of its own.
+
+    Counts, means and deviations are summed before they travel and joined back, a row a group.
+    """
     x = F.col(column)
-    z = lambda w: F.try_divide(x - F.avg(x).over(w), F.nullif(F.stddev_pop(x).over(w), F.lit(0.0)))
-    chosen = F.when(F.count(x).over(inner) >= least, z(inner)).otherwise(z(outer))
-    return df.withColumn(out, F.when(chosen.isNotNull(), F.least(F.greatest(chosen, F.lit(-bound)), F.lit(bound))))
+    rows = df.withColumn("__g", F.coalesce(F.col(group).cast("string"), F.lit("\0")))
+    facts = lambda keys, p: rows.groupBy(*keys).agg(F.count(x).alias(f"__n{p}"), F.avg(x).alias(f"__a{p}"), F.stddev_pop(x).alias(f"__d{p}"))
+    rows = rows.join(facts([*by, "__g"], "i"), [*by, "__g"], "left").join(facts(list(by), "o"), list(by), "left")
+    z = lambda p: F.try_divide(x - F.col(f"__a{p}"), F.nullif(F.col(f"__d{p}"), F.lit(0.0)))
+    chosen = F.when(F.col("__ni") >= least, z("i")).otherwise(z("o"))
+    chosen = F.when(chosen.isNotNull(), F.least(F.greatest(chosen, F.lit(-bound)), F.lit(bound)))
+    return rows.withColumn(out, chosen).select(*[c for c in df.columns if c != out], out)
 
 
 def average_rank(x: Column, by: Sequence[Column | str]) -> Column:
@@ -73,9 +86,10 @@ def bucket_scores(df: DataFrame, by: Sequence[str], key: str, group: str, compon
 
     rows = F.explode(F.array(*[F.struct(F.lit(n).alias("component"), F.lit(b).alias("bucket"), signed(n, s, a, z).alias("x")) for n, b, s, a, z in here]))
     long = df.select(*by, key, group, rows.alias("__c")).select(*by, key, group, "__c.*")
-    long = winsorise(long, "x", [*by, "component"])
+    long = written(winsorise(long, "x", [*by, "component"]))
     long = zscore_grouped(long, "x", [*by, "component"], group, "z")
-    long = long.withColumn("z", F.when(F.count("x").over(Window.partitionBy(*by, "component")) >= least_names, F.col("z")))
+    enough = long.groupBy(*by, "component").agg((F.count("x") >= least_names).alias("__enough"))
+    long = long.join(enough, [*by, "component"]).withColumn("z", F.when(F.col("__enough"), F.col("z")))
     means = long.groupBy(*by, key).agg(*[F.when(F.count(F.when(F.col("bucket") == b, F.col("z"))) >= least_components, F.avg(F.when(F.col("bucket") == b, F.col("z")))).alias(f"z_{b}") for b in buckets])
     known = sum((F.col(f"z_{b}").isNotNull().cast("int") for b in buckets), F.lit(0))
     return means.withColumn("buckets_known", known)

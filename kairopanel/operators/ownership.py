@@ -8,25 +8,56 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .asof import known_at, known_spans
+
 #: Words of adverse announcements.
 ADVERSE = ["sebi order", "fraud", "forensic audit", "default", "resignation of auditor", "auditor resign", "resignation of cfo", "warning letter", "oai", "import alert", "insolvency", "nclt", "winding up"]
 
 
+def newest_periods(facts: DataFrame, dates: DataFrame, keys: Sequence[str], values: Sequence[str], n: int, period: str = "period_end", visible: str = "visible_from", as_of: str = "as_of") -> DataFrame:
+    """(as_of, keys, periods): for each date the newest n periods known by then, as an array of (period, values), oldest first.
+
+    A key's facts are walked once in the order in which they became visible, carrying a **ring** of n periods: a fact of a period in the
+    ring adds the values that are still unknown, or larger, another one enters and the oldest leaves. So a key's state changes as often
+    as it has facts, each state holds until the next, and a date meets one state a key, however many facts there are. dates is a small
+    table; it is broadcast.
+    """
+    kind = facts.select(F.struct(F.col(period).alias("period"), *[F.col(v) for v in values])).schema[0].dataType.simpleString()
+    row = F.struct(F.col(visible).alias("visible"), F.struct(F.col(period).alias("period"), *[F.col(v) for v in values]).alias("x"))
+    path = facts.groupBy(*keys).agg(F.array_sort(F.collect_list(row)).alias("__path"))  # one key's facts: a few hundred
+    merged = lambda r, x: F.struct(r["period"].alias("period"), *[F.greatest(r[v], x[v]).alias(v) for v in values])
+
+    def step(done: Column, e: Column) -> Column:
+        ring, x = done["ring"], e["x"]
+        there = F.exists(ring, lambda r: r["period"] == x["period"])
+        grown = F.array_sort(F.array_append(ring, x))
+        grown = F.slice(grown, F.greatest(F.size(grown) - n + 1, F.lit(1)), n)
+        ring = F.when(there, F.transform(ring, lambda r: F.when(r["period"] == x["period"], merged(r, x)).otherwise(r))).otherwise(grown)
+        return F.struct(ring.alias("ring"), F.array_append(done["out"], F.struct(e["visible"].alias("from"), ring.alias("ring"))).alias("out"))
+
+    day = facts.schema[visible].dataType.simpleString()
+    start = F.struct(F.array().cast(f"array<{kind}>").alias("ring"), F.array().cast(f"array<struct<from:{day},ring:array<{kind}>>>").alias("out"))
+    states = path.select(*keys, F.aggregate("__path", start, step, lambda d: d["out"]).alias("__s"))
+    each = F.posexplode(F.transform("__s", lambda s, i: F.struct(s["from"].alias("from"), F.get(F.col("__s"), i + 1)["from"].alias("next"), s["ring"].alias("ring"))))
+    spans = states.select(*keys, each).select(*keys, "col.*").where(F.col("next").isNull() | (F.col("next") > F.col("from")))
+    met = spans.join(F.broadcast(dates.select(as_of)), (F.col("from") <= F.col(as_of)) & (F.col("next").isNull() | (F.col("next") > F.col(as_of))))
+    return met.select(as_of, *keys, F.col("ring").alias("periods"))
+
+
 def holder_changes(holdings: DataFrame, dates: DataFrame, quarters: Sequence[int] = (4, 12)) -> DataFrame:
     """(as_of, symbol, promoter_pct, promoter_chg_1y, promoter_chg_3y, inst_pct, inst_chg_1y) of what was visible by each date.
 
     holdings: (symbol, period_end, holder, pct, visible_from); institutions are fii and dii. A change compares with 4 and 12 quarters before the last.
     """
-    seen = holdings.join(F.broadcast(dates.select("as_of")), F.col("visible_from") <= F.col("as_of"))
-    flat = seen.groupBy("as_of", "symbol", "period_end").agg(
-        F.max(F.when(F.col("holder") == "promoters", F.col("pct"))).alias("p"), (F.max(F.when(F.col("holder") == "fii", F.col("pct"))) + F.max(F.when(F.col("holder") == "dii", F.col("pct")))).alias("i"),
-    )
-    newest = Window.partitionBy("as_of", "symbol").orderBy(F.desc("period_end"))
-    flat = flat.withColumn("k", F.row_number().over(newest)).where(F.col("k") <= max(quarters) + 1)
-    at = lambda c, k: F.max(F.when(F.col("k") == k + 1, F.col(c)))
+    held = lambda h: F.max(F.when(F.col("holder") == h, F.col("pct")))
+    facts = holdings.groupBy("symbol", "period_end", "visible_from").agg(held("promoters").alias("p"), held("fii").alias("f"), held("dii").alias("d"))
+    rings = newest_periods(facts, dates, ["symbol"], ["p", "f", "d"], max(quarters) + 1)
+    back = lambda k: F.get("periods", F.size("periods") - 1 - k)
+    promoters, institutions = (lambda k: back(k)["p"]), (lambda k: back(k)["f"] + back(k)["d"])
     year, three = quarters
-    return flat.groupBy("as_of", "symbol").agg(
-        at("p", 0).alias("promoter_pct"), (at("p", 0) - at("p", year)).alias("promoter_chg_1y"), (at("p", 0) - at("p", three)).alias("promoter_chg_3y"), at("i", 0).alias("inst_pct"), (at("i", 0) - at("i", year)).alias("inst_chg_1y"),
+    return rings.select(
+        "as_of", "symbol", promoters(0).alias("promoter_pct"), (promoters(0) - promoters(year)).alias("promoter_chg_1y"), (promoters(0) - promoters(three)).alias("promoter_chg_3y"),
+        institutions(0).alias("inst_pct"), (institutions(0) - institutions(year)).alias("inst_chg_1y"),
     )
 
 
@@ -37,12 +68,15 @@ def within_days(events: DataFrame, dates: DataFrame, day: str, days: int, visibl
 
 
 def pledges(rows: DataFrame, dates: DataFrame) -> DataFrame:
-    """(as_of, symbol, pledged_pct_of_promoter, pledge_delta_4q): the last pledge by each date, and its change over that of 365 days before."""
-    def last(shift: int, name: str) -> DataFrame:
-        then = rows.join(F.broadcast(dates.select("as_of")), F.col("period_end") <= F.date_sub(F.col("as_of"), shift))
-        return then.groupBy("as_of", "symbol").agg(F.max_by("pledged_pct", "period_end").alias(name))
+    """(as_of, symbol, pledged_pct_of_promoter, pledge_delta_4q): the last pledge by each date, and its change over that of 365 days before.
 
-    out = last(0, "pledged_pct_of_promoter").join(last(365, "__b"), ["as_of", "symbol"], "left")
+    A pledge (symbol, period_end, pledged_pct) is what is known until the next one; a date, and the day a year before it, meet one each.
+    """
+    rows = rows.select("symbol", "period_end", "pledged_pct")
+    now = known_at(rows, dates, ["symbol"], visible="period_end").select("as_of", "symbol", F.col("pledged_pct").alias("pledged_pct_of_promoter"))
+    past = dates.select(F.date_sub("as_of", 365).alias("as_of")).distinct()
+    before = known_at(rows, past, ["symbol"], visible="period_end").select(F.date_add("as_of", 365).alias("as_of"), "symbol", F.col("pledged_pct").alias("__b"))
+    out = now.join(before, ["as_of", "symbol"], "left")
     return out.withColumn("pledge_delta_4q", F.col("pledged_pct_of_promoter") - F.col("__b")).drop("__b")
 
 
@@ -96,12 +130,19 @@ def historical_mcaps(periods: DataFrame, closes: DataFrame, faces: DataFrame, to
 
 
 def canonical_facts(facts: DataFrame, dates: DataFrame, items: Sequence[str]) -> DataFrame:
-    """(as_of, symbol, kind, period_end, <items>): of each kind of period the latest one visible, consolidated before standalone, for each item."""
-    seen = facts.join(F.broadcast(dates.select("as_of")), F.col("visible_from") <= F.col("as_of")).where("dims = '' and item is not null")
-    newest = seen.withColumn("__r", F.rank().over(Window.partitionBy("as_of", "symbol", "kind").orderBy(F.desc("period_end")))).where("__r = 1")
-    first = Window.partitionBy("as_of", "symbol", "kind", "period_end", "item").orderBy(F.when(F.col("basis") == "consolidated", 0).otherwise(1), F.desc("visible_from"), F.desc("value"))
-    one = newest.withColumn("__k", F.row_number().over(first)).where("__k = 1")
-    return one.groupBy("as_of", "symbol", "kind", "period_end").pivot("item", list(items)).agg(F.first("value"))
+    """(as_of, symbol, kind, period_end, <items>): of each kind of period the latest one visible, consolidated before standalone, for each item.
+
+    Of a (symbol, kind) a date meets the newest period, and of that period's items those known by then: a fact meets only the dates on
+    which its period is the newest.
+    """
+    facts = facts.where("dims = '' and item is not null")
+    newest = known_at(facts.select("symbol", "kind", "period_end", "visible_from").distinct(), dates, ["symbol", "kind"], [-F.unix_date("period_end")])
+    basis = F.when(F.col("basis") == "consolidated", 0).otherwise(1)
+    spans = known_spans(facts.select("symbol", "kind", "period_end", "item", "basis", "value", "visible_from"), ["symbol", "kind", "period_end", "item"], [basis, -F.unix_date("visible_from"), -F.col("value")])
+    held = spans.select("__from", "__next", "__best.symbol", "__best.kind", "__best.period_end", "__best.item", "__best.value")
+    met = newest.select("as_of", "symbol", "kind", "period_end").join(held, ["symbol", "kind", "period_end"])
+    met = met.where((F.col("__from") <= F.col("as_of")) & (F.col("__next").isNull() | (F.col("__next") > F.col("as_of"))))
+    return met.groupBy("as_of", "symbol", "kind", "period_end").pivot("item", list(items)).agg(F.first("value"))
 
 
 def restamped(facts: DataFrame, calendar: DataFrame) -> DataFrame:

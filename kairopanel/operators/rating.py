@@ -9,8 +9,10 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions.scalars import canonical_digest, first_match, piecewise
+from ..sources.scratch import written
 from .cross_section import average_rank, winsorise
 from .profiles import applies, catalogue
+from .quantiles import medians
 
 #: Pillar weights (P1..P6) of the profiles.
 PILLARS = ["P1", "P2", "P3", "P4", "P5", "P6"]
@@ -61,8 +63,10 @@ def component_scores(df: DataFrame, by: Sequence[str], group: str, components: l
     inner, outer = Window.partitionBy(*by, "component", group), Window.partitionBy(*by, "component")
     pct = F.when(F.count("x").over(inner) >= least, average_rank(F.col("x"), [*by, "component", group]) / F.count("x").over(inner)).otherwise(average_rank(F.col("x"), [*by, "component"]) / F.nullif(F.count("x").over(outer), F.lit(0)))
     long = long.withColumn("score", F.when(F.col("kind") == "pct", pct * 100).otherwise(F.col("direct")))
-    mid = lambda w: F.percentile("score", F.lit(0.5)).over(w)
-    prior = F.coalesce(F.when(F.count("score").over(inner) >= least, mid(inner)), mid(outer), F.lit(50.0))
+    long = written(long.select(*by, "symbol", group, "pillar", "component", "weight", "score"))  # the medians below read it too
+    own, all_ = [*by, "component", group], [*by, "component"]
+    long = long.join(medians(long, own, "score", "__own"), own, "left").join(medians(long, all_, "score", "__all"), all_, "left")
+    prior = F.coalesce(F.when(F.col("__own_n") >= least, F.col("__own")), F.col("__all"), F.lit(50.0))
     return long.withColumn("prior", prior).select(*by, "symbol", group, "pillar", "component", "weight", "score", "prior")
 
 

@@ -9,8 +9,10 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..sources.scratch import written
 from .asof import asof_join
 from .cross_section import average_rank, deciles
+from .quantiles import group_quantiles
 
 
 def forward_returns(panel: DataFrame, dates: DataFrame, calendar: DataFrame, horizon: int, key: str = "symbol", date: str = "trade_date", grace: int = 5, haircut: float = 0.01) -> DataFrame:
@@ -87,9 +89,10 @@ def transition_rate(df: DataFrame, keys: Sequence[str], as_of: str, value: str)
 def brier(train: DataFrame, test: DataFrame, score: str, event: str, bins: int = 10) -> DataFrame:
     """(brier, climatology, n): squared error of the event rates of train-score quantile bins, made monotone, on the test rows.
 
-    The edges are exact quantiles of the train scores: ``bins`` - 1 numbers.
+    The edges are exact quantiles of the train scores: ``bins`` - 1 numbers. The train rows are written once, as they are read three times.
     """
-    edges = train.agg(F.percentile(score, F.array(*[F.lit(k / bins) for k in range(1, bins)])).alias("__e"), F.avg(F.col(event).cast("double")).alias("__base"))
+    train = written(train.select(score, event))
+    edges = train.agg(F.avg(F.col(event).cast("double")).alias("__base")).crossJoin(F.broadcast(group_quantiles(train, [], score, [k / bins for k in range(1, bins)], "__e").drop("n")))
     place = lambda df: df.crossJoin(F.broadcast(edges)).withColumn("__bin", F.size(F.filter("__e", lambda x: x < F.col(score))))
     rates = place(train).groupBy("__bin").agg(F.avg(F.col(event).cast("double")).alias("__r"))
     rates = rates.withColumn("__p", F.max("__r").over(Window.orderBy("__bin").rowsBetween(Window.unboundedPreceding, 0))).select("__bin", "__p")

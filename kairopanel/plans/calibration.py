@@ -19,8 +19,8 @@ PROFILES = ["GENERAL", "BANK", "NBFC_FIN", "IT_SERVICES", "PHARMA"]
 YEARS, HOLDOUT = [1997, 1998, 1999], "2000-01-01"
 
 
-def supplier_history(spark, sf_dir) -> DataFrame:
-    """Suppliers rated each month by three variants, with returns of their mean price over 12 and 36 months; written once."""
+def supplier_ratings(spark, sf_dir) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Suppliers rated each month by three variants, their mean prices, and those of all suppliers."""
     months = written(roles.supplier_months(spark, sf_dir).withColumns({"roe": F.round("roe", 4), "turnover": F.round("turnover", 2)}))
     place = {c: percentile_grouped(F.col(c), ["as_of"]).alias(f"p_{c}") for c in ("roe", "mom_12_1", "turnover", "debt_equity")}
     rows = months.select("as_of", "symbol", "industry", "roce", "beta_250", *place.values())
@@ -40,6 +40,12 @@ def supplier_history(spark, sf_dir) -> DataFrame:
     )
     prices = months.select("symbol", F.col("as_of").alias("trade_date"), (F.col("turnover") / F.col("mom_6_1")).alias("close"))
     index = months.groupBy(F.col("as_of").alias("trade_date")).agg((F.sum("turnover") / F.sum("mom_6_1")).alias("close"))
+    return ratings, prices, index
+
+
+def supplier_history(spark, sf_dir) -> DataFrame:
+    """The ratings of suppliers with what followed over 12 and 36 months; written once."""
+    ratings, prices, index = supplier_ratings(spark, sf_dir)
     calendar = asof.sessions(index)
     dates = index.select(F.col("trade_date").alias("as_of"))
     ahead = calibration.returns_ahead(prices, dates, calendar, {"fwd": 12, "fwd_long": 36})
@@ -55,6 +61,9 @@ _ahead = lambda name, n: f"""{name} AS (  -- noqa
     SELECT a.as_of, b.close / a.close - 1 + 0.013 * date_diff('day', a.as_of, b.as_of) / 365 AS ret FROM idx a JOIN idx b ON b.no = a.no + {n}
 )"""
 
+VERDICT = """CASE WHEN hard OR score < 35 THEN 'SELL' WHEN mos <= -0.25 OR score < 50 THEN 'TRIM' WHEN score >= 80 AND mos >= 0.2 AND band = 'HIGH' THEN 'CONVICTION_BUY'
+            WHEN score >= 80 AND mos >= 0.2 AND band = 'MED' THEN 'SPECULATIVE_BUY' WHEN score >= 70 AND cat AND p2 >= 40 AND band <> 'LOW' AND mos > -0.1 THEN 'SPECULATIVE_BUY' ELSE 'HOLD' END"""
+
 HISTORY = f"""{roles.SUPPLIER_MONTHS}, months AS (
     SELECT as_of, symbol, industry, round(roe, 4) AS roe, round(turnover, 2) AS turnover, debt_equity, mom_12_1, mom_6_1, roce, beta_250 FROM supplier_months
 ), cal AS (SELECT as_of, row_number() OVER (ORDER BY as_of) AS no FROM (SELECT DISTINCT as_of FROM months)
@@ -72,8 +81,7 @@ HISTORY = f"""{roles.SUPPLIER_MONTHS}, months AS (
         100 * {_place("x", "as_of, variant")} AS score, round(p_max - 0.3, 9) AS mos, round(roce, 6) < 0.02 AS hard, p_turnover >= 0.9 AS cat, 100 * p_roe AS p2,
         CASE WHEN beta_250 >= 8 THEN 'HIGH' WHEN beta_250 >= 4 THEN 'MED' ELSE 'LOW' END AS band, least(1, beta_250 / 10) AS coverage FROM summed
 ), hist AS (
-    SELECT r.*, CASE WHEN hard OR score < 35 THEN 'SELL' WHEN mos <= -0.25 OR score < 50 THEN 'TRIM' WHEN score >= 80 AND mos >= 0.2 AND band = 'HIGH' THEN 'CONVICTION_BUY'
-            WHEN score >= 80 AND mos >= 0.2 AND band = 'MED' THEN 'SPECULATIVE_BUY' WHEN score >= 70 AND cat AND p2 >= 40 AND band <> 'LOW' AND mos > -0.1 THEN 'SPECULATIVE_BUY' ELSE 'HOLD' END AS verdict,
+    SELECT r.*, {VERDICT} AS verdict,
         y.ret AS fwd, yb.ret AS bench, y.ret - yb.ret AS excess, t.ret - tb.ret AS excess_long, m.ends_on AS matured_on
     FROM ratings r JOIN (SELECT DISTINCT as_of, ends_on FROM year) m USING (as_of) LEFT JOIN year y USING (as_of, symbol) LEFT JOIN year_bench yb USING (as_of)
         LEFT JOIN three t USING (as_of, symbol) LEFT JOIN three_bench tb USING (as_of)

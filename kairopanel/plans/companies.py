@@ -45,10 +45,10 @@ def frames(spark, sf_dir) -> DataFrame:
         return held.groupBy("symbol").agg(F.sort_array(F.collect_list(F.struct("period_end", "visible_from", *DERIVED))).alias(kind))
 
     dates = years.select(F.date_add("period_end", 90).alias("as_of")).distinct()
-    both = packed(years, "y").join(packed(quarters, "q"), "symbol").crossJoin(F.broadcast(dates))
+    both = packed(years, "y").join(packed(quarters, "q"), "symbol").withColumn("__first", F.array_min("y.visible_from"))
+    both = both.join(F.broadcast(dates), F.col("as_of") >= F.col("__first")).drop("__first")  # a date meets the companies known by then
     for kind, n in (("y", 12), ("q", 13)):
         both = both.withColumn(kind, F.filter(kind, lambda x: x["visible_from"] <= F.col("as_of"))).withColumn(kind, F.slice(kind, F.greatest(F.size(kind) - n + 1, F.lit(1)), n))
-    both = both.where(F.size("y") > 0)
     flat = both.select("as_of", "symbol", *[c for kind in "yq" for c in (F.col(f"{kind}.period_end").alias(f"{kind}_period"), *[F.col(f"{kind}.{i}").alias(f"{kind}_{i}") for i in DERIVED])])
     s, net = F.col("symbol"), statements.at(F.col("y_net_profit"), 1)
     face = F.element_at(F.array(*[F.lit(v) for v in (1.0, 2.0, 5.0, 10.0)]), (1 + s % 4).cast("int"))
@@ -295,15 +295,32 @@ def measured_wide(spark, sf_dir) -> DataFrame:
     return written(df.select("as_of", "symbol", "profile", "notes", "price", "history_days", "stmt_age_days", "pledged_pct_of_promoter", "asm_stage", "promoter_chg_1y", *[c["value"].alias(n) for n, c in columns.items()], F.col("profile").isin("BANK", "NBFC_FIN").alias("financial")))
 
 
-#: Rules of the flags: code, tier, the worst verdict that a soft one allows, condition.
-_FLAGS_SQL = """[{'code': 'FORENSIC_BENEISH_2Y', 'tier': 'HARD', 'cap': 'SELL', 'on': beneish_m > -1.78 AND beneish_m_prev > -1.78 AND accrual_ratio_sloan > 0.10}, {'code': 'FORENSIC_CASH_DIVERGENCE', 'tier': 'HARD', 'cap': 'SELL', 'on': NOT lender AND accrual_ratio_sloan_abs > 0.15 AND cfo_to_pat_5y < 0.5},
-    {'code': 'SOLVENCY_BREACH', 'tier': 'HARD', 'cap': 'SELL', 'on': NOT lender AND ((altman_zpp < 1.1 AND int_cover_ttm < 1.5) OR (net_debt_ebitda > 6 AND int_cover_ttm < 1))}, {'code': 'CAPITAL_BREACH_BANK', 'tier': 'HARD', 'cap': 'SELL', 'on': lender AND (coalesce(gnpa_pct > 10, false) OR coalesce(cet1_pct < 8, false))},
-    {'code': 'AUDIT_QUALIFIED_OR_RESIGNED', 'tier': 'HARD', 'cap': 'SELL', 'on': audit_opinion_clean < 0.5}, {'code': 'PLEDGE_GT_50', 'tier': 'HARD', 'cap': 'SELL', 'on': pledged_pct_of_promoter > 50}, {'code': 'BENEISH_1Y', 'tier': 'SOFT', 'cap': 'HOLD', 'on': beneish_m > -1.78 AND NOT beneish_m_prev > -1.78},
-    {'code': 'STALE_STATEMENTS', 'tier': 'SOFT', 'cap': 'HOLD', 'on': stmt_age_days > 200 AND stmt_age_days <= 400}, {'code': 'PROMOTER_SELLING', 'tier': 'SOFT', 'cap': 'HOLD', 'on': promoter_chg_1y <= -5 AND NOT ofs_matched > 0}, {'code': 'MOAT_EROSION', 'tier': 'SOFT', 'cap': 'HOLD', 'on': coalesce(spread_ttm < 0 AND spread_median_5y > 0.05, false) OR coalesce(opm_chg_3y < -0.05 AND sales_growth_3y_pos > 0, false)},
-    {'code': 'DEBT_SPIKE', 'tier': 'SOFT', 'cap': 'HOLD', 'on': net_debt_ebitda - net_debt_ebitda_prev > 2}, {'code': 'OTHER_INCOME_DEPENDENCE', 'tier': 'SOFT', 'cap': 'HOLD', 'on': other_income_share > 0.5 AND other_income_share_prev > 0.5}, {'code': 'LEVERAGED_BUYBACK', 'tier': 'SOFT', 'cap': 'TRIM', 'on': leveraged_buyback > 0},
-    {'code': 'PLEDGE_GT_25', 'tier': 'SOFT', 'cap': 'TRIM', 'on': pledged_pct_of_promoter > 25 AND pledged_pct_of_promoter <= 50}, {'code': 'ASM_STAGE_2_PLUS', 'tier': 'SOFT', 'cap': 'HOLD', 'on': asm_stage >= 2}, {'code': 'OTHER_INCOME_25_50', 'tier': 'WATCH', 'cap': NULL, 'on': other_income_share BETWEEN 0.25 AND 0.50},
-    {'code': 'PLEDGE_10_25', 'tier': 'WATCH', 'cap': NULL, 'on': pledged_pct_of_promoter > 10 AND pledged_pct_of_promoter <= 25}, {'code': 'PROMOTER_SELLING_2_5PP', 'tier': 'WATCH', 'cap': NULL, 'on': promoter_chg_1y > -5 AND promoter_chg_1y <= -2}, {'code': 'BENEISH_WATCH', 'tier': 'WATCH', 'cap': NULL, 'on': beneish_m > -2.22 AND beneish_m <= -1.78},
-    {'code': 'WC_DAYS_UP_20', 'tier': 'WATCH', 'cap': NULL, 'on': wc_days_delta_3y > 20}, {'code': 'TAX_GAP', 'tier': 'WATCH', 'cap': NULL, 'on': cash_tax_gap > 0.10}, {'code': 'DEBT_UP_1_TURN', 'tier': 'WATCH', 'cap': NULL, 'on': net_debt_ebitda - net_debt_ebitda_prev > 0 AND net_debt_ebitda - net_debt_ebitda_prev <= 2}, {'code': 'VALUATION_DISPERSION_GT_50', 'tier': 'WATCH', 'cap': NULL, 'on': val_dispersion > 0.50}]"""
+#: Fixed values, as SQL has them: code, tier, the worst verdict that a soft one allows, condition.
+_FLAGS_SQL = """[
+    {'code': 'FORENSIC_BENEISH_2Y', 'tier': 'HARD', 'cap': 'SELL', 'on': beneish_m > -1.78 AND beneish_m_prev > -1.78 AND accrual_ratio_sloan > 0.10},
+    {'code': 'FORENSIC_CASH_DIVERGENCE', 'tier': 'HARD', 'cap': 'SELL', 'on': NOT lender AND accrual_ratio_sloan_abs > 0.15 AND cfo_to_pat_5y < 0.5},
+    {'code': 'SOLVENCY_BREACH', 'tier': 'HARD', 'cap': 'SELL', 'on': NOT lender AND ((altman_zpp < 1.1 AND int_cover_ttm < 1.5) OR (net_debt_ebitda > 6 AND int_cover_ttm < 1))},
+    {'code': 'CAPITAL_BREACH_BANK', 'tier': 'HARD', 'cap': 'SELL', 'on': lender AND (coalesce(gnpa_pct > 10, false) OR coalesce(cet1_pct < 8, false))},
+    {'code': 'AUDIT_QUALIFIED_OR_RESIGNED', 'tier': 'HARD', 'cap': 'SELL', 'on': audit_opinion_clean < 0.5},
+    {'code': 'PLEDGE_GT_50', 'tier': 'HARD', 'cap': 'SELL', 'on': pledged_pct_of_promoter > 50},
+    {'code': 'BENEISH_1Y', 'tier': 'SOFT', 'cap': 'HOLD', 'on': beneish_m > -1.78 AND NOT beneish_m_prev > -1.78},
+    {'code': 'STALE_STATEMENTS', 'tier': 'SOFT', 'cap': 'HOLD', 'on': stmt_age_days > 200 AND stmt_age_days <= 400},
+    {'code': 'PROMOTER_SELLING', 'tier': 'SOFT', 'cap': 'HOLD', 'on': promoter_chg_1y <= -5 AND NOT ofs_matched > 0},
+    {'code': 'MOAT_EROSION', 'tier': 'SOFT', 'cap': 'HOLD', 'on': coalesce(spread_ttm < 0 AND spread_median_5y > 0.05, false) OR coalesce(opm_chg_3y < -0.05 AND sales_growth_3y_pos > 0, false)},
+    {'code': 'DEBT_SPIKE', 'tier': 'SOFT', 'cap': 'HOLD', 'on': net_debt_ebitda - net_debt_ebitda_prev > 2},
+    {'code': 'OTHER_INCOME_DEPENDENCE', 'tier': 'SOFT', 'cap': 'HOLD', 'on': other_income_share > 0.5 AND other_income_share_prev > 0.5},
+    {'code': 'LEVERAGED_BUYBACK', 'tier': 'SOFT', 'cap': 'TRIM', 'on': leveraged_buyback > 0},
+    {'code': 'PLEDGE_GT_25', 'tier': 'SOFT', 'cap': 'TRIM', 'on': pledged_pct_of_promoter > 25 AND pledged_pct_of_promoter <= 50},
+    {'code': 'ASM_STAGE_2_PLUS', 'tier': 'SOFT', 'cap': 'HOLD', 'on': asm_stage >= 2},
+    {'code': 'OTHER_INCOME_25_50', 'tier': 'WATCH', 'cap': NULL, 'on': other_income_share BETWEEN 0.25 AND 0.50},
+    {'code': 'PLEDGE_10_25', 'tier': 'WATCH', 'cap': NULL, 'on': pledged_pct_of_promoter > 10 AND pledged_pct_of_promoter <= 25},
+    {'code': 'PROMOTER_SELLING_2_5PP', 'tier': 'WATCH', 'cap': NULL, 'on': promoter_chg_1y > -5 AND promoter_chg_1y <= -2},
+    {'code': 'BENEISH_WATCH', 'tier': 'WATCH', 'cap': NULL, 'on': beneish_m > -2.22 AND beneish_m <= -1.78},
+    {'code': 'WC_DAYS_UP_20', 'tier': 'WATCH', 'cap': NULL, 'on': wc_days_delta_3y > 20},
+    {'code': 'TAX_GAP', 'tier': 'WATCH', 'cap': NULL, 'on': cash_tax_gap > 0.10},
+    {'code': 'DEBT_UP_1_TURN', 'tier': 'WATCH', 'cap': NULL, 'on': net_debt_ebitda - net_debt_ebitda_prev > 0 AND net_debt_ebitda - net_debt_ebitda_prev <= 2},
+    {'code': 'VALUATION_DISPERSION_GT_50', 'tier': 'WATCH', 'cap': NULL, 'on': val_dispersion > 0.50}
+]"""
 
 
 @query(f"WITH {_wide_sql()} SELECT as_of, symbol, f.code AS code, f.tier AS tier, f.cap AS cap FROM (SELECT as_of, symbol, unnest({_FLAGS_SQL}) AS f FROM w) WHERE f.on")
@@ -313,40 +330,99 @@ def flagged_companies(spark, sf_dir) -> DataFrame:
     return wide.select("as_of", "symbol", F.explode(rating.flags(wide.columns)).alias("f")).select("as_of", "symbol", "f.code", "f.tier", "f.cap")
 
 
-#: Pillar, component, scale or sign, weight; C: companies, L: lenders, B: banks, N: lenders that aren't banks, -: all.
-_CATALOGUE = """
-P1 spread_ttm C 1 -0.05:0 0:40 0.05:65 0.1:80 0.2:100 | P1 spread_median_5y C 2 -0.05:0 0:40 0.05:65 0.1:80 0.2:100 | P1 spread_trend_5y C 1 -0.03:0 0:50 0.03:100 | P1 roce_median_10y C 1 + | P1 roce_min_10y C 1 + | P1 opm_median_8y C 1 + | P1 opm_cv_8y C 1 -
-| P1 pricing_power_proxy C 1 -0.03:0 0:60 0.01:100 | P1 moat_persistence C 1 0:0 0.5:40 0.8:75 1:100 | P1 roa_ttm L 1 + | P1 roe_coe_spread L 2 -0.05:0 0:40 0.05:70 0.1:100 | P1 nim_pct L 1 + | P1 cost_to_income L 1 - | P1 roe_median_5y L 1 +
-| P2 net_debt_ebitda C 2 0:100 1:85 2:65 3:45 4:25 6:0 | P2 net_debt_fcf_years C 1 0:100 3:70 6:40 10:0 | P2 int_cover_ttm C 1 1:0 2:30 4:60 8:85 15:100 | P2 int_cover_min_5y C 1 1:0 2:30 4:60 8:85 15:100 | P2 altman_zpp C 1 1.1:0 2.6:80 5:100 | P2 wc_days_delta_3y C 1 - | P2 de_trend_3y C 1 -0.2:100 0:60 0.3:0
-| P2 debt_equity C 1 0:100 0.5:75 1:50 2:20 3:0 | P2 gnpa_pct L 2 1:100 2:75 4:40 8:0 | P2 nnpa_pct L 1 0.5:100 1:75 2:40 4:0 | P2 gnpa_trend_4q L 1 -1:100 0:60 1:20 2:0 | P2 deposit_vs_advance_growth B 1 + | P2 fin_leverage N 2 4:100 7:50 10:0 | P2 borrowing_cost N 1 -
-| P3 cfo_to_pat_5y C 2 0.5:0 0.8:50 1:80 1.2:100 | P3 fcf_conversion_5y C 1 0:0 0.4:40 0.7:75 1:100 | P3 cfo_to_ebitda_5y C 1 + | P3 accrual_ratio_sloan_abs C 2 0.02:100 0.05:60 0.1:20 0.15:0 | P3 beneish_level C 2 0:0 50:50 100:100 | P3 other_income_share - 1 0.1:100 0.25:50 0.5:0 | P3 cash_tax_gap - 1 0:100 0.05:80 0.1:40 0.2:0
-| P3 capitalisation_proxy C 1 - | P3 receivable_days_delta_3y C 1 -10:100 0:70 20:30 40:0 | P3 inventory_days_delta_3y C 1 -10:100 0:70 20:30 40:0 | P3 payable_days_delta_3y C 1 -10:100 0:70 20:30 40:0 | P3 depreciation_rate_cv_5y C 1 - | P3 reserves_leakage_5y C 1 0.05:100 0.15:50 0.3:0 | P3 gnpa_delta_4q_neg L 1 -1:100 0:60 1:20 2:0
-| P4 reinvestment_rate_5y C 1 0:40 0.4:100 0.8:100 1.2:40 2:20 | P4 incremental_roic_5y C 2 0:0 0.1:40 0.2:75 0.3:100 | P4 fundamental_growth C 1 + | P4 growth_gap C 1 -0.05:100 0:60 0.05:30 0.1:0 | P4 sales_cagr_3y - 1 + | P4 sales_cagr_5y - 1 + | P4 pat_cagr_5y - 1 + | P4 eps_cagr_5y - 1 + | P4 growth_consistency_5y - 1 0.4:20 0.8:70 1:100
-| P4 sales_yoy_ttm - 1 + | P4 pat_yoy_ttm - 1 + | P4 bvps_cagr_5y L 1 + | P4 ppop_growth_3y L 1 + | P5 capex_return_test C 1 0:0 0.1:40 0.2:70 0.3:100 | P5 self_funding_5y C 1 0:20 0.6:60 1:100 | P5 dilution_5y - 1 -0.02:100 0:70 0.05:0 | P5 payout_discipline - 1 0:0 50:50 100:100 | P5 promoter_pct - 1 10:20 20:40 35:70 50:100
-| P5 promoter_chg_1y - 1 -5:0 -2:40 0:70 2:100 | P5 promoter_chg_3y - 1 -10:0 -3:40 0:70 3:100 | P5 pledged_pct_of_promoter - 2 0:100 10:80 25:50 50:20 60:0 | P5 pledge_delta_4q - 1 -5:100 0:70 5:30 10:0 | P5 insider_net_buy_12m - 1 -0.005:20 0:60 0.005:100 | P5 inst_chg_1y - 1 + | P5 rating_migration_12m - 1 -3:0 -1:30 0:70 1:100
-| P5 adverse_events_90d_clean - 1 01 | P6 pe_band_pos_10y - 1 0:100 0.5:50 1:0 | P6 ev_ebitda_band_pos C 1 0:100 0.5:50 1:0 | P6 earnings_yield - 1 + | P6 fcf_yield C 1 + | P6 div_yield - 1 + | P6 growth_gap_val C 1 -0.05:100 0:60 0.05:30 0.1:0 | P6 mos_base - 2 -0.4:0 -0.2:20 0:50 0.2:75 0.5:100 | P6 pb_vs_justified L 1 0.5:100 1:50 1.5:20 2:0
-"""
+#: Fixed values, as SQL has them: pillar, component, whose it is, weight, scale, sign, points of a map.
+_CATALOGUE = """(VALUES
+    ('P1', 'spread_ttm', 'companies', 1, 'map', 1, [[-0.05, 0], [0, 40], [0.05, 65], [0.1, 80], [0.2, 100]]),
+    ('P1', 'spread_median_5y', 'companies', 2, 'map', 1, [[-0.05, 0], [0, 40], [0.05, 65], [0.1, 80], [0.2, 100]]),
+    ('P1', 'spread_trend_5y', 'companies', 1, 'map', 1, [[-0.03, 0], [0, 50], [0.03, 100]]),
+    ('P1', 'roce_median_10y', 'companies', 1, 'pct', 1, NULL),
+    ('P1', 'roce_min_10y', 'companies', 1, 'pct', 1, NULL),
+    ('P1', 'opm_median_8y', 'companies', 1, 'pct', 1, NULL),
+    ('P1', 'opm_cv_8y', 'companies', 1, 'pct', -1, NULL),
+    ('P1', 'pricing_power_proxy', 'companies', 1, 'map', 1, [[-0.03, 0], [0, 60], [0.01, 100]]),
+    ('P1', 'moat_persistence', 'companies', 1, 'map', 1, [[0, 0], [0.5, 40], [0.8, 75], [1, 100]]),
+    ('P1', 'roa_ttm', 'lenders', 1, 'pct', 1, NULL),
+    ('P1', 'roe_coe_spread', 'lenders', 2, 'map', 1, [[-0.05, 0], [0, 40], [0.05, 70], [0.1, 100]]),
+    ('P1', 'nim_pct', 'lenders', 1, 'pct', 1, NULL),
+    ('P1', 'cost_to_income', 'lenders', 1, 'pct', -1, NULL),
+    ('P1', 'roe_median_5y', 'lenders', 1, 'pct', 1, NULL),
+    ('P2', 'net_debt_ebitda', 'companies', 2, 'map', 1, [[0, 100], [1, 85], [2, 65], [3, 45], [4, 25], [6, 0]]),
+    ('P2', 'net_debt_fcf_years', 'companies', 1, 'map', 1, [[0, 100], [3, 70], [6, 40], [10, 0]]),
+    ('P2', 'int_cover_ttm', 'companies', 1, 'map', 1, [[1, 0], [2, 30], [4, 60], [8, 85], [15, 100]]),
+    ('P2', 'int_cover_min_5y', 'companies', 1, 'map', 1, [[1, 0], [2, 30], [4, 60], [8, 85], [15, 100]]),
+    ('P2', 'altman_zpp', 'companies', 1, 'map', 1, [[1.1, 0], [2.6, 80], [5, 100]]),
+    ('P2', 'wc_days_delta_3y', 'companies', 1, 'pct', -1, NULL),
+    ('P2', 'de_trend_3y', 'companies', 1, 'map', 1, [[-0.2, 100], [0, 60], [0.3, 0]]),
+    ('P2', 'debt_equity', 'companies', 1, 'map', 1, [[0, 100], [0.5, 75], [1, 50], [2, 20], [3, 0]]),
+    ('P2', 'gnpa_pct', 'lenders', 2, 'map', 1, [[1, 100], [2, 75], [4, 40], [8, 0]]),
+    ('P2', 'nnpa_pct', 'lenders', 1, 'map', 1, [[0.5, 100], [1, 75], [2, 40], [4, 0]]),
+    ('P2', 'gnpa_trend_4q', 'lenders', 1, 'map', 1, [[-1, 100], [0, 60], [1, 20], [2, 0]]),
+    ('P2', 'deposit_vs_advance_growth', 'banks', 1, 'pct', 1, NULL),
+    ('P2', 'fin_leverage', 'other lenders', 2, 'map', 1, [[4, 100], [7, 50], [10, 0]]),
+    ('P2', 'borrowing_cost', 'other lenders', 1, 'pct', -1, NULL),
+    ('P3', 'cfo_to_pat_5y', 'companies', 2, 'map', 1, [[0.5, 0], [0.8, 50], [1, 80], [1.2, 100]]),
+    ('P3', 'fcf_conversion_5y', 'companies', 1, 'map', 1, [[0, 0], [0.4, 40], [0.7, 75], [1, 100]]),
+    ('P3', 'cfo_to_ebitda_5y', 'companies', 1, 'pct', 1, NULL),
+    ('P3', 'accrual_ratio_sloan_abs', 'companies', 2, 'map', 1, [[0.02, 100], [0.05, 60], [0.1, 20], [0.15, 0]]),
+    ('P3', 'beneish_level', 'companies', 2, 'map', 1, [[0, 0], [50, 50], [100, 100]]),
+    ('P3', 'other_income_share', 'all', 1, 'map', 1, [[0.1, 100], [0.25, 50], [0.5, 0]]),
+    ('P3', 'cash_tax_gap', 'all', 1, 'map', 1, [[0, 100], [0.05, 80], [0.1, 40], [0.2, 0]]),
+    ('P3', 'capitalisation_proxy', 'companies', 1, 'pct', -1, NULL),
+    ('P3', 'receivable_days_delta_3y', 'companies', 1, 'map', 1, [[-10, 100], [0, 70], [20, 30], [40, 0]]),
+    ('P3', 'inventory_days_delta_3y', 'companies', 1, 'map', 1, [[-10, 100], [0, 70], [20, 30], [40, 0]]),
+    ('P3', 'payable_days_delta_3y', 'companies', 1, 'map', 1, [[-10, 100], [0, 70], [20, 30], [40, 0]]),
+    ('P3', 'depreciation_rate_cv_5y', 'companies', 1, 'pct', -1, NULL),
+    ('P3', 'reserves_leakage_5y', 'companies', 1, 'map', 1, [[0.05, 100], [0.15, 50], [0.3, 0]]),
+    ('P3', 'gnpa_delta_4q_neg', 'lenders', 1, 'map', 1, [[-1, 100], [0, 60], [1, 20], [2, 0]]),
+    ('P4', 'reinvestment_rate_5y', 'companies', 1, 'map', 1, [[0, 40], [0.4, 100], [0.8, 100], [1.2, 40], [2, 20]]),
+    ('P4', 'incremental_roic_5y', 'companies', 2, 'map', 1, [[0, 0], [0.1, 40], [0.2, 75], [0.3, 100]]),
+    ('P4', 'fundamental_growth', 'companies', 1, 'pct', 1, NULL),
+    ('P4', 'growth_gap', 'companies', 1, 'map', 1, [[-0.05, 100], [0, 60], [0.05, 30], [0.1, 0]]),
+    ('P4', 'sales_cagr_3y', 'all', 1, 'pct', 1, NULL),
+    ('P4', 'sales_cagr_5y', 'all', 1, 'pct', 1, NULL),
+    ('P4', 'pat_cagr_5y', 'all', 1, 'pct', 1, NULL),
+    ('P4', 'eps_cagr_5y', 'all', 1, 'pct', 1, NULL),
+    ('P4', 'growth_consistency_5y', 'all', 1, 'map', 1, [[0.4, 20], [0.8, 70], [1, 100]]),
+    ('P4', 'sales_yoy_ttm', 'all', 1, 'pct', 1, NULL),
+    ('P4', 'pat_yoy_ttm', 'all', 1, 'pct', 1, NULL),
+    ('P4', 'bvps_cagr_5y', 'lenders', 1, 'pct', 1, NULL),
+    ('P4', 'ppop_growth_3y', 'lenders', 1, 'pct', 1, NULL),
+    ('P5', 'capex_return_test', 'companies', 1, 'map', 1, [[0, 0], [0.1, 40], [0.2, 70], [0.3, 100]]),
+    ('P5', 'self_funding_5y', 'companies', 1, 'map', 1, [[0, 20], [0.6, 60], [1, 100]]),
+    ('P5', 'dilution_5y', 'all', 1, 'map', 1, [[-0.02, 100], [0, 70], [0.05, 0]]),
+    ('P5', 'payout_discipline', 'all', 1, 'map', 1, [[0, 0], [50, 50], [100, 100]]),
+    ('P5', 'promoter_pct', 'all', 1, 'map', 1, [[10, 20], [20, 40], [35, 70], [50, 100]]),
+    ('P5', 'promoter_chg_1y', 'all', 1, 'map', 1, [[-5, 0], [-2, 40], [0, 70], [2, 100]]),
+    ('P5', 'promoter_chg_3y', 'all', 1, 'map', 1, [[-10, 0], [-3, 40], [0, 70], [3, 100]]),
+    ('P5', 'pledged_pct_of_promoter', 'all', 2, 'map', 1, [[0, 100], [10, 80], [25, 50], [50, 20], [60, 0]]),
+    ('P5', 'pledge_delta_4q', 'all', 1, 'map', 1, [[-5, 100], [0, 70], [5, 30], [10, 0]]),
+    ('P5', 'insider_net_buy_12m', 'all', 1, 'map', 1, [[-0.005, 20], [0, 60], [0.005, 100]]),
+    ('P5', 'inst_chg_1y', 'all', 1, 'pct', 1, NULL),
+    ('P5', 'rating_migration_12m', 'all', 1, 'map', 1, [[-3, 0], [-1, 30], [0, 70], [1, 100]]),
+    ('P5', 'adverse_events_90d_clean', 'all', 1, 'binary', 1, NULL),
+    ('P6', 'pe_band_pos_10y', 'all', 1, 'map', 1, [[0, 100], [0.5, 50], [1, 0]]),
+    ('P6', 'ev_ebitda_band_pos', 'companies', 1, 'map', 1, [[0, 100], [0.5, 50], [1, 0]]),
+    ('P6', 'earnings_yield', 'all', 1, 'pct', 1, NULL),
+    ('P6', 'fcf_yield', 'companies', 1, 'pct', 1, NULL),
+    ('P6', 'div_yield', 'all', 1, 'pct', 1, NULL),
+    ('P6', 'growth_gap_val', 'companies', 1, 'map', 1, [[-0.05, 100], [0, 60], [0.05, 30], [0.1, 0]]),
+    ('P6', 'mos_base', 'all', 2, 'map', 1, [[-0.4, 0], [-0.2, 20], [0, 50], [0.2, 75], [0.5, 100]]),
+    ('P6', 'pb_vs_justified', 'lenders', 1, 'map', 1, [[0.5, 100], [1, 50], [1.5, 20], [2, 0]])
+) k(pillar, c, whose, wt, kind, sign, pts)"""
 
 
 def _scored_sql() -> str:
     """Component scores and priors as rows, from the table of the components."""
-    who = {"C": "NOT w.lender", "L": "w.lender", "B": "profile = 'BANK'", "N": "profile = 'NBFC_FIN'", "-": "true"}
-    missing = {"promoter_pct", "promoter_chg_3y", "pledge_delta_4q", "insider_net_buy_12m", "inst_chg_1y", "rating_migration_12m", "adverse_events_90d_clean"}
-    rows = []
-    for entry in _CATALOGUE.split("|"):
-        pillar, name, of, weight, *scale = entry.split()
-        x = "CAST(NULL AS DOUBLE)" if name in missing else f"CAST({name} AS DOUBLE)"
-        if scale[0] in "+-":
-            kind, signed, direct = "pct", x if scale[0] == "+" else f"-({x})", "CAST(NULL AS DOUBLE)"
-        elif scale[0] == "01":
-            kind, signed, direct = "01", x, f"CASE WHEN {x} IS NOT NULL THEN CASE WHEN {x} >= 0.5 THEN 100 ELSE 0 END END"
-        else:
-            p = [tuple(map(float, q.split(":"))) for q in scale]
-            inner = " ".join(f"WHEN {name} <= {b} THEN {ya} + ({name} - ({a})) * {(yb - ya)} / ({b - a})" for (a, ya), (b, yb) in zip(p, p[1:]))
-            kind, signed, direct = "map", x, "CAST(NULL AS DOUBLE)" if name in missing else f"CASE WHEN {name} IS NULL THEN NULL WHEN {name} <= {p[0][0]} THEN {p[0][1]} {inner} ELSE {p[-1][1]} END"
-        rows.append(f"SELECT as_of, symbol, profile, '{pillar}' AS pillar, '{name}' AS c, {weight} AS wt, '{kind}' AS kind, {signed} AS x, {direct} AS d FROM w WHERE {who[of]}")
     pct = lambda by: f"100 * (rank() OVER (PARTITION BY {by}, x IS NULL ORDER BY x) + (count(*) OVER (PARTITION BY {by}, x) - 1) / 2.0) / count(x) OVER (PARTITION BY {by})"
-    return f"""c0 AS ({" UNION ALL ".join(rows)}), c1 AS (SELECT *, median(x) OVER (PARTITION BY as_of, c) AS md FROM c0), c2 AS (SELECT *, median(abs(x - md)) OVER (PARTITION BY as_of, c) * 1.4826 * 3 AS sd FROM c1),
+    return f"""l AS (UNPIVOT (SELECT as_of, symbol, CAST(COLUMNS(* EXCLUDE (as_of, symbol, profile, lender, industry)) AS DOUBLE) FROM w) ON COLUMNS(* EXCLUDE (as_of, symbol)) INTO NAME c VALUE v),
+c00 AS (
+    SELECT w.as_of, w.symbol, profile, pillar, k.c, wt, kind, sign * v AS x, v, pts, list_filter(range(1, len(pts)), lambda i: v <= pts[i + 1][1])[1] AS i
+    FROM w JOIN {_CATALOGUE} ON whose = 'all' OR (whose = 'companies' AND NOT lender) OR (whose = 'lenders' AND lender) OR (whose = 'banks' AND profile = 'BANK') OR (whose = 'other lenders' AND profile = 'NBFC_FIN')
+    LEFT JOIN l ON l.as_of = w.as_of AND l.symbol = w.symbol AND l.c = k.c
+), c0 AS (
+    SELECT as_of, symbol, profile, pillar, c, wt, kind, x, CASE WHEN v IS NULL THEN NULL WHEN kind = 'binary' THEN CASE WHEN v >= 0.5 THEN 100.0 ELSE 0 END WHEN kind = 'pct' THEN NULL WHEN v <= pts[1][1] THEN pts[1][2] WHEN i IS NULL THEN pts[-1][2]
+        ELSE pts[i][2] + (v - pts[i][1]) * (pts[i + 1][2] - pts[i][2]) / (pts[i + 1][1] - pts[i][1]) END AS d FROM c00
+), c1 AS (SELECT *, median(x) OVER (PARTITION BY as_of, c) AS md FROM c0), c2 AS (SELECT *, median(abs(x - md)) OVER (PARTITION BY as_of, c) * 1.4826 * 3 AS sd FROM c1),
 c3 AS (SELECT * EXCLUDE (x), CASE WHEN x IS NOT NULL AND sd > 0 THEN least(greatest(x, md - sd), md + sd) ELSE x END AS x FROM c2),
 c4 AS (SELECT *, CASE WHEN kind <> 'pct' THEN d WHEN x IS NULL THEN NULL WHEN count(x) OVER (PARTITION BY as_of, c, profile) >= 8 THEN {pct('as_of, c, profile')} ELSE {pct('as_of, c')} END AS score FROM c3),
 c AS (SELECT *, coalesce(CASE WHEN count(score) OVER (PARTITION BY as_of, c, profile) >= 8 THEN median(score) OVER (PARTITION BY as_of, c, profile) END, median(score) OVER (PARTITION BY as_of, c), 50) AS prior FROM c4)"""

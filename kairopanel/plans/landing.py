@@ -15,8 +15,11 @@ R = lambda x, n=6: F.round(x, n)
 
 
 def _answers(rows: DataFrame, fields: dict, keys: list, wrap: bool = False) -> DataFrame:
-    """Rows as the answers of a feed, an array of objects for each key, written as text files and read again; one more answer is no JSON."""
-    items = rows.groupBy(*keys).agg(F.collect_list(F.struct(*[e.alias(n) for n, e in fields.items()])).alias("x"))
+    """Rows as the answers of a feed, arrays of objects for each key, written as text files and read again; one more answer is no JSON.
+
+    A key's rows are cut into answers by a hash, so that no answer holds a busy key's rows alone.
+    """
+    items = rows.groupBy(*keys, F.pmod(F.xxhash64(*rows.columns), F.lit(16)).alias("__part")).agg(F.collect_list(F.struct(*[e.alias(n) for n, e in fields.items()])).alias("x"))
     body = F.to_json(F.struct(F.col("x").alias("data"))) if wrap else F.to_json("x")
     path = shared_folder(rows.sparkSession)
     held = items.select(*[k.alias(f"k{i}") if not isinstance(k, str) else F.col(k).alias(f"k{i}") for i, k in enumerate(keys)], body.alias("body"))
@@ -63,7 +66,7 @@ def landed_results(spark, sf_dir) -> DataFrame:
 @query(f"""WITH {_FILED} SELECT symbol, period_end, consolidated, filed, url, CAST(k AS VARCHAR) AS seq_id FROM o QUALIFY row_number() OVER (PARTITION BY symbol, period_end, consolidated ORDER BY filed, url NULLS LAST) = 1""")
 def landed_integrated_results(spark, sf_dir) -> DataFrame:
     """The same of the newer feed, whose rows lie below a name."""
-    rows = _filed(spark, sf_dir).where("url <> '-' or k % 12 <> 0").unionByName(_filed(spark, sf_dir).where("url = '-' and k % 12 = 0"))
+    rows = _filed(spark, sf_dir)
     at = F.date_format("filed", "dd-MMM-yyyy HH:mm:ss")
     bodies = _answers(rows, {"symbol": F.col("symbol"), "qe_Date": F.date_format("period_end", "dd-MMM-yyyy"), "broadcast_Date": F.when(F.col("k") % 2 == 0, at), "creation_Date": at, "consolidated": F.col("kind"), "audited": F.lit("Audited"), "xbrl": F.when(F.col("k") % 5 != 0, F.col("url")), "ixbrl": F.col("url"), "seq_Id": F.col("k").cast("string"), "type_Sub": F.lit("Original")}, ["year"], True)
     return feeds.integrated_results(bodies).select("symbol", "period_end", "consolidated", "filed", "url", "seq_id")
@@ -71,14 +74,14 @@ def landed_integrated_results(spark, sf_dir) -> DataFrame:
 
 @query("""SELECT DATE '2024-03-28' AS as_of, 'S' || s_suppkey AS symbol, ['ASM_LT', 'ASM_ST', 'GSM', 'ESM'][1 + s_suppkey % 4] AS list_name, CAST(CASE WHEN s_suppkey % 7 = 0 THEN 0 ELSE 1 + s_suppkey % 4 END AS INTEGER) AS stage FROM supplier""")
 def landed_surveillance(spark, sf_dir) -> DataFrame:
-    """Three reports with stages in words, roman and other numbers."""
+    """Three reports, in several answers each, with stages in words, roman and other numbers."""
     s = roles.table(spark, sf_dir, "supplier").select("s_suppkey", F.concat(F.lit("S"), "s_suppkey").alias("symbol"))
     k = F.col("s_suppkey")
     roman = F.element_at(F.array(*[F.lit(v) for v in ("I", "II", "III", "IV")]), (1 + k % 4).cast("int"))
     number = (1 + k % 4).cast("string")
     stage = F.when(k % 7 == 0, "none").when(k % 3 == 0, F.concat(F.lit("Stage "), roman)).when(k % 3 == 1, F.concat(F.lit("LT - "), roman, F.lit(" (x)"))).otherwise(F.concat(F.lit("stage  "), number))
     one = lambda m, field: F.collect_list(F.when(k % 4 == m, F.struct(F.col("symbol").alias("symbol"), F.when(k % 2 == 0, stage).alias(field), stage.alias("survCode"))))
-    lists = s.agg(one(0, "asmSurvIndicator").alias("lt"), one(1, "asmSurvIndicator").alias("st"), one(2, "gsmStage").alias("g"), one(3, "esmSurvIndicator").alias("e"))
+    lists = s.groupBy(F.pmod(F.xxhash64("s_suppkey"), F.lit(16))).agg(one(0, "asmSurvIndicator").alias("lt"), one(1, "asmSurvIndicator").alias("st"), one(2, "gsmStage").alias("g"), one(3, "esmSurvIndicator").alias("e"))
     asm = F.to_json(F.struct(F.struct(F.col("lt").alias("data")).alias("longterm"), F.struct(F.col("st").alias("data")).alias("shortterm")))
     bodies = lists.select(F.explode(F.array(*[F.struct(F.lit(r).alias("report"), b.alias("body")) for r, b in (("asm", asm), ("gsm", F.to_json("g")), ("esm", F.to_json("e")))])).alias("x")).select("x.*", F.lit("2024-03-28").cast("date").alias("as_of"))
     path = shared_folder(spark)

@@ -45,9 +45,28 @@ PRICE_FEATURES = f"""WITH {roles.PANEL}, a AS (
 @query(PRICE_FEATURES + f" SELECT symbol, trade_date AS as_of, history_days, round(adv20, 6) AS adv20, round(turnover_med120, 4) AS turnover_med120, {', '.join(f'round({f}, 6) AS {f}' for f in FEATURES)} FROM f JOIN month_ends ON trade_date = as_of WHERE close IS NOT NULL")
 def price_features(spark, sf_dir) -> DataFrame:
     tape = roles.market(spark, sf_dir)
-    found = rolling.price_features(roles.panel(tape))
-    at = found.join(F.broadcast(roles.month_ends(tape)), F.col("trade_date") == F.col("as_of"))
-    return at.where("close is not null").select("symbol", "as_of", "history_days", R("adv20").alias("adv20"), R("turnover_med120", 4).alias("turnover_med120"), *[R(f).alias(f) for f in FEATURES])
+    at = rolling.sampled_features(roles.panel(tape), roles.month_ends(tape))
+    return at.select("symbol", "as_of", "history_days", R("adv20").alias("adv20"), R("turnover_med120", 4).alias("turnover_med120"), *[R(f).alias(f) for f in FEATURES])
+
+
+@query(f"""WITH {roles.PANEL}, daily AS (SELECT trade_date, sum(turnover) / sum(volume) AS index FROM tape GROUP BY trade_date), a AS (
+    SELECT p.*, 0.1 + trades % 3 * 0.123456789 AS dp, ln(close / lag(close) OVER w) AS lr, ln(index / lag(index) OVER w) AS b FROM panel p JOIN daily USING (trade_date) WINDOW w AS (PARTITION BY symbol ORDER BY session_no)
+), c AS (
+    SELECT symbol, trade_date, close, avg(dp) OVER w20 AS d20, avg(dp) OVER w120 AS d120, count(b) OVER w250 AS nb, covar_samp(lr, b) OVER w250 / nullif(var_samp(b) OVER w250, 0) AS beta,
+        list({{'l': lr, 'b': b}}) FILTER (WHERE lr IS NOT NULL) OVER w250 AS rows, list(close) FILTER (WHERE close IS NOT NULL) OVER w251 AS cs
+    FROM a WINDOW w20 AS (PARTITION BY symbol ORDER BY session_no ROWS 19 PRECEDING), w120 AS (PARTITION BY symbol ORDER BY session_no ROWS 119 PRECEDING),
+        w250 AS (PARTITION BY symbol ORDER BY session_no ROWS 249 PRECEDING), w251 AS (PARTITION BY symbol ORDER BY session_no ROWS 250 PRECEDING)
+), e AS (SELECT *, CASE WHEN nb > 30 THEN beta END AS bt FROM c JOIN month_ends ON trade_date = as_of WHERE close IS NOT NULL)
+SELECT symbol, as_of, round(d20, 6) AS deliv_pct_20, round(d20 / nullif(d120, 0), 6) AS deliv_ratio, round(bt, 6) + 0 AS beta_250,
+    CASE WHEN nb > 30 THEN round((SELECT stddev_samp(r.l - coalesce(bt, 0) * coalesce(r.b, 0)) FROM (SELECT unnest(rows) AS r)) * sqrt(252), 6) END AS idio_vol_250,
+    round((SELECT min(c / m - 1) FROM (SELECT c, max(c) OVER (ORDER BY i) AS m FROM (SELECT unnest(cs) AS c, unnest(range(len(cs))) AS i))), 6) + 0 AS dd_250 FROM e""")
+def market_features(spark, sf_dir) -> DataFrame:
+    """Beta and residual volatility against all brands, delivery and the year's drawdown at month ends, from running sums."""
+    tape = roles.market(spark, sf_dir)
+    index = tape.groupBy("trade_date").agg((F.sum("turnover") / F.sum("volume")).alias("index"))
+    rows = roles.panel(tape).join(F.broadcast(index), "trade_date").withColumn("delivered", 0.1 + F.col("trades") % 3 * 0.123456789)
+    at = rolling.sampled_features(rows, roles.month_ends(tape), benchmark="index", delivery="delivered")
+    return at.select("symbol", "as_of", R("deliv_pct_20").alias("deliv_pct_20"), R("deliv_ratio").alias("deliv_ratio"), (R("beta_250") + 0.0).alias("beta_250"), R("idio_vol_250").alias("idio_vol_250"), (R("dd_250") + 0.0).alias("dd_250"))
 
 
 @query(f"""WITH {roles.PANEL} SELECT symbol, trade_date, round((below + (same + 1) / 2.0) / n, 6) AS volume_rank, round(worst, 6) AS drawdown FROM (
@@ -98,7 +117,7 @@ def universe(spark, sf_dir) -> DataFrame:
     last = F.max_by(F.struct("close", "history_days"), "trade_date")
     found = met.groupBy("as_of", "symbol").agg(F.count("*").alias("sessions"), F.max("trade_date").alias("last_date"), F.percentile("turnover", F.lit(0.5)).alias("turnover_med120"), F.avg(F.when(F.col("session_no") > F.col("e") - 20, F.col("turnover"))).alias("adv20"), last.alias("x"))
     excluded = roles.table(spark, sf_dir, "part").groupBy(F.col("p_brand").alias("symbol")).agg(F.min("p_size").alias("m")).where("m > 45").select("symbol")
-    found = found.select("*", "x.*").drop("x").join(excluded, "symbol", "left_anti").join(F.broadcast(roles.industries(spark, sf_dir)), "symbol", "left")
+    found = found.select("*", "x.*").drop("x").join(excluded, "symbol", "left_anti").join(roles.industries(spark, sf_dir), "symbol", "left")
     return found.where("sessions >= 60 and history_days >= 250 and close >= 20")
 
 
