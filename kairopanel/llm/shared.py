@@ -96,7 +96,7 @@ def mix(x: np.ndarray) -> np.ndarray:
 
 
 def _powers(name: str, base: np.uint64, n: int) -> np.ndarray:
-    if len(_POWERS.get(name, ())) < n:
+    if len(_POWERS.get(name, ())) < max(n, 1):
         row = np.full(max(n, 1 << 19), base, np.uint64)
         row[0] = 1
         _POWERS[name] = np.cumprod(row, dtype=np.uint64)

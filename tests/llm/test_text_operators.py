@@ -95,6 +95,12 @@ def test_licenses_are_found_in_any_spelling(spark, empty):
     assert licenses.scan_licenses(empty).count() == 0
 
 
+def test_licenses_on_messy_rows(messy):
+    found = licenses.scan_licenses(messy)
+    assert {(r["doc_id"], r["unit"], r["license"]) for r in found.collect()} >= {(16, "text", "MIT"), (16, "line", "MIT")}
+    assert {r["doc_id"] for r in found.collect()} == {16} and set(found.columns) == {"doc_id", "unit", "line", "license", "digest"}
+
+
 def test_wrapped_notices_are_found(spark):
     docs = documents(spark, [(1, "Licensed under the Apache License, Version\n2.0."), (2, "Licensed under Creative\nCommons BY 4.0."), (3, "Licensed under the Mozilla Public License,\nver.\n2.0\n"), (4, "Licensed under the Apache License,\nCopyright (c) 2020 Version\n2.0.")])
     assert rows(licenses.scan_licenses(docs), "doc_id", "unit", "line", "license") == [(1, "text", 0, "Apache-2.0"), (2, "text", 0, "CC-BY-4.0"), (3, "text", 0, "MPL-2.0")]
