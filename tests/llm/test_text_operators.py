@@ -275,6 +275,12 @@ def test_near_copies_of_a_third_of_the_rows(spark):
     assert all(r["near_next"] > 0.7 for r in out.where("doc_id between 1 and 99").collect())
 
 
+def test_hashes_of_no_bytes_in_a_fresh_worker(monkeypatch):
+    monkeypatch.setattr(shared, "_POWERS", {})
+    none = np.zeros(0, np.int64)
+    assert len(shared.word_hashes(np.zeros(0, np.uint8), none, none)) == 0
+
+
 def test_places_among_cuts(spark):
     df = spark.createDataFrame([(x,) for x in (-(2**63), -5, 0, 3, 4, 9, 2**63 - 1, None)], "x long")
     assert [r[0] for r in df.select(shared.place_of("x", [-5, 3, 8])).collect()] == [0, 0, 1, 1, 2, 3, 3, 0]
