@@ -11,18 +11,18 @@ from kairopanel.operators import calibration, ledger, quantiles, rating, walkfor
 D = lambda n: dt.date(2020, 1, 1) + dt.timedelta(days=n)
 
 
-@pytest.mark.parametrize("accuracy", [20, 2000])
-def test_quantiles_are_exact(spark, accuracy):
+@pytest.mark.parametrize(("accuracy", "direct"), [(20, 0), (2000, 0), (2000, 50_000)])
+def test_quantiles_are_exact(spark, accuracy, direct):
     rng = np.random.default_rng(1)
     groups = {1: rng.normal(size=3000), 2: np.repeat([1.0, 2.0, 2.0, 5.0], 400), 3: np.array([7.0]), 4: rng.integers(0, 9, 777) / 1.0, 5: np.array([])}
     rows = [(g, float(v)) for g, vs in groups.items() for v in vs] + [(1, None), (5, None)]
     df = spark.createDataFrame(rows, "g int, x double")
     fractions = [0.0, 0.1, 0.25, 0.5, 0.9, 1.0]
-    found = {r["g"]: (r["q"], r["n"]) for r in quantiles.group_quantiles(df, ["g"], "x", fractions, accuracy=accuracy).collect()}
+    found = {r["g"]: (r["q"], r["n"]) for r in quantiles.group_quantiles(df, ["g"], "x", fractions, accuracy=accuracy, direct=direct).collect()}
     assert set(found) == {1, 2, 3, 4}
     for g, (q, n) in found.items():
         assert n == len(groups[g]) and q == pytest.approx([float(np.quantile(groups[g], f)) for f in fractions], abs=1e-12)
-    every = quantiles.group_quantiles(df, [], "x", [0.5], accuracy=accuracy).first()
+    every = quantiles.group_quantiles(df, [], "x", [0.5], accuracy=accuracy, direct=direct).first()
     assert every["q"][0] == pytest.approx(float(np.median(np.concatenate(list(groups.values())))))
 
 
