@@ -110,11 +110,13 @@ def adverse_events(announcements: DataFrame, dates: DataFrame, days: int = 90) -
 def face_values(splits: DataFrame, today: DataFrame) -> DataFrame:
     """(symbol, from_date, to_date, face_value): face values through time from today's (symbol, face_value) and the splits (symbol, ex_date, factor) since.
 
-    Before a split from 10 to 2 (factor 0.2) the face value was 5 times what it was after it.
+    Before a split from 10 to 2 (factor 0.2) the face value was 5 times what it was after it. One that a double can't hold, after very many
+    splits, is infinite.
     """
     w = Window.partitionBy("symbol").orderBy("ex_date")
-    later = w.rowsBetween(0, Window.unboundedFollowing)
-    before = splits.join(today, "symbol").select("symbol", F.lag("ex_date").over(w).alias("from_date"), F.date_sub("ex_date", 1).alias("to_date"), (F.col("face_value") / F.exp(F.sum(F.ln("factor")).over(later))).alias("face_value"))
+    later = Window.partitionBy("symbol").orderBy(F.desc("ex_date")).rowsBetween(Window.unboundedPreceding, 0)
+    product = F.exp(F.sum(F.ln("factor")).over(later))
+    before = splits.join(today, "symbol").select("symbol", F.lag("ex_date").over(w).alias("from_date"), F.date_sub("ex_date", 1).alias("to_date"), F.when(product > 0, F.try_divide("face_value", product)).otherwise(float("inf")).alias("face_value"))
     last = today.join(splits.groupBy("symbol").agg(F.max("ex_date").alias("from_date")), "symbol", "left").select("symbol", "from_date", F.lit(None).cast("date").alias("to_date"), "face_value")
     return before.unionByName(last)
 

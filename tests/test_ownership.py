@@ -48,3 +48,9 @@ def test_canonical_facts_and_restamping(spark):
     assert moved["visible_from"] == D(3) and moved["changed"]
     prices = spark.createDataFrame([("a", D(0), "BE", 1.0), ("a", D(0), "EQ", 2.0), ("b", D(0), "SM", 3.0)], "symbol string, trade_date date, series string, close double")
     assert sorted(r["close"] for r in ownership.one_series(prices).collect()) == [2.0, 3.0]
+
+
+def test_a_face_value_before_very_many_splits(spark):
+    splits = spark.createDataFrame([("a", D(k), 0.1) for k in range(400)], "symbol string, ex_date date, factor double")
+    faces = {r["to_date"]: r["face_value"] for r in ownership.face_values(splits, spark.createDataFrame([("a", 1.0)], "symbol string, face_value double")).collect()}
+    assert len(faces) == 401 and faces[D(-1)] == float("inf") and abs(faces[D(397)] / 100 - 1) < 1e-9 and faces[None] == 1.0
