@@ -19,16 +19,18 @@ def day_factors(actions: DataFrame, key: str = "symbol", date: str = "ex_date")
 
 
 def adjusted(panel: DataFrame, factors: DataFrame, key: str = "symbol", date: str = "trade_date", prices: tuple[str, ...] = ("open", "high", "low", "close")) -> DataFrame:
-    """Prices times, and volume over, the product of all factors with a later ex-date; turnover stays.
+    """Prices times, and volume over, the product ``adj`` of all factors with a later ex-date, and its logarithm ``log_adj``; turnover stays.
 
-    Factors are put among the rows of their key, so one sort serves, however many there are.
+    Factors are put among the rows of their key, so one sort serves, however many there are. A product beyond what a double holds
+    is 0 or infinite, and so are the prices and the volume; log_adj stays exact.
     """
     known = factors.select(key, F.col("ex_date").alias(date), F.ln("factor").alias("__f"))
     rows = panel.select("*", F.lit(1).alias("__row")).unionByName(known.withColumn("__row", F.lit(0)), allowMissingColumns=True)
-    later = Window.partitionBy(key).orderBy(F.unix_date(date)).rangeBetween(1, Window.unboundedFollowing)
-    rows = rows.withColumn("adj", F.exp(F.coalesce(F.sum("__f").over(later), F.lit(0.0)))).where("__row = 1").drop("__f", "__row")
+    # from the last date back, so that the sum grows with the rows
+    later = Window.partitionBy(key).orderBy(F.desc(F.unix_date(date))).rangeBetween(Window.unboundedPreceding, -1)
+    rows = rows.withColumn("log_adj", F.coalesce(F.sum("__f").over(later), F.lit(0.0))).where("__row = 1").drop("__f", "__row").withColumn("adj", F.exp("log_adj"))
     rows = rows.withColumns({p: F.col(p) * F.col("adj") for p in prices if p in panel.columns})
-    return rows.withColumn("volume", F.col("volume") / F.col("adj")) if "volume" in panel.columns else rows
+    return rows.withColumn("volume", F.col("volume") * F.exp(-F.col("log_adj"))) if "volume" in panel.columns else rows
 
 
 def confirmed_actions(factors: DataFrame, panel: DataFrame, key: str = "symbol", date: str = "trade_date", days: int = 8, within: float = 0.35) -> DataFrame:

@@ -242,8 +242,9 @@ def factors(spark, sf_dir) -> DataFrame:
 @query(f"""WITH {roles.TAPE}, {roles.ACTIONS} SELECT t.symbol, t.trade_date, round(ln(close) + coalesce(sum(ln(factor)), 0), 6) AS log_close, round(ln(volume) - coalesce(sum(ln(factor)), 0), 6) AS log_volume
 FROM tape t LEFT JOIN factors f ON f.symbol = t.symbol AND f.ex_date > t.trade_date GROUP BY t.symbol, t.trade_date, close, volume""")
 def split_adjusted_tape(spark, sf_dir) -> DataFrame:
-    rows = adjust.adjusted(roles.tape(spark, sf_dir), factors(spark, sf_dir))
-    return rows.select("symbol", "trade_date", R(F.ln("close")).alias("log_close"), R(F.ln("volume")).alias("log_volume"))
+    tape = roles.tape(spark, sf_dir).withColumns({"raw_close": F.col("close"), "raw_volume": F.col("volume")})
+    rows = adjust.adjusted(tape, factors(spark, sf_dir))
+    return rows.select("symbol", "trade_date", R(F.ln("raw_close") + F.col("log_adj")).alias("log_close"), R(F.ln("raw_volume") - F.col("log_adj")).alias("log_volume"))
 
 
 @query(f"""WITH {roles.TAPE}, {roles.ACTIONS}, gaps AS (SELECT symbol, trade_date AS confirmed_on, open / lag(close) OVER (PARTITION BY symbol ORDER BY trade_date) AS gap FROM tape), near AS (

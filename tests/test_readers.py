@@ -1,4 +1,5 @@
 import datetime as dt
+import math
 
 import pytest
 from pyspark.sql import functions as F
@@ -51,3 +52,12 @@ def test_one_series_is_adjusted_once(spark):
     factors = spark.createDataFrame([("a", D(1), 0.5), ("a", D(2), 0.2)], "symbol string, ex_date date, factor double")
     found = {r["trade_date"]: (r["series"], r["close"]) for r in adjust.adjusted_series(prices, factors).collect()}
     assert found == {D(0): ("EQ", pytest.approx(10.0)), D(1): ("BE", pytest.approx(12.0)), D(2): ("AA", 9.0)}
+
+
+def test_the_logarithm_of_very_many_factors(spark):
+    prices = spark.createDataFrame([("a", D(k), "EQ", 100.0, 7.0) for k in range(400)], "symbol string, trade_date date, series string, close double, volume double")
+    factors = spark.createDataFrame([("a", D(k), 0.1) for k in range(400)], "symbol string, ex_date date, factor double")
+    for found in (adjust.adjusted(prices, factors), adjust.adjusted_series(prices, factors)):
+        by = {r["trade_date"]: r for r in found.collect()}
+        assert by[D(0)]["log_adj"] == pytest.approx(399 * math.log(0.1)) and (by[D(0)]["close"], by[D(0)]["volume"]) == (0.0, math.inf)
+        assert by[D(397)]["close"] == pytest.approx(1.0) and by[D(397)]["volume"] == pytest.approx(700.0) and by[D(399)]["adj"] == 1.0
