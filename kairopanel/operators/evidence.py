@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
 from difflib import SequenceMatcher
 
 import pandas as pd
@@ -64,15 +65,15 @@ def citation_kind(citation: Column) -> Column:
     return F.when(F.rlike(citation, F.lit(r"^table:[a-z_]+$")), "table").when(F.rlike(citation, F.lit(r"^doc:[^#]+(#p[0-9]+)?$")), "doc").when(F.rlike(citation, F.lit(r"^web:.+$")), "web")
 
 
-def check_citations(claims: DataFrame, documents: DataFrame) -> DataFrame:
+def check_citations(claims: DataFrame, documents: DataFrame, by: Sequence[str] = ()) -> DataFrame:
     """(claim_id, citation, problem) of the citations (claim_id, quote, citations) that are malformed, unknown, beyond the pages, or of the web without a quote.
 
-    documents: (doc_id, pages).
+    documents: (doc_id, pages). With by, columns of both tables such as a run's id, a claim knows the documents of its own run only.
     """
-    rows = claims.select("claim_id", "quote", F.explode("citations").alias("citation")).withColumn("kind", citation_kind(F.col("citation")))
+    rows = claims.select(*by, "claim_id", "quote", F.explode("citations").alias("citation")).withColumn("kind", citation_kind(F.col("citation")))
     rows = rows.withColumn("doc_id", F.when(F.col("kind") == "doc", F.regexp_extract("citation", r"^doc:([^#]+)", 1)))
     rows = rows.withColumn("page", F.nullif(F.regexp_extract("citation", r"#p([0-9]+)$", 1), F.lit("")).try_cast("int"))
-    rows = rows.join(documents.select("doc_id", "pages"), "doc_id", "left")
+    rows = rows.join(documents.select(*by, "doc_id", "pages"), [*by, "doc_id"], "left")
     problem = F.when(F.col("kind").isNull(), "malformed").when((F.col("kind") == "doc") & F.col("pages").isNull(), "unknown document").when(F.col("page") > F.col("pages"), "page out of range").when((F.col("kind") == "web") & (F.coalesce(F.trim("quote"), F.lit("")) == ""), "no quote")
     return rows.withColumn("problem", problem).where("problem is not null").select("claim_id", "citation", "problem")
 

@@ -167,6 +167,13 @@ def test_quotes_and_citations(spark):
     assert sorted(r["problem"] for r in evidence.check_citations(claims, docs).collect()) == ["malformed", "no quote", "page out of range", "unknown document"]
 
 
+def test_citations_of_the_documents_of_another_run(spark):
+    docs = spark.createDataFrame([(1, "d1", 3), (2, "d2", 3)], "run_id int, doc_id string, pages int")
+    claims = spark.createDataFrame([(1, "c1", None, ["doc:d1#p3", "doc:d2"]), (2, "c2", None, ["doc:d2", "doc:d1#p9"])], "run_id int, claim_id string, quote string, citations array<string>")
+    found = evidence.check_citations(claims, docs, ["run_id"]).collect()
+    assert sorted(map(tuple, found)) == [("c1", "doc:d2", "unknown document"), ("c2", "doc:d1#p9", "unknown document")]
+
+
 def test_edges_and_quality(spark):
     e = spark.createDataFrame([("m", "a", "contains"), ("a", "b", "calls"), ("c", "b", "calls")], "src string, dst string, kind string")
     assert [(r["node"], r["degree"]) for r in edges.degrees(e).collect() if r["node"] == "b"] == [("b", 2)] and "m" not in {r["node"] for r in edges.degrees(e).collect()}
