@@ -17,9 +17,10 @@ R = lambda x, n=6: F.round(x, n)
 def _answers(rows: DataFrame, fields: dict, keys: list, wrap: bool = False) -> DataFrame:
     """Rows as the answers of a feed, arrays of objects for each key, written as text files and read again; one more answer is no JSON.
 
-    A key's rows are cut into answers by a hash, so that no answer holds a busy key's rows alone.
+    A key's rows are cut into answers by a hash, some 1,000 rows each where a key is busy: Spark's readers take no text of 20 MB in a JSON file.
     """
-    items = rows.groupBy(*keys, F.pmod(F.xxhash64(*rows.columns), F.lit(16)).alias("__part")).agg(F.collect_list(F.struct(*[e.alias(n) for n, e in fields.items()])).alias("x"))
+    most = rows.groupBy(*keys).count().agg(F.max("count")).first()[0] or 0
+    items = rows.groupBy(*keys, F.pmod(F.xxhash64(*rows.columns), F.lit(max(16, most // 1000 + 1))).alias("__part")).agg(F.collect_list(F.struct(*[e.alias(n) for n, e in fields.items()])).alias("x"))
     body = F.to_json(F.struct(F.col("x").alias("data"))) if wrap else F.to_json("x")
     path = shared_folder(rows.sparkSession)
     held = items.select(*[k.alias(f"k{i}") if not isinstance(k, str) else F.col(k).alias(f"k{i}") for i, k in enumerate(keys)], body.alias("body"))

@@ -36,8 +36,8 @@ def corporate_actions(bodies: DataFrame) -> DataFrame:
     return out.where("ex_date is not null and symbol <> ''")
 
 
-def _earliest(rows: DataFrame) -> DataFrame:
-    w = Window.partitionBy("symbol", "period_end", "consolidated").orderBy("filed", F.col("url").asc_nulls_last())
+def _earliest(rows: DataFrame, *ties: Column) -> DataFrame:
+    w = Window.partitionBy("symbol", "period_end", "consolidated").orderBy("filed", F.col("url").asc_nulls_last(), *ties)
     return rows.where("period_end is not null and filed is not null and symbol <> ''").withColumn("__k", F.row_number().over(w)).where("__k = 1").drop("__k")
 
 
@@ -50,11 +50,11 @@ def results(bodies: DataFrame) -> DataFrame:
 
 
 def integrated_results(bodies: DataFrame) -> DataFrame:
-    """The same of the newer feed, whose rows lie below ``data``, with sequence and type."""
+    """The same of the newer feed, whose rows lie below ``data``, with sequence and type; of filings of one moment and url, the least sequence number."""
     rows = _items(bodies, ["symbol", "qe_Date", "broadcast_Date", "creation_Date", "consolidated", "audited", "xbrl", "ixbrl", "seq_Id", "type_Sub"], "data")
     kind = F.coalesce(F.nullif(F.trim("consolidated"), F.lit("")), F.lit("Unknown"))
     url = F.coalesce(placeholder_to_null(F.col("xbrl")), placeholder_to_null(F.col("ixbrl")))
-    return _earliest(rows.select(F.trim("symbol").alias("symbol"), _day("qe_Date").alias("period_end"), kind.alias("consolidated"), _moment("broadcast_Date", "creation_Date").alias("filed"), "audited", url.alias("url"), F.col("seq_Id").alias("seq_id"), F.col("type_Sub").alias("type_sub")))
+    return _earliest(rows.select(F.trim("symbol").alias("symbol"), _day("qe_Date").alias("period_end"), kind.alias("consolidated"), _moment("broadcast_Date", "creation_Date").alias("filed"), "audited", url.alias("url"), F.col("seq_Id").alias("seq_id"), F.col("type_Sub").alias("type_sub")), F.col("seq_id").try_cast("long").asc_nulls_last(), F.col("seq_id"))
 
 
 def surveillance_lists(bodies: DataFrame) -> DataFrame:

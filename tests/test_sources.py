@@ -1,7 +1,8 @@
 import pytest
 from pyspark.sql import functions as F
 
-from kairopanel.sources import documents, landed, sinks
+from kairopanel.plans import landing
+from kairopanel.sources import documents, feeds, landed, sinks
 from kairopanel.streaming import jobs
 
 
@@ -78,3 +79,15 @@ def test_streams(spark, tmp_path):
     q.awaitTermination(120)
     events = [(r["k"], r["event"]) for r in spark.table("seen").collect()]
     assert sorted(e for e in events if e[1] == "new") == [(1, "new"), (2, "new"), (3, "new")] and [e[0] for e in events if e[1] == "revision"] == [2]
+
+
+def test_answers_of_a_busy_key(spark):
+    bodies = landing._answers(spark.range(60_000).withColumn("year", F.lit("2024")), {"k": F.col("id").cast("string")}, ["year"], True)
+    sizes = [r[0] for r in bodies.where("body <> '\"no data\"'").select(F.size(F.from_json("body", "data array<string>")["data"])).collect()]
+    assert sum(sizes) == 60_000 and max(sizes) < 2000
+
+
+def test_the_least_sequence_number_of_one_moment(spark):
+    one = '{"symbol":"A","qe_Date":"31-Mar-2024","creation_Date":"01-May-2024 10:00:00","seq_Id":"%s"}'
+    bodies = spark.createDataFrame([('{"data":[' + ",".join(one % k for k in p) + "]}",) for p in ((100, 12), (9, 1000), (11,))], "body string")
+    assert feeds.integrated_results(bodies).first()["seq_id"] == "9"
