@@ -61,3 +61,11 @@ def test_the_logarithm_of_very_many_factors(spark):
         by = {r["trade_date"]: r for r in found.collect()}
         assert by[D(0)]["log_adj"] == pytest.approx(399 * math.log(0.1)) and (by[D(0)]["close"], by[D(0)]["volume"]) == (0.0, math.inf)
         assert by[D(397)]["close"] == pytest.approx(1.0) and by[D(397)]["volume"] == pytest.approx(700.0) and by[D(399)]["adj"] == 1.0
+
+
+def test_a_consolidation_without_volumes_before_it(spark):
+    up = [("a", D(k), 100.0 if k < 2 else 200.0, 100.0 if k < 2 else 200.0, 10.0) for k in range(8)]
+    down = [("b", D(k), 100.0 if k < 2 else 50.0, 100.0 if k < 2 else 50.0, 10.0) for k in range(8)]
+    tape = spark.createDataFrame(up + down, "symbol string, trade_date date, open double, close double, volume double")
+    found = adjust.gap_candidates(tape, spark.createDataFrame([], "symbol string, ex_date date")).collect()
+    assert [(r["symbol"], r["ex_date"], r["factor"]) for r in found] == [("a", D(2), 2.0)]
