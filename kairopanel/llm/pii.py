@@ -5,13 +5,13 @@ propose more spans, which overlap each other and those of the rules: long mixed
 and anything around an @. Boosted trees score a candidate by its format and by the characters around it; candidates at or
 above the threshold of their kind are added.
 
-The trees are fitted on a bounded sample, with labels from evidence that they don't see: check digits and ranges of the
+The trees are fitted on all candidates with a label, counted by what the trees see of them, with labels from evidence that they don't see: check digits and ranges of the
 rules, and the **words** around a candidate. Personal is what shares characters with a valid span, and what a word before it
 names (``token``, ``password``, ``tel``, ``ssn``, ...) where its size is possible for that. Not personal are dates, versions, amounts
 with a unit or currency, tokens without such a name, numbers as long as a card's whose check digit is wrong, and four dotted
 numbers of which one is no byte. Other bare numbers and addresses without evidence are not learned from.
 So a telephone number without a plus sign is found by its likeness to named ones and to those of the rules. Each half of
-the sample is also scored by trees that were grown on the other half: the lowest score of a kind from which on the wanted
+the values is also scored by trees that were grown on the other half: the lowest score of a kind from which on the wanted
 precision holds there becomes its threshold. The trees run as one SQL expression.
 """
 
@@ -20,6 +20,7 @@ from __future__ import annotations
 from dataclasses import dataclass
 from functools import reduce
 
+from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -172,8 +173,8 @@ def _tree(node):
     return int(split.featureIndex()), float(split.threshold()), _tree(node.leftChild()), _tree(node.rightChild())
 
 
-def fit_spans(docs: DataFrame, most_docs: int = 20_000, most_spans: int = 20_000, rounds: int = 8, depth: int = 3, precision: float = 0.98, least_seen: int = 5) -> SpanModel:
-    """Fit on the candidates of at most ``most_docs`` documents, those with the least hash of the id, and at most ``most_spans`` of them.
+def fit_spans(docs: DataFrame, rounds: int = 8, depth: int = 3, precision: float = 0.98, least_seen: int = 5, parts: int = 16) -> SpanModel:
+    """Fit on the candidates of all documents that have a label; equal ones by features, label and half are one row with a weight.
 
     Without candidates of both labels nothing is added, nor is anything of a kind of which no score reaches the
     precision on ``least_seen`` or more candidates that the trees which scored them hadn't seen: on all of them, and on
@@ -184,20 +185,19 @@ def fit_spans(docs: DataFrame, most_docs: int = 20_000, most_spans: int = 20_000
 
     from .shared import materialized
 
-    ids = docs.where("doc_id is not null").select("doc_id").distinct().orderBy(F.xxhash64("doc_id"), "doc_id").limit(most_docs)
-    some = docs.select("doc_id", "text").join(F.broadcast(ids), "doc_id").where(F.rlike("text", F.lit("[0-9@]")))
-    some = some.withColumn("base", F.concat(*[base_spans(F.col("text"), k) for k in RULES]))
-    some = some.select("doc_id", "base", F.explode(candidates(F.col("text"))).alias("c")).withColumn("label", evidence(F.col("c"), F.col("base"))).where("label is not null")
-    some = some.select("doc_id", "c.kind", "c.value", "c.start", "label", (~_overlaps(F.col("c"), F.col("base"))).cast("int").alias("fresh"), *[f(F.col("c")).cast("double").alias(n) for n, f in FEATURES.items()])
-    # the order fixes the rows and their places: a new run grows the same trees
-    some = some.orderBy(F.xxhash64("value", "doc_id"), "doc_id", "start").limit(most_spans)
-    some = materialized(some.coalesce(1).withColumn("half", F.pmod(F.xxhash64("value", F.lit(7)), F.lit(2))))
-    shown = VectorAssembler(inputCols=list(FEATURES), outputCol="features").transform(some).cache()  # 20,000 short rows at most
+    some = docs.select("text").where(F.rlike("text", F.lit("[0-9@]"))).withColumn("base", F.concat(*[base_spans(F.col("text"), k) for k in RULES]))
+    some = some.select("base", F.explode(candidates(F.col("text"))).alias("c")).withColumn("label", evidence(F.col("c"), F.col("base"))).where("label is not null")
+    half = F.pmod(F.xxhash64("c.value", F.lit(7)), F.lit(2)).alias("half")
+    some = some.select("c.kind", half, "label", (~_overlaps(F.col("c"), F.col("base"))).cast("int").alias("fresh"), *[f(F.col("c")).cast("double").alias(n) for n, f in FEATURES.items()])
+    alike = some.groupBy(*some.columns).agg(F.count("*").alias("n"))
+    # the hash and the order fix the rows and their places: a new run grows the same trees
+    some = materialized(alike.repartition(parts, *FEATURES).sortWithinPartitions(*some.columns))
+    shown = VectorAssembler(inputCols=list(FEATURES), outputCol="features").transform(some).persist(StorageLevel.DISK_ONLY)
 
     def grown(rows: DataFrame) -> list[tuple]:
         if rows.select("label").distinct().count() < 2:
             return []
-        model = GBTClassifier(maxIter=rounds, maxDepth=depth, stepSize=0.3, seed=1).fit(rows)
+        model = GBTClassifier(maxIter=rounds, maxDepth=depth, stepSize=0.3, seed=1, weightCol="n").fit(rows)
         return [(float(w), _tree(t._java_obj.rootNode())) for w, t in zip(model.treeWeights, model.trees)]
 
     try:
@@ -211,7 +211,7 @@ def fit_spans(docs: DataFrame, most_docs: int = 20_000, most_spans: int = 20_000
         return SpanModel([], {})
     # counts by score rounded to thousandths: at most 1,001 rows a kind
     rows = some.withColumn("p", F.round(F.coalesce(*scores), 3)).where("p is not null")
-    sums = [F.sum("label").alias("good"), F.count("*").alias("all"), F.sum(F.col("label") * F.col("fresh")).alias("fresh_good"), F.sum("fresh").alias("fresh_all")]
+    sums = [F.sum(F.col("n") * x).alias(name) for name, x in (("good", F.col("label")), ("all", F.lit(1)), ("fresh_good", F.col("label") * F.col("fresh")), ("fresh_all", F.col("fresh")))]
     counts = rows.groupBy("kind", "p").agg(*sums).orderBy("kind", F.desc("p")).collect()
     thresholds: dict[str, float] = {}
     for kind in GENERATORS:

@@ -532,3 +532,11 @@ def test_wrong_check_digits_and_bytes_teach_what_is_not_personal(spark):
     for r in pii.find_pii(table, model).collect():
         assert [tuple(s) for s in r["added"]] == added_by_hand(r["text"], model)
         assert [s["kind"] for s in r["added"]] == ["secret"] * (r["doc_id"] % 4 == 0)
+
+
+def test_trees_are_fitted_on_the_spans_of_all_documents(spark, monkeypatch):
+    seen = []
+    monkeypatch.setattr(shared, "materialized", lambda df: (seen.append(df.agg(F.sum("n")).first()[0]), df)[1])
+    line = F.concat(F.lit("call 555-"), F.lpad((F.col("id") % 1000).cast("string"), 3, "0"), F.lit("-4567\nfrom 2020-01-02 on\n"))
+    pii.fit_spans(spark.range(2100).select(F.col("id").alias("doc_id"), F.repeat(line, 5).alias("text")), rounds=1, depth=1)
+    assert seen == [21_000]
