@@ -52,6 +52,24 @@ def percentile_grouped(x: Column, by: Sequence[Column | str]) -> Column:
     return average_rank(x, by) / F.nullif(F.count(x).over(Window.partitionBy(*by)), F.lit(0))
 
 
+def value_percentiles(df: DataFrame, x: str, by: Sequence[str], group: str, least: int) -> DataFrame:
+    """(by, group, x, pct): of each known value the average rank over the number of values, within by + group where it has ``least`` of them, else within by.
+
+    Values are counted first, so ranks are running sums over the distinct ones; rows of df travel once, to be counted. No group is null.
+    """
+
+    def ranked(values: DataFrame, keys: list, p: str) -> DataFrame:
+        w = Window.partitionBy(*keys)
+        upto = F.sum("__c").over(w.orderBy(x).rowsBetween(Window.unboundedPreceding, 0))
+        return values.select(*keys, x, "__c", (upto - (F.col("__c") - 1) / 2).alias(f"__r{p}"), F.sum("__c").over(w).alias(f"__n{p}"))
+
+    values = written(df.where(F.col(x).isNotNull()).groupBy(*by, group, x).agg(F.count("*").alias("__c")))
+    own = ranked(values, [*by, group], "i").drop("__c")
+    all_ = ranked(values.groupBy(*by, x).agg(F.sum("__c").alias("__c")), list(by), "o").drop("__c")
+    pct = F.when(F.col("__ni") >= least, F.col("__ri") / F.col("__ni")).otherwise(F.col("__ro") / F.col("__no"))
+    return own.join(all_, [*by, x]).select(*by, group, x, pct.alias("pct"))
+
+
 def deciles(order: Sequence[Column | str], by: Sequence[str], n: int = 10) -> Column:
     """Quantile groups of near-equal size from 1, by the position in the order: edges are interpolated, so they differ from ntile."""
     r = F.row_number().over(Window.partitionBy(*by).orderBy(*order))

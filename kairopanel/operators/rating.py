@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from ..functions.scalars import canonical_digest, first_match, piecewise
 from ..sources.scratch import written
-from .cross_section import average_rank, winsorise
+from .cross_section import value_percentiles, winsorise
 from .profiles import applies, catalogue
 from .quantiles import medians
 
@@ -59,13 +59,16 @@ def component_scores(df: DataFrame, by: Sequence[str], group: str, components: l
         return F.when(applies(c, F.col(group)), one) if c.get("profiles") else one
 
     long = df.select(*by, "symbol", group, F.explode(F.array_compact(F.array(*[row(c) for c in components]))).alias("__c")).select(*by, "symbol", group, "__c.*")
-    long = winsorise(long, "x", [*by, "component"])
-    inner, outer = Window.partitionBy(*by, "component", group), Window.partitionBy(*by, "component")
-    pct = F.when(F.count("x").over(inner) >= least, average_rank(F.col("x"), [*by, "component", group]) / F.count("x").over(inner)).otherwise(average_rank(F.col("x"), [*by, "component"]) / F.nullif(F.count("x").over(outer), F.lit(0)))
-    long = long.withColumn("score", F.when(F.col("kind") == "pct", pct * 100).otherwise(F.col("direct")))
+    long = winsorise(long, "x", [*by, "component"]).withColumn("__g", F.coalesce(F.col(group).cast("string"), F.lit("\0")))
+    long = written(long.withColumn("__x", F.when(F.col("kind") == "pct", F.col("x"))))
+    # only rows with a rank travel to it, by their value, so that no task needs a whole date
+    placed = written(value_percentiles(long, "__x", [*by, "component"], "__g", least))
+    held = long.where("__x is not null").join(placed, [*by, "component", "__g", "__x"])
+    long = held.unionByName(long.where("__x is null"), allowMissingColumns=True)
+    long = long.withColumn("score", F.when(F.col("kind") == "pct", F.col("pct") * 100).otherwise(F.col("direct")))
     long = written(long.select(*by, "symbol", group, "pillar", "component", "weight", "score"))  # the medians below read it too
     own, all_ = [*by, "component", group], [*by, "component"]
-    long = long.join(medians(long, own, "score", "__own"), own, "left").join(medians(long, all_, "score", "__all"), all_, "left")
+    long = long.join(written(medians(long, own, "score", "__own")), own, "left").join(written(medians(long, all_, "score", "__all")), all_, "left")
     prior = F.coalesce(F.when(F.col("__own_n") >= least, F.col("__own")), F.col("__all"), F.lit(50.0))
     return long.withColumn("prior", prior).select(*by, "symbol", group, "pillar", "component", "weight", "score", "prior")
 

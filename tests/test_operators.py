@@ -200,3 +200,10 @@ def test_verdicts_pass_every_months_state(spark):
     sf_dir = "/root/testdata/sf0.001"
     months = {r["as_of"] for r in roles.supplier_months(spark, sf_dir).select("as_of").distinct().collect()}
     assert {r["as_of"] for r in facts.verdicts_with_hysteresis(spark, sf_dir).select("as_of").distinct().collect()} == months
+
+
+def test_percentiles_of_counted_values(spark):
+    rows = [(1, "a", 1.0)] * 5 + [(1, "a", 2.0), (1, "a", None), (1, "b", 1.0), (1, "b", 3.0), (2, "a", 7.0)]
+    df = spark.createDataFrame(rows, "d int, g string, x double")
+    found = {tuple(r)[:3]: r["pct"] for r in cross_section.value_percentiles(df, "x", ["d"], "g", 6).collect()}
+    assert found == {(1, "a", 1.0): 3 / 6, (1, "a", 2.0): 1.0, (1, "b", 1.0): 3.5 / 8, (1, "b", 3.0): 1.0, (2, "a", 7.0): 1.0}
