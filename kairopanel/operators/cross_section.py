@@ -52,6 +52,20 @@ def percentile_grouped(x: Column, by: Sequence[Column | str]) -> Column:
     return average_rank(x, by) / F.nullif(F.count(x).over(Window.partitionBy(*by)), F.lit(0))
 
 
+def with_percentiles(df: DataFrame, columns: dict[str, str], by: Sequence[str]) -> DataFrame:
+    """df with the percentile within by (average rank over the number of known values) of each column, under the name given; null for null.
+
+    Values are counted first and meet the rows by value, a column after the other, so no task sorts a group's rows once for each. No column of by is null.
+    """
+    for c, out in columns.items():
+        w = Window.partitionBy(*by)
+        upto = F.sum("__c").over(w.orderBy(c).rowsBetween(Window.unboundedPreceding, 0))
+        values = df.where(F.col(c).isNotNull()).groupBy(*by, c).agg(F.count("*").alias("__c"))
+        placed = values.select(*by, c, ((upto - (F.col("__c") - 1) / 2) / F.sum("__c").over(w)).alias(out))
+        df = df.join(placed, [*by, c], "left")
+    return df
+
+
 def value_percentiles(df: DataFrame, x: str, by: Sequence[str], group: str, least: int) -> DataFrame:
     """(by, group, x, pct): of each known value the average rank over the number of values, within by + group where it has ``least`` of them, else within by.
 

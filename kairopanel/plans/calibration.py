@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..operators import acceptance, asof, calibration, rating, walkforward
-from ..operators.cross_section import percentile_grouped
+from ..operators.cross_section import with_percentiles
 from ..sources.scratch import written
 from . import companies, roles
 from .registry import query
@@ -22,12 +22,14 @@ YEARS, HOLDOUT = [1997, 1998, 1999], "2000-01-01"
 def supplier_ratings(spark, sf_dir) -> tuple[DataFrame, DataFrame, DataFrame]:
     """Suppliers rated each month by three variants, their mean prices, and those of all suppliers."""
     months = written(roles.supplier_months(spark, sf_dir).withColumns({"roe": F.round("roe", 4), "turnover": F.round("turnover", 2)}))
-    place = {c: percentile_grouped(F.col(c), ["as_of"]).alias(f"p_{c}") for c in ("roe", "mom_12_1", "turnover", "debt_equity")}
-    rows = months.select("as_of", "symbol", "industry", "roce", "beta_250", *place.values())
+    places = {c: f"p_{c}" for c in ("roe", "mom_12_1", "turnover", "debt_equity")}
+    rows = months.select("as_of", "symbol", "industry", "roce", "beta_250", *places)
+    for c, p in places.items():  # each column's counts read what is written
+        rows = written(with_percentiles(rows, {c: p}, ["as_of"]).drop(c))
     sums = [F.round(a * (1 - F.col("p_roe")) + b * (1 - F.col("p_mom_12_1")) + c * F.col("p_turnover"), 9) for a, b, c in WEIGHTS.values()]
     each = F.explode(F.array(*[F.struct(F.lit(v).alias("variant"), x.alias("x")) for v, x in zip(WEIGHTS, sums)]))
-    rows = rows.select("*", each.alias("e")).select("*", "e.*").drop("e")
-    score, mos = 100 * percentile_grouped(F.col("x"), ["as_of", "variant"]), F.round(F.col("p_debt_equity") - 0.3, 9)
+    rows = with_percentiles(rows.select("*", each.alias("e")).select("*", "e.*").drop("e"), {"x": "p_x"}, ["as_of", "variant"])
+    score, mos = 100 * F.col("p_x"), F.round(F.col("p_debt_equity") - 0.3, 9)
     none = F.array().cast("array<struct<code:string,tier:string,cap:string>>")
     breach = F.array(F.struct(F.lit("SOLVENCY_BREACH").alias("code"), F.lit("HARD").alias("tier"), F.lit("SELL").alias("cap")))
     rows = rows.withColumns({"score": score, "mos": mos, "flags": F.when(F.round("roce", 6) < 0.02, breach).otherwise(none)})

@@ -202,6 +202,12 @@ def test_verdicts_pass_every_months_state(spark):
     assert {r["as_of"] for r in facts.verdicts_with_hysteresis(spark, sf_dir).select("as_of").distinct().collect()} == months
 
 
+def test_percentiles_that_meet_rows_by_value(spark):
+    df = spark.createDataFrame([(1, 1.0, 2.0), (1, 1.0, None), (1, 3.0, 5.0), (1, None, 5.0), (2, 9.0, 1.0)], "d int, x double, y double")
+    found = cross_section.with_percentiles(df, {"x": "px", "y": "py"}, ["d"]).select("px", "py").collect()
+    assert sorted(map(str, map(tuple, found))) == sorted(map(str, [(0.5, 1 / 3), (0.5, None), (1.0, 2.5 / 3), (None, 2.5 / 3), (1.0, 1.0)]))
+
+
 def test_percentiles_of_counted_values(spark):
     rows = [(1, "a", 1.0)] * 5 + [(1, "a", 2.0), (1, "a", None), (1, "b", 1.0), (1, "b", 3.0), (2, "a", 7.0)]
     df = spark.createDataFrame(rows, "d int, g string, x double")
