@@ -64,3 +64,12 @@ def test_numbers(spark):
     assert [(r["first"], r["last"]) for r in runs] == [(dt.date(2023, 12, 15), dt.date(2024, 1, 14)), (dt.date(2024, 1, 15), dt.date(2024, 2, 10))] and one(spark, S.day_ranges(F.lit(dt.date(2024, 1, 2)), F.lit(dt.date(2024, 1, 1)))) is None
     assert one(spark, S.gates_of_tier(F.col("t"), "HARD"), t='[{"code": "a", "tier": "HARD"}, {"tier": "SOFT"}]') == 1 and one(spark, S.gates_of_tier(F.col("t"), "HARD"), t="no json") == 0
     assert one(spark, S.two_stage_value(F.lit(100.0), F.lit(0.1), F.lit(0.04), F.lit(0.05))) is None and not math.isnan(value)
+
+
+def test_timestamps_are_parsed_once(spark):
+    texts = ["01-APR-2019", "01-Apr-2019 10:11", "01-Apr-2019 10:11:12", "2019-04-01", " 2019-04-01 10:11:12 ", "01-04-2019", "01/04/2019", "1-Apr-2019", "01-Apr-2019 10", "2019-04-01 10:11", "01/Apr/2019", "31-04-2019", "-", "", None]
+    read = spark.createDataFrame([(k, t) for k, t in enumerate(texts)], "k int, t string").select("k", S.any_timestamp(F.col("t")).cast("string").alias("v"))
+    day, minute, second = "2019-04-01 00:00:00", "2019-04-01 10:11:00", "2019-04-01 10:11:12"
+    assert [r["v"] for r in read.orderBy("k").collect()] == [day, minute, second, day, second, day, day] + [None] * 8
+    plan = read._jdf.queryExecution().optimizedPlan().toString().lower()
+    assert "coalesce" not in plan and plan.count("gettimestamp") <= 4  # no text goes from format to format
