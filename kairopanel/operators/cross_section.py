@@ -27,11 +27,12 @@ def winsorise(df: DataFrame, column: str, by: Sequence[str], out: str | None = N
 def zscore_grouped(df: DataFrame, column: str, by: Sequence[str], group: str, out: str, least: int = 8, bound: float = 4.0) -> DataFrame:
     """z-score within by + group where it has ``least`` known values, else within by; population deviation, clipped. A null group is one of its own.
 
-    Counts, means and deviations are summed before they travel and joined back, a row a group.
+    Counts, means and deviations are summed before they travel, written (a row a group, so their size is known before the join is planned: rows of df
+    stay where they are while it is small) and joined back.
     """
     x = F.col(column)
     rows = df.withColumn("__g", F.coalesce(F.col(group).cast("string"), F.lit("\0")))
-    facts = lambda keys, p: rows.groupBy(*keys).agg(F.count(x).alias(f"__n{p}"), F.avg(x).alias(f"__a{p}"), F.stddev_pop(x).alias(f"__d{p}"))
+    facts = lambda keys, p: written(rows.groupBy(*keys).agg(F.count(x).alias(f"__n{p}"), F.avg(x).alias(f"__a{p}"), F.stddev_pop(x).alias(f"__d{p}")))
     rows = rows.join(facts([*by, "__g"], "i"), [*by, "__g"], "left").join(facts(list(by), "o"), list(by), "left")
     z = lambda p: F.try_divide(x - F.col(f"__a{p}"), F.nullif(F.col(f"__d{p}"), F.lit(0.0)))
     chosen = F.when(F.col("__ni") >= least, z("i")).otherwise(z("o"))
@@ -119,8 +120,8 @@ def bucket_scores(df: DataFrame, by: Sequence[str], key: str, group: str, compon
     rows = F.explode(F.array(*[F.struct(F.lit(n).alias("component"), F.lit(b).alias("bucket"), signed(n, s, a, z).alias("x")) for n, b, s, a, z in here]))
     long = df.select(*by, key, group, rows.alias("__c")).select(*by, key, group, "__c.*")
     long = written(winsorise(long, "x", [*by, "component"]))
+    enough = written(long.groupBy(*by, "component").agg((F.count("x") >= least_names).alias("__enough")))
     long = zscore_grouped(long, "x", [*by, "component"], group, "z")
-    enough = long.groupBy(*by, "component").agg((F.count("x") >= least_names).alias("__enough"))
     long = long.join(enough, [*by, "component"]).withColumn("z", F.when(F.col("__enough"), F.col("z")))
     means = long.groupBy(*by, key).agg(*[F.when(F.count(F.when(F.col("bucket") == b, F.col("z"))) >= least_components, F.avg(F.when(F.col("bucket") == b, F.col("z")))).alias(f"z_{b}") for b in buckets])
     known = sum((F.col(f"z_{b}").isNotNull().cast("int") for b in buckets), F.lit(0))

@@ -22,7 +22,7 @@ FEATURES = "as_of date, symbol long, industry long, z_quality double, z_value do
 
 def built_features(spark, sf_dir) -> DataFrame:
     """Bucket scores of suppliers as a table of slices, built in two runs of which the second makes what the first left out."""
-    months = roles.supplier_months(spark, sf_dir)
+    months = written(roles.supplier_months(spark, sf_dir))  # the dates and both runs read it
     dates = months.select("as_of").distinct()
 
     def make(todo: DataFrame) -> DataFrame:

@@ -213,3 +213,9 @@ def test_percentiles_of_counted_values(spark):
     df = spark.createDataFrame(rows, "d int, g string, x double")
     found = {tuple(r)[:3]: r["pct"] for r in cross_section.value_percentiles(df, "x", ["d"], "g", 6).collect()}
     assert found == {(1, "a", 1.0): 3 / 6, (1, "a", 2.0): 1.0, (1, "b", 1.0): 3.5 / 8, (1, "b", 3.0): 1.0, (2, "a", 7.0): 1.0}
+
+
+def test_grouped_scores_leave_large_tables_where_they_are(spark):
+    df = spark.range(2_000_000).select((F.col("id") % 3).alias("as_of"), (F.col("id") % 5).alias("g"), (F.col("id") % 7).cast("double").alias("x"))
+    plan = cross_section.zscore_grouped(df, "x", ["as_of"], "g", "z")._jdf.queryExecution().executedPlan().toString()
+    assert "BroadcastHashJoin" in plan and "SortMergeJoin" not in plan  # groups are a few rows, whatever the size of df
