@@ -196,7 +196,7 @@ def weighted_mean(pairs: list[tuple[Column, float]], least: int = 1) -> Column:
 
 def weighted_median(pairs: Column) -> Column:
     """Of an array of (value, weight): the smallest value at which half of the weight is reached; null entries don't count."""
-    known = F.array_sort(F.filter(pairs, lambda p: p["value"].isNotNull() & (p["weight"] > 0)))
+    known = F.sort_array(F.filter(pairs, lambda p: p["value"].isNotNull() & (p["weight"] > 0)))
     half = F.aggregate(known, F.lit(0.0), lambda a, p: a + p["weight"]) / 2
     start = F.struct(F.lit(0.0).alias("sum"), F.lit(None).cast("double").alias("value"))
     step = lambda a, p: F.struct((a["sum"] + p["weight"]).alias("sum"), F.when(a["value"].isNull() & (a["sum"] + p["weight"] >= half), p["value"]).otherwise(a["value"]).alias("value"))

@@ -55,42 +55,54 @@ def last(a: Column, n: int) -> Column:
     return F.slice(a, F.greatest(F.size(a) - n + 1, F.lit(1)), n)
 
 
+def once(x: Column, f: Callable[[Column], Column]) -> Column:
+    """f of x, which is computed once a row, however often f reads it: functions on arrays don't share what they have in common."""
+    return F.get(F.transform(F.array(x), f), F.lit(0))
+
+
 def known(a: Column) -> Column:
     return F.filter(a, lambda x: x.isNotNull())
 
 
 def total(a: Column, n: int, least: int | None = None) -> Column:
     """Sum of the last n values if all (or at least ``least``) are known."""
-    some = last(a, n)
-    return F.when((F.size(some) == n if least is None else F.size(known(some)) >= least) & (F.size(known(some)) == F.size(some) if least is None else F.lit(True)), F.aggregate(known(some), F.lit(0.0), lambda s, x: s + x))
+    added = lambda some: F.aggregate(some, F.lit(0.0), lambda s, x: s + x)
+    if least is None:
+        return F.when(F.size(a) >= n, added(F.slice(a, -n, n)))  # a sum with an unknown value is unknown
+    return once(known(last(a, n)), lambda some: F.when(F.size(some) >= least, added(some)))
 
 
 def mean(a: Column) -> Column:
-    some = known(a)
-    return F.when(F.size(some) > 0, F.aggregate(some, F.lit(0.0), lambda s, x: s + x) / F.size(some))
+    return once(known(a), lambda some: F.when(F.size(some) > 0, F.aggregate(some, F.lit(0.0), lambda s, x: s + x) / F.size(some)))
 
 
 def deviation(a: Column, sample: bool) -> Column:
-    some = known(a)
-    n = F.size(some)
-    squares = F.aggregate(F.transform(some, lambda x: F.pow(x - mean(a), 2)), F.lit(0.0), lambda s, x: s + x)
-    return F.when(n > (1 if sample else 0), F.sqrt(squares / (n - (1 if sample else 0))))
+    less = 1 if sample else 0
+    squares = lambda some, m: F.aggregate(some, F.lit(0.0), lambda s, x: s + F.pow(x - m, 2))
+    return once(known(a), lambda some: F.when(F.size(some) > less, F.sqrt(once(mean(some), lambda m: squares(some, m)) / (F.size(some) - less))))
 
 
 def median(a: Column, least: int = 1) -> Column:
-    some = F.array_sort(known(a))
-    n = F.size(some)
-    middle = lambda k: F.get(some, F.floor(k).cast("int"))
-    return F.when(n >= least, F.when(n > 0, (middle((n - 1) / 2) + middle(n / 2)) / 2))
+
+    def of(some: Column) -> Column:
+        n = F.size(some)
+        middle = lambda k: F.get(some, F.floor(k).cast("int"))
+        return F.when(n >= least, F.when(n > 0, (middle((n - 1) / 2) + middle(n / 2)) / 2))
+
+    return once(F.sort_array(known(a)), of)
 
 
 def slope(a: Column, least: int = 3) -> Column:
     """Of the least-squares line through the known values, at the distance of their places."""
     points = F.filter(F.transform(a, lambda y, k: F.struct(k.cast("double").alias("x"), y.alias("y"))), lambda p: p["y"].isNotNull())
-    n = F.size(points)
-    s = lambda f: F.aggregate(points, F.lit(0.0), lambda t, p: t + f(p))
-    x, y = s(lambda p: p["x"]), s(lambda p: p["y"])
-    return F.when(n >= least, F.try_divide(n * s(lambda p: p["x"] * p["y"]) - x * y, n * s(lambda p: p["x"] * p["x"]) - x * x))
+
+    def of(points: Column) -> Column:
+        n = F.size(points)
+        s = lambda f: F.aggregate(points, F.lit(0.0), lambda t, p: t + f(p))
+        x, y = s(lambda p: p["x"]), s(lambda p: p["y"])
+        return F.when(n >= least, F.try_divide(n * s(lambda p: p["x"] * p["y"]) - x * y, n * s(lambda p: p["x"] * p["x"]) - x * x))
+
+    return once(points, of)
 
 
 def cagr(a: Column, periods: Column, years: int) -> Column:
@@ -106,6 +118,8 @@ def ratio(a: Column, b: Column, positive: bool = False) -> Column:
 
 def each(f: Callable[..., Column], *arrays: Column) -> Column:
     """f over the values at the same place of several arrays."""
+    if len(arrays) == 2:
+        return F.zip_with(*arrays, f)
     names = [f"a{k}" for k in range(len(arrays))]
     return F.transform(F.arrays_zip(*[a.alias(n) for a, n in zip(arrays, names)]), lambda x: f(*[x[n] for n in names]))
 
@@ -116,8 +130,7 @@ def average_of_two(a: Column) -> Column:
 
 def share_of(a: Column) -> Column:
     """The share of the known booleans of an array that hold."""
-    some = known(a)
-    return F.when(F.size(some) > 0, F.size(F.filter(some, lambda x: x)) / F.size(some))
+    return once(known(a), lambda some: F.when(F.size(some) > 0, F.size(F.filter(some, lambda x: x)) / F.size(some)))
 
 
 def pairs_rising(a: Column) -> Column:
@@ -280,8 +293,7 @@ def _pricing_power(y: Callable[[str], Column], opm: Column) -> Column:
     """The margin's difference between the two years with the lowest sales growth, the later place in ascending growth minus the earlier."""
     sales = y("sales")
     grown = F.filter(F.transform(F.sequence(F.lit(1), F.greatest(F.size(sales) - 1, F.lit(1))), lambda k: F.struct((F.try_divide(F.get(sales, k), F.get(sales, k - 1)) - 1).alias("g"), F.get(opm, k).alias("m"))), lambda x: x["g"].isNotNull() & x["m"].isNotNull())
-    low = F.slice(F.array_sort(grown), 1, 2)
-    return F.when(F.size(low) == 2, F.get(low, F.lit(1))["m"] - F.get(low, F.lit(0))["m"])
+    return once(F.slice(F.sort_array(grown), 1, 2), lambda low: F.when(F.size(low) == 2, F.get(low, F.lit(1))["m"] - F.get(low, F.lit(0))["m"]))
 
 
 def metrics_long(df: DataFrame, keys: Sequence[str], columns: dict[str, Column]) -> DataFrame:

@@ -25,13 +25,17 @@ FILED = {
     "current_assets": "0.3 * y_sales", "current_liabilities": "0.2 * y_sales", "cash": "0.1 * y_sales", "borrowings_current": "0.4 * y_borrowings", "cet1": "7 + (y_sales % 9)", "capital_adequacy_ratio": "12 + (y_sales % 5)", "gross_npa": "0.03 * y_borrowings", "net_npa": "0.01 * y_borrowings",
     "return_on_assets": "1 + y_borrowings / y_sales", "advances": "0.7 * y_borrowings", "deposits": "0.6 * y_borrowings", "provisions": "0.02 * y_borrowings",
 }
+#: The items of which quarters are read, for sums of four and shares of bad loans, and borrowings, so that years and quarters come from the same sums of orders.
+QUARTERLY = ["operating_profit", "depreciation", "interest", "net_profit", "other_income", "pbt", "sales", "borrowings", "gross_npa_pct", "net_npa_pct"]
+#: Items of years that only the first step of the metrics reads.
+UNREAD = ["investments", "roce_pct", "gross_npa_pct", "net_npa_pct"]
 INDUSTRIES = ["Banks", "Power", "IT - Software", "Realty", "Pharmaceuticals & Biotechnology", "Finance", "Chemicals", "Insurance", "Automobiles", "something else"]
 
 _BASE = [i for _, i, _ in roles.ITEMS]
 
 
 def frames(spark, sf_dir) -> DataFrame:
-    """(as_of, symbol, y_<item>, q_<item>, x_<item>, ...): what was known of each company, 15 customers, 90 days after each year.
+    """(as_of, symbol, y_<item>, q_<item> of those read, x_<item>, ...): what was known of each company, 15 customers, 90 days after each year.
 
     A company's years and quarters are packed once; each date takes those visible by then, so facts don't meet dates one by one.
     """
@@ -40,16 +44,20 @@ def frames(spark, sf_dir) -> DataFrame:
     quarters = orders.groupBy(F.floor(F.col("o_custkey") / 15).alias("symbol"), F.last_day(F.add_months(F.trunc("d", "quarter"), 2)).alias("period_end")).agg(*[value(p, s).alias(i) for p, i, s in roles.ITEMS])
     years = quarters.groupBy("symbol", F.make_date(F.year("period_end"), F.lit(12), F.lit(31)).alias("period_end")).agg(*[F.sum(i).alias(i) for i in _BASE])
 
+    items = {"y": list(DERIVED), "q": QUARTERLY}
+
     def packed(rows: DataFrame, kind: str) -> DataFrame:
-        held = rows.selectExpr("symbol", "period_end", "period_end + CAST(CASE WHEN month(period_end) IN (3, 12) THEN 60 ELSE 45 END AS INT) AS visible_from", *[f"CAST({e} AS DOUBLE) AS {c}" for c, e in DERIVED.items()])
-        return held.groupBy("symbol").agg(F.sort_array(F.collect_list(F.struct("period_end", "visible_from", *DERIVED))).alias(kind))
+        held = rows.selectExpr("symbol", "period_end", "period_end + CAST(CASE WHEN month(period_end) IN (3, 12) THEN 60 ELSE 45 END AS INT) AS visible_from", *[f"CAST({DERIVED[c]} AS DOUBLE) AS {c}" for c in items[kind]])
+        return held.groupBy("symbol").agg(F.sort_array(F.collect_list(F.struct("period_end", "visible_from", *items[kind]))).alias(kind))
 
     dates = years.select(F.date_add("period_end", 90).alias("as_of")).distinct()
     both = packed(years, "y").join(packed(quarters, "q"), "symbol").withColumn("__first", F.array_min("y.visible_from"))
     both = both.join(F.broadcast(dates), F.col("as_of") >= F.col("__first")).drop("__first")  # a date meets the companies known by then
     for kind, n in (("y", 12), ("q", 13)):
         both = both.withColumn(kind, F.filter(kind, lambda x: x["visible_from"] <= F.col("as_of"))).withColumn(kind, F.slice(kind, F.greatest(F.size(kind) - n + 1, F.lit(1)), n))
-    flat = both.select("as_of", "symbol", *[c for kind in "yq" for c in (F.col(f"{kind}.period_end").alias(f"{kind}_period"), *[F.col(f"{kind}.{i}").alias(f"{kind}_{i}") for i in DERIVED])])
+    # by transform: the code of so many fields of arrays in one generated method would be too long for the JVM to compile
+    field = lambda kind, i: F.transform(kind, lambda x: x[i])
+    flat = both.select("as_of", "symbol", *[c for kind in "yq" for c in (field(kind, "period_end").alias(f"{kind}_period"), *[field(kind, i).alias(f"{kind}_{i}") for i in items[kind]])])
     s, net = F.col("symbol"), statements.at(F.col("y_net_profit"), 1)
     face = F.element_at(F.array(*[F.lit(v) for v in (1.0, 2.0, 5.0, 10.0)]), (1 + s % 4).cast("int"))
     flat = flat.withColumn("face_value", face).withColumn("shares", statements.at(F.col("y_equity_capital"), 1) / F.col("face_value"))
@@ -68,7 +76,8 @@ def measured(spark, sf_dir) -> tuple[DataFrame, dict]:
     """The frames with the steps of all metrics, each written once, and the metrics as columns."""
     company = ~F.col("profile").isin("BANK", "NBFC_FIN")
     base = statements.metric_columns(company)
-    df = written(statements.prepared(frames(spark, sf_dir)))
+    df = statements.prepared(frames(spark, sf_dir))
+    df = written(df.drop(*[f"q_{i}" for i in QUARTERLY if not i.endswith("_pct")], *[f"y_{i}" for i in UNREAD]))
     df = written(valuation.valued(df, base["fundamental_growth"]["value"]))
     df = df.withColumn("net_debt_ebitda", base["net_debt_ebitda"]["value"])
     return df, base | valuation.valuation_columns() | valuation.filing_columns()

@@ -117,6 +117,24 @@ def test_metric_formulas(spark):
     assert r["roa_ttm"] == {"value": None, "status": "NA"} and r["gross_margin_median_5y"]["status"] == "UNKNOWN" and v("growth_consistency_5y") == 0 and r["incremental_roic_5y"]["status"] == "UNKNOWN"
 
 
+def test_statistics_of_an_array_compute_it_once(spark):
+    values = {"full": [3.0, 1.0, 2.0, 6.0, 5.0], "gap": [3.0, None, 2.0, 6.0, 5.0], "short": [4.0], "unknown": [None, None], "empty": [], "none": None}
+    df = spark.createDataFrame(list(values.items()), "k string, zz array<double>")
+    fs = {
+        "mean": statements.mean, "median": statements.median, "slope": statements.slope, "sd": lambda a: statements.deviation(a, True), "sd_all": lambda a: statements.deviation(a, False),
+        "share": lambda a: statements.share_of(F.transform(a, lambda x: x > 2)),
+    }
+    assert [str(f(F.col("zz"))).count("zz") for f in fs.values()] == [1] * 6
+    total = {"total": lambda a: statements.total(a, 4), "some": lambda a: statements.total(a, 4, 2)}
+    got = {r["k"]: r.asDict() for r in df.select("k", *[f(F.col("zz")).alias(n) for n, f in (fs | total).items()]).collect()}
+    assert got["full"] == pytest.approx({"k": "full", "mean": 3.4, "median": 3.0, "slope": 0.9, "sd": np.std(values["full"], ddof=1), "sd_all": np.std(values["full"]), "share": 0.6, "total": 14.0, "some": 14.0})
+    known = [3.0, 2.0, 6.0, 5.0]
+    assert got["gap"] == pytest.approx({"k": "gap", "mean": 4.0, "median": 4.0, "slope": np.polyfit([0, 2, 3, 4], known, 1)[0], "sd": np.std(known, ddof=1), "sd_all": np.std(known), "share": 0.75, "total": None, "some": 13.0})
+    assert got["short"] == {"k": "short", "mean": 4.0, "median": 4.0, "slope": None, "sd": None, "sd_all": 0.0, "share": 1.0, "total": None, "some": None}
+    for k in ("unknown", "empty", "none"):
+        assert got[k] == {"k": k} | dict.fromkeys([*fs, *total])
+
+
 def test_decision_rules(spark):
     none = F.array().cast("array<struct<code:string,tier:string,cap:string>>")
     soft = F.array(F.struct(F.lit("A").alias("code"), F.lit("SOFT").alias("tier"), F.lit("HOLD").alias("cap")))
