@@ -74,6 +74,7 @@ INDUSTRIES = """industries AS (
 def supplier_months(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A cross-section of suppliers by month: (as_of, symbol, industry: the region, and a dozen measures)."""
     lines = table(spark, sf_dir, "lineitem").select("l_suppkey", F.last_day(F.to_date("l_shipdate")).alias("as_of"), "l_quantity", "l_extendedprice", "l_discount", "l_tax", "l_returnflag")
+    lines = lines.repartition("l_suppkey")  # a task then holds its own groups alone, not one for nearly each row of a large split
     x = F.col("l_extendedprice")
     rows = lines.groupBy("as_of", F.col("l_suppkey").alias("symbol")).agg(
         F.sum(x).alias("turnover"), F.avg(x).alias("roe"), F.avg("l_discount").alias("roce"), F.avg("l_tax").alias("accruals"), F.max(x).alias("debt_equity"), F.min(x).alias("mom_12_1"),

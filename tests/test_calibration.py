@@ -7,6 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from kairopanel.operators import calibration, ledger, quantiles, rating, walkforward
+from kairopanel.plans import roles
 
 D = lambda n: dt.date(2020, 1, 1) + dt.timedelta(days=n)
 
@@ -156,3 +157,10 @@ def test_sound_and_unsound_banks(spark):
     rows = spark.createDataFrame([("sound", True, 2.0, 13.0), ("thin", True, 2.0, 7.5), ("bad", True, 11.0, 13.0), ("unknown", True, None, None), ("company", False, 11.0, 7.0)], "symbol string, financial boolean, gnpa_pct double, cet1_pct double")
     found = {r["symbol"]: [f["code"] for f in r["f"]] for r in rows.select("symbol", rating.flags(rows.columns).alias("f")).collect()}
     assert found == {"sound": [], "thin": ["CAPITAL_BREACH_BANK"], "bad": ["CAPITAL_BREACH_BANK"], "unknown": [], "company": []}
+
+
+def test_lines_meet_by_supplier_before_they_are_summed(spark):
+    plan = roles.supplier_months(spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("hashpartitioning(l_suppkey") == 1
+    below = plan.split("hashpartitioning(l_suppkey")[1].split("l_returnflag")[0]
+    assert "Aggregate" in plan and "Aggregate" not in below
