@@ -41,29 +41,24 @@ def zscore_grouped(df: DataFrame, column: str, by: Sequence[str], group: str, ou
 
 
 def average_rank(x: Column, by: Sequence[Column | str]) -> Column:
-    """Rank in ascending order, ties sharing their mean rank; null for null."""
-    # null sorts first: only known values are counted
-    ranked = F.rank().over(Window.partitionBy(*by, x.isNull()).orderBy(x))
-    ties = F.count(F.lit(1)).over(Window.partitionBy(*by, x))
-    return F.when(x.isNotNull(), ranked + (ties - 1) / 2)
+    """Rank in ascending order, ties sharing their mean rank; null for null. The first and the last place of equal values come from one sort."""
+    w = Window.partitionBy(*by).orderBy(x.asc_nulls_last())  # only known values are counted
+    return F.when(x.isNotNull(), (F.rank().over(w) + F.count(x).over(w)) / 2)
 
 
 def percentile_grouped(x: Column, by: Sequence[Column | str]) -> Column:
     """The average rank over the number of known values: above 0, at most 1."""
-    return average_rank(x, by) / F.nullif(F.count(x).over(Window.partitionBy(*by)), F.lit(0))
+    whole = Window.partitionBy(*by).orderBy(x.asc_nulls_last()).rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)  # the sort of the ranks serves it
+    return average_rank(x, by) / F.nullif(F.count(x).over(whole), F.lit(0))
 
 
 def with_percentiles(df: DataFrame, columns: dict[str, str], by: Sequence[str]) -> DataFrame:
     """df with the percentile within by (average rank over the number of known values) of each column, under the name given; null for null.
 
-    Values are counted first and meet the rows by value, a column after the other, so no task sorts a group's rows once for each. No column of by is null.
+    A column after the other, each from one sort of a group's rows. No column of by is null.
     """
     for c, out in columns.items():
-        w = Window.partitionBy(*by)
-        upto = F.sum("__c").over(w.orderBy(c).rowsBetween(Window.unboundedPreceding, 0))
-        values = df.where(F.col(c).isNotNull()).groupBy(*by, c).agg(F.count("*").alias("__c"))
-        placed = values.select(*by, c, ((upto - (F.col("__c") - 1) / 2) / F.sum("__c").over(w)).alias(out))
-        df = df.join(placed, [*by, c], "left")
+        df = df.withColumn(out, percentile_grouped(F.col(c), by))
     return df
 
 

@@ -24,7 +24,7 @@ def supplier_ratings(spark, sf_dir) -> tuple[DataFrame, DataFrame, DataFrame]:
     months = written(roles.supplier_months(spark, sf_dir).withColumns({"roe": F.round("roe", 4), "turnover": F.round("turnover", 2)}))
     places = {c: f"p_{c}" for c in ("roe", "mom_12_1", "turnover", "debt_equity")}
     rows = months.select("as_of", "symbol", "industry", "roce", "beta_250", *places)
-    for c, p in places.items():  # each column's counts read what is written
+    for c, p in places.items():  # a sort of a date at a time in a task
         rows = written(with_percentiles(rows, {c: p}, ["as_of"]).drop(c))
     sums = [F.round(a * (1 - F.col("p_roe")) + b * (1 - F.col("p_mom_12_1")) + c * F.col("p_turnover"), 9) for a, b, c in WEIGHTS.values()]
     each = F.explode(F.array(*[F.struct(F.lit(v).alias("variant"), x.alias("x")) for v, x in zip(WEIGHTS, sums)]))

@@ -226,6 +226,15 @@ def test_percentiles_that_meet_rows_by_value(spark):
     assert sorted(map(str, map(tuple, found))) == sorted(map(str, [(0.5, 1 / 3), (0.5, None), (1.0, 2.5 / 3), (None, 2.5 / 3), (1.0, 1.0)]))
 
 
+def test_ranks_take_one_sort(spark):
+    df = spark.createDataFrame([(1, "a", 1.0), (1, "b", 1.0), (1, "c", 3.0), (1, "d", None), (2, "a", 9.0), (2, "b", float("nan")), (3, "a", None)], "d int, k string, x double")
+    found = {"rank": df.withColumn("r", cross_section.average_rank(F.col("x"), ["d"])), "pct": df.withColumn("r", cross_section.percentile_grouped(F.col("x"), ["d"])), "with": cross_section.with_percentiles(df, {"x": "r"}, ["d"])}
+    ranks, places = [1.5, 1.5, 3.0, None, 1.0, 2.0, None], [0.5, 0.5, 1.0, None, 0.5, 1.0, None]
+    for name, rows in found.items():
+        assert rows._jdf.queryExecution().executedPlan().toString().count("Sort [") == 1
+        assert [r["r"] for r in rows.orderBy("d", "k").collect()] == pytest.approx(ranks if name == "rank" else places)
+
+
 def test_percentiles_of_counted_values(spark):
     rows = [(1, "a", 1.0)] * 5 + [(1, "a", 2.0), (1, "a", None), (1, "b", 1.0), (1, "b", 3.0), (2, "a", 7.0)]
     df = spark.createDataFrame(rows, "d int, g string, x double")
