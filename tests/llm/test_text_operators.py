@@ -142,6 +142,22 @@ def test_jaccard_join_on_messy_rows(messy, empty):
     assert jaccard_join.ngram_jaccard_join(empty).count() == 0
 
 
+def test_jaccard_join_reads_texts_three_times(spark):
+    read = spark.sparkContext.accumulator(0)
+
+    def seen(text):
+        read.add(1)
+        return text
+
+    rng = np.random.default_rng(5)
+    texts = [" ".join(rng.choice(list("abcdefghij"), 30)) for _ in range(40)]
+    texts += [t + " z" for t in texts[:20]]
+    docs = documents(spark, list(enumerate(texts))).select("doc_id", F.udf(seen, "string")("text").alias("text"))
+    out = {r["doc_id"]: r["component_id"] for r in jaccard_join.ngram_jaccard_join(docs, words=4, percent=85).collect()}
+    assert out == {k: k - 40 if k >= 40 else k for k in range(60)}
+    assert read.value == 3 * 60
+
+
 @pytest.mark.parametrize("hot_share", [0.0005, 2.0])
 def test_jaccard_join_of_families_and_common_lines(spark, hot_share):
     rng = np.random.default_rng(5)
