@@ -26,6 +26,11 @@ def read_csv(spark: SparkSession, path: str | list[str]) -> DataFrame:
     return df.toDF(*[c.strip() or f"_c{k}" for k, c in enumerate(df.columns)])
 
 
+def write_csv(df: DataFrame, path: str, most: int = 500_000) -> None:
+    """Files with a header, compressed; a compressed file is read by one task, so each has at most ``most`` rows."""
+    df.write.option("maxRecordsPerFile", most).csv(path, header=True, compression="gzip")
+
+
 def require(df: DataFrame, columns: Sequence[str]) -> DataFrame:
     if lost := [c for c in columns if c not in df.columns]:
         raise MissingColumns(f"missing {lost}, found {df.columns}")
@@ -144,13 +149,13 @@ def earliest_filing(df: DataFrame) -> DataFrame:
 
 
 def best_source(layouts: Sequence[DataFrame]) -> DataFrame:
-    """The rows of the first layout that has a (trade_date, symbol, series)."""
+    """The rows of the first layout that has a (trade_date, symbol, series); they lie in the order of symbol and series, so a join by these neither moves nor sorts them again."""
     rows = None
     for k, df in enumerate(layouts):
         one = df.withColumn("__p", F.lit(k))
         rows = one if rows is None else rows.unionByName(one, allowMissingColumns=True)
-    w = Window.partitionBy("trade_date", "symbol", "series").orderBy("__p", F.desc("turnover"))
-    return rows.withColumn("__k", F.row_number().over(w)).where("__k = 1").drop("__k", "__p")
+    w = Window.partitionBy("symbol", "series", "trade_date").orderBy("__p", F.desc("turnover"))
+    return rows.repartition("symbol", "series").withColumn("__k", F.row_number().over(w)).where("__k = 1").drop("__k", "__p")
 
 
 def dated_as_named(rows: DataFrame, file: str, expected: Column, date: str = "trade_date") -> DataFrame:

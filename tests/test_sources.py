@@ -91,3 +91,23 @@ def test_the_least_sequence_number_of_one_moment(spark):
     one = '{"symbol":"A","qe_Date":"31-Mar-2024","creation_Date":"01-May-2024 10:00:00","seq_Id":"%s"}'
     bodies = spark.createDataFrame([('{"data":[' + ",".join(one % k for k in p) + "]}",) for p in ((100, 12), (9, 1000), (11,))], "body string")
     assert feeds.integrated_results(bodies).first()["seq_id"] == "9"
+
+
+def test_landed_prices_are_compressed_and_move_once(spark):
+    from kairopanel.plans import reads
+
+    held = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", -1)
+    try:
+        found = reads.merged_prices(spark, "/root/testdata/sf0.001")
+        plan = found._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", held)
+    assert found.inputFiles() and all(f.endswith(".gz") for f in found.inputFiles())
+    assert plan.count("Exchange hashpartitioning") == 2  # prices and delivery records
+
+
+def test_compressed_files_are_cut(spark, tmp_path):
+    landed.write_csv(spark.range(10, numPartitions=1).select(F.col("id").cast("string").alias("x")), str(tmp_path / "t"), most=4)
+    assert len(list((tmp_path / "t").glob("*.csv.gz"))) == 3
+    assert sorted(r["x"] for r in landed.read_csv(spark, str(tmp_path / "t")).collect()) == [str(k) for k in range(10)]
